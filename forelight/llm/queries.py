@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, sp_bpe
+from . import bpe_count, decontam, fertility, hilbert, line_dedup, minhash, sp_bpe
 from .common import documents, table
 
 
@@ -22,6 +22,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(f"r.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"), report=True)
+    return out.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(documents(spark, sf_dir))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -32,12 +49,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op8_fertility": op8_fertility,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
+    """The sharding in SQL: CRC-32 bit by bit tables, then the curve one step a query."""
+    crc = lambda c: (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({c})) + 1), "
+        f"lambda i: ('0x' || substr(hex(encode({c})), CAST(2 * i - 1 AS INTEGER), 2))::BIGINT)), "
+        "lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])))"
+    )
+    step = "(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    table_steps = "range(0, 256)"
+    for _ in range(8):
+        table_steps = f"list_transform({table_steps}, lambda c: {step})"
+    top = (1 << bits) - 1
+    sql = f"""
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS text_crc32,
+         {crc("coalesce(lang, chr(0))")} & {top} AS x0, {crc("coalesce(source, chr(0))")} & {top} AS x1,
+         greatest(0, least({top}, CAST(floor(log2(octet_length(encode(coalesce(text, ''))) + 1)) AS INTEGER) - 6)) AS x2,
+         ((doc_id - (SELECT min(doc_id) FROM documents)) * {1 << bits}) // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents) AS x3
+  FROM documents, crc_table"""
+    x = [f"x{i}" for i in range(dims)]
+    for level in range(bits - 1, 0, -1):
+        q, p = 1 << level, (1 << level) - 1
+        for i, c in enumerate(x):
+            if i == 0:
+                new = f"CASE WHEN x0 & {q} <> 0 THEN xor(x0, {p}) ELSE x0 END AS x0"
+            else:
+                new = f"CASE WHEN {c} & {q} <> 0 THEN xor(x0, {p}) ELSE xor(x0, xor(x0, {c}) & {p}) END AS x0, CASE WHEN {c} & {q} <> 0 THEN {c} ELSE xor({c}, xor(x0, {c}) & {p}) END AS {c}"
+            sql = f"SELECT * REPLACE ({new}) FROM ({sql})"
+    for a, b in zip(x, x[1:], strict=False):
+        sql = f"SELECT * REPLACE (xor({b}, {a}) AS {b}) FROM ({sql})"
+    t = "0"
+    for level in range(bits - 1, 0, -1):
+        t = f"xor({t}, CASE WHEN {x[-1]} & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    sql = f"SELECT *, {t} AS t FROM ({sql})"
+    index = "0"
+    for level in range(bits - 1, -1, -1):
+        for c in x:
+            index = f"({index} * 2 + ((xor({c}, t) >> {level}) & 1))"
+    return f"""
+WITH crc_table AS (SELECT {table_steps} AS crc_t),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY h, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8), doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS n
+  FROM (SELECT doc_id, size, text_crc32, {index} AS h FROM ({sql})))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * 8 // n AS INTEGER) AS shard,
+       CAST(rank - ((rank * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": rf"""
 WITH item AS (
@@ -58,5 +129,39 @@ item_hits AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN word_hits USING (doc_id) LEFT JOIN item_hits USING (doc_id)
+""",
+    "op2_line_dedup": r"""
+WITH line AS (
+  SELECT doc_id, source, text, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line, raw
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)),
+spread AS (SELECT line FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+told AS (
+  SELECT doc_id, pos, raw, line.line <> '' AS is_full, spread.line IS NOT NULL AS hit,
+         CASE WHEN line.line <> '' THEN len(regexp_extract_all(line.line, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM line LEFT JOIN spread ON line.line = spread.line),
+doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE is_full) AS n_lines, count(*) FILTER (WHERE hit) AS n_boilerplate,
+         coalesce(sum(words) FILTER (WHERE hit), 0) AS gone, sum(words) AS words,
+         string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS rest
+  FROM told GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boilerplate, 0) AS n_boilerplate,
+       CASE WHEN gone > 0 AND 2 * gone <= words THEN n_boilerplate ELSE 0 END AS n_removed,
+       sha256(CASE WHEN gone > 0 AND 2 * gone <= words THEN coalesce(rest, '') ELSE coalesce(d.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN doc USING (doc_id)
+""",
+    "op3_hilbert_shards": _hilbert_sql(),
+    "op4_near_duplicates": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (WITH RECURSIVE r AS (SELECT x AS a, x AS b FROM edge UNION SELECT r.a, e.y FROM r JOIN edge e ON r.b = e.x) SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id
 """,
 }
