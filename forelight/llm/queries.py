@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, fertility, hilbert, line_dedup, minhash, sp_bpe
+from . import bpe_count, decontam, fertility, hilbert, line_dedup, lm_score, minhash, sp_bpe, toxicity
 from .common import documents, table
 
 
@@ -35,6 +35,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_lm_score": op6_lm_score,
+    "op7_toxicity": op7_toxicity,
     "op8_fertility": op8_fertility,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
