@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, fertility, hilbert, line_dedup, lm_score, minhash, sp_bpe, toxicity
+from . import bpe_count, decontam, fertility, hilbert, html_text, line_dedup, lm_score, minhash, sp_bpe, toxicity
 from .common import documents, table
 
 
@@ -35,6 +35,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_page_text": op5_page_text,
     "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
     "op8_fertility": op8_fertility,
