@@ -9,9 +9,10 @@ candidate pair goes on if that count is under the value that a pair of similarit
 exceeds with probability below 1e-6; then its two full sets are compared exactly.
 
 Candidates come in two rounds, so that no group emits all its pairs. First the members
-of a bucket meet the least and the greatest member only. Then, in buckets that still
-hold several components, the members outside the least one's component meet those of
-other components; pairs already in one component need no confirmation.
+of a bucket meet the least and the greatest member only. Then, where buckets still hold
+several components, the rows outside the largest component of their cluster ask the
+others of like size, block by block: sketches first, then the full sets, emitting
+confirmed links only. Pairs already in one component need no confirmation.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing, each its own component; a null doc_id can't name a component unless all its
@@ -38,6 +39,8 @@ MOST_BITS = 84
 NUMERATOR, DENOMINATOR = 80, 100
 #: row ids that may be broadcast (16 bytes each); more are joined by a shuffle
 BROADCAST_ROWS = 500_000
+#: rows that one block of the second round holds on either side, about
+BLOCK = 1024
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -136,14 +139,18 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough, as u, v."""
-    asked = cut(pairs)
-    nodes = asked.select(F.col("a").alias("sid")).union(asked.select("b")).distinct()
+def _texts(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """sid, text of the named sets."""
     owners = cut(nodes.join(sets.select("sid", "owner"), "sid").select("sid", F.col("owner.r1").alias("r1"), F.col("owner.r2").alias("r2")))
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
-    texts = docs.select(_row_id(1).alias("r1"), _row_id(2).alias("r2"), "text").join(owners, ["r1", "r2"]).select("sid", "text").dropDuplicates(["sid"])
+    return docs.select(_row_id(1).alias("r1"), _row_id(2).alias("r2"), "text").join(owners, ["r1", "r2"]).select("sid", "text").dropDuplicates(["sid"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b whose full sets are similar enough, as u, v."""
+    asked = cut(pairs)
+    texts = _texts(asked.select(F.col("a").alias("sid")).union(asked.select("b")).distinct(), sets, docs)
     a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
 
     @F.pandas_udf("boolean")
@@ -158,6 +165,56 @@ def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return asked.join(b, "b").join(a, "a").where(alike("ta", "tb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links of a block's asking rows (ask) to its other rows, between different
+    labels: one for each asking row and label. Sketches first, then the full sets."""
+    sets = [shingles(t) for t in block["text"]]
+    odd = odd_sketches(np.stack([samples(s) for s in sets])).view(np.uint64)
+    size = np.array([len(s) for s in sets])
+    ask, rest = np.flatnonzero(block["ask"].to_numpy()), np.flatnonzero(~block["ask"].to_numpy())
+    label = pd.factorize(block["label"])[0]
+    sid = block["sid"].tolist()
+    u, v = [], []
+    for i in ask.tolist():
+        low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+        near = rest[(label[rest] != label[i]) & (DENOMINATOR * low >= NUMERATOR * high)]
+        near = near[np.bitwise_count(odd[near] ^ odd[i]).sum(axis=1) <= MOST_BITS]
+        done = set()
+        for j in near.tolist():
+            if label[j] not in done and linked(sets[i], sets[j]):
+                done.add(label[j])
+                u.append(sid[i])
+                v.append(sid[j])
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _stray_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of a bucket that the first round left in different components.
+
+    Only buckets of over three members can have a pair that has not met. Overlapping
+    buckets form clusters; in each, the rows outside its largest component ask all rows
+    of like size, in blocks of bounded size on either side."""
+    named = crowded.where("members > 3").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    left = cut(named.join(mixed, "bucket").select("low", "sid", "label").distinct())
+    clusters = components(left.select(F.col("low").alias("u"), F.col("sid").alias("v"))).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+    # Sizes of linked sets differ by a fifth at most: by a class of this logarithm.
+    size_class = F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    nodes = cut(left.select("sid", "label").distinct().join(clusters, "sid").join(sets.select("sid", "n"), "sid").withColumn("k", size_class))
+    main = nodes.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    asking = nodes.join(main, "cluster").where("label <> main").select("sid", "label", "cluster", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    parts = lambda rows, name: rows.groupBy("cluster", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    jobs = cut(parts(asking, "x_parts").join(parts(nodes, "y_parts"), ["cluster", "k"]))
+    own = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    here = ["sid", "label", "cluster", "k"]
+    asks = asking.join(jobs, ["cluster", "k"]).select(*here, F.lit(True).alias("ask"), own("x_parts").alias("x"), every("y_parts").alias("y"))
+    others = nodes.join(jobs, ["cluster", "k"]).select(*here, F.lit(False).alias("ask"), every("x_parts").alias("x"), own("y_parts").alias("y"))
+    dealt = cut(asks.unionByName(others))
+    texts = _texts(dealt.select("sid").distinct(), sets, docs)
+    return dealt.join(texts, "sid").groupBy("cluster", "k", "x", "y").applyInPandas(lambda block: block_links(block), "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, and its r1, r2."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -174,18 +231,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(_confirm(_plausible(stars, sets), sets, docs))
     found = components(links)
 
-    # Buckets of up to three members have met all their pairs by now.
-    named = crowded.where("members > 3").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.when(F.col("sid") == F.col("low"), F.col("label"))).alias("main")).where("x <> y").select("bucket", "main")
-    left = cut(named.join(mixed, "bucket").join(sets.select("sid", "n", "odd"), "sid"))
-    ends = ("low", "high")
-    stray = left.where((F.col("label") != F.col("main")) & ~F.col("sid").isin(*map(F.col, ends))).select("bucket", F.col("sid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    other = left.where(~F.col("sid").isin(*map(F.col, ends))).select("bucket", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    fits = (F.col("la") != F.col("lb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & (_differing_bits("oa", "ob") <= MOST_BITS)
-    rest = stray.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest)
-    if not rest.isEmpty():
-        found = components(links.unionByName(_confirm(rest, sets, docs)))
+    more = cut(_stray_links(crowded, found, sets, docs))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     firsts = sets.select("sid", "first_doc")
     grouped = found.join(firsts, found["node"] == firsts["sid"]).select("sid", "label", "first_doc")
