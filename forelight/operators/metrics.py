@@ -51,11 +51,7 @@ def pit_ks(rows: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     before = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumns({"before": F.coalesce(F.sum("c").over(before), F.lit(0)), "total": F.sum("c").over(w)}).drop("c")
-    join = [r[c].eqNullSafe(bins[c]) for c in (*by, "bin")]
-    cond = join[0]
-    for j in join[1:]:
-        cond = cond & j
-    ranked = r.join(bins, cond).select(*[r[c] for c in by], r["u"], r["bin"], "before", "total")
+    ranked = r.join(bins, [*by, "bin"])
     rank = F.col("before") + F.row_number().over(Window.partitionBy(*by, "bin").orderBy("u"))
     ranked = ranked.withColumn("rank", rank)
     gap = F.greatest(F.col("rank") / F.col("total") - F.col("u"), F.col("u") - (F.col("rank") - 1) / F.col("total"))

@@ -102,6 +102,8 @@ def gbt_signal(f: DataFrame, h: int = 3, trees: int = 20) -> DataFrame:
 
     d = f.withColumn("kf", F.col("k").cast("double")).where(f"quote_ok AND k <= 12 AND d{h} IS NOT NULL").dropna(subset=list(FEATURES))
     d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d.withColumn("val_", F.col("split") == "val"))
+    if d.where("split = 'train'").isEmpty() or d.where("val_").isEmpty():
+        return d.sparkSession.createDataFrame([], "split string, n long, skill double")
     model = GBTRegressor(labelCol=f"d{h}", maxIter=trees, maxDepth=4, stepSize=0.05, validationIndicatorCol="val_", validationTol=0.001, seed=0).fit(d.where("split IN ('train', 'val')"))
     p = model.transform(d)
     return p.groupBy("split").agg(F.count("*").alias("n"), F.expr(f"1e0 - sum(power(d{h} - prediction, 2)) / sum(power(d{h}, 2))").alias("skill"))
@@ -116,6 +118,8 @@ def logit_recalibration(f: DataFrame) -> DataFrame:
     p = "greatest(1e-4, least(1e0 - 1e-4, mid_close))"
     d = f.where("quote_ok AND k <= 13 AND outcome_brti IS NOT NULL").dropna(subset=["z_old", "z_rv15", "z_rv60", "z_rv240"])
     d = d.selectExpr("*", f"ln({p} / (1e0 - {p})) AS lg", "CAST(outcome_brti AS DOUBLE) AS y")
+    if d.where("split = 'train'").select("y").distinct().count() < 2:
+        return d.sparkSession.createDataFrame([], "features string, split string, n long, bss double")
     out = None
     for name, cols in (("quote", ["lg"]), ("quote_z_old", ["lg", "z_old"]), ("quote_z_rv", ["lg", "z_rv15", "z_rv60", "z_rv240"])):
         x = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
