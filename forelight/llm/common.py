@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from forelight.session import cut, ensure_checkpoint_dir, ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir"]
+__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables"]
 
 #: bytes -> bytes with A-Z lower-cased; all other bytes stay
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -24,6 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+class Tables:
+    """Intermediate tables written to the shared folder and read back: their lineage is cut and
+    their true sizes are known to the planner. ``drop`` deletes one that is read no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top = spark, f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self._keep = [*getattr(self, "_keep", []), out]  # ids stay unique while held
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
