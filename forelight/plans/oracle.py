@@ -6,7 +6,7 @@ distributed plans by a different route. Only scalar formulas are shared with the
 
 from __future__ import annotations
 
-from ..functions.mathx import DECILES, FAN_Q_COLS, Q_COLS, clip, decile_mean, h_eff, ln_ratio, m_group, norm_cdf, persist_ref, pinball, pit, price_bucket, safe_div, safe_ln, skill, z_score
+from ..functions.mathx import DECILES, FAN_Q_COLS, Q_COLS, clip, decile_mean, h_eff, ln_ratio, m_group, norm_cdf, nudge, persist_ref, pinball, pit, price_bucket, safe_div, safe_ln, skill, z_score
 from ..operators.baselines import DQ, fair_now
 from ..operators.covariates import PAST, PRESETS, calendar_exprs
 from ..operators.metrics import _BASE, _FINAL, METRIC_COLUMNS, SOURCES, cal_bin, CAL_EDGES, EPS
@@ -20,7 +20,7 @@ def final(source: str, columns: dict[str, int | None], tail: str = "") -> str:
     out = []
     for c, places in columns.items():
         if places is not None:
-            out.append(f"CAST(round({c}, {places}) AS DOUBLE) + 0e0 AS {c}")
+            out.append(f"CAST(round({c} + {nudge(places)!r}, {places}) AS DOUBLE) + 0e0 AS {c}")
         else:
             out.append(f"CAST({c} AS INTEGER) AS {c}" if c in INTS else c)
     return f"SELECT {', '.join(out)} FROM {source} {tail}"
