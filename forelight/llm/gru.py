@@ -13,8 +13,8 @@ import heapq
 
 import numpy as np
 
-HIDDEN, EMBED = 24, 24
-WINDOW, LANES, PIECE = 16, 192, 512
+HIDDEN, EMBED = 16, 16
+WINDOW, LANES, PIECE = 16, 256, 512
 CLIP = 5.0
 
 
@@ -22,7 +22,7 @@ class Layout:
     """Symbols 0..words-1 are frequent words by falling count, 0 among them the end mark
     at ``end``; words..words+rare-1 are the classes of other words."""
 
-    def __init__(self, counts: np.ndarray, rare: int, classes: int = 32):
+    def __init__(self, counts: np.ndarray, rare: int, classes: int = 16):
         self.words, self.rare = len(counts), rare
         root = np.cumsum(np.sqrt(counts + 1.0))
         self.class_of = np.minimum((root - np.sqrt(counts + 1.0) / 2) / root[-1] * classes, classes - 1).astype(np.int32)
@@ -73,24 +73,32 @@ def run_window(p: dict, ids: np.ndarray, fresh: np.ndarray | None, h: np.ndarray
     return (out, h, trace) if keep else (out, h)
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x - max) by row, in place, and its row sums."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x.sum(axis=1)
 
 
-def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target symbol given its state (rows)."""
-    cls = layout.target[target]
-    out = _log_softmax(h @ p["Uc"] + p["bc"])[np.arange(len(h)), cls]
+def _by_class(layout: Layout, cls: np.ndarray):
+    """(class, rows, first word, last word + 1) of each frequent class with several words."""
     order = np.argsort(cls, kind="stable")
     ends = np.searchsorted(cls[order], np.arange(layout.split + 1))
     for k in range(layout.split):
-        rows = order[ends[k] : ends[k + 1]]
-        lo, hi = layout.first[k], layout.first[k + 1]
-        if len(rows) and hi - lo > 1:
-            inside = _log_softmax(h[rows] @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
-            out[rows] += inside[np.arange(len(rows)), target[rows] - lo]
-    return out
+        lo, hi = int(layout.first[k]), int(layout.first[k + 1])
+        if ends[k + 1] > ends[k] and hi - lo > 1:
+            yield order[ends[k] : ends[k + 1]], lo, hi
+
+
+def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target symbol given its state (rows)."""
+    cls = layout.target[target]
+    e, total = _exp_rows(h @ p["Uc"] + p["bc"])
+    share = e[np.arange(len(h)), cls] / total
+    for rows, lo, hi in _by_class(layout, cls):
+        e, total = _exp_rows(h[rows] @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
+        share[rows] *= e[np.arange(len(rows)), target[rows] - lo] / total
+    return np.log(np.maximum(share, 1e-37))
 
 
 def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0):
@@ -101,29 +109,26 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0):
     total = max(1.0, float(w.sum()))
     g = {k: np.zeros_like(v) for k, v in p.items()}
     cls = layout.target[y]
-    lp = _log_softmax(h @ p["Uc"] + p["bc"])
     rows_all = np.arange(len(h))
-    loss = -float((lp[rows_all, cls] * w).sum())
-    d = np.exp(lp)
+    d, sums = _exp_rows(h @ p["Uc"] + p["bc"])
+    d /= sums[:, None]
+    share = d[rows_all, cls]
     d[rows_all, cls] -= 1
     d *= (w / total)[:, None]
     g["Uc"], g["bc"] = h.T @ d, d.sum(axis=0)
     dh = d @ p["Uc"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(layout.split + 1))
-    for k in range(layout.split):
-        rows = order[ends[k] : ends[k + 1]]
-        lo, hi = layout.first[k], layout.first[k + 1]
-        if len(rows) and hi - lo > 1:
-            lw = _log_softmax(h[rows] @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
-            at = (np.arange(len(rows)), y[rows] - lo)
-            loss -= float((lw[at] * w[rows]).sum())
-            e = np.exp(lw)
-            e[at] -= 1
-            e *= (w[rows] / total)[:, None]
-            g["Uw"][lo:hi] += e.T @ h[rows]
-            g["bw"][lo:hi] += e.sum(axis=0)
-            dh[rows] += e @ p["Uw"][lo:hi]
+    for rows, lo, hi in _by_class(layout, cls):
+        hr = h[rows]
+        e, sums = _exp_rows(hr @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
+        e /= sums[:, None]
+        at = (np.arange(len(rows)), y[rows] - lo)
+        share[rows] *= e[at]
+        e[at] -= 1
+        e *= (w[rows] / total)[:, None]
+        g["Uw"][lo:hi] += e.T @ hr
+        g["bw"][lo:hi] += e.sum(axis=0)
+        dh[rows] += e @ p["Uw"][lo:hi]
+    loss = -float((np.log(np.maximum(share, 1e-37)) * w).sum())
     dh = dh.reshape(t_max, lanes, HIDDEN)
     dx = np.empty((t_max, lanes, 3 * HIDDEN), np.float32)
     carry = np.zeros((lanes, HIDDEN), np.float32)

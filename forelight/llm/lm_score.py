@@ -1,8 +1,8 @@
 """Document log-likelihood from a gated recurrent language model.
 
 Tokens are words (runs without ASCII white space, A-Z lower-cased) and one end mark a
-text. All training texts are counted. The 1023 most frequent words and the end mark are
-symbols of the recurrent model; every other word belongs to one of 32 classes by its
+text. All training texts are counted. The 511 most frequent words and the end mark are
+symbols of the recurrent model; every other word belongs to one of 16 classes by its
 last three bytes, and its probability is that of the class times its smoothed share of
 the class, (c + 0.5) / (N_k + 0.5 (V_k + 1)), where all unseen words of a class share
 one place. So the model is a distribution over the V counted words and the unseen.
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import gru
 from .common import cut, ship, split_words
 
-SYMBOLS, RARE, NEAR = 1024, 32, 1 << 18
+SYMBOLS, RARE, NEAR = 512, 16, 1 << 18
 END = "\n"  # no word can hold it
 ROUNDS = ((0, 1, 0.012), (1, 3, 0.008), (3, 8, 0.004))  # eighths of the texts, by hash; learning rate
 CHUNK, SPREAD = 1 << 14, 64
