@@ -22,6 +22,7 @@ all weights stay as initialised and every word is unseen.
 from __future__ import annotations
 
 import itertools
+import uuid
 import zlib
 from collections import Counter
 
@@ -78,7 +79,7 @@ class Vocabulary:
         self.end = spec["end"]
         words.insert(self.end, END.encode())
         self.rank = {w: i for i, w in enumerate(words)}
-        self.n_symbols = min(SYMBOLS, len(words))
+        self.n_symbols = min(spec["symbols"], len(words))
         self.layout = gru.Layout(self.counts[: self.n_symbols].astype(np.float64), RARE)
         symbol = np.arange(len(words), dtype=np.int32)
         for w in words[self.n_symbols :]:
@@ -130,7 +131,7 @@ def gather(docs: DataFrame) -> tuple[dict, DataFrame]:
         class_n[rare_class(w.encode())] -= c
         class_v[rare_class(w.encode())] -= 1
     spec = {
-        "key": f"{spark.sparkContext.applicationId}:{id(near)}:{ends}", "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
+        "key": uuid.uuid4().hex, "symbols": SYMBOLS, "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
         "n": int(sum(a for a, _ in sums.values())) + ends, "v": int(sum(b for _, b in sums.values())) + (ends > 0),
     }
     return spec, counts

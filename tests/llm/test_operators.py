@@ -300,7 +300,7 @@ def test_language_model(spark):
 
     def text():
         w = [rng.choice(WORDS[:50])]
-        for _ in range(rng.randint(20, 60)):
+        for _ in range(rng.randint(200, 400)):
             w.append(rng.choice(follow[w[-1]]))
         return " ".join(w) + (f" rare{rng.randint(0, 400)}" if rng.random() < 0.5 else "")
 
