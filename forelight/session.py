@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import zipfile
 
@@ -19,21 +18,15 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    top = tempfile.mkdtemp(prefix="forelight")
-    try:
-        path = os.path.join(top, "forelight_src.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for folder, _, names in sorted(os.walk(root)):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.join("forelight", os.path.relpath(full, root)))
-        spark.sparkContext.addPyFile(path)
-    finally:
-        # addPyFile copies the archive into the application's own file store only
-        # on a cluster; in local mode the file is read in place.
-        if not spark.sparkContext.master.startswith("local"):
-            pass
+    # The archive stays: in local mode workers read it in place, on a cluster Spark serves it.
+    path = os.path.join(tempfile.mkdtemp(prefix="forelight"), "forelight_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("forelight", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
 
 
