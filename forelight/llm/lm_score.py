@@ -120,7 +120,16 @@ def gather(docs: DataFrame) -> tuple[dict, DataFrame]:
     ends = taught.select("doc_id").count()
     klass = (F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % RARE).cast("int")
     sums = {r["k"]: (r["n"], r["v"]) for r in counts.groupBy(klass.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    near = counts.orderBy(F.desc("n"), "word").limit(NEAR).toPandas()
+    # The near words: those above a count that at most NEAR words reach. The count is read from
+    # a histogram of sixteenths of an octave, so no task sends its own list of top words.
+    octave = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    least, room = 1 << 20, NEAR
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["o"]):
+        room -= r["c"]
+        if room < 0:
+            break
+        least = r["o"]
+    near = counts.where(octave >= least).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
     words, n = near["word"].tolist(), near["n"].to_numpy(np.int64)
     end = int(np.searchsorted(-n, -ends))  # the end mark has its place by count
     end = min(end, SYMBOLS - 1)
