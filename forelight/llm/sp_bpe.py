@@ -31,9 +31,9 @@ from .common import sha256_hex, ship
 
 SPACE = "▁"
 #: runs in a worker's cache, pairs in its compatibility table
-CACHE, PAIRS = 500_000, 1_000_000
+CACHE, PAIRS = 150_000, 400_000
 #: characters of text encoded together; runs longer than LONG go through the automaton alone
-GROUP_CHARS, LONG = 4_000_000, 128
+GROUP_CHARS, LONG = 1_500_000, 128
 ROOT = 1 << 20
 
 
@@ -150,7 +150,7 @@ class PieceModel:
         # a piece that merges cannot reach never appears in an encoding
         self.automaton = Automaton({p: i for p, i in ids.items() if self.merge(p) == [p]})
         self.size = np.array([len(p) for p in self.pieces], np.int32)
-        self.fits = IntTable(22)
+        self.fits = IntTable(21)
         self.cache: dict[str, bytes] = {}
         self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -190,7 +190,7 @@ class PieceModel:
             else:
                 on = np.flatnonzero(found < 0)
                 found[on] = told[np.searchsorted(new, keys[on])]
-                self.fits = IntTable(22)
+                self.fits = IntTable(21)
         return found > 0
 
     def _side_by_side(self, runs: list[str]) -> list[list[int]]:
