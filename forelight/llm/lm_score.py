@@ -1,8 +1,9 @@
 """Document log-likelihood from a gated recurrent language model.
 
 Tokens are words (runs without ASCII white space, A-Z lower-cased) and one end mark a
-text. All training texts are counted. The 511 most frequent words and the end mark are
-symbols of the recurrent model; every other word belongs to one of 16 classes by its
+text. All training texts are counted. The most frequent words and the end mark are
+symbols of the recurrent model, 1024 or twice the square root of the number of distinct
+words where that is more; every other word belongs to one of 32 classes by its
 last three bytes, and its probability is that of the class times its smoothed share of
 the class, (c + 0.5) / (N_k + 0.5 (V_k + 1)), where all unseen words of a class share
 one place. So the model is a distribution over the V counted words and the unseen.
@@ -22,6 +23,7 @@ all weights stay as initialised and every word is unseen.
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import gru
 from .common import cut, ship, split_words
 
-SYMBOLS, RARE, NEAR = 512, 16, 1 << 18
+SYMBOLS, RARE, NEAR = 1024, 32, 1 << 18
 END = "\n"  # no word can hold it
 ROUNDS = ((0, 1, 0.012), (1, 3, 0.008), (3, 8, 0.004))  # eighths of the texts, by hash; learning rate
 CHUNK, SPREAD = 1 << 14, 64
@@ -46,6 +48,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_MODULUS == HOLD, F.lit(False))
 
 
+def symbols_of(distinct: int) -> int:
+    """Symbols of the model for so many distinct words: they grow with the vocabulary."""
+    return min(NEAR, max(SYMBOLS, 2 * math.isqrt(distinct)))
+
+
 def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % RARE
 
@@ -80,7 +87,7 @@ class Vocabulary:
         words.insert(self.end, END.encode())
         self.rank = {w: i for i, w in enumerate(words)}
         self.n_symbols = min(spec["symbols"], len(words))
-        self.layout = gru.Layout(self.counts[: self.n_symbols].astype(np.float64), RARE)
+        self.layout = gru.Layout(self.counts[: self.n_symbols].astype(np.float64), RARE, max(32, math.isqrt(spec["symbols"])))
         symbol = np.arange(len(words), dtype=np.int32)
         for w in words[self.n_symbols :]:
             symbol[self.rank[w]] = self.n_symbols + rare_class(w)
@@ -132,15 +139,16 @@ def gather(docs: DataFrame) -> tuple[dict, DataFrame]:
     near = counts.where(octave >= least).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
     words, n = near["word"].tolist(), near["n"].to_numpy(np.int64)
     end = int(np.searchsorted(-n, -ends))  # the end mark has its place by count
-    end = min(end, SYMBOLS - 1)
+    symbols = symbols_of(sum(b for _, b in sums.values()))
+    end = min(end, symbols - 1)
     class_n, class_v = np.zeros(RARE), np.zeros(RARE)
     for k, (a, b) in sums.items():
         class_n[k], class_v[k] = a, b
-    for w, c in zip(words[: SYMBOLS - 1], n.tolist(), strict=False):
+    for w, c in zip(words[: symbols - 1], n.tolist(), strict=False):
         class_n[rare_class(w.encode())] -= c
         class_v[rare_class(w.encode())] -= 1
     spec = {
-        "key": uuid.uuid4().hex, "symbols": SYMBOLS, "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
+        "key": uuid.uuid4().hex, "symbols": symbols, "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
         "n": int(sum(a for a, _ in sums.values())) + ends, "v": int(sum(b for _, b in sums.values())) + (ends > 0),
     }
     return spec, counts

@@ -322,6 +322,30 @@ def test_language_model(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
 
+def test_language_model_of_short_texts(spark):
+    """The model learns from texts of 20 to 60 words too."""
+    rng = random.Random(6)
+    follow = {w: rng.sample(WORDS[:50], 2) for w in WORDS[:50]}
+
+    def text():
+        w = [rng.choice(WORDS[:50])]
+        for _ in range(rng.randint(20, 60)):
+            w.append(rng.choice(follow[w[-1]]))
+        return " ".join(w) + (f" rare{rng.randint(0, 400)}" if rng.random() < 0.5 else "")
+
+    some = [r for r in lm_score.score_documents(make(spark, [(k, text()) for k in range(400)])).collect() if r["held_out"] and r["doc_id"] < 400]
+    assert sum(r["score"] for r in some) > sum(r["base_score"] for r in some)
+
+
+def test_size_of_the_language_model():
+    """The symbols in context, their classes and the units are not cut, and grow with the words."""
+    from forelight.llm import gru
+
+    assert gru.HIDDEN >= 24 and gru.EMBED >= 24 and lm_score.RARE >= 32
+    assert lm_score.symbols_of(100) == 1024 and lm_score.symbols_of(404_216) == 1270 and lm_score.symbols_of(100_000_000) == 20_000
+    assert gru.Layout(1e6 / np.arange(1, 1025), lm_score.RARE).split > 16
+
+
 def test_far_words_are_joined(spark, monkeypatch):
     """With a short near list most words go through the join, to the same base score."""
     rng = random.Random(8)
