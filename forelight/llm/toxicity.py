@@ -2,9 +2,11 @@
 
 A text's terms are its distinct words (runs of letters and digits, A-Z lower-cased)
 and the beginnings of its longer words, hashed to 2**18 buckets. Over a bounded sample
-of labelled rows the buckets that separate the classes most clearly become features;
-the machine learns a weight and a vector for each, so that pairs of terms count beyond
-their sum. Weights are fitted by Adam in numpy in one executor task.
+of labelled rows the machine learns a weight and a vector for every bucket that occurs,
+so that pairs of terms count beyond their sum, also of terms that say little alone.
+No bucket is screened: penalties, fitted along with all others, keep the weights of those
+without evidence at or near zero. Weights are fitted by sparse Adagrad steps in numpy in
+one executor task.
 
 Only rows with crc32(doc_id as text) mod 3 other than 1 are learnt from.
 
@@ -26,14 +28,16 @@ from .common import ship
 from .decontam import normalise
 
 BUCKET_BITS = 18
-#: documented bounds: labelled rows to learn from, features, length of their vectors
-MAX_ROWS, FEATURES, FACTORS = 20_000, 2048, 8
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.01, 3e-4
+#: documented bounds: labelled rows to learn from, length of the buckets' vectors
+MAX_ROWS, FACTORS = 20_000, 8
+EPOCHS, BATCH, RATE, RATE_V, ALONE = 30, 256, 0.3, 0.01, 10  # vectors move after ALONE epochs
 PREFIX = 4
-#: standard errors by which a bucket must separate the classes
-CLEAR = 3.5
-#: and the log odds it must reach: words that merely come with long texts stay out
-ODDS = 1.5
+#: a weight's penalty, in standard errors of its gradient were the bucket unrelated to the labels;
+#: it grows with the square of DOUBT at most, where the bucket alone has less than CLEAR standard
+#: errors or less than ODDS log odds (words that merely come with long texts), and excludes none
+SPARSE, DOUBT, CLEAR, ODDS = 0.3, 4.0, 3.5, 1.5
+#: penalties on half the squares of vectors, by that standard error and by its square
+DECAY, DECAY_OFTEN = 10.0, 0.3
 THRESHOLD = 0.7
 HOLD_MODULUS, HOLD = 3, 1
 
@@ -52,65 +56,95 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_MODULUS == HOLD, F.lit(False))
 
 
-def forward(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = x @ v
-    return w0 + x @ w + 0.5 * (s * s - (x * x) @ (v * v)).sum(axis=1), s
+def _row_sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of x over runs of its rows; an empty run gives 0."""
+    out = np.zeros((len(sizes), *x.shape[1:]), x.dtype)
+    full = sizes > 0
+    if full.any():
+        out[full] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[full], axis=0)
+    return out
+
+
+def forward(cols: np.ndarray, sizes: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of rows whose features are the next sizes[i] of cols, and their sums of vectors."""
+    some = v[cols]
+    s = _row_sums(some, sizes)
+    each = w[cols] - 0.5 * np.einsum("ij,ij->i", some, some)
+    return w0 + _row_sums(each, sizes) + 0.5 * (s * s).sum(axis=1), s
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> dict:
-    """Chosen buckets and the machine's weights."""
+    """All buckets that occur and the machine's weights."""
     y = labels.astype(np.float32)
     share = float(y.mean()) if len(y) else 0.0
     out = {"buckets": np.empty(0, np.int32), "w0": 0.0, "w": np.empty(0, np.float32), "v": np.empty((0, FACTORS), np.float32), "share": share}
-    if not 0 < share < 1:
-        return out
-    size = 1 << BUCKET_BITS
-    count = lambda which: np.bincount(np.concatenate([rows[i] for i in which] or [np.empty(0, np.int32)]), minlength=size)
-    pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
-    a, b = count(pos), count(neg)
-    odds = np.log((a + 0.5) / (len(pos) - a + 0.5)) - np.log((b + 0.5) / (len(neg) - b + 0.5))
-    error = np.sqrt(1 / (a + 0.5) + 1 / (len(pos) - a + 0.5) + 1 / (b + 0.5) + 1 / (len(neg) - b + 0.5))
-    clear = np.where((a + b >= 3) & (np.abs(odds) >= ODDS), np.abs(odds) / error, 0)
-    best = np.argsort(-clear, kind="stable")[:FEATURES]
-    best = np.sort(best[clear[best] > CLEAR]).astype(np.int32)
-    if not len(best):
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    if not 0 < share < 1 or not sizes.sum():
         return out
-    x = np.zeros((len(rows), len(best)), np.uint8)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(best, r)
-        at[at == len(best)] = 0
-        x[i, at[best[at] == r]] = 1
+    seen = np.zeros(1 << BUCKET_BITS, bool)
+    for r in rows:
+        seen[r] = True
+    buckets = np.flatnonzero(seen).astype(np.int32)
+    place = np.cumsum(seen, dtype=np.int32) - 1
     rng = np.random.default_rng(7)
-    p = {"w0": np.zeros(1, np.float32), "w": np.zeros(len(best), np.float32), "v": rng.normal(0, 0.02, (len(best), FACTORS)).astype(np.float32)}
-    m, q, t = {k: np.zeros_like(z) for k, z in p.items()}, {k: np.zeros_like(z) for k, z in p.items()}, 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), BATCH):
-            some = order[k : k + BATCH]
-            xb = x[some].astype(np.float32)
-            score, s = forward(xb, p["w0"][0], p["w"], p["v"])
-            g = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[some]) / len(some)
-            grads = {"w0": g.sum(keepdims=True), "w": xb.T @ g + DECAY * p["w"], "v": xb.T @ (g[:, None] * s) - p["v"] * ((xb * xb).T @ g)[:, None] + DECAY * p["v"]}
-            t += 1
-            for n, z in p.items():
-                m[n] = 0.9 * m[n] + 0.1 * grads[n]
-                q[n] = 0.999 * q[n] + 0.001 * grads[n] ** 2
-                z -= RATE * (m[n] / (1 - 0.9**t)) / (np.sqrt(q[n] / (1 - 0.999**t)) + 1e-8)
-    return out | {"buckets": best, "w0": float(p["w0"][0]), "w": p["w"], "v": p["v"]}
+    order = rng.permutation(len(rows))
+    parts, often = [], np.zeros(len(buckets), np.float32)
+    for k in range(0, len(order), BATCH):
+        some = order[k : k + BATCH]
+        cols = place[np.concatenate([rows[i] for i in some])]
+        by = np.argsort(cols, kind="stable").astype(np.int32)
+        first = np.flatnonzero(np.r_[True, np.diff(cols[by]) != 0][: len(cols)]).astype(np.int32)
+        touched = cols[by][first]
+        often[touched] += 1
+        parts.append((cols, sizes[some], y[some], np.repeat(np.arange(len(some), dtype=np.int16), sizes[some])[by], first, touched))
+    w0, w, v = np.float32(np.log(share / (1 - share))), np.zeros(len(buckets), np.float32), rng.normal(0, 0.02, (len(buckets), FACTORS)).astype(np.float32)
+    a, b = np.zeros(len(buckets), np.int32), np.zeros(len(buckets), np.int32)
+    for r, t in zip(rows, y, strict=True):
+        (a if t > 0 else b)[place[r]] += 1
+    pos, neg = y.sum(), len(y) - y.sum()
+    odds = np.abs(np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))) + 1e-6
+    error = np.sqrt(1 / (a + 0.5) + 1 / (pos - a + 0.5) + 1 / (b + 0.5) + 1 / (neg - b + 0.5))
+    doubt = np.minimum(DOUBT, np.maximum(1, CLEAR * error / odds) * np.maximum(1, ODDS / odds))
+    chance = np.sqrt((a + b) * share * (1 - share))
+    # each batch that holds a bucket takes its part of the penalties
+    sparse = (SPARSE * chance * doubt**2 / often).astype(np.float32)
+    decay = ((DECAY * chance + DECAY_OFTEN * chance**2) / often).astype(np.float32)
+    # Sums of squared gradients start at 1: a bucket of few rows takes small steps.
+    q0, qw, qv = np.float32(1), np.ones_like(w), np.ones_like(v)
+    for epoch in range(EPOCHS):
+        for k in rng.permutation(len(parts)):
+            cols, n, truth, row, first, touched = parts[k]
+            score, s = forward(cols, n, w0, w, v)
+            g = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - truth).astype(np.float32)
+            q0 += g.sum() ** 2
+            w0 -= RATE * g.sum() / np.sqrt(q0)
+            if not len(touched):
+                continue
+            sums = np.add.reduceat(np.column_stack([g, g[:, None] * s])[row], first, axis=0)
+            qw[touched] += sums[:, 0] ** 2
+            pace = RATE / np.sqrt(qw[touched])
+            new = w[touched] - pace * sums[:, 0]
+            w[touched] = np.sign(new) * np.maximum(np.abs(new) - pace * sparse[touched], 0)
+            if epoch < ALONE:
+                continue
+            held = v[touched]
+            dv = sums[:, 1:] - held * sums[:, :1]
+            qv[touched] += dv * dv
+            pace = RATE_V / np.sqrt(qv[touched])
+            v[touched] = (held - pace * dv) / (1 + pace * decay[touched][:, None])
+    return out | {"buckets": buckets, "w0": float(w0), "w": w, "v": v}
 
 
 def score_rows(rows: list[np.ndarray], model: dict) -> np.ndarray:
     best = model["buckets"]
     if not len(best):
         return np.full(len(rows), model["share"])
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
+    place[best] = np.arange(len(best), dtype=np.int32)
     out = np.empty(len(rows))
-    for k in range(0, len(rows), 512):
-        x = np.zeros((len(rows[k : k + 512]), len(best)), np.float32)
-        for i, r in enumerate(rows[k : k + 512]):
-            at = np.searchsorted(best, r)
-            at[at == len(best)] = 0
-            x[i, at[best[at] == r]] = 1
-        out[k : k + 512] = forward(x, model["w0"], model["w"], model["v"])[0]
+    for k in range(0, len(rows), 128):
+        known = [c[c >= 0] for c in (place[r] for r in rows[k : k + 128])]
+        out[k : k + 128] = forward(np.concatenate(known), np.fromiter(map(len, known), np.int64, len(known)), model["w0"], model["w"], model["v"])[0]
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 

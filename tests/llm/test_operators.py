@@ -437,6 +437,27 @@ def test_pairs_of_terms_count():
     assert ((toxicity.score_rows(rows[2000:], m) > 0.5) == y[2000:]).mean() > 0.99
 
 
+def test_pairs_among_many_group_terms_count():
+    """Toxic is a group term with an insult; no term alone has log odds of 1.5."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(4000):
+        group, insult = (rng.random(2) < 0.5).tolist()
+        some = [*(100 + rng.choice(2000, 20, replace=False)), *[10 + rng.integers(12)] * group, *[30 + rng.integers(12)] * insult]
+        rows.append(np.unique(some).astype(np.int32))
+        y.append(int(group and insult))
+    y = np.array(y)
+    has = np.array([[t in r for t in (*range(10, 22), *range(30, 42))] for r in rows[:3000]])
+    a, b = has[y[:3000] > 0].mean(axis=0), has[y[:3000] == 0].mean(axis=0)
+    assert (np.abs(np.log(a / (1 - a)) - np.log(b / (1 - b))) < 1.5).all()
+    m = toxicity.fit(rows[:3000], y[:3000])
+    assert ((toxicity.score_rows(rows[3000:], m) > 0.5) == y[3000:]).mean() > 0.97
+    empty_rows = [np.empty(0, np.int32), np.array([77_777], np.int32)]
+    assert np.ptp(toxicity.score_rows(empty_rows, m)) == 0 and toxicity.fit(empty_rows[:1] * 4, np.array([0, 1, 0, 1]))["share"] == 0.5
+
+
+
+
 # ---- 8 ----------------------------------------------------------------------------------------
 def brute_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
