@@ -9,7 +9,8 @@ generated pages whose labels are known: a fixed number of layouts with menus, he
 footers, side columns, notices, adverts, forms and reader comments around an article,
 with random words.
 
-Comments, scripts, styles and the head never make blocks. Character references are
+Comments, scripts, styles, titles, frames, templates, drawings and form fields never make blocks;
+the head holds nothing else, so it may lack its end tag. Character references are
 decoded, white space inside a block becomes one space, and article blocks are joined by
 one line end in page order.
 
@@ -34,10 +35,15 @@ from .common import ship
 # Elements of HTML by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = "script|style|head|template|noscript|svg|math|iframe|object|canvas|select|textarea"
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts semantics annotation".split())
+RAW = "script|style|iframe|textarea"  # as in browsers, without an end tag they reach to the end of the page
+SKIPPED = "title|template|svg|canvas|select"  # without an end tag only the tag itself is skipped
+IGNORED = set(f"{RAW}|{SKIPPED}|head".split("|"))
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|$)|<!?[/a-zA-Z?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|$)|<(svg)(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|$)|<({SKIPPED})(?=[\s/>])[^>]*>.*?</\3\s*>|<!?[/a-zA-Z?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I
+)
 _NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -68,12 +74,16 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             linked += (m.start() - at) * bool(inside_link)
         at = m.end()
         tag = m.group()
-        if tag.startswith("<!") or tag.startswith("<?") or m.group(1):
+        if tag.startswith("<!") or tag.startswith("<?") or m.lastindex:
             continue
         name = _NAME.match(tag)
         if not name:
             continue
         name = name.group(1).lower()
+        if name in IGNORED:
+            if name == "head":
+                close()
+            continue
         if name in INLINE:
             if name == "br":
                 parts.append(" ")

@@ -293,6 +293,22 @@ def test_page_text(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>no <b></title><meta charset=x><script>'<div>no'</script><body><p>One.</p><p>Two.</p>",
+        "<html><head><title>no</title><p>One.</p><p>Two.</p></html>",
+        "<head></head><p>One.<svg width=1 /></p><p>Two.</p>",
+        "<p>One.<svg><path d=x /></svg></p><svg><p>Two.</p>",
+        "<head-line><p>One.</p></head-line><style-guide>Two.</style-guide>",
+        "<noscript><p>One.</p></noscript><object><p>Two.</p></object>",
+        "<select><option>no</option></select><p>One<math><mi>.</mi></math></p><math/><p>Two.</p><script>no",
+    ],
+)
+def test_skipped_elements_take_nothing_else(page):
+    assert [text for _, text, _ in html_text.blocks(page)] == ["One.", "Two."]
+
+
 # ---- 6 ----------------------------------------------------------------------------------------
 def test_language_model(spark):
     rng = random.Random(6)
