@@ -1,10 +1,16 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Words are runs of ``[0-9a-z]`` and of characters beyond ASCII, after A-Z are
-lower-cased. The automaton holds every window of 13 consecutive words of a
-benchmark text (a shorter text is one window), written as ``" w1 w2 ... "``; a
-document is normalised the same way and scanned once, and each match is mapped
-back to word numbers and to offsets in the original text.
+lower-cased. A window is 13 consecutive words of a benchmark text, or a whole shorter
+text. Every window of 13 holds one of the pieces of 7 words that begin at the 0th, 7th,
+14th ... word, so the automaton holds these pieces (and the shorter texts), written as
+``" w1 w2 ... "``: about the size of the benchmark, not 13 times as much. A document is
+normalised the same way and scanned once; around each piece that occurs, up to 6 words on
+either side are compared, and 13 or more alike are a hit. Hits are word numbers, mapped
+back to offsets in the original text.
+
+A benchmark over ``BLOCK_CHARS`` is taken in parts by a hash of its rows, one pass over
+the documents for each part; what a pass found is written down before the next one.
 
 Defined results: null and empty texts have no words (0 hits, not contaminated);
 null benchmark texts have no windows; a benchmark row without ``item_id`` marks
@@ -15,18 +21,20 @@ repeated documents each get their own row; an empty benchmark hits nothing.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_LOWER, sha256_hex, ship
+from .common import ASCII_LOWER, cut, sha256_hex, ship, trim
 
-WINDOW = 13
-#: characters of window text in one automaton; a larger benchmark is scanned in blocks
+WINDOW, PIECE = 13, 7
+#: characters of benchmark text in one automaton (32 bytes of memory each, about)
 BLOCK_CHARS = 4_000_000
-#: bytes of benchmark text that may be gathered at the driver
-MAX_BENCHMARK_BYTES = 512_000_000
+#: contexts of one piece that are compared one by one; more are looked up by the words next to it
+FEW = 16
 
 _RUN = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_SPACE = bytes(b if _RUN.fullmatch(bytes([b])) else 32 for b in ASCII_LOWER)
@@ -44,142 +52,221 @@ def normalise(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
-def windows(text: str | None) -> list[str]:
-    words = normalise(text)
-    if not words:
-        return []
-    runs = [words[i : i + WINDOW] for i in range(max(1, len(words) - WINDOW + 1))]
-    return [(b" " + b" ".join(run) + b" ").decode("latin-1") for run in runs]
-
-
-def blocks_of(items: list[tuple[str | None, str | None]], block_chars: int = BLOCK_CHARS) -> list[list[tuple[str, tuple]]]:
-    """The distinct windows with the ids of their items, in blocks of bounded size."""
-    owners: dict[str, set] = {}
-    for item, text in items:
-        for w in windows(text):
-            owners.setdefault(w, set()).update(() if item is None else (item,))
-    out, size = [[]], 0
-    for w, ids in owners.items():
-        if size and size + len(w) > block_chars:
-            out, size = [*out, []], 0
-        out[-1].append((w, tuple(ids)))
-        size += len(w)
-    return out
-
-
-def automaton(block: list[tuple[str, tuple]]):
-    a = ahocorasick.Automaton()
-    for w, ids in block:
-        a.add_word(w, (w.count(" ") - 1, ids))
-    if len(a):
-        a.make_automaton()
-    return a
-
-
-def scan(words: list[bytes], norm: str, automata) -> tuple[list[tuple[int, int]], set]:
-    """Merged word intervals [first, stop) inside any match, and the items that match."""
-    found, items = [], set()
-    for a in automata:
-        if len(a):
-            for end, (n, ids) in a.iter(norm):
-                found.append((end, n))
-                items.update(ids)
-    merged: list[list[int]] = []
-    if found:
-        # A match ends at the space after its last word; count spaces once, left to right.
+class Pieces:
+    """The automaton of a part of the benchmark, given as (item, text)."""
+
+    def __init__(self, rows: list[tuple[str | None, str | None]]):
+        short: dict[str, set] = {}
+        long: dict[str, dict] = {}
+        for item, text in rows:
+            words, ids = normalise(text), () if item is None else (item,)
+            if 0 < len(words) < WINDOW:
+                short.setdefault(_key(words), set()).update(ids)
+                continue
+            for at in range(0, len(words) - PIECE + 1, PIECE):
+                context = tuple(words[max(0, at - WINDOW + PIECE) : at][::-1]), tuple(words[at + PIECE : at + WINDOW])
+                long.setdefault(_key(words[at : at + PIECE]), {}).setdefault(context, set()).update(ids)
+        self.automaton = ahocorasick.Automaton()
+        for key in short.keys() | long.keys():
+            self.automaton.add_word(key, (key.count(" ") - 1, short.get(key), self._by_neighbour(list(long.get(key, {}).items()))))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def _by_neighbour(contexts: list) -> tuple[list, dict, dict]:
+        if len(contexts) <= FEW:
+            return contexts, {}, {}
+        before: dict[bytes, list] = {}
+        after: dict[bytes, list] = {}
+        for x in contexts:
+            (left, right), _ = x
+            if left:
+                before.setdefault(left[0], []).append(x)
+            if right:
+                after.setdefault(right[0], []).append(x)
+        return [], before, after
+
+    def scan(self, words: list[bytes], norm: str) -> tuple[list[tuple[int, int]], set]:
+        """Word intervals [first, stop) inside hits, and the items hit."""
+        spans, items = [], set()
+        if not len(self.automaton):
+            return spans, items
         at = seen = 0
-        spans = []
-        for end, n in sorted(found):
+        # A match ends at the space after its last word; spaces are counted once, left to right.
+        for end, (n, ids, (contexts, before, after)) in self.automaton.iter(norm):
             seen += norm.count(" ", at, end + 1)
             at = end + 1
-            spans.append((seen - 1 - n, seen - 1))
-        for first, stop in sorted(spans):
-            if merged and first <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], stop)
-            else:
-                merged.append([first, stop])
-    return [tuple(x) for x in merged], items
+            first, stop = seen - 1 - n, seen - 1
+            if ids is not None:
+                spans.append((first, stop))
+                items |= ids
+            if before or after:  # 13 words hold a neighbour on one side at least
+                contexts = [*(before.get(words[first - 1], ()) if first else ()), *(after.get(words[stop], ()) if stop < len(words) else ())]
+            for (left, right), own in contexts:
+                a, b = first, stop
+                for w in left:
+                    if a == 0 or words[a - 1] != w:
+                        break
+                    a -= 1
+                for w in right:
+                    if b == len(words) or words[b] != w:
+                        break
+                    b += 1
+                if b - a >= WINDOW:
+                    spans.append((a, b))
+                    items |= own
+        return spans, items
+
+
+def _key(words: list[bytes]) -> str:
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
+
+
+def merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for first, stop in sorted(map(tuple, spans)):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([first, stop])
+    return out
 
 
-def original_spans(text: str, merged) -> list[dict]:
+def original_spans(text: str, spans) -> list[dict]:
     """Word intervals as [start, stop) code points of the original text."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _RUN.finditer(raw.translate(ASCII_LOWER))]
-    chars = lambda upto: len(raw[:upto].decode("utf-8", "surrogatepass"))
-    return [{"start": chars(at[a][0]), "stop": chars(at[b - 1][1])} for a, b in merged]
+    out, byte, chars = [], 0, 0
+    for a, b in spans:
+        ends = []
+        for upto in (at[a][0], at[b - 1][1]):
+            chars += len(raw[byte:upto].decode("utf-8", "surrogatepass"))
+            byte = upto
+            ends.append(chars)
+        out.append({"start": ends[0], "stop": ends[1]})
+    return out
 
 
-def judge(text: str | None, automata) -> tuple:
+def scanned(text: str | None, pieces) -> tuple[list, set]:
     words = normalise(text)
     if not words:
-        return 0, 0, 0, EMPTY_SHA, False, [], []
-    norm = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    merged, items = scan(words, norm, automata)
-    if not merged:
-        return len(words), 0, 0, EMPTY_SHA, False, [], []
-    hit, ids = sum(b - a for a, b in merged), sorted(items)
-    return len(words), hit, len(ids), sha256_hex(",".join(ids).encode()), 20 * hit >= len(words), ids, original_spans(text, merged)
+        return [], set()
+    norm, spans, items = _key(words), [], set()
+    for p in pieces:
+        more, ids = p.scan(words, norm)
+        spans += more
+        items |= ids
+    return merged(spans), items
+
+
+def judge(text: str | None, spans, items) -> tuple:
+    n, hit, ids = len(normalise(text)), sum(b - a for a, b in spans), sorted(items)
+    return n, hit, len(ids), sha256_hex(",".join(ids).encode()) if ids else EMPTY_SHA, hit > 0 and 20 * hit >= n, ids, original_spans(text, spans) if spans else []
 
 
 _BUILT: dict = {}
 
 
-def _automata(shared: list):
-    """One block: built once per worker. Several: one at a time, so memory stays that of one."""
-    if len(shared) == 1:
-        key = shared[0].value["key"]
-        if _BUILT.get("key") != key:
-            _BUILT.update(key=key, automata=[automaton(shared[0].value["block"])])
-        return _BUILT["automata"]
-    return (automaton(b.value["block"]) for b in shared)
+def _pieces(shared) -> Pieces:
+    """Built once per worker; the key names this one broadcast, whatever its address."""
+    if _BUILT.get("key") != shared.value["key"]:
+        _BUILT.clear()
+        _BUILT.update(key=shared.value["key"], pieces=Pieces(shared.value["rows"]))
+    return _BUILT["pieces"]
+
+
+def _told(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
+
+
+def _share(spark, rows):
+    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "rows": [tuple(r) for r in rows]})
+
+
+COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+
+
+def _judged(text: Column, shared: list) -> Column:
+    @F.pandas_udf(RESULT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            texts = [t if isinstance(t, str) else None for t in texts]
+            if len(shared) == 1:
+                p = [_pieces(shared[0])]
+                rows = [judge(t, *scanned(t, p)) for t in texts]
+            else:  # one part after another, so memory stays that of one
+                found = [([], set()) for _ in texts]
+                for part in shared:
+                    p = [Pieces(part.value["rows"])]
+                    for (spans, items), t in zip(found, texts, strict=True):
+                        more, ids = scanned(t, p)
+                        spans += more
+                        items |= ids
+                rows = [judge(t, merged(spans), items) for t, (spans, items) in zip(texts, found, strict=True)]
+            yield pd.DataFrame(rows, columns=COLUMNS)
+        trim()
+
+    return run(text)
 
 
 def contamination(benchmark: DataFrame, text: Column, block_chars: int = BLOCK_CHARS) -> Column:
-    """A struct column (see RESULT) that judges ``text`` against the whole benchmark."""
+    """A struct column (see RESULT) that judges ``text`` against the whole benchmark, which the
+    driver gathers: for benchmarks of a few parts. ``judged`` takes any."""
     spark = benchmark.sparkSession
     ship(spark)
-    b = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    size = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; pass it in parts of {MAX_BENCHMARK_BYTES} and unite the results")
-    blocks = blocks_of([tuple(r) for r in b.collect()], block_chars)
-    shared = [spark.sparkContext.broadcast({"key": (spark.sparkContext.applicationId, id(blocks), k, len(x)), "block": x}) for k, x in enumerate(blocks)]
+    parts, size = [[]], 0
+    for r in _told(benchmark).collect():
+        if size and size + len(r["t"]) > block_chars:
+            parts, size = [*parts, []], 0
+        parts[-1].append(r)
+        size += len(r["t"])
+    return _judged(text, [_share(spark, p) for p in parts])
+
+
+STATE = "struct<spans: array<struct<a: int, b: int>>, items: array<string>>"
+
+
+def _adder(shared):
+    @F.pandas_udf(STATE)
+    def add(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for texts, state in batches:
+            p, out = [_pieces(shared)], []
+            for t, spans, items in zip(texts, state["spans"], state["items"], strict=True):
+                more, ids = scanned(t if isinstance(t, str) else None, p)
+                have = [] if spans is None else [(x["a"], x["b"]) for x in spans]
+                out.append(([{"a": a, "b": b} for a, b in merged([*have, *more])], sorted(ids.union([] if items is None else items))))
+            yield pd.DataFrame(out, columns=["spans", "items"])
+        trim()
+
+    return add
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with a column ``judged__`` (see RESULT). One automaton at a time, whatever the
+    benchmark's size: a part that is too large for one is a pass of its own, whose word intervals
+    and items are checkpointed beside the rows."""
+    spark = benchmark.sparkSession
+    told = _told(benchmark)
+    size = told.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    if size <= block_chars:
+        return docs.withColumn("judged__", contamination(benchmark, F.col("text"), block_chars))
+    ship(spark)
+    parts = 2 * -(-size // block_chars)  # twice as many: a hash deals unevenly
+    rows = docs.withColumn("state__", F.lit(None).cast(STATE))
+    told = cut(told.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))))
+    for k in range(parts):
+        shared = _share(spark, told.where(F.col("part") == k).select("i", "t").collect())
+
+        rows = cut(rows.withColumn("state__", _adder(shared)("text", "state__")))
 
     @F.pandas_udf(RESULT)
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        texts = [t if isinstance(t, str) else None for t in texts]
-        automata = _automata(shared)
-        if isinstance(automata, list):
-            rows = [judge(t, automata) for t in texts]
-        else:
-            rows = _in_blocks(texts, automata)
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
-
-    return judged(text)
-
-
-def _in_blocks(texts, automata):
-    """The same as judge() over all automata, keeping only each text's intervals between them."""
-    found = [([], set()) for _ in texts]
-    for a in automata:
-        for (spans, ids), t in zip(found, texts, strict=True):
-            if words := normalise(t):
-                more, items = scan(words, (b" " + b" ".join(words) + b" ").decode("latin-1"), [a])
-                spans.extend(more)
-                ids.update(items)
-    rows = []
-    for (spans, ids), t in zip(found, texts, strict=True):
-        merged: list[list[int]] = []
-        for first, stop in sorted(spans):
-            if merged and first <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], stop)
-            else:
-                merged.append([first, stop])
-        n, hit, ids = len(normalise(t)), sum(y - x for x, y in merged), sorted(ids)
-        rows.append((n, hit, len(ids), sha256_hex(",".join(ids).encode()), hit > 0 and 20 * hit >= n, ids, original_spans(t, merged) if merged else []))
-    return rows
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    def told_of(texts: pd.Series, state: pd.DataFrame) -> pd.DataFrame:
+        out = [judge(t if isinstance(t, str) else None, [(x["a"], x["b"]) for x in spans], items) for t, spans, items in zip(texts, state["spans"], state["items"], strict=True)]
+        return pd.DataFrame(out, columns=COLUMNS)
+
+    return rows.withColumn("judged__", told_of("text", "state__")).drop("state__")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the contaminated ones; columns and order of columns unchanged."""
-    return docs.where(~contamination(benchmark, F.col("text"))["contaminated"])
+    return judged(docs, benchmark, block_chars).where(~F.col("judged__.contaminated")).drop("judged__")

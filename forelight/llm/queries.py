@@ -18,8 +18,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = documents(spark, sf_dir).select("doc_id", decontam.contamination(table(spark, sf_dir, "benchmark"), F.col("text")).alias("r"))
-    return judged.select("doc_id", *(f"r.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
+    judged = decontam.judged(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", *(f"judged__.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

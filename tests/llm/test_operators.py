@@ -89,6 +89,31 @@ def test_decontamination(spark, block):
     kept = decontam.decontaminate(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not r["r"]["contaminated"] for x in got.values() for r in x)
     assert decontam.decontaminate(df, bench.limit(0)).count() == df.count() and decontam.decontaminate(empty(spark), bench).count() == 0
+    # the same in passes, with what each part found written down
+    want = sorted(((r["doc_id"] or -1, r["r"]) for rows in got.values() for r in rows), key=str)
+    passes = decontam.judged(df.select("doc_id", "text"), bench, block).select("doc_id", "judged__").collect()
+    assert sorted(((r["doc_id"] or -1, r["judged__"]) for r in passes), key=str) == want
+
+
+def test_benchmarks_of_one_session_are_kept_apart(spark):
+    """Automata that workers keep belong to one benchmark, also where another has as many windows."""
+    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "doc_id long, text string").coalesce(1)
+    for item, hit in (("alpha beta", {1}), ("delta epsilon", {2}), ("alpha gamma", set()), ("beta gamma", {1})):
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        out = df.select("doc_id", decontam.contamination(bench, F.col("text")).alias("r")).where("r.n_hit > 0").collect()
+        assert {r["doc_id"] for r in out} == hit
+
+
+def test_templated_items(spark):
+    """Many items share pieces of seven words; windows are still those of each item."""
+    rng = random.Random(11)
+    stem = words(rng, 9, 150)
+    items = [(k, f"{words(rng, 3, 150)} {stem} {words(rng, 4, 150)}") for k in range(60)]
+    texts = [(k, f"{words(rng, 5)} {items[k][1]} {words(rng, 5)}") for k in range(10)] + [(20, f"{words(rng, 5)} {stem} {words(rng, 5)}"), (21, items[3][1][4:]), (22, stem)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for r in df.select("doc_id", "text", decontam.contamination(bench, F.col("text")).alias("r")).collect():
+        assert tuple(r["r"])[:5] == brute_contamination(r["text"], items)
 
 
 # ---- 2 ----------------------------------------------------------------------------------------
