@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forelight.session import cut, ensure_checkpoint_dir, ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables"]
+__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "lookup"]
 
 #: bytes -> bytes with A-Z lower-cased; all other bytes stay
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -62,3 +64,27 @@ def split_words(text: str | None, lower: bool = True) -> list[bytes]:
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
+
+def trim() -> None:
+    """Return a Python worker's freed memory to the system; called at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str, limit: int, salts: int = 32) -> DataFrame:
+    """``rows`` joined with ``small``, a checkpointed table that has each key once. Up to ``limit`` rows
+    of it are broadcast; a larger one meets rows dealt by key and salt, so that no key is one task's."""
+    if small.count() <= limit:
+        return rows.join(F.broadcast(small), keys, how)
+    if how in ("left_semi", "left_anti"):
+        columns = [F.col(f"`{c}`") for c in rows.columns]
+        found = lookup(rows, small.select(*keys).withColumn("found__", F.lit(True)), keys, "left", limit, salts)
+        return found.where(F.col("found__").isNotNull() if how == "left_semi" else F.col("found__").isNull()).select(*columns)
+    # a salt from the row itself: a task that runs again deals alike
+    salted = rows.withColumn("salt__", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
+    every = small.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(every, [*keys, "salt__"], how).drop("salt__")
+

@@ -20,21 +20,25 @@ to the empty string; repeated documents each get their own row.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sha256_hex, ship
+from .common import sha256_hex, ship, trim
 
 SPACE = "▁"
-#: runs in a worker's cache, pairs in its compatibility table
-CACHE, PAIRS = 150_000, 400_000
+#: runs in either half of a worker's cache, pairs in its compatibility table
+CACHE, PAIRS = 200_000, 400_000
 #: characters of text encoded together; runs longer than LONG go through the automaton alone
-GROUP_CHARS, LONG = 1_500_000, 128
+GROUP_CHARS, LONG = 2_000_000, 128
 ROOT = 1 << 20
+#: runs that a worker keeps between tasks
+KEPT = 40_000
 
 
 class IntTable:
@@ -151,7 +155,8 @@ class PieceModel:
         self.automaton = Automaton({p: i for p, i in ids.items() if self.merge(p) == [p]})
         self.size = np.array([len(p) for p in self.pieces], np.int32)
         self.fits = IntTable(21)
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in (self.bos, self.eos) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
@@ -193,8 +198,8 @@ class PieceModel:
                 self.fits = IntTable(21)
         return found > 0
 
-    def _side_by_side(self, runs: list[str]) -> list[list[int]]:
-        """Encode runs of known characters; the longest first."""
+    def _side_by_side(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of known characters, coded; the longest run first."""
         size = np.array([len(r) for r in runs], np.int32)
         width = int(size[0])
         flat = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -226,11 +231,11 @@ class PieceModel:
             rows, at = rows[at > 0], at[at > 0]
         rows, ids = (np.concatenate(x[::-1]) for x in zip(*back, strict=True))
         order = np.argsort(rows, kind="stable")
-        ends = np.cumsum(np.bincount(rows, minlength=len(runs))).tolist()
-        ids = ids[order].tolist()
-        return [ids[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        ends = (4 * np.cumsum(np.bincount(rows, minlength=len(runs)))).tolist()
+        raw = ids[order].astype("<u4").tobytes()
+        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
-    def _alone(self, run: str) -> list[int]:
+    def _alone(self, run: str) -> bytes:
         """The same walk for one long run."""
         a, known = self.automaton, {}
         last, s = [ROOT] + [-1] * len(run), 0
@@ -256,20 +261,23 @@ class PieceModel:
         while at:
             ids.append(last[at])
             at -= len(self.pieces[last[at]])
-        return ids[::-1]
+        return np.array(ids[::-1], "<u4").tobytes()
 
     def _learn(self, runs: set[str]) -> dict[str, bytes]:
         """Ids of each run as little-endian 32-bit numbers."""
-        cut = {r: [r] if self.chars.issuperset(r) else self._known_parts(r) for r in runs}
-        parts = sorted({p for ps in cut.values() for p in ps if len(p) > 1 or p in self.chars}, key=len, reverse=True)
-        ids: dict[str, list[int]] = {p: self._alone(p) for p in parts if len(p) > LONG}
-        parts = parts[len(ids) :]
-        for k in range(0, len(parts), 1 << 15):
-            some = parts[k : k + (1 << 15)]
-            ids.update(zip(some, self._side_by_side(some), strict=True))
-        coded = {p: np.array(x, "<u4").tobytes() for p, x in ids.items()}
-        spelled = lambda p: np.array([self.byte_id[b] for b in p.encode("utf-8", "surrogatepass")], "<u4").tobytes()
-        return {r: coded[r] if ps == [r] and r in coded else b"".join(coded[p] if p in coded else spelled(p) for p in ps) for r, ps in cut.items()}
+        odd = set("".join(runs)).difference(self.chars)
+        cut = {r: self._known_parts(r) for r in runs if not odd.isdisjoint(r)} if odd else {}
+        parts = runs.difference(cut)
+        parts.update(p for ps in cut.values() for p in ps if p not in odd)
+        order = sorted(parts, key=len, reverse=True)
+        coded = {p: self._alone(p) for p in itertools.takewhile(lambda p: len(p) > LONG, order)}
+        for k in range(len(coded), len(order), 1 << 15):
+            some = order[k : k + (1 << 15)]
+            coded.update(zip(some, self._side_by_side(some), strict=True))
+        if cut:
+            coded |= {c: np.array([self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")], "<u4").tobytes() for c in odd}
+            coded |= {r: b"".join(map(coded.__getitem__, ps)) for r, ps in cut.items()}
+        return coded
 
     def _known_parts(self, run: str) -> list[str]:
         """Stretches of known characters, and unknown characters one by one."""
@@ -283,19 +291,30 @@ class PieceModel:
         return [*out, known] if known else out
 
     def encode_group(self, texts: list[str]) -> list[bytes]:
+        """The cache has two halves. What a group needs moves to the younger one; once that is
+        full it becomes the older one, and what was there and not asked for meanwhile goes."""
         runs = [self.runs.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = set(chain.from_iterable(runs)).difference(self.cache)
+        asked = set(chain.from_iterable(runs))
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        asked.difference_update(self.young)
+        known = asked.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new = asked - known
         if new:
-            self.cache.update(self._learn(new))
-        find = self.cache.__getitem__
+            self.young.update(self._learn(new))
+        find = self.young.__getitem__
         out = [b"".join(map(find, r)) for r in runs]
         for r in new:
             if len(r) > LONG:
-                del self.cache[r]
+                del self.young[r]
         return out
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps its tables and the runs first met, which are the frequent ones."""
+        self.young, self.old = dict(itertools.islice(self.young.items(), KEPT)), {}
+        trim()
+
     def encode_all(self, texts: list) -> list[bytes]:
         """Ids of each text without begin and end, as little-endian 32-bit numbers."""
         out: list[bytes] = []
@@ -355,18 +374,24 @@ def encoded(path: str, text: Column, keep_ids: bool = False) -> Column:
     """Struct of n_tokens, ids_sha256, decoded_sha256 and, on request, the ids and the text."""
     more = ", ids array<int>, decoded string" if keep_ids else ""
 
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if keep_ids else 3]
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        m, rows = model(path), []
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = model(path)
         bos, eos = (np.array([x], "<u4").tobytes() for x in (m.bos, m.eos))
-        for raw in m.encode_all(list(texts)):
-            raw = bos + raw + eos
-            ids = np.frombuffer(raw, "<u4").tolist()
-            decoded = m.decode(ids)
-            row = (len(ids), sha256_hex(raw), sha256_hex(decoded.encode("utf-8", "surrogatepass")))
-            rows.append((*row, ids, decoded) if keep_ids else row)
-        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-        return pd.DataFrame(rows, columns=names[: 5 if keep_ids else 3])
+        try:
+            for texts in batches:
+                rows = []
+                for raw in m.encode_all(list(texts)):
+                    raw = bos + raw + eos
+                    ids = np.frombuffer(raw, "<u4").tolist()
+                    decoded = m.decode(ids)
+                    row = (len(ids), sha256_hex(raw), sha256_hex(decoded.encode("utf-8", "surrogatepass")))
+                    rows.append((*row, ids, decoded) if keep_ids else row)
+                yield pd.DataFrame(rows, columns=names)
+        finally:
+            m.rest()
 
     return run(text)
 
