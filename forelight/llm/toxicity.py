@@ -12,24 +12,26 @@ Only rows with crc32(doc_id as text) mod 3 other than 1 are learnt from.
 
 Defined results: null and empty texts have no terms and get the score of a text
 without features; rows whose label or doc_id is null teach nothing; a doc_id with
-several labels teaches each; repeated documents each get their own row; without any
+several labels teaches each; repeated documents each get their own row and teach once; without any
 labelled row, or with one class only, every score is the share of toxic labels (0 if
 there are none).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import cut, lookup, ship, trim
 from .decontam import normalise
 
 BUCKET_BITS = 18
-#: documented bounds: labelled rows to learn from, length of the buckets' vectors
-MAX_ROWS, FACTORS = 20_000, 8
+#: documented bounds: labelled ids to learn from, terms of all their texts, length of the buckets' vectors
+MAX_ROWS, MAX_TERMS, FACTORS = 20_000, 12_000_000, 8
 EPOCHS, BATCH, RATE, RATE_V, ALONE = 30, 256, 0.3, 0.01, 10  # vectors move after ALONE epochs
 PREFIX = 4
 #: a weight's penalty, in standard errors of its gradient were the bucket unrelated to the labels;
@@ -148,22 +150,30 @@ def score_rows(rows: list[np.ndarray], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """Fit on at most about ``max_rows`` labelled training rows, chosen by a hash."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> dict:
+    """Fit on about ``max_rows`` labelled training ids and ``max_terms`` terms of theirs at most, chosen by hashes."""
     spark = docs.sparkSession
     ship(spark)
     told = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id"))).distinct()
-    n = told.count()
-    told = told.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, max_rows / max(1, n)))))
+    place = lambda *c: F.pmod(F.xxhash64(F.lit(3), *c), F.lit(1_000_000))
+    share = lambda most, n: F.lit(int(1_000_000 * min(1.0, most / max(1, n))))
+    told = cut(told.where(place("id") < share(max_rows, told.count())))
 
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([terms(t if isinstance(t, str) else None).astype("<i4").tobytes() for t in texts])
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([terms(t if isinstance(t, str) else None).astype("<i4").tobytes() for t in texts], dtype=object)
+        trim()
 
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    rows = told.join(texts, "id").select("id", "toxic", packed("body").alias("terms"))
+    # about max_rows ids at most, so they go to the texts; rows alike in all teach once
+    rows = cut(lookup(texts, told, ["id"], "inner", 2 * MAX_ROWS).select("id", "toxic", packed("body").alias("terms")).distinct())
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("terms")), F.lit(0))).first()[0] // 4
+    if total > max_terms:
+        rows = rows.where(place("id", "terms") < share(max_terms, total))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         pdf = pdf.sort_values(["id", "toxic", "terms"], kind="stable")
         m = fit([np.frombuffer(r, "<i4") for r in pdf["terms"]], pdf["toxic"].to_numpy())
         return pd.DataFrame({"buckets": [m["buckets"].astype("<i4").tobytes()], "w0": [m["w0"]], "w": [m["w"].astype("<f4").tobytes()], "v": [m["v"].astype("<f4").tobytes()], "share": [m["share"]]})
@@ -179,8 +189,10 @@ def toxicity(model: dict, docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score_rows([terms(t if isinstance(t, str) else None) for t in texts], shared.value), dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(score_rows([terms(t if isinstance(t, str) else None) for t in texts], shared.value), dtype="float64")
+        trim()
 
     return scored(F.col("text"))
 
