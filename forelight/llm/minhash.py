@@ -11,8 +11,9 @@ exceeds with probability below 1e-6; then its two full sets are compared exactly
 Candidates come in two rounds, so that no group emits all its pairs. First the members
 of a bucket meet the least and the greatest member only. Then, where buckets still hold
 several components, the rows outside the largest component of their cluster ask the
-others of like size, block by block: sketches first, then the full sets, emitting
-confirmed links only. Pairs already in one component need no confirmation.
+others of like size, block by block: the stored sketches first, then the full sets of the
+rows that had a plausible partner, emitting confirmed links only. Pairs already in one
+component need no confirmation.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing, each its own component; a null doc_id can't name a component unless all its
@@ -24,12 +25,14 @@ from __future__ import annotations
 
 import hashlib
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, ship, split_words
+from .common import cut, lookup, ship, split_words, trim
 from .components import components
 
 BANDS, ROWS, BITS = 28, 4, 512
@@ -37,10 +40,14 @@ SAMPLES = BANDS * ROWS
 #: XOR population count up to which a pair stays a candidate
 MOST_BITS = 84
 NUMERATOR, DENOMINATOR = 80, 100
-#: row ids that may be broadcast (16 bytes each); more are joined by a shuffle
-BROADCAST_ROWS = 500_000
-#: rows that one block of the second round holds on either side, about
-BLOCK = 1024
+#: row ids or buckets that may be broadcast (under 100 bytes each); more are joined by a shuffle
+BROADCAST_ROWS = 200_000
+#: members from which a bucket is not dealt to one task
+HOT = 500
+#: rows, and shingles of all of them, that one block of the second round holds on either side, about
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: texts whose samples are held at a time
+AT_ONCE = 1000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -96,19 +103,26 @@ def signed(text: Column) -> Column:
     """n, sid (128 bits), bands and odd sketch of each text."""
 
     @F.pandas_udf("n long, sid binary, bands array<long>, odd array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        n, sids, least = [], [], np.full((len(texts), SAMPLES), 0xFFFFFFFF, np.uint32)
-        for i, t in enumerate(texts):
-            s = shingles(t if isinstance(t, str) else None)
-            n.append(len(s))
-            sids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            if len(s):
-                least[i] = samples(s)
-        return pd.DataFrame({"n": n, "sid": sids, "bands": list(band_hashes(least)), "odd": list(odd_sketches(least))})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = [_signed(texts.iloc[k : k + AT_ONCE]) for k in range(0, len(texts), AT_ONCE)]
+            yield pd.concat(parts, ignore_index=True) if parts else _signed(texts)
+        trim()
 
     return run(text)
 
 
+def _signed(texts: pd.Series) -> pd.DataFrame:
+    n, sids, least = [], [], np.full((len(texts), SAMPLES), 0xFFFFFFFF, np.uint32)
+    for i, t in enumerate(texts):
+        s = shingles(t if isinstance(t, str) else None)
+        n.append(len(s))
+        sids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+        if len(s):
+            least[i] = samples(s)
+    return pd.DataFrame({"n": n, "sid": sids, "bands": list(band_hashes(least)), "odd": list(odd_sketches(least))})
+
+
 def _row_id(salt: int) -> Column:
     """Half of a 128-bit name of a row's doc_id and text."""
     return F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("text"))
@@ -154,37 +168,54 @@ def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
 
     @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out, known = [], {}
-        for one, two in zip(x, y, strict=True):
-            if one not in known:
-                known = {one: shingles(one)}
-            out.append(linked(known[one], shingles(two)))
-        return pd.Series(out, dtype=bool)
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            out, known = [], {}
+            for one, two in zip(x, y, strict=True):
+                if one not in known:
+                    known = {one: shingles(one)}
+                out.append(linked(known[one], shingles(two)))
+            yield pd.Series(out, dtype=bool)
+        trim()
 
     return asked.join(b, "b").join(a, "a").where(alike("ta", "tb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _plausible_rows(odd: np.ndarray, size: np.ndarray, label: np.ndarray, ask: np.ndarray):
+    """Of each asking row i: the other rows that size and sketch allow, under other labels."""
+    rest = np.flatnonzero(~ask)
+    for i in np.flatnonzero(ask).tolist():
+        low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
+        near = rest[(label[rest] != label[i]) & (DENOMINATOR * low >= NUMERATOR * high)]
+        yield i, near[np.bitwise_count(odd[near] ^ odd[i]).sum(axis=1) <= MOST_BITS]
+
+
+def block_near(block: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that have a plausible partner: all that need their texts."""
+    odd = np.stack(block["odd"].to_list()).astype(np.int64).view(np.uint64)
+    keep = np.zeros(len(block), bool)
+    for i, near in _plausible_rows(odd, block["n"].to_numpy(), pd.factorize(block["label"])[0], block["ask"].to_numpy(bool)):
+        if len(near):
+            keep[i] = keep[near] = True
+    return block[keep]
+
+
 def block_links(block: pd.DataFrame) -> pd.DataFrame:
     """Confirmed links of a block's asking rows (ask) to its other rows, between different
     labels: one for each asking row and label. Sketches first, then the full sets."""
     sets = [shingles(t) for t in block["text"]]
-    odd = odd_sketches(np.stack([samples(s) for s in sets])).view(np.uint64)
-    size = np.array([len(s) for s in sets])
-    ask, rest = np.flatnonzero(block["ask"].to_numpy()), np.flatnonzero(~block["ask"].to_numpy())
+    odd = np.stack(block["odd"].to_list()).astype(np.int64) if "odd" in block else odd_sketches(np.stack([samples(s) for s in sets]))
     label = pd.factorize(block["label"])[0]
     sid = block["sid"].tolist()
     u, v = [], []
-    for i in ask.tolist():
-        low, high = np.minimum(size[i], size[rest]), np.maximum(size[i], size[rest])
-        near = rest[(label[rest] != label[i]) & (DENOMINATOR * low >= NUMERATOR * high)]
-        near = near[np.bitwise_count(odd[near] ^ odd[i]).sum(axis=1) <= MOST_BITS]
+    for i, near in _plausible_rows(odd.view(np.uint64), np.array([len(s) for s in sets]), label, block["ask"].to_numpy(bool)):
         done = set()
         for j in near.tolist():
             if label[j] not in done and linked(sets[i], sets[j]):
                 done.add(label[j])
                 u.append(sid[i])
                 v.append(sid[j])
+    trim()
     return pd.DataFrame({"u": u, "v": v})
 
 
@@ -196,23 +227,37 @@ def _stray_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, docs: Da
     of like size, in blocks of bounded size on either side."""
     named = crowded.where("members > 3").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    left = cut(named.join(mixed, "bucket").select("low", "sid", "label").distinct())
+    left = cut(lookup(named, cut(mixed), ["bucket"], "inner", BROADCAST_ROWS).select("low", "sid", "label").distinct())
     clusters = components(left.select(F.col("low").alias("u"), F.col("sid").alias("v"))).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
     # Sizes of linked sets differ by a fifth at most: by a class of this logarithm.
     size_class = F.floor(F.log("n") / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
-    nodes = cut(left.select("sid", "label").distinct().join(clusters, "sid").join(sets.select("sid", "n"), "sid").withColumn("k", size_class))
+    nodes = cut(left.select("sid", "label").distinct().join(clusters, "sid").join(sets.select("sid", "n", "odd"), "sid").withColumn("k", size_class))
     main = nodes.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
-    asking = nodes.join(main, "cluster").where("label <> main").select("sid", "label", "cluster", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
-    parts = lambda rows, name: rows.groupBy("cluster", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    asking = lookup(nodes, cut(main), ["cluster"], "inner", BROADCAST_ROWS).where("label <> main").select("sid", "label", "cluster", "n", "odd", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    parts = lambda rows, name: rows.groupBy("cluster", "k").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
     jobs = cut(parts(asking, "x_parts").join(parts(nodes, "y_parts"), ["cluster", "k"]))
     own = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    here = ["sid", "label", "cluster", "k"]
-    asks = asking.join(jobs, ["cluster", "k"]).select(*here, F.lit(True).alias("ask"), own("x_parts").alias("x"), every("y_parts").alias("y"))
-    others = nodes.join(jobs, ["cluster", "k"]).select(*here, F.lit(False).alias("ask"), every("x_parts").alias("x"), own("y_parts").alias("y"))
-    dealt = cut(asks.unionByName(others))
-    texts = _texts(dealt.select("sid").distinct(), sets, docs)
-    return dealt.join(texts, "sid").groupBy("cluster", "k", "x", "y").applyInPandas(lambda block: block_links(block), "u binary, v binary")
+    here = ["sid", "label", "cluster", "k", "n", "odd"]
+    asks = lookup(asking, jobs, ["cluster", "k"], "inner", BROADCAST_ROWS).select(*here, F.lit(True).alias("ask"), own("x_parts").alias("x"), every("y_parts").alias("y"))
+    others = lookup(nodes, jobs, ["cluster", "k"], "inner", BROADCAST_ROWS).select(*here, F.lit(False).alias("ask"), every("x_parts").alias("x"), own("y_parts").alias("y"))
+    block = ["cluster", "k", "x", "y"]
+    dealt = asks.unionByName(others)
+    near = cut(dealt.groupBy(*block).applyInPandas(lambda b: block_near(b), dealt.schema))
+    texts = _texts(near.select("sid").distinct(), sets, docs)
+    return near.join(texts, "sid").groupBy(*block).applyInPandas(lambda b: block_links(b), "u binary, v binary")
+
+
+def _crowded(dealt: DataFrame) -> DataFrame:
+    """sid, bucket, members, low, high (least and greatest sid) of buckets with several members.
+    Rows of hot buckets meet them by broadcast, so no bucket's rows go to one task."""
+    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("members > 1"))
+    hot = cut(buckets.where(F.col("members") > HOT))
+    if hot.count() > BROADCAST_ROWS:
+        return lookup(dealt, buckets, ["bucket"], "inner", 0)
+    told = dealt.join(F.broadcast(hot), "bucket", "left")
+    cold = told.where("members is null").select("sid", "bucket").join(buckets.where(F.col("members") <= HOT), "bucket")
+    return told.where("members is not null").unionByName(cold)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,8 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = rows.where("n > 0")
     sets = cut(some.groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("r1", "r2")).alias("owner"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
     dealt = sets.select("sid", F.explode("bands").alias("bucket"))
-    buckets = dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("members > 1")
-    crowded = cut(dealt.join(buckets, "bucket"))
+    crowded = cut(_crowded(dealt))
 
     to_low = crowded.select(F.col("low").alias("a"), F.col("sid").alias("b"))
     to_high = crowded.select(F.col("high").alias("a"), F.col("sid").alias("b"))
