@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forelight.session import cut, ensure_checkpoint_dir, ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "lookup"]
+__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "lookup", "join_uneven"]
 
 #: bytes -> bytes with A-Z lower-cased; all other bytes stay
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -88,3 +88,14 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str, limit:
     every = small.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(every, [*keys, "salt__"], how).drop("salt__")
 
+
+def join_uneven(rows: DataFrame, big: DataFrame, key: str, weight: str, hot: int, limit: int) -> DataFrame:
+    """``rows`` joined with ``big``, a checkpointed table that has each key of ``rows`` once, with the
+    number of its rows. Keys of over ``hot`` rows are broadcast, so none of them goes to one task;
+    the others meet by a shuffle."""
+    few = cut(big.where(F.col(weight) > hot))
+    if few.count() > limit:
+        return lookup(rows, big, [key], "inner", 0)
+    told = rows.join(F.broadcast(few.withColumn("hot__", F.lit(True))), key, "left")
+    cold = told.where("hot__ is null").select(*[F.col(f"`{c}`") for c in rows.columns]).join(big.where(F.col(weight) <= hot), key)
+    return told.where("hot__ is not null").drop("hot__").unionByName(cold)

@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, lookup, ship, split_words, trim
+from .common import cut, join_uneven, lookup, ship, split_words, trim
 from .components import components
 
 BANDS, ROWS, BITS = 28, 4, 512
@@ -248,26 +248,15 @@ def _stray_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, docs: Da
     return near.join(texts, "sid").groupBy(*block).applyInPandas(lambda b: block_links(b), "u binary, v binary")
 
 
-def _crowded(dealt: DataFrame) -> DataFrame:
-    """sid, bucket, members, low, high (least and greatest sid) of buckets with several members.
-    Rows of hot buckets meet them by broadcast, so no bucket's rows go to one task."""
-    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("members > 1"))
-    hot = cut(buckets.where(F.col("members") > HOT))
-    if hot.count() > BROADCAST_ROWS:
-        return lookup(dealt, buckets, ["bucket"], "inner", 0)
-    told = dealt.join(F.broadcast(hot), "bucket", "left")
-    cold = told.where("members is null").select("sid", "bucket").join(buckets.where(F.col("members") <= HOT), "bucket")
-    return told.where("members is not null").unionByName(cold)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, and its r1, r2."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = cut(signatures(docs))
     some = rows.where("n > 0")
-    sets = cut(some.groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("r1", "r2")).alias("owner"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
+    sets = cut(some.groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min(F.struct("r1", "r2")).alias("owner"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
     dealt = sets.select("sid", F.explode("bands").alias("bucket"))
-    crowded = cut(_crowded(dealt))
+    buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("members > 1"))
+    crowded = cut(join_uneven(dealt, buckets, "bucket", "members", HOT, BROADCAST_ROWS))
 
     to_low = crowded.select(F.col("low").alias("a"), F.col("sid").alias("b"))
     to_high = crowded.select(F.col("high").alias("a"), F.col("sid").alias("b"))
@@ -283,9 +272,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = found.join(firsts, found["node"] == firsts["sid"]).select("sid", "label", "first_doc")
     least = grouped.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     named = grouped.join(least, "label").select("sid", "component_id")
-    named = firsts.join(named, "sid", "left").select("sid", F.coalesce("component_id", "first_doc").alias("component_id"))
-    out = rows.select("doc_id", "r1", "r2", "n", "sid").join(named, "sid", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    named = cut(sets.select("sid", "first_doc", "copies").join(named, "sid", "left").select("sid", "copies", F.coalesce("component_id", "first_doc").alias("component_id")))
+    mine = rows.select("doc_id", "r1", "r2", "n", "sid")
+    component = F.col("component_id")
+    out = join_uneven(mine.where("n > 0"), named, "sid", "copies", HOT, BROADCAST_ROWS).unionByName(mine.where("n = 0").withColumns({"copies": F.lit(1).cast("long"), "component_id": F.col("doc_id")}))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "r1", "r2")
 
 

@@ -33,9 +33,9 @@ from .common import sha256_hex, ship, trim
 
 SPACE = "▁"
 #: runs in either half of a worker's cache, pairs in its compatibility table
-CACHE, PAIRS = 200_000, 400_000
+CACHE, PAIRS = 150_000, 400_000
 #: characters of text encoded together; runs longer than LONG go through the automaton alone
-GROUP_CHARS, LONG = 2_000_000, 128
+GROUP_CHARS, LONG = 1_500_000, 128
 ROOT = 1 << 20
 #: runs that a worker keeps between tasks
 KEPT = 40_000
@@ -389,6 +389,7 @@ def encoded(path: str, text: Column, keep_ids: bool = False) -> Column:
                     decoded = m.decode(ids)
                     row = (len(ids), sha256_hex(raw), sha256_hex(decoded.encode("utf-8", "surrogatepass")))
                     rows.append((*row, ids, decoded) if keep_ids else row)
+                del texts
                 yield pd.DataFrame(rows, columns=names)
         finally:
             m.rest()
