@@ -16,6 +16,8 @@ import numpy as np
 HIDDEN, EMBED = 24, 24
 WINDOW, LANES, PIECE = 16, 192, 512
 CLIP = 5.0
+#: of Adam: gradients well below it move little, so classes that never occur keep near their shares
+EPSILON = 1e-6
 
 
 class Layout:
@@ -48,109 +50,168 @@ def start(layout: Layout, freq: np.ndarray, seed: int = 11) -> dict[str, np.ndar
     return p
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative numbers."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
 
 
-def run_window(p: dict, ids: np.ndarray, fresh: np.ndarray | None, h: np.ndarray, keep: bool = False):
-    """States after each of the T inputs (T x B), starting from h; fresh marks where the
-    state is cleared before the input."""
-    t_max, lanes = ids.shape
-    x = (p["E"][ids.ravel()] @ p["Wx"] + p["b"]).reshape(t_max, lanes, -1)
-    out, trace = np.empty((t_max, lanes, HIDDEN), np.float32), []
-    wh = p["Wh"]
+def _gates(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Input and state weights of both gates, and of the new value."""
+    return tuple(np.ascontiguousarray(p[k][:, part]) for k in ("Wx", "Wh") for part in (slice(0, 2 * HIDDEN), slice(2 * HIDDEN, None)))
+
+
+def input_tables(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What each symbol adds to the gates and to the new value: for weights that stay."""
+    x = p["E"] @ p["Wx"] + p["b"]
+    return np.ascontiguousarray(x[:, : 2 * HIDDEN]), np.ascontiguousarray(x[:, 2 * HIDDEN :])
+
+
+def run_window(p: dict, xg: np.ndarray, xn: np.ndarray, gates: tuple, fresh: np.ndarray | None, h: np.ndarray, keep: bool = False):
+    """States after each of the T inputs (given as their parts of the gates, T x B x 2H, and of
+    the new value, T x B x H), starting from h; fresh marks where the state is cleared before
+    the input. ``keep`` adds the states before each input, the gates, new values and their
+    state parts."""
+    t_max, lanes = xg.shape[:2]
+    out = np.empty((t_max, lanes, HIDDEN), xg.dtype)
+    trace = [np.empty_like(out), np.empty_like(xg), np.empty_like(out), np.empty_like(out)] if keep else None
+    wg, wn = gates[2:]
+    clear = fresh.any(axis=1) if fresh is not None else None
     for t in range(t_max):
-        if fresh is not None:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        a = h @ wh
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[t, :, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        new = n + z * (h - n)
+        if clear is not None and clear[t]:
+            h = h * ~fresh[t][:, None]
+        zr = h @ wg
+        zr += xg[t]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        part = h @ wn
+        n = part * zr[:, HIDDEN:]
+        n += xn[t]
+        np.tanh(n, out=n)
         if keep:
-            trace.append((h, z, r, n, a[:, 2 * HIDDEN :]))
-        h = out[t] = new
+            trace[0][t], trace[1][t], trace[2][t], trace[3][t] = h, zr, n, part
+        new = np.subtract(h, n, out=out[t])
+        new *= zr[:, :HIDDEN]
+        new += n
+        h = new
     return (out, h, trace) if keep else (out, h)
 
 
 def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(x - max) by row, in place, and its row sums."""
-    x -= x.max(axis=1, keepdims=True)
+    """exp of x, scaled alike within a row, in place, and its row sums."""
+    top = x.max()
+    if top - x.min() > 60:  # one scale for all rows could end in zeros
+        top = x.max(axis=1, keepdims=True)
+    x -= top
     np.exp(x, out=x)
-    return x, x.sum(axis=1)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _by_class(layout: Layout, cls: np.ndarray):
-    """(class, rows, first word, last word + 1) of each frequent class with several words."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(layout.split + 1))
+    """(rows, first word, last word + 1) of each frequent class with several words; cls is sorted."""
+    ends = np.searchsorted(cls, np.arange(layout.split + 1)).tolist()
+    first = layout.first.tolist()
     for k in range(layout.split):
-        lo, hi = int(layout.first[k]), int(layout.first[k + 1])
-        if ends[k + 1] > ends[k] and hi - lo > 1:
-            yield order[ends[k] : ends[k + 1]], lo, hi
+        if ends[k + 1] > ends[k] and first[k + 1] - first[k] > 1:
+            yield slice(ends[k], ends[k + 1]), first[k], first[k + 1]
 
 
 def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target symbol given its state (rows)."""
+    if not len(h):
+        return np.zeros(0, np.float32)
     cls = layout.target[target]
-    e, total = _exp_rows(h @ p["Uc"] + p["bc"])
-    share = e[np.arange(len(h)), cls] / total
+    order = _order(cls)
+    h, y, cls = h[order], target[order], cls[order]
+    each = np.arange(len(h))
+    x = h @ p["Uc"]
+    x += p["bc"]
+    e, total = _exp_rows(x)
+    share = e[each, cls] / total
     for rows, lo, hi in _by_class(layout, cls):
-        e, total = _exp_rows(h[rows] @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
-        share[rows] *= e[np.arange(len(rows)), target[rows] - lo] / total
-    return np.log(np.maximum(share, 1e-37))
+        x = h[rows] @ p["Uw"][lo:hi].T
+        x += p["bw"][lo:hi]
+        e, total = _exp_rows(x)
+        share[rows] *= e[each[: len(e)], y[rows] - lo] / total
+    out = np.empty_like(share)
+    out[order] = np.log(np.maximum(share, 1e-37))
+    return out
 
 
-def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0):
-    """Mean negative log probability of the window, its gradients, and the last state."""
-    states, last, trace = run_window(p, ids, fresh, h0, keep=True)
+def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dict | None = None):
+    """Mean negative log probability of the window, its gradients, and the last state.
+    ``into``: arrays that take the gradients."""
     t_max, lanes = ids.shape
-    h, y, w = states.reshape(-1, HIDDEN), target.ravel(), weight.ravel().astype(np.float32)
+    gates = _gates(p)
+    flat_ids = ids.ravel()
+    emb = p["E"][flat_ids]
+    xg, xn = emb @ gates[0], emb @ gates[1]
+    xg += p["b"][: 2 * HIDDEN]
+    xn += p["b"][2 * HIDDEN :]
+    states, last, (before, zr, new, part) = run_window(p, xg.reshape(t_max, lanes, -1), xn.reshape(t_max, lanes, -1), gates, fresh, h0, keep=True)
+    y, w = target.ravel(), weight.ravel().astype(emb.dtype)
     total = max(1.0, float(w.sum()))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in p.items()} if into is None else into
+    g["E"][:], g["Uw"][:], g["bw"][:] = 0, 0, 0
     cls = layout.target[y]
-    rows_all = np.arange(len(h))
-    d, sums = _exp_rows(h @ p["Uc"] + p["bc"])
-    d /= sums[:, None]
-    share = d[rows_all, cls]
-    d[rows_all, cls] -= 1
-    d *= (w / total)[:, None]
-    g["Uc"], g["bc"] = h.T @ d, d.sum(axis=0)
+    order = _order(cls)
+    h, y, cls, w = states.reshape(-1, HIDDEN)[order], y[order], cls[order], w[order]
+    scale = (w / total).astype(emb.dtype)
+    each = np.arange(len(h))
+    x = h @ p["Uc"]
+    x += p["bc"]
+    d, sums = _exp_rows(x)
+    d *= (scale / sums)[:, None]
+    share = d[each, cls] / np.maximum(scale, 1e-30)
+    d[each, cls] -= scale
+    g["Uc"][:], g["bc"][:] = h.T @ d, d.sum(axis=0)
     dh = d @ p["Uc"].T
     for rows, lo, hi in _by_class(layout, cls):
-        hr = h[rows]
-        e, sums = _exp_rows(hr @ p["Uw"][lo:hi].T + p["bw"][lo:hi])
-        e /= sums[:, None]
-        at = (np.arange(len(rows)), y[rows] - lo)
-        share[rows] *= e[at]
-        e[at] -= 1
-        e *= (w[rows] / total)[:, None]
-        g["Uw"][lo:hi] += e.T @ hr
-        g["bw"][lo:hi] += e.sum(axis=0)
-        dh[rows] += e @ p["Uw"][lo:hi]
+        hr, wr, own = h[rows], scale[rows], p["Uw"][lo:hi]
+        x = hr @ own.T
+        x += p["bw"][lo:hi]
+        e, sums = _exp_rows(x)
+        at = (each[: len(e)], y[rows] - lo)
+        share[rows] *= e[at] / sums
+        e *= (wr / sums)[:, None]
+        e[at] -= wr
+        g["Uw"][lo:hi] = e.T @ hr
+        g["bw"][lo:hi] = e.sum(axis=0)
+        dh[rows] += e @ own
     loss = -float((np.log(np.maximum(share, 1e-37)) * w).sum())
-    dh = dh.reshape(t_max, lanes, HIDDEN)
-    dx = np.empty((t_max, lanes, 3 * HIDDEN), np.float32)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
+    back = np.empty_like(dh)
+    back[order] = dh
+    dh = back.reshape(t_max, lanes, HIDDEN)
+    dg, dn, dnr = np.empty_like(zr), np.empty_like(new), np.empty_like(new)
+    carry = np.zeros((lanes, HIDDEN), emb.dtype)
+    clear = fresh.any(axis=1) if fresh is not None else None
+    # what does not depend on the carried gradient, for all steps at once
+    z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+    keep_n = (1 - z) * (1 - new * new)
+    keep_z = (before - new) * z * (1 - z)
+    keep_r = part * r * (1 - r)
+    wg, wn = np.ascontiguousarray(gates[2].T), np.ascontiguousarray(gates[3].T)
     for t in range(t_max - 1, -1, -1):
-        before, z, r, n, an = trace[t]
-        now = dh[t] + carry
-        dn = now * (1 - z) * (1 - n * n)
-        dz = now * (before - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        g["Wh"] += before.T @ da
-        carry = now * z + da @ p["Wh"].T
-        if fresh is not None:
-            carry = np.where(fresh[t][:, None], np.float32(0), carry)
-    flat = dx.reshape(-1, 3 * HIDDEN)
-    g["b"] = flat.sum(axis=0)
-    emb = p["E"][ids.ravel()]
-    g["Wx"] = emb.T @ flat
-    back = flat @ p["Wx"].T
-    order = np.argsort(ids.ravel(), kind="stable")
-    sorted_ids = ids.ravel()[order]
+        now = carry
+        now += dh[t]
+        np.multiply(now, keep_z[t], out=dg[t, :, :HIDDEN])
+        np.multiply(now, keep_n[t], out=dn[t])
+        np.multiply(dn[t], keep_r[t], out=dg[t, :, HIDDEN:])
+        np.multiply(dn[t], r[t], out=dnr[t])
+        carry = now * z[t]
+        carry += dg[t] @ wg
+        carry += dnr[t] @ wn
+        if clear is not None and clear[t]:
+            carry *= ~fresh[t][:, None]
+    dg, dn, dnr, before = dg.reshape(-1, 2 * HIDDEN), dn.reshape(-1, HIDDEN), dnr.reshape(-1, HIDDEN), before.reshape(-1, HIDDEN)
+    g["Wh"][:, : 2 * HIDDEN], g["Wh"][:, 2 * HIDDEN :] = before.T @ dg, before.T @ dnr
+    g["b"][: 2 * HIDDEN], g["b"][2 * HIDDEN :] = dg.sum(axis=0), dn.sum(axis=0)
+    g["Wx"][:, : 2 * HIDDEN], g["Wx"][:, 2 * HIDDEN :] = emb.T @ dg, emb.T @ dn
+    back = dg @ gates[0].T
+    back += dn @ gates[1].T
+    order = _order(flat_ids)
+    sorted_ids = flat_ids[order]
     firsts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
     g["E"][sorted_ids[firsts]] = np.add.reduceat(back[order], firsts, axis=0)
     return loss / total, g, last
@@ -160,8 +221,10 @@ class Trainer:
     """Adam over windows of lanes; every text is one run of symbols that ends in the end mark."""
 
     def __init__(self, p: dict, layout: Layout, end: int, rate: float):
-        self.p, self.layout, self.end, self.rate = {k: v.copy() for k, v in p.items()}, layout, end, rate
-        self.m, self.q = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.flat, self.layout, self.end, self.rate = pack(p), layout, end, rate
+        self.p = views(self.flat, p)
+        self.m, self.q, self.g, self.room = (np.zeros_like(self.flat) for _ in range(4))
+        self.grads = views(self.g, p)
         self.steps, self.tokens, self.loss = 0, 0, 0.0
 
     def lanes(self, texts: list[np.ndarray]):
@@ -200,47 +263,55 @@ class Trainer:
             live = max(1, int(weight[at].sum()))
             cut = (slice(at, at + WINDOW), slice(0, live))
             n = int(weight[cut].sum())
-            loss, g, h = gradients(self.p, self.layout, ids[cut], fresh[cut], target[cut], weight[cut], h[:live])
+            loss, _, h = gradients(self.p, self.layout, ids[cut], fresh[cut], target[cut], weight[cut], h[:live], self.grads)
             self.tokens += n
             self.loss += loss * n
-            self._step(g)
+            self._step()
 
-    def _step(self, g: dict) -> None:
-        norm = float(np.sqrt(sum(float((v * v).sum()) for v in g.values())))
-        scale = np.float32(min(1.0, CLIP / (norm + 1e-9)))
+    def _step(self) -> None:
+        g, m, q, room = self.g, self.m, self.q, self.room
+        norm = float(np.sqrt(g @ g))
+        if norm > CLIP:
+            g *= np.float32(CLIP / norm)
         self.steps += 1
         rate = self.rate * min(1.0, self.steps / 20) * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for k, v in self.p.items():
-            d = g[k] * scale
-            self.m[k] += np.float32(0.1) * (d - self.m[k])
-            self.q[k] += np.float32(0.001) * (d * d - self.q[k])
-            v -= np.float32(rate) * self.m[k] / (np.sqrt(self.q[k]) + np.float32(1e-8))
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=room)
+        g *= g
+        q *= np.float32(0.999)
+        q += np.multiply(g, np.float32(0.001), out=room)
+        np.sqrt(q, out=room)
+        room += np.float32(EPSILON)
+        np.divide(m, room, out=room)
+        room *= np.float32(rate)
+        self.flat -= room
 
 
 def score_texts(p: dict, layout: Layout, end: int, texts: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
     """Natural log probability of each whole text (symbols that end in the end mark)."""
     out = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-sizes, kind="stable")
+    gates, (tg, tn) = _gates(p), input_tables(p)
     for k in range(0, len(order), lanes):
         group = order[k : k + lanes]
-        size = np.array([len(texts[i]) for i in group])
+        size = sizes[group]
         h = np.zeros((len(group), HIDDEN), np.float32)
-        before = np.full(len(group), end, np.int32)
+        # every text begins after an end mark; it and the texts stand one after another
+        flat = np.concatenate([np.concatenate([[end], texts[i]]) for i in group]).astype(np.int32)
+        begin = np.cumsum(size + 1) - size - 1
         total = np.zeros(len(group))
         for at in range(0, int(size[0]), window):
             live = int((size > at).sum())
             width = min(window, int(size[0]) - at)
-            target = np.full((live, width), end, np.int32)
-            for j in range(live):
-                piece = texts[group[j]][at : at + width]
-                target[j, : len(piece)] = piece
-            ids = np.concatenate([before[:live, None], target[:, :-1]], axis=1)
-            states, h = run_window(p, np.ascontiguousarray(ids.T), None, h[:live])
-            valid = (np.arange(width)[None, :] + at < size[:live, None]).T
+            steps = np.arange(width)[:, None] + at
+            valid = steps < size[None, :live]
+            place = begin[None, :live] + np.minimum(steps, size[None, :live] - 1)
+            ids = flat[place]
+            states, h = run_window(p, tg[ids], tn[ids], gates, None, h[:live])
             lp = np.zeros((width, live))
-            lp[valid] = log_probs(p, layout, states[valid], np.ascontiguousarray(target.T)[valid])
+            lp[valid] = log_probs(p, layout, states[valid], flat[place[valid] + 1])
             total[:live] += lp.sum(axis=0)
-            before = target[:, -1]
         out[group] = total
     return out
 
@@ -249,9 +320,14 @@ def pack(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unpack(flat: np.ndarray, like: dict) -> dict:
+def views(flat: np.ndarray, like: dict) -> dict:
+    """The arrays of a flat vector, without copies."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
+
+
+def unpack(flat: np.ndarray, like: dict) -> dict:
+    return views(np.array(flat, np.float32), like)

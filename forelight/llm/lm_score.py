@@ -8,12 +8,15 @@ last three bytes, and its probability is that of the class times its smoothed sh
 the class, (c + 0.5) / (N_k + 0.5 (V_k + 1)), where all unseen words of a class share
 one place. So the model is a distribution over the V counted words and the unseen.
 
-The recurrent weights see every training text once, in three rounds: each task learns
-from its rows by truncated backpropagation from the round's common weights, and the
-results are averaged by tokens, in two levels, so no task gathers one per input split.
+After counting, every text is cut into words once more and kept as the numbers of its
+symbols; training and scoring read those. The recurrent weights see every training text
+once, in three rounds: texts are dealt by a hash to tasks of about TASK_TOKENS tokens, in
+the order of that hash, whatever the files; each task learns from its texts by truncated
+backpropagation from the round's common weights, and the results are averaged by tokens,
+in two levels, so no task gathers one per task.
 
-Counts of the 2**18 most frequent words go along with each task; all other words of a
-text are looked up by a join, so no vocabulary has to fit in one place.
+Counts of the 2**18 most frequent words go along with each task that cuts texts; all
+other words are looked up by a join, so no vocabulary has to fit in one place.
 
 Defined results: null and empty texts are the end mark alone; a null doc_id is not held
 out; repeated documents each get their own row and each teach; without training texts
@@ -27,6 +30,7 @@ import math
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,12 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gru
-from .common import cut, ship, split_words
+from .common import cut, ship, split_words, trim
 
 SYMBOLS, RARE, NEAR = 1024, 32, 1 << 18
 END = "\n"  # no word can hold it
 ROUNDS = ((0, 1, 0.012), (1, 3, 0.008), (3, 8, 0.004))  # eighths of the texts, by hash; learning rate
-CHUNK, SPREAD = 1 << 14, 64
+CHUNK, SPREAD = 1 << 12, 64
+#: tokens that a task learns from, about, and the most tasks of a round: beyond, tasks learn from more
+TASK_TOKENS, MOST_TASKS = 2_000_000, 4096
 TOKENS_AT_ONCE = 400_000
 HOLD_MODULUS, HOLD = 5, 1
 
@@ -83,11 +89,10 @@ class Vocabulary:
     def __init__(self, spec: dict):
         words = spec["words"].encode("utf-8").split(b" ") if spec["words"] else []
         self.counts = spec["counts"]
-        self.end = spec["end"]
+        self.end, self.kind = spec["end"], spec["kind"]
         words.insert(self.end, END.encode())
         self.rank = {w: i for i, w in enumerate(words)}
         self.n_symbols = min(spec["symbols"], len(words))
-        self.layout = gru.Layout(self.counts[: self.n_symbols].astype(np.float64), RARE, max(32, math.isqrt(spec["symbols"])))
         symbol = np.arange(len(words), dtype=np.int32)
         for w in words[self.n_symbols :]:
             symbol[self.rank[w]] = self.n_symbols + rare_class(w)
@@ -96,9 +101,6 @@ class Vocabulary:
         self.base_log = float(np.log10(spec["n"] + 0.5 * (spec["v"] + 1)))
         self.count_log = np.log10(self.counts + 0.5)
 
-    def initial(self, class_n: np.ndarray) -> dict:
-        return gru.start(self.layout, np.concatenate([self.counts[: self.n_symbols], class_n]))
-
     def ranks(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int32, len(words))
 
@@ -148,81 +150,108 @@ def gather(docs: DataFrame) -> tuple[dict, DataFrame]:
         class_n[rare_class(w.encode())] -= c
         class_v[rare_class(w.encode())] -= 1
     spec = {
-        "key": uuid.uuid4().hex, "symbols": symbols, "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
+        "key": uuid.uuid4().hex, "kind": "<u2" if symbols + RARE < 1 << 16 else "<u4", "symbols": symbols, "words": " ".join(words), "counts": np.insert(n, end, ends), "end": end, "class_n": class_n, "class_v": class_v,
         "n": int(sum(a for a, _ in sums.values())) + ends, "v": int(sum(b for _, b in sums.values())) + (ends > 0),
     }
     return spec, counts
 
 
-def train(docs: DataFrame, shared, spec: dict) -> np.ndarray:
+def _layout(model: dict) -> tuple[gru.Layout, dict]:
+    """The classes of the symbols, and the initial weights."""
+    layout = gru.Layout(model["counts"].astype(np.float64), RARE, max(32, math.isqrt(model["symbols"])))
+    return layout, gru.start(layout, np.concatenate([model["counts"], model["class_n"]]))
+
+
+def encoded(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, held_out and per text: token numbers, the parts of both scores that the near words
+    give, the remaining words in one string, and the symbols as little-endian 32-bit numbers (16-bit
+    where that is enough)."""
+
+    @F.pandas_udf("n_tokens long, known long, base double, inside double, far string, n_far long, symbols binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        voc = _vocabulary(shared)
+        for texts in batches:
+            rows = []
+            for t in texts:
+                words = split_words(t if isinstance(t, str) else None)
+                ranks = voc.ranks(words)
+                s = voc.symbols(words, ranks)
+                near = np.append(ranks[ranks >= 0], np.int32(voc.end))
+                far = [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
+                other = s[s >= voc.n_symbols] - voc.n_symbols
+                base = float(voc.count_log[near].sum()) - (len(words) + 1) * voc.base_log
+                # a word that is no symbol of the model has its share of its class
+                inside = float(voc.count_log[near[near >= voc.n_symbols]].sum()) - float(voc.class_log[other].sum())
+                rows.append((len(words) + 1, int((voc.counts[near] > 0).sum()), base, inside, b" ".join(far).decode("utf-8", "surrogatepass"), len(far), s.astype(voc.kind).tobytes()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "inside", "far", "n_far", "symbols"])
+        trim()
+
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), run(F.col("text")).alias("r")).select("doc_id", "held_out", "r.*")
+
+
+def _learner(now, shared, rate: float):
+    """A task's training: batches of symbols to weighted sums of weights, in chunks."""
+
+    def learn(batches):
+        model = shared.value
+        layout, first = _layout(model)
+        trainer = gru.Trainer(gru.unpack(now.value, first), layout, model["end"], rate)
+        texts, size = [], 0
+        for batch in batches:
+            for raw in batch.column(0):
+                texts.append(np.frombuffer(raw.as_buffer(), model["kind"]).astype(np.int32))
+                size += len(texts[-1])
+                if size > TOKENS_AT_ONCE:
+                    trainer.learn(texts)
+                    texts, size = [], 0
+        trainer.learn(texts)
+        if trainer.tokens:
+            out = trainer.flat.astype("<f8") * trainer.tokens
+            parts = [out[k : k + CHUNK].tobytes() for k in range(0, len(out), CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(trainer.tokens)] * len(parts)), pa.array(parts, pa.binary())], names=["chunk", "tokens", "total"])
+
+    return learn
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<f8") for x in pdf["total"])
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int32"), "tokens": [pdf["tokens"].sum()], "total": [total.tobytes()]})
+
+
+def train(rows: DataFrame, shared, model: dict) -> np.ndarray:
     """The recurrent weights after all rounds, flat."""
-    sc = docs.sparkSession.sparkContext
-    v = Vocabulary(spec)
-    like = v.initial(spec["class_n"])
-    flat = gru.pack(like)
-    taught = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
+    sc = rows.sparkSession.sparkContext
+    flat = gru.pack(_layout(model)[1])
+    taught = rows.where("not held_out").select("n_tokens", "symbols", F.xxhash64(F.lit(5), "doc_id").alias("part"), F.xxhash64(F.lit(6), "doc_id", "symbols").alias("place"))
+    eighth = F.pmod("part", F.lit(8)).cast("int")
+    tokens = {r["e"]: r["n"] for r in taught.groupBy(eighth.alias("e")).agg(F.sum("n_tokens").alias("n")).collect()}
+    kind = "chunk int, tokens double, total binary"
     for low, high, rate in ROUNDS:
         now = sc.broadcast(flat)
-
-        def learn(batches, now=now, rate=rate):
-            voc = _vocabulary(shared)
-            first = voc.initial(shared.value["class_n"])
-            trainer = gru.Trainer(gru.unpack(now.value, first), voc.layout, voc.end, rate)
-            texts, size = [], 0
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    words = split_words(t)
-                    texts.append(voc.symbols(words, voc.ranks(words)))
-                    size += len(words) + 1
-                    if size > TOKENS_AT_ONCE:
-                        trainer.learn(texts)
-                        texts, size = [], 0
-            trainer.learn(texts)
-            if trainer.tokens:
-                out = gru.pack(trainer.p).astype("<f8") * trainer.tokens
-                parts = [out[k : k + CHUNK].tobytes() for k in range(0, len(out), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(trainer.tokens)] * len(parts)), pa.array(parts, pa.binary())], names=["chunk", "tokens", "total"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, "<f8") for x in pdf["total"])
-            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int32"), "tokens": [pdf["tokens"].sum()], "total": [total.tobytes()]})
-
-        kind = "chunk int, tokens double, total binary"
-        eighth = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(8))
-        some = taught.where((eighth >= low) & (eighth < high)).select("text").mapInArrow(learn, kind)
-        some = some.groupBy("chunk", F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("spread")).applyInPandas(add, kind)
-        found = some.groupBy("chunk").applyInPandas(add, kind).orderBy("chunk").collect()
+        tasks = min(MOST_TASKS, max(1, -(-sum(tokens.get(e, 0) for e in range(low, high)) // TASK_TOKENS)))
+        # only symbols move, two or four bytes a token
+        some = taught.where((eighth >= low) & (eighth < high)).select("symbols", "place").repartition(tasks, "place").sortWithinPartitions("place").select("symbols")
+        some = some.mapInArrow(_learner(now, shared, rate), kind)
+        some = some.groupBy("chunk", F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("spread")).applyInPandas(lambda x: _added(x), kind)
+        found = some.groupBy("chunk").applyInPandas(lambda x: _added(x), kind).orderBy("chunk").collect()
         if found:
             flat = np.concatenate([np.frombuffer(r["total"], "<f8") / r["tokens"] for r in found]).astype(np.float32)
     return flat
 
 
-def _scored(docs: DataFrame, shared, weights) -> DataFrame:
-    """Per text: token numbers, the parts of both scores that the near words give, and the
-    remaining words in one string."""
+def _scored(symbols: Column, shared, weights) -> Column:
+    """log10 probability of each text's symbols."""
 
-    @F.pandas_udf("n_tokens long, known long, base double, score double, far string, n_far long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        voc = _vocabulary(shared)
-        p = gru.unpack(weights.value, voc.initial(shared.value["class_n"]))
-        rows, symbols = [], []
-        for t in texts:
-            words = split_words(t if isinstance(t, str) else None)
-            ranks = voc.ranks(words)
-            s = voc.symbols(words, ranks)
-            symbols.append(s)
-            near = np.append(ranks[ranks >= 0], np.int32(voc.end))
-            far = [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
-            other = s[s >= voc.n_symbols] - voc.n_symbols
-            base = float(voc.count_log[near].sum()) - (len(words) + 1) * voc.base_log
-            # a word that is no symbol of the model has its share of its class
-            inside = float(voc.count_log[near[near >= voc.n_symbols]].sum()) - float(voc.class_log[other].sum())
-            rows.append((len(words) + 1, int((voc.counts[near] > 0).sum()), base, inside, b" ".join(far).decode("utf-8", "surrogatepass"), len(far)))
-        out = pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "far", "n_far"])
-        out["score"] += gru.score_texts(p, voc.layout, voc.end, symbols) / np.log(10)
-        return out
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        layout, first = _layout(model)
+        p = gru.unpack(weights.value, first)
+        for some in batches:
+            yield pd.Series(gru.score_texts(p, layout, model["end"], [np.frombuffer(x, model["kind"]) for x in some]) / np.log(10), dtype="float64")
+        trim()
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), run(F.col("text")).alias("r")).select("doc_id", "held_out", "r.*")
+    return run(symbols)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -231,12 +260,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     ship(docs.sparkSession)
     spec, counts = gather(docs)
-    shared = sc.broadcast(spec)
-    weights = sc.broadcast(train(docs, shared, spec))
-    rows = cut(_scored(docs, shared, weights).withColumn("uid", F.monotonically_increasing_id()))
+    rows = cut(encoded(docs, sc.broadcast(spec)).withColumn("uid", F.monotonically_increasing_id()))
+    n = min(spec["symbols"], len(spec["counts"]))
+    model = {k: spec[k] for k in ("symbols", "end", "class_n", "kind")} | {"counts": spec["counts"][:n]}
+    shared = sc.broadcast(model)
+    weights = sc.broadcast(train(rows, shared, model))
     far = rows.where("n_far > 0").select("uid", F.explode(F.split("far", " ")).alias("word"))
     seen = F.coalesce(F.col("n"), F.lit(0))
     added = far.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.log10(seen + F.lit(0.5).cast("double"))).alias("logs"), F.count_if(seen > 0).alias("more"))
-    out = rows.drop("far").join(added, "uid", "left")
+    out = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", (F.col("inside") + _scored(F.col("symbols"), shared, weights)).alias("inside")).join(added, "uid", "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(spec["n"]).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(spec["n"]).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("inside") + logs).alias("score"))
