@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forelight.session import cut, ensure_checkpoint_dir, ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "lookup", "join_uneven"]
+__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "keep_memory", "lookup", "join_uneven"]
 
 #: bytes -> bytes with A-Z lower-cased; all other bytes stay
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -74,6 +74,17 @@ def trim() -> None:
         pass
 
 
+def keep_memory() -> None:
+    """Let this worker reuse large arrays' memory instead of mapping it anew each time; ``trim``
+    still returns what is free."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):
+        pass
+
+
 def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str, limit: int, salts: int = 32) -> DataFrame:
     """``rows`` joined with ``small``, a checkpointed table that has each key once. Up to ``limit`` rows
     of it are broadcast; a larger one meets rows dealt by key and salt, so that no key is one task's."""

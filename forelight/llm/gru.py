@@ -14,7 +14,7 @@ import heapq
 import numpy as np
 
 HIDDEN, EMBED = 24, 24
-WINDOW, LANES, PIECE = 16, 192, 512
+WINDOW, LANES, PIECE = 32, 192, 512
 CLIP = 5.0
 #: of Adam: gradients well below it move little, so classes that never occur keep near their shares
 EPSILON = 1e-6
@@ -98,14 +98,35 @@ def run_window(p: dict, xg: np.ndarray, xn: np.ndarray, gates: tuple, fresh: np.
     return (out, h, trace) if keep else (out, h)
 
 
-def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_ONES = np.ones(1 << 16, np.float32)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Row sums."""
+    n = x.shape[1]
+    return x @ (_ONES[:n] if x.dtype == np.float32 and n <= len(_ONES) else np.ones(n, x.dtype))
+
+
+def _columns(x: np.ndarray) -> np.ndarray:
+    """Column sums."""
+    n = len(x)
+    return (_ONES[:n] if x.dtype == np.float32 and n <= len(_ONES) else np.ones(n, x.dtype)) @ x
+
+
+def _tame(p: dict, layout: Layout) -> bool:
+    """Whether no state, whose numbers lie within -1 and 1, can give a softmax that needs scaling
+    before exp: no output is over 40, and each softmax has one over -40."""
+    c, w = np.abs(p["Uc"]).sum(axis=0), np.abs(p["Uw"]).sum(axis=1)
+    top = np.maximum.reduceat(p["bw"] - w, layout.first[:-1]).min() if layout.words else 0
+    return max((p["bc"] + c).max(), (p["bw"] + w).max(initial=0)) < 40 and min((p["bc"] - c).max(), top) > -40
+
+
+def _exp_rows(x: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
     """exp of x, scaled alike within a row, in place, and its row sums."""
-    top = x.max()
-    if top - x.min() > 60:  # one scale for all rows could end in zeros
-        top = x.max(axis=1, keepdims=True)
-    x -= top
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, x @ np.ones(x.shape[1], x.dtype)
+    return x, _sums(x)
 
 
 def _by_class(layout: Layout, cls: np.ndarray):
@@ -117,7 +138,7 @@ def _by_class(layout: Layout, cls: np.ndarray):
             yield slice(ends[k], ends[k + 1]), first[k], first[k + 1]
 
 
-def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray, tame: bool = False) -> np.ndarray:
     """Natural log probability of each target symbol given its state (rows)."""
     if not len(h):
         return np.zeros(0, np.float32)
@@ -127,12 +148,12 @@ def log_probs(p: dict, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.
     each = np.arange(len(h))
     x = h @ p["Uc"]
     x += p["bc"]
-    e, total = _exp_rows(x)
+    e, total = _exp_rows(x, tame)
     share = e[each, cls] / total
     for rows, lo, hi in _by_class(layout, cls):
         x = h[rows] @ p["Uw"][lo:hi].T
         x += p["bw"][lo:hi]
-        e, total = _exp_rows(x)
+        e, total = _exp_rows(x, tame)
         share[rows] *= e[each[: len(e)], y[rows] - lo] / total
     out = np.empty_like(share)
     out[order] = np.log(np.maximum(share, 1e-37))
@@ -143,7 +164,7 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     """Mean negative log probability of the window, its gradients, and the last state.
     ``into``: arrays that take the gradients."""
     t_max, lanes = ids.shape
-    gates = _gates(p)
+    gates, tame = _gates(p), _tame(p, layout)
     flat_ids = ids.ravel()
     emb = p["E"][flat_ids]
     xg, xn = emb @ gates[0], emb @ gates[1]
@@ -161,23 +182,23 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     each = np.arange(len(h))
     x = h @ p["Uc"]
     x += p["bc"]
-    d, sums = _exp_rows(x)
+    d, sums = _exp_rows(x, tame)
     d *= (scale / sums)[:, None]
     share = d[each, cls] / np.maximum(scale, 1e-30)
     d[each, cls] -= scale
-    g["Uc"][:], g["bc"][:] = h.T @ d, d.sum(axis=0)
+    g["Uc"][:], g["bc"][:] = h.T @ d, _columns(d)
     dh = d @ p["Uc"].T
     for rows, lo, hi in _by_class(layout, cls):
         hr, wr, own = h[rows], scale[rows], p["Uw"][lo:hi]
         x = hr @ own.T
         x += p["bw"][lo:hi]
-        e, sums = _exp_rows(x)
+        e, sums = _exp_rows(x, tame)
         at = (each[: len(e)], y[rows] - lo)
         share[rows] *= e[at] / sums
         e *= (wr / sums)[:, None]
         e[at] -= wr
         g["Uw"][lo:hi] = e.T @ hr
-        g["bw"][lo:hi] = e.sum(axis=0)
+        g["bw"][lo:hi] = _columns(e)
         dh[rows] += e @ own
     loss = -float((np.log(np.maximum(share, 1e-37)) * w).sum())
     back = np.empty_like(dh)
@@ -206,7 +227,7 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
             carry *= ~fresh[t][:, None]
     dg, dn, dnr, before = dg.reshape(-1, 2 * HIDDEN), dn.reshape(-1, HIDDEN), dnr.reshape(-1, HIDDEN), before.reshape(-1, HIDDEN)
     g["Wh"][:, : 2 * HIDDEN], g["Wh"][:, 2 * HIDDEN :] = before.T @ dg, before.T @ dnr
-    g["b"][: 2 * HIDDEN], g["b"][2 * HIDDEN :] = dg.sum(axis=0), dn.sum(axis=0)
+    g["b"][: 2 * HIDDEN], g["b"][2 * HIDDEN :] = _columns(dg), _columns(dn)
     g["Wx"][:, : 2 * HIDDEN], g["Wx"][:, 2 * HIDDEN :] = emb.T @ dg, emb.T @ dn
     back = dg @ gates[0].T
     back += dn @ gates[1].T
@@ -287,33 +308,52 @@ class Trainer:
         self.flat -= room
 
 
+def deal(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its lane and its place there, and the lanes' loads by falling load: the longest
+    texts first, each to the lane with the least so far."""
+    load = [(0, k) for k in range(min(lanes, len(sizes)))]
+    lane, place = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n, k = load[0]
+        lane[i], place[i] = k, n
+        heapq.heapreplace(load, (n + int(sizes[i]), k))
+    loads = np.zeros(len(load), np.int64)
+    for n, k in load:
+        loads[k] = n
+    by = np.argsort(-loads, kind="stable")
+    rank = np.empty_like(by)
+    rank[by] = np.arange(len(by))
+    return rank[lane], place, loads[by]
+
+
 def score_texts(p: dict, layout: Layout, end: int, texts: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
-    """Natural log probability of each whole text (symbols that end in the end mark)."""
-    out = np.zeros(len(texts))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    order = np.argsort(-sizes, kind="stable")
-    gates, (tg, tn) = _gates(p), input_tables(p)
-    for k in range(0, len(order), lanes):
-        group = order[k : k + lanes]
-        size = sizes[group]
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        # every text begins after an end mark; it and the texts stand one after another
-        flat = np.concatenate([np.concatenate([[end], texts[i]]) for i in group]).astype(np.int32)
-        begin = np.cumsum(size + 1) - size - 1
-        total = np.zeros(len(group))
-        for at in range(0, int(size[0]), window):
-            live = int((size > at).sum())
-            width = min(window, int(size[0]) - at)
-            steps = np.arange(width)[:, None] + at
-            valid = steps < size[None, :live]
-            place = begin[None, :live] + np.minimum(steps, size[None, :live] - 1)
-            ids = flat[place]
-            states, h = run_window(p, tg[ids], tn[ids], gates, None, h[:live])
-            lp = np.zeros((width, live))
-            lp[valid] = log_probs(p, layout, states[valid], flat[place[valid] + 1])
-            total[:live] += lp.sum(axis=0)
-        out[group] = total
-    return out
+    """Natural log probability of each whole text (symbols that end in the end mark). Texts stand
+    one after another in lanes of near equal length; a text starts from a clear state."""
+    total = np.zeros(len(texts))
+    if not texts:
+        return total
+    lane, place, loads = deal(np.fromiter(map(len, texts), np.int64, len(texts)), lanes)
+    # the input is the symbol before, an end mark before a text's first one
+    symbols = np.full((len(loads), int(loads[0]) + 1), end, np.int32)
+    owner = np.zeros((len(loads), int(loads[0])), np.int32)
+    fresh = np.zeros((len(loads), int(loads[0])), bool)
+    for i, (k, at) in enumerate(zip(lane.tolist(), place.tolist(), strict=True)):
+        symbols[k, at + 1 : at + 1 + len(texts[i])] = texts[i]
+        owner[k, at : at + len(texts[i])] = i
+        fresh[k, at] = True
+    gates, (tg, tn), tame = _gates(p), input_tables(p), _tame(p, layout)
+    h = np.zeros((len(loads), HIDDEN), np.float32)
+    for at in range(0, int(loads[0]), window):
+        live = int((loads > at).sum())
+        width = min(window, int(loads[0]) - at)
+        turned = lambda x, by=0: np.ascontiguousarray(x[:live, at + by : at + by + width].T)  # noqa: B023, E731
+        begins, ids = turned(fresh), turned(symbols)
+        ids[begins] = end
+        states, h = run_window(p, tg[ids], tn[ids], gates, begins, h[:live])
+        valid = (np.arange(width)[:, None] + at < loads[None, :live]).ravel()
+        lp = log_probs(p, layout, states.reshape(-1, HIDDEN)[valid], turned(symbols, 1).ravel()[valid], tame)
+        total += np.bincount(turned(owner).ravel()[valid], lp, len(texts))
+    return total
 
 
 def pack(p: dict) -> np.ndarray:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gru
-from .common import cut, ship, split_words, trim
+from .common import cut, keep_memory, ship, split_words, trim
 
 SYMBOLS, RARE, NEAR = 1024, 32, 1 << 18
 END = "\n"  # no word can hold it
@@ -193,6 +193,7 @@ def _learner(now, shared, rate: float):
     """A task's training: batches of symbols to weighted sums of weights, in chunks."""
 
     def learn(batches):
+        keep_memory()
         model = shared.value
         layout, first = _layout(model)
         trainer = gru.Trainer(gru.unpack(now.value, first), layout, model["end"], rate)
@@ -244,6 +245,7 @@ def _scored(symbols: Column, shared, weights) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_memory()
         model = shared.value
         layout, first = _layout(model)
         p = gru.unpack(weights.value, first)
