@@ -69,11 +69,11 @@ def input_tables(p: dict) -> tuple[np.ndarray, np.ndarray]:
 def run_window(p: dict, xg: np.ndarray, xn: np.ndarray, gates: tuple, fresh: np.ndarray | None, h: np.ndarray, keep: bool = False):
     """States after each of the T inputs (given as their parts of the gates, T x B x 2H, and of
     the new value, T x B x H), starting from h; fresh marks where the state is cleared before
-    the input. ``keep`` adds the states before each input, the gates, new values and their
+    the input. ``keep`` adds the states before each input, both gates, new values and their
     state parts."""
     t_max, lanes = xg.shape[:2]
     out = np.empty((t_max, lanes, HIDDEN), xg.dtype)
-    trace = [np.empty_like(out), np.empty_like(xg), np.empty_like(out), np.empty_like(out)] if keep else None
+    trace = [np.empty_like(out) for _ in range(5)] if keep else None
     wg, wn = gates[2:]
     clear = fresh.any(axis=1) if fresh is not None else None
     for t in range(t_max):
@@ -90,7 +90,8 @@ def run_window(p: dict, xg: np.ndarray, xn: np.ndarray, gates: tuple, fresh: np.
         n += xn[t]
         np.tanh(n, out=n)
         if keep:
-            trace[0][t], trace[1][t], trace[2][t], trace[3][t] = h, zr, n, part
+            for into, x in zip(trace, (h, zr[:, :HIDDEN], zr[:, HIDDEN:], n, part), strict=True):
+                into[t] = x
         new = np.subtract(h, n, out=out[t])
         new *= zr[:, :HIDDEN]
         new += n
@@ -170,7 +171,7 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     xg, xn = emb @ gates[0], emb @ gates[1]
     xg += p["b"][: 2 * HIDDEN]
     xn += p["b"][2 * HIDDEN :]
-    states, last, (before, zr, new, part) = run_window(p, xg.reshape(t_max, lanes, -1), xn.reshape(t_max, lanes, -1), gates, fresh, h0, keep=True)
+    states, last, (before, z, r, new, part) = run_window(p, xg.reshape(t_max, lanes, -1), xn.reshape(t_max, lanes, -1), gates, fresh, h0, keep=True)
     y, w = target.ravel(), weight.ravel().astype(emb.dtype)
     total = max(1.0, float(w.sum()))
     g = {k: np.zeros_like(v) for k, v in p.items()} if into is None else into
@@ -204,14 +205,20 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     back = np.empty_like(dh)
     back[order] = dh
     dh = back.reshape(t_max, lanes, HIDDEN)
-    dg, dn, dnr = np.empty_like(zr), np.empty_like(new), np.empty_like(new)
+    dg, dn, dnr = np.empty((t_max, lanes, 2 * HIDDEN), emb.dtype), np.empty_like(new), np.empty_like(new)
     carry = np.zeros((lanes, HIDDEN), emb.dtype)
     clear = fresh.any(axis=1) if fresh is not None else None
     # what does not depend on the carried gradient, for all steps at once
-    z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
-    keep_n = (1 - z) * (1 - new * new)
-    keep_z = (before - new) * z * (1 - z)
-    keep_r = part * r * (1 - r)
+    rest = 1 - z
+    keep_n = new * new
+    np.subtract(1, keep_n, out=keep_n)
+    keep_n *= rest
+    keep_z = before - new
+    keep_z *= z
+    keep_z *= rest
+    keep_r = np.subtract(1, r, out=rest)
+    keep_r *= r
+    keep_r *= part
     wg, wn = np.ascontiguousarray(gates[2].T), np.ascontiguousarray(gates[3].T)
     for t in range(t_max - 1, -1, -1):
         now = carry
@@ -347,8 +354,8 @@ def score_texts(p: dict, layout: Layout, end: int, texts: list[np.ndarray], lane
         live = int((loads > at).sum())
         width = min(window, int(loads[0]) - at)
         turned = lambda x, by=0: np.ascontiguousarray(x[:live, at + by : at + by + width].T)  # noqa: B023, E731
-        begins, ids = turned(fresh), turned(symbols)
-        ids[begins] = end
+        begins = turned(fresh)
+        ids = np.where(begins, np.int32(end), turned(symbols))
         states, h = run_window(p, tg[ids], tn[ids], gates, begins, h[:live])
         valid = (np.arange(width)[:, None] + at < loads[None, :live]).ravel()
         lp = log_probs(p, layout, states.reshape(-1, HIDDEN)[valid], turned(symbols, 1).ravel()[valid], tame)
