@@ -6,9 +6,12 @@ sketch of its sites is built, partially on each task and merged by aggregation.
 whose estimate is clearly at or over ``min_sites`` are boilerplate; lines within the
 sketch's error band around it get an exact distinct count.
 
-A document loses its boilerplate lines, unless they hold more than half of its words:
-such a document is a copy of another rather than a page with boilerplate, and is left
-whole for near-duplicate removal.
+A document loses its boilerplate lines, whatever their share of it. Copies of a whole
+document on many sites spread its lines too; with ``whole_copies`` (off by default) such
+lines are told apart by where they stand: a line most of whose documents consist mostly
+of spread lines owes its spread to copies and stays, for near-duplicate removal to keep
+one of them, while a menu or a licence, most of whose documents have text of their own,
+goes from all documents, short ones too.
 
 Defined results: null and empty texts have no lines and stay as they are; a null
 source is no site; texts without a removed line stay byte for byte; repeated rows get
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 MIN_SITES = 10
 SKETCH_BITS = 10
@@ -47,34 +50,42 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     seen = cut(spread.where(F.col("sites") >= F.lit(min_sites * (1 - band))))
     clear = seen.where(F.col("sites") >= F.lit(min_sites * (1 + band))).select("l1", "l2")
     near = seen.where(F.col("sites") < F.lit(min_sites * (1 + band))).select("l1", "l2")
-    # One row for each line and site before the join: a frequent line is no hot key.
-    exact = pairs.distinct().join(near, ["l1", "l2"], "left_semi").groupBy("l1", "l2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("l1", "l2")
+    # Lines in the band are few; one row for each of them and site is counted, so a frequent line is no hot key.
+    near = cut(near)
+    exact = lookup(pairs, near, ["l1", "l2"], "left_semi", BROADCAST_LINES).distinct().groupBy("l1", "l2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("l1", "l2")
     return clear.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, report: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``; same rows and columns.
-    ``report`` adds n_lines, n_boilerplate, n_removed (lines)."""
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, report: bool = False, whole_copies: bool = False) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text``; same rows and columns. ``report`` adds
+    n_lines, n_boilerplate (lines on enough sites) and n_removed. ``whole_copies``: see above."""
     columns = docs.columns
     lines = cut(boilerplate_lines(docs, min_sites)).withColumn("hit", F.lit(True))
-    if lines.count() <= BROADCAST_LINES:
-        lines = F.broadcast(lines)
     key = _hashes(F.col("doc_id"), F.col("text"))
-    told = _lines(docs, key[0].alias("k1"), key[1].alias("k2")).join(lines, ["l1", "l2"], "left")
+    told = lookup(_lines(docs, key[0].alias("k1"), key[1].alias("k2")), lines, ["l1", "l2"], "left", BROADCAST_LINES)
     hit = F.coalesce(F.col("hit") & F.col("full"), F.lit(False))
     words = F.when(F.col("full"), F.col("words")).otherwise(0)
+    at = [F.col("pos"), hit.alias("hit")] + [F.when(hit, F.col(x)).alias(x) for x in ("l1", "l2") if whole_copies]
     flagged = (
         told.groupBy("k1", "k2")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", hit.alias("hit")))).alias("at"), F.sum(words).alias("all_words"), F.sum(F.when(hit, words).otherwise(0)).alias("hit_words"))
+        .agg(F.sort_array(F.collect_set(F.struct(*at))).alias("at"), F.sum(words).alias("all_words"), F.sum(F.when(hit, words).otherwise(0)).alias("hit_words"))
         .where("hit_words > 0")
-        .select("k1", "k2", F.transform("at", lambda x: x["hit"]).alias("hits"), (F.col("hit_words") * 2 <= F.col("all_words")).alias("goes"))
+        .withColumn("n_hit", F.size(F.filter("at", lambda x: x["hit"])).cast("long"))
     )
+    if whole_copies:
+        flagged = cut(flagged.withColumn("mostly", 2 * F.col("hit_words") > F.col("all_words")))
+        of_line = flagged.select("mostly", F.explode(F.array_distinct(F.transform(F.filter("at", lambda x: x["hit"]), lambda x: F.struct(x["l1"].alias("l1"), x["l2"].alias("l2"))))).alias("l")).groupBy("l.l1", "l.l2")
+        borne = cut(of_line.agg(F.avg(F.col("mostly").cast("int")).alias("share")).where("share > 0.5").select("l1", "l2")).withColumn("stays", F.lit(True))
+        spots = lookup(flagged.select("k1", "k2", "n_hit", F.explode("at").alias("x")).select("k1", "k2", "n_hit", "x.*"), borne, ["l1", "l2"], "left", BROADCAST_LINES)
+        spot = F.struct("pos", (F.col("hit") & F.col("stays").isNull()).alias("hit"))
+        flagged = spots.groupBy("k1", "k2").agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set(spot)).alias("at"))
+    flagged = flagged.select("k1", "k2", "n_hit", F.transform("at", lambda x: x["hit"]).alias("hits"))
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), key[0].alias("k1"), key[1].alias("k2")).join(flagged.hint("shuffle_hash"), ["k1", "k2"], "left")
     kept = F.array_join(F.transform(F.filter(F.arrays_zip(F.split("row.text", "\n").alias("line"), F.col("hits").alias("hit")), lambda x: ~x["hit"]), lambda x: x["line"]), "\n")
-    text = F.when(F.coalesce(F.col("goes"), F.lit(False)), kept).otherwise(F.col("row.text"))
+    removed = F.coalesce(F.size(F.filter("hits", lambda h: h)), F.lit(0)).cast("long")
+    text = F.when(removed > 0, kept).otherwise(F.col("row.text"))
     out = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns]
     if report:
         full = F.coalesce(F.size(F.filter(F.split("row.text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)), F.lit(0))
-        n = F.coalesce(F.size(F.filter("hits", lambda h: h)), F.lit(0)).cast("long")
-        out += [full.cast("long").alias("n_lines"), n.alias("n_boilerplate"), F.when(F.coalesce(F.col("goes"), F.lit(False)), n).otherwise(F.lit(0)).cast("long").alias("n_removed")]
+        out += [full.cast("long").alias("n_lines"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_boilerplate"), removed.alias("n_removed")]
     return both.select(*out)

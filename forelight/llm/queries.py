@@ -151,17 +151,14 @@ WITH line AS (
   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)),
 spread AS (SELECT line FROM line WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 told AS (
-  SELECT doc_id, pos, raw, line.line <> '' AS is_full, spread.line IS NOT NULL AS hit,
-         CASE WHEN line.line <> '' THEN len(regexp_extract_all(line.line, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  SELECT doc_id, pos, raw, line.line <> '' AS is_full, spread.line IS NOT NULL AS hit
   FROM line LEFT JOIN spread ON line.line = spread.line),
 doc AS (
   SELECT doc_id, count(*) FILTER (WHERE is_full) AS n_lines, count(*) FILTER (WHERE hit) AS n_boilerplate,
-         coalesce(sum(words) FILTER (WHERE hit), 0) AS gone, sum(words) AS words,
          string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS rest
   FROM told GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boilerplate, 0) AS n_boilerplate,
-       CASE WHEN gone > 0 AND 2 * gone <= words THEN n_boilerplate ELSE 0 END AS n_removed,
-       sha256(CASE WHEN gone > 0 AND 2 * gone <= words THEN coalesce(rest, '') ELSE coalesce(d.text, '') END) AS text_sha256
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_boilerplate, 0) AS n_boilerplate, coalesce(n_boilerplate, 0) AS n_removed,
+       sha256(CASE WHEN n_boilerplate > 0 THEN coalesce(rest, '') ELSE coalesce(d.text, '') END) AS text_sha256
 FROM documents d LEFT JOIN doc USING (doc_id)
 """,
     "op3_hilbert_shards": _hilbert_sql(),

@@ -130,6 +130,7 @@ def test_line_dedup(spark):
         rows.append((k, "\n".join(lines), "en", f"site{k % 16 if k % 2 else k % 3}", None))
     copies = "\n".join(words(rng, 12, 120) for _ in range(3))
     rows += [(100 + k, copies, "en", f"site{k}", None) for k in range(12)]
+    rows += [(200 + k, f"{boiler}\n{words(rng, 2, 120)}", "en", f"site{k}", None) for k in range(3)]  # mostly boilerplate
     df = make(spark, [], rows)
     sites = defaultdict(set)
     for r in df.collect():
@@ -138,14 +139,23 @@ def test_line_dedup(spark):
                 sites[line.strip(" \t\r\v\f")].add(r["source"])
     for limit in (3, 8, 12):
         bad = {x for x, s in sites.items() if len(s) >= limit}
-        out = collect(line_dedup.remove_boilerplate(df, limit, report=True))
-        for r in df.collect():
-            lines = (r["text"] or "").split("\n")
-            hit = [x.strip(" \t\r\v\f") in bad for x in lines]
-            n = sum(len(x.split()) for x in lines)
-            gone = sum(len(x.split()) for x, h in zip(lines, hit, strict=True) if h)
-            want = "\n".join(x for x, h in zip(lines, hit, strict=True) if not h) if gone and 2 * gone <= n else r["text"]
-            assert all(o["text"] == want for o in out[r["doc_id"]]) and len(out[r["doc_id"]]) == (2 if r["doc_id"] == 9005 else 1)
+        spread = lambda text: [x.strip(" \t\r\v\f") in bad for x in (text or "").split("\n")]  # noqa: B023, E731
+        stands = defaultdict(list)  # of each line on enough sites: whether its documents consist mostly of such lines
+        for t in {(r["doc_id"], r["text"]): r["text"] or "" for r in df.collect()}.values():
+            lines, hit = t.split("\n"), spread(t)
+            mostly = 2 * sum(len(x.split()) for x, h in zip(lines, hit, strict=True) if h) > len(t.split())
+            for x in {x.strip(" \t\r\v\f") for x, h in zip(lines, hit, strict=True) if h}:
+                stands[x].append(mostly)
+        for whole in (False, True):
+            out = collect(line_dedup.remove_boilerplate(df, limit, report=True, whole_copies=whole))
+            for r in df.collect():
+                lines, hit = (r["text"] or "").split("\n"), spread(r["text"])
+                goes = [h and not (whole and 2 * sum(stands[k]) > len(stands[k])) for h, k in zip(hit, (x.strip(" \t\r\v\f") for x in lines), strict=True)]
+                want = "\n".join(x for x, h in zip(lines, goes, strict=True) if not h) if any(goes) else r["text"]
+                assert all((o["text"], o["n_boilerplate"], o["n_removed"]) == (want, sum(hit), sum(goes)) for o in out[r["doc_id"]])
+                assert len(out[r["doc_id"]]) == (2 if r["doc_id"] == 9005 else 1)
+            if limit == 8:
+                assert out[100][0]["text"] == (copies if whole else "") and boiler not in out[200][0]["text"]
     assert line_dedup.remove_boilerplate(df).columns == df.columns
     assert line_dedup.remove_boilerplate(empty(spark)).count() == 0
 
