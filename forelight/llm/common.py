@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forelight.session import cut, ensure_checkpoint_dir, ship
 
-__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "Tables", "trim", "keep_memory", "lookup", "join_uneven"]
+__all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "delete", "Tables", "trim", "keep_memory", "lookup", "join_uneven"]
 
 #: bytes -> bytes with A-Z lower-cased; all other bytes stay
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -27,6 +27,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Intermediate tables written to the shared folder and read back: their lineage is cut and
     their true sizes are known to the planner. ``drop`` deletes one that is read no more."""
@@ -45,8 +51,7 @@ class Tables:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths[id(df)])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

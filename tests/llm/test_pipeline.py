@@ -48,3 +48,19 @@ def test_stages(spark, tmp_path):
     assert kept["line_dedup"] - kept["near_dedup"] == set(range(1001, 1010))
     assert kept["near_dedup"] - kept["decontamination"] == {3000} and kept["sentencepiece"] == kept["decontamination"]
     assert {r[0] for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == kept["sentencepiece"]
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Empty tables, and columns whose names the stages use themselves, go through."""
+    rng = random.Random(2)
+    rows = [(k, text(rng) if k % 5 else None, "en", f"s{k % 3}", k) for k in range(40)] + [(None, text(rng), None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "hit", "row", "judged__", "state__", "k1", "r1", "sid", "salt", "rank"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, some in (("full", docs), ("none", docs.limit(0))):
+        sf = str(tmp_path / name)
+        some.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.count() == (42 if name == "full" else 0) and {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
