@@ -2,7 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and
 returns the columns of ``documents`` (the last: token numbers and digests). ``run``
-writes each stage as Parquet in the folder of spark.checkpoint.dir and reads it again.
+writes each stage as Parquet in the folder of spark.checkpoint.dir, reads it again, and
+deletes it once the next stage is written.
+
+Line dedup runs with ``whole_copies``: documents that are copies of each other reach the
+near-duplicate stage whole, which keeps one of them.
+
+Defined results: null, empty and blank texts are scored like any other by the first
+stage, have no lines, no duplicates and no benchmark passages, and end with the begin
+and end ids only; a null doc_id names no group unless all its rows lack one; rows alike in
+doc_id and text share one fate; an empty table gives an empty result; without labels nothing is toxic; further
+columns of the documents, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -12,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from forelight.llm import decontam, line_dedup, minhash, sp_bpe, toxicity
-from forelight.llm.common import documents, scratch_dir, table
+from forelight.llm.common import delete, documents, scratch_dir, table
 from forelight.llm.queries import vocabulary
 
 
@@ -21,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_boilerplate(docs)
+    return line_dedup.remove_boilerplate(docs, whole_copies=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +61,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     top = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}_{name}")
-        docs = spark.read.parquet(f"{top}/{k}_{name}")
+        path = f"{top}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if done:
+            delete(spark, done)
+        done = path
     return docs
