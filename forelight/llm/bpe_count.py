@@ -13,17 +13,19 @@ documents each get their own row.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F
 
-from .common import ship
+from .common import ship, trim
 
 LIMIT = 512
-CACHE = 200_000
-CACHED_CHARS = 48
+#: parts in either half of a worker's cache, parts it keeps between tasks, and the longest part kept
+CACHE, KEPT, CACHED_CHARS = 200_000, 40_000, 48
 # Fixed value: the pattern that byte-level vocabularies cut text with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -40,6 +42,7 @@ class Merger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._refuse_unknown(spec)
         vocab = spec["model"]["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         number = {s: i for s, i in vocab.items()}
@@ -48,7 +51,20 @@ class Merger:
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.parts = regex.compile(PATTERN)
-        self.cache: dict[str, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    @staticmethod
+    def _refuse_unknown(spec: dict) -> None:
+        """Settings of a vocabulary file that would change counts and are not provided are errors."""
+        cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        wrong = [k for k, bad in {
+            "normalizer": spec.get("normalizer"), "pre_tokenizer": cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or cut.get("add_prefix_space"),
+            "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")),
+            "added_tokens": any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }.items() if bad]
+        if wrong:
+            raise ValueError(f"counts are not provided for these settings of the vocabulary: {', '.join(wrong)}")
 
     def merges(self, raw: bytes) -> int:
         """How many merges the bytes of one part undergo."""
@@ -76,20 +92,32 @@ class Merger:
         return done
 
     def _plain(self, text: str) -> int:
+        """The cache has two halves: what is asked for moves to the younger one, which becomes the
+        older one when it is full."""
         parts = self.parts.findall(text)
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        cache, old = self.young, self.old
         new = set(parts).difference(cache)
+        long = []
         for part in new:
-            raw = part.encode("utf-8", "surrogatepass")
-            cache[part] = len(raw) - self.merges(raw)
+            n = old.get(part)
+            if n is None:
+                raw = part.encode("utf-8", "surrogatepass")
+                n = len(raw) - self.merges(raw)
+                if len(part) > CACHED_CHARS:
+                    long.append(part)
+            cache[part] = n
         total = sum(map(cache.__getitem__, parts))
-        for part in new:
-            if len(part) > CACHED_CHARS:
-                del cache[part]
+        for part in long:
+            del cache[part]
         return total
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the parts first met, which are the frequent ones."""
+        self.young, self.old = dict(itertools.islice(self.young.items(), KEPT)), {}
+        trim()
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
@@ -113,9 +141,13 @@ def merger(path: str) -> Merger:
 
 def token_count(path: str, text: Column) -> Column:
     @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = merger(path)
-        return pd.Series([m.count(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+        try:
+            for texts in batches:
+                yield pd.Series([m.count(t if isinstance(t, str) else None) for t in texts], dtype="int64")
+        finally:
+            m.rest()
 
     return run(text)
 

@@ -24,13 +24,14 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import ship, trim
 
 # Elements of HTML by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +51,8 @@ _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 PATHS, WORDS = 512, 1024
 SIZE, HIDDEN, NUMBERS = 16, 16, 5
 TRAIN_PAGES, PAGES_AT_ONCE, RATE = 1200, 40, 0.015
+#: blocks, padding included, that are labelled at a time; characters of pages that are cut at a time
+CELLS, CHARS = 40_000, 8_000_000
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
@@ -115,11 +118,21 @@ def _hash(word: str, size: int) -> int:
     return xxhash.xxh32_intdigest(word) % size
 
 
-def features(found: list) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Path buckets, word buckets and numbers of a page's blocks."""
-    paths = [[_hash(x, PATHS) for x in labels] or [0] for labels, _, _ in found]
-    words = [[_hash(w, WORDS) for w in set(text.lower().split())] for _, text, _ in found]
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all lists, and how many each has."""
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    return np.fromiter((i for some in lists for i in some), np.int16, int(sizes.sum())), sizes
+
+
+def features(found: list) -> tuple[tuple, tuple, np.ndarray]:
+    """Path buckets, word buckets and numbers of a page's blocks; a page is kept in flat arrays."""
     n = len(found)
+    parts = {"p": [], "w": []}
+    for k in range(0, n, 4096):
+        some = found[k : k + 4096]
+        parts["p"].append(_flat([[_hash(x, PATHS) for x in labels] or [0] for labels, _, _ in some]))
+        parts["w"].append(_flat([[_hash(w, WORDS) for w in set(text.lower().split())] for _, text, _ in some]))
+    paths, words = (tuple(np.concatenate(x) if x else np.zeros(0, np.int16) for x in zip(*parts[c], strict=True)) or _flat([]) for c in "pw")
     numbers = np.array([[np.log1p(len(text)) / 8, link, i / max(1, n - 1), text.count(".") / max(1, text.count(" ") + 1), float(text[-1] in ".!?")] for i, (_, text, link) in enumerate(found)], np.float32).reshape(-1, NUMBERS)
     return paths, words, numbers
 
@@ -142,21 +155,28 @@ class Labeller:
             n = len(numbers)
             if not n:
                 continue
-            for col, some, table in ((0, paths, "P"), (SIZE, words, "W")):
-                flat = np.fromiter((i for s in some for i in s), np.int64)
-                sizes = np.array([len(s) for s in some])
-                row = np.repeat(np.arange(n), sizes)
-                part = np.zeros((n, SIZE), np.float32)
-                np.add.at(part, row, self.p[table][flat])
+            for col, (flat, sizes), table in ((0, paths, "P"), (SIZE, words, "W")):
+                part = self._sums(self.p[table], flat, sizes)
                 if col:
                     part /= np.maximum(1, sizes)[:, None]
                 x[:n, b, col : col + SIZE] = part
-                trace.append((b, col, table, flat, row, sizes))
+                trace.append((b, col, table, flat, sizes))
             x[:n, b, SIZE * 2 :] = numbers
             real[:n, b] = True
         return x, real, trace
 
-    def _direction(self, x, real, d):
+    @staticmethod
+    def _sums(table: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of the table's rows by block, some blocks at a time."""
+        out, upto = np.zeros((len(sizes), table.shape[1]), table.dtype), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        for k in range(0, len(sizes), 4096):
+            ends = upto[k : k + 4097]
+            full = np.flatnonzero(np.diff(ends))
+            if len(full):
+                out[k + full] = np.add.reduceat(table[flat[ends[0] : ends[-1]]], ends[full] - ends[0], axis=0)
+        return out
+
+    def _direction(self, x, real, d, keep):
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         pre = x @ self.p[f"X{d}"] + self.p[f"c{d}"]
@@ -169,7 +189,8 @@ class Labeller:
             on = real[t][:, None]
             new = f * c + i * g
             u = np.tanh(new)
-            trace.append((t, h, c, i, f, o, g, u, on))
+            if keep:
+                trace.append((t, h, c, i, f, o, g, u, on))
             c = np.where(on, new, c)
             h = np.where(on, o * u, h)
             out[t] = h
@@ -177,11 +198,13 @@ class Labeller:
 
     def forward(self, pages: list, keep: bool = False):
         x, real, trace = self.inputs(pages)
-        f, tf = self._direction(x, real, "f")
-        b, tb = self._direction(x, real, "b")
+        f, tf = self._direction(x, real, "f", keep)
+        b, tb = self._direction(x, real, "b", keep)
+        if not keep:
+            return f @ self.p["O"][:HIDDEN] + b @ self.p["O"][HIDDEN:] + self.p["o"][0], real
         h = np.concatenate([f, b], axis=2)
         score = h @ self.p["O"] + self.p["o"][0]
-        return (score, real, x, h, trace, tf, tb) if keep else (score, real)
+        return score, real, x, h, trace, tf, tb
 
     def gradients(self, pages: list, labels: list[np.ndarray]):
         score, real, x, h, trace, tf, tb = self.forward(pages, keep=True)
@@ -209,11 +232,11 @@ class Labeller:
                 dx[t] += da @ self.p[f"X{d}"].T
                 dh = np.where(on, 0, dh) + da @ self.p[f"H{d}"].T
                 dc = np.where(on, dn * f, dc)
-        for b, col, table, flat, row, sizes in trace:
+        for b, col, table, flat, sizes in trace:
             part = dx[: len(sizes), b, col : col + SIZE]
             if col:
                 part = part / np.maximum(1, sizes)[:, None]
-            np.add.at(g[table], flat, part[row])
+            np.add.at(g[table], flat, np.repeat(part, sizes, axis=0))
         return loss, g
 
     def fit(self, pages: list, labels: list[np.ndarray], rate: float = RATE) -> float:
@@ -230,12 +253,14 @@ class Labeller:
         return loss
 
     def label(self, pages: list) -> list[np.ndarray]:
-        """True for article blocks; pages of like length run side by side."""
+        """True for article blocks; pages of like length run side by side, CELLS blocks at a time
+        (a longer page alone)."""
         out: list = [None] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i][2]))
-        for k in range(0, len(order), 128):
-            some = order[k : k + 128]
-            if len(pages[some[-1]][2]) == 0:
+        order = sorted(range(len(pages)), key=lambda i: -len(pages[i][2]))
+        while order:
+            side = max(1, min(128, CELLS // max(1, len(pages[order[0]][2]))))
+            some, order = order[:side], order[side:]
+            if len(pages[some[0]][2]) == 0:
                 for i in some:
                     out[i] = np.zeros(0, bool)
                 continue
@@ -375,11 +400,18 @@ def main_text(spark, html: Column) -> Column:
     shared = spark.sparkContext.broadcast(_TRAINED["weights"])
 
     @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        out: list[str] = []
-        for k in range(0, len(pages), 512):
-            out += extract(list(pages.iloc[k : k + 512]), shared.value)
-        return pd.Series(out, dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            out: list[str] = []
+            some, size = [], 0
+            for p in pages:
+                some.append(p)
+                size += len(p) if isinstance(p, str) else 0
+                if len(some) == 512 or size > CHARS:
+                    out += extract(some, shared.value)
+                    some, size = [], 0
+            yield pd.Series(out + extract(some, shared.value), dtype=object)
+        trim()
 
     return run(html)
 

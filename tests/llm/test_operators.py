@@ -344,6 +344,32 @@ def test_skipped_elements_take_nothing_else(page):
     assert [text for _, text, _ in html_text.blocks(page)] == ["One.", "Two."]
 
 
+def test_long_page(page_weights):
+    """A page of 100,000 blocks stays under 200 MB beside its own text, and keeps its article."""
+    import subprocess
+    import sys
+
+    code = """
+import pickle, resource, sys
+from forelight.llm import html_text
+weights = pickle.load(open(sys.argv[1], "rb"))
+page = "<html><body><nav><a href=x>menu</a></nav><article>" + "".join(f"<p>Sentence number {i} of a very long article, with words.</p>" for i in range(100_000)) + "</article><footer>foot</footer>"
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+before = peak()
+text = html_text.extract([page, "<p>short</p>"], weights)[0]
+print(peak() - before, text.count("\\n") + 1, "foot" in text, "menu" in text)
+"""
+    import pickle
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".pkl") as f:
+        pickle.dump(page_weights, f)
+        f.flush()
+        out = subprocess.run([sys.executable, "-c", code, f.name], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    mb, lines, foot, menu = out.stdout.split()
+    assert int(mb) < 200 and int(lines) >= 99_900 and foot == menu == "False", out.stdout + out.stderr
+
+
 # ---- 6 ----------------------------------------------------------------------------------------
 def test_language_model(spark):
     rng = random.Random(6)
@@ -589,6 +615,18 @@ def test_token_counts_match_the_library(spark):
     assert bpe_count.count_tokens(empty(spark), path).count() == 0
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="pre_tokenizer, added_tokens"):
+        bpe_count.Merger(str(tmp_path / "v.json"))
+
+
 # ---- the rest ---------------------------------------------------------------------------------
 def test_nothing_else_imports_this_package():
     top = os.path.dirname(os.path.dirname(os.path.abspath(bpe_count.__file__)))
