@@ -1,45 +1,64 @@
 """Sharding along a Hilbert curve, in DataFrame operations only.
 
-Four metadata dimensions are quantised to three bits each: language, source, size
-(by powers of two) and the position of doc_id in its range. Rows are ordered by the
-index of their cell on the four-dimensional Hilbert curve and cut into runs of equal
-row counts (law ``rows``), so each file covers a compact box of every dimension and
-file statistics prune on any of them.
+Four metadata dimensions are quantised to three bits each, in their own order: language and
+source (by the bytes after what all values begin with), size (by powers of two) and doc_id.
+Values fall into 65,536 buckets a dimension at most; a bucket's code is the eighth of all
+rows that come before it, from counts of buckets, so codes are ranks and the range of values
+of a run of rows is narrow. Rows are ordered by the index of their cell on the
+four-dimensional Hilbert curve and cut into runs of equal row counts (law ``rows``), so each
+file covers a compact box of every dimension and file statistics prune on any of them.
 
 A global rank needs no global sort: the cells (4096 at most) are counted, crowded
-cells are split by a hash of doc_id, the counts of the resulting buckets are summed
-up in curve order, and rows are numbered inside their bucket. A source or a text that
-holds a third of all rows is spread over as many buckets as its count asks for.
+cells are split by a hash of doc_id and text, the counts of the resulting buckets are
+summed up in curve order, and rows are numbered inside their bucket. A source, a text or a
+doc_id that holds a third of all rows is spread over as many buckets as its count asks for;
+only rows alike in doc_id and text stay together.
 
 Defined results: a null text has size 1 and the checksum of the empty text; null
-metadata has its own code; null doc_ids come first in their cell; repeated rows get
+metadata come before all values; null doc_ids come first in their bucket; repeated rows get
 different slots; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
 BITS, DIMS = 3, 4
-#: buckets that crowded cells add, at most; and rows that a bucket may always have
-BUCKETS, LEAST = 1024, 1000
+#: buckets that crowded cells add, about, and rows that a bucket may have at least and at most
+BUCKETS, LEAST, MOST = 1024, 1000, 1_000_000
+#: hexadecimal digits of a text value that make its bucket
+DIGITS = 4
 
 
 def size_column(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def _prefix(low: str | None, high: str | None) -> int:
+    """Hexadecimal digits that all values from low to high begin with."""
+    return len(os.path.commonprefix([x.encode().hex() for x in (low or "", high or "")])) // 2 * 2
+
+
 def quantised(df: DataFrame) -> DataFrame:
-    """x0..x3, each below 2**BITS. Needs lang, source, size and doc_id."""
-    top = (1 << BITS) - 1
-    code = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("\0")).cast("binary")).bitwiseAND(F.lit(top)).cast("int")
-    low, high = df.agg(F.min("doc_id"), F.max("doc_id")).first()
-    span = 1 if low is None else high - low + 1
-    place = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low or 0}) * {1 << BITS} / {span} as int)"), F.lit(0))
-    power = F.floor(F.log2(F.col("size").cast("double"))).cast("int") - 6
-    return df.withColumns({"x0": code("lang"), "x1": code("source"), "x2": F.greatest(F.lit(0), F.least(F.lit(top), power)), "x3": place})
+    """x0..x3, each below 2**BITS, in the order of lang, source, size and doc_id."""
+    r = df.agg(F.min("doc_id"), F.max("doc_id"), F.min("lang"), F.max("lang"), F.min("source"), F.max("source")).first()
+    low, span = (0, 1) if r[0] is None else (r[0], r[1] - r[0] + 1)
+    text = lambda c, at: F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("binary")), at + 1, DIGITS), DIGITS, "0"), 16, 10)
+    place = F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) * {1 << 4 * DIGITS} / {span} as int)")
+    buckets = [text("lang", _prefix(r[2], r[3])), text("source", _prefix(r[4], r[5])), F.floor(F.log2(F.col("size").cast("double"))), place]
+    names = [f"x{i}" for i in range(DIMS)]
+    df = cut(df.withColumns({c: F.coalesce(b.cast("int"), F.lit(-1)) for c, b in zip(names, buckets, strict=True)}))
+    counts = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.col(c).alias("b")) for i, c in enumerate(names)])).alias("x")).groupBy("x.d", "x.b").agg(F.count("*").alias("n"))
+    # At most 65,537 rows a dimension: a proven bound.
+    w = Window.partitionBy("d").orderBy("b")
+    codes = cut(counts.withColumn("code", F.floor((F.sum("n").over(w) - F.col("n")) * (1 << BITS) / F.sum("n").over(Window.partitionBy("d"))).cast("int")))
+    for i, c in enumerate(names):
+        df = df.join(F.broadcast(codes.where(F.col("d") == i).select(F.col("b").alias(c), F.col("code").alias(f"{c}_"))), c).drop(c).withColumnRenamed(f"{c}_", c)
+    return df
 
 
 def curve_index(df: DataFrame, dims: int = DIMS, bits: int = BITS, name: str = "h") -> DataFrame:
@@ -71,19 +90,19 @@ def curve_index(df: DataFrame, dims: int = DIMS, bits: int = BITS, name: str = "
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, lang, source of every row."""
     narrow = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), size_column(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    tie = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
+    tie = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string")).cast("binary"))
     # The text is read once; what follows reads only this narrow table.
-    rows = cut(curve_index(quantised(narrow)).select("doc_id", "size", "text_crc32", "h", F.substring(tie, 1, 8).alias("tie")))
+    rows = cut(curve_index(quantised(cut(narrow))).select("doc_id", "size", "text_crc32", "lang", "source", "h", F.substring(tie, 1, 8).alias("tie")))
     cells = rows.groupBy("h").agg(F.count("*").alias("n"))
     total = rows.count()
-    target = max(LEAST, -(-total // BUCKETS))
+    target = max(LEAST, min(MOST, -(-total // BUCKETS)))
     # At most 2**(BITS * DIMS) cells: a proven bound.
     cells = cells.select("h", F.ceil(F.col("n") / target).cast("int").alias("parts"))
     part = F.floor(F.coalesce(F.conv(F.col("tie"), 16, 10).cast("long"), F.lit(0)) * F.col("parts") / F.lit(1 << 32)).cast("int")
     dealt = rows.join(F.broadcast(cells), "h").withColumn("part", part).drop("parts")
-    # At most cells + BUCKETS rows.
+    # At most cells + BUCKETS rows, or one for MOST rows.
     upto = Window.orderBy("h", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("h", "part").agg(F.count("*").alias("n")).select("h", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     inside = Window.partitionBy("h", "part").orderBy("tie", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
@@ -91,9 +110,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     n = max(1, total)
     shard = F.expr(f"cast((rank * {shards}) div {n} as int)")
     start = F.expr(f"((shard * {n}L) + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source")
 
 
-def write_shards(rows: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """Write rows that carry shard and slot, in slot order, each shard in its own folder."""
-    rows.repartitionByRange(files_per_shard * 8, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(rows: DataFrame, path: str, files_per_shard: int = 1, shards: int = 8) -> None:
+    """Write rows that carry shard and slot, in slot order, each shard in its own folder, in files
+    that are runs of the curve: their statistics on lang, source, size and doc_id are narrow."""
+    rows.repartitionByRange(files_per_shard * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

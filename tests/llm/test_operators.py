@@ -187,6 +187,43 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 507
 
 
+def test_files_prune(spark, tmp_path):
+    """Predicates on any of the four dimensions touch far fewer files than in a random layout."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(33)
+    langs, sites = ["de", "en", "es", "fr", "it", "pt", "ru", "zh"], [f"https://site{k:03}.example" for k in range(400)]
+    rows = [(k, "x" * int(2 ** rng.uniform(3, 12)), rng.choice(langs), rng.choice(sites), None) for k in range(6000)]
+    rng.shuffle(rows)
+    out = hilbert.hilbert_shards(spark.createDataFrame(rows, DOCS))
+    hilbert.write_shards(out, str(tmp_path / "curve"), files_per_shard=16)
+    out.repartitionByRange(128, F.xxhash64("doc_id")).write.parquet(str(tmp_path / "random"))
+    asked = [("lang", "es", "es"), ("source", sites[7], sites[7]), ("source", sites[390], sites[399]), ("size", 1500, 1600), ("size", 10, 12), ("doc_id", 700, 760)]
+
+    def touched(folder):
+        n, files = Counter(), glob.glob(f"{folder}/**/*.parquet", recursive=True)
+        for f in files:
+            group = pq.ParquetFile(f).metadata.row_group(0)
+            stats = {group.column(i).path_in_schema: group.column(i).statistics for i in range(group.num_columns)}
+            for k, (c, low, high) in enumerate(asked):
+                n[k] += stats[c].min <= high and stats[c].max >= low
+        return [n[k] / len(files) for k in range(len(asked))]
+
+    curve, rand = touched(tmp_path / "curve"), touched(tmp_path / "random")
+    assert max(curve) < 0.5 and min(rand) > 0.5 and sum(curve) < 0.4 * sum(rand), (curve, rand)
+
+
+def test_hot_and_missing_ids_are_split(spark):
+    """Rows without doc_id, and copies of one, do not make one bucket."""
+    df = spark.createDataFrame([(None if k % 2 else 5, f"text {k}", "en", "a", None) for k in range(6000)], DOCS)
+    out = hilbert.hilbert_shards(df)
+    assert sorted(r["slot"] for r in out.where("shard = 3").collect()) == list(range(750))
+    parts = df.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))).select(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string")).cast("binary")), 1, 8)).distinct()
+    assert parts.count() > 5900
+
+
 # ---- 4 ----------------------------------------------------------------------------------------
 def brute_groups(rows):
     sets = []
