@@ -252,7 +252,7 @@ add("stream_bars_15m", {"ts": None, "open": 6, "high": 6, "low": 6, "close": 6,
 
 def _sse(spark, sf):
     """Events written as stream lines and read back through the frame parser and typed rows."""
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 2000000000")
+    e = spark.read.parquet(f"{sf}/events.parquet")
     no = "event_id * 4"
     lines = e.selectExpr("to_date(ts) AS file", f"explode(array(named_struct('no', {no}, 'line', ': keep-alive'), named_struct('no', {no} + 1, 'line', concat('data: {{\"ts\": \"', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'Z\",')), named_struct('no', {no} + 2, 'line', concat('data: \"value\": ', CAST(value AS STRING), '}}')), named_struct('no', {no} + 3, 'line', ''))) AS x".replace("{{", "{").replace("}}", "}"))
     frames = wire.event_frames(lines.select("file", "x.no", "x.line"))

@@ -8,14 +8,16 @@ from .grid import ZERO
 
 
 def gap_runs(bars: DataFrame, seconds: int = 60) -> DataFrame:
-    """start, length of each run of gap bars. Days are numbered apart and runs that meet at
-    midnight are joined over the short list of runs, so no window spans the whole series."""
+    """start, length of each run of gap bars. Days are numbered apart; only runs that touch a
+    midnight, two a day at most, are compared with each other across days."""
     g = bars.where("is_gap").selectExpr("ts", f"timestampdiff(SECOND, {ZERO}, ts) div {seconds} AS n", "to_date(ts) AS day")
     g = g.withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("day").orderBy("n")))
     runs = g.groupBy("day", "island").agg(F.min("n").alias("a"), F.max("n").alias("b"), F.min("ts").alias("start"))
+    runs = runs.withColumn("edge", F.expr(f"(a * {seconds}) % 86400 < {seconds} OR ((b + 1) * {seconds}) % 86400 < {seconds}"))
     w = Window.orderBy("a")
-    runs = runs.withColumn("new", (F.col("a") != F.lag("b", 1, -9).over(w) + 1).cast("int")).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("run").agg(F.min("start").alias("start"), (F.max("b") - F.min("a") + 1).alias("length")).select("start", "length")
+    edge = runs.where("edge").withColumn("new", (F.col("a") != F.lag("b", 1, -9).over(w) + 1).cast("int")).withColumn("run", F.sum("new").over(w))
+    joined = edge.groupBy("run").agg(F.min("start").alias("start"), (F.max("b") - F.min("a") + 1).alias("length")).select("start", "length")
+    return joined.unionByName(runs.where("NOT edge").selectExpr("start", "b - a + 1 AS length"))
 
 
 def tick_density(bars: DataFrame) -> DataFrame:

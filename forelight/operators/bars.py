@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .grid import ZERO, bucket, complete
 
 FREQ_SECONDS = {"1s": 1, "5s": 5, "15s": 15, "30s": 30, "1m": 60, "5m": 300, "15m": 900, "1h": 3600}
+ON_SECOND = "CAST(date_trunc('SECOND', ts) AS TIMESTAMP_NTZ) = ts"
 MAX_RETURN_GAP_S, TAIL_TOLERANCE_S = 60, 5
 BAR_COLUMNS = ("ts", "open", "high", "low", "close", "mean", "std", "rv_1s", "ret_l10", "ret_l30", "n_ticks", "n_raw_ticks", "is_gap", "is_full")
 
@@ -14,22 +15,23 @@ BAR_COLUMNS = ("ts", "open", "high", "low", "close", "mean", "std", "rv_1s", "re
 def aggregate(ticks: DataFrame, freq: str, every_tick: bool = False) -> DataFrame:
     """Bars of the intervals that hold ticks. Only ticks on a whole second enter prices
     and returns (all ticks with ``every_tick``); a return belongs to its later tick, spans
-    a minute at most and never crosses a UTC day, so the day partitions the work."""
+    a minute at most and never crosses a UTC day, so the day partitions the work. Ticks of one
+    time are taken by value, the least first."""
     s = FREQ_SECONDS[freq]
-    on = "true" if every_tick else "CAST(date_trunc('SECOND', ts) AS TIMESTAMP_NTZ) = ts"
+    on = "true" if every_tick else ON_SECOND
     sec = f"timestampdiff(SECOND, {ZERO}, ts)"
     t = ticks.select("ts", "value").selectExpr("ts", "value", f"{on} AS on_sec", f"{sec} AS sec", f"{sec} % {s} AS off", "CASE WHEN value > 0 THEN ln(value) END AS lv", "to_date(ts) AS day")
-    w = Window.partitionBy("day", "on_sec").orderBy("ts")
+    w = Window.partitionBy("day", "on_sec").orderBy("ts", "value")
     t = t.withColumns({"dt": F.expr("sec") - F.lag("sec").over(w), "dl": F.col("lv") - F.lag("lv").over(w)})
     t = t.withColumn("r", F.when(F.col("on_sec") & (F.col("dt") <= MAX_RETURN_GAP_S), F.col("dl")))
-    here = "FILTER (WHERE on_sec)"
+    here, at = "FILTER (WHERE on_sec)", "struct(ts, value)"
 
     def tail(n: int) -> str:
         mark = s - 1 - n
-        return f"CASE WHEN max(off) {here} >= {s - TAIL_TOLERANCE_S} THEN max_by(lv, ts) {here} - max_by(lv, ts) FILTER (WHERE on_sec AND off <= {mark} AND off > {mark - TAIL_TOLERANCE_S}) END"
+        return f"CASE WHEN max(off) {here} >= {s - TAIL_TOLERANCE_S} THEN max_by(lv, {at}) {here} - max_by(lv, {at}) FILTER (WHERE on_sec AND off <= {mark} AND off > {mark - TAIL_TOLERANCE_S}) END"
 
     exprs = {
-        "open": f"min_by(value, ts) {here}", "high": f"max(value) {here}", "low": f"min(value) {here}", "close": f"max_by(value, ts) {here}", "mean": f"avg(value) {here}", "std": f"stddev_pop(value) {here}",
+        "open": f"min_by(value, {at}) {here}", "high": f"max(value) {here}", "low": f"min(value) {here}", "close": f"max_by(value, {at}) {here}", "mean": f"avg(value) {here}", "std": f"stddev_pop(value) {here}",
         "rv_1s": f"CASE WHEN count(r) >= {max(s // 2, 1)} THEN sum(r * r) * {s} / count(r) END", "ret_l10": tail(10), "ret_l30": tail(30), "n_ticks": "count_if(on_sec)", "n_raw_ticks": "count(*)",
     }
     return t.groupBy(F.expr(bucket("ts", s)).alias("ts")).agg(*[F.expr(e).alias(c) for c, e in exprs.items()])
@@ -37,11 +39,13 @@ def aggregate(ticks: DataFrame, freq: str, every_tick: bool = False) -> DataFram
 
 def to_bars(ticks: DataFrame, freq: str = "1m", every_tick: bool = False) -> DataFrame:
     """Bars on a complete grid. Ticks that all miss the whole second are an error."""
-    bars = aggregate(ticks, freq, every_tick)
-    totals = bars.agg(F.sum("n_ticks"), F.sum("n_raw_ticks")).first()
-    if totals[1] and not totals[0]:
+    size = FREQ_SECONDS[freq]
+    label = f"(timestampdiff(SECOND, {ZERO}, ts) div {size}) * {size}"
+    # Four scalars from one scan without a shuffle; the aggregate itself runs once.
+    low, high, n, whole = ticks.agg(F.expr(f"min({label})"), F.expr(f"max({label})"), F.count("*"), F.count_if(F.expr("true" if every_tick else ON_SECOND))).first()
+    if n and not whole:
         raise ValueError("there are ticks, but none on a whole second: once-per-second bars can't be built")
-    out = complete(bars, FREQ_SECONDS[freq])
+    out = complete(aggregate(ticks, freq, every_tick), size, low, high)
     n = F.coalesce("n_ticks", F.lit(0))
     out = out.withColumns({"n_ticks": n, "n_raw_ticks": F.coalesce("n_raw_ticks", F.lit(0))})
     return out.withColumns({"is_gap": F.col("n_ticks") == 0, "is_full": F.col("n_ticks") == FREQ_SECONDS[freq]}).select(*BAR_COLUMNS)

@@ -13,19 +13,23 @@ ZERO = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 BLOCK = 10_080
 
 
+def at_second(seconds: str) -> str:
+    """The time so many seconds after ZERO; no 32-bit number is in between."""
+    return f"({ZERO} + make_dt_interval(CAST(({seconds}) div 86400 AS INT), 0, 0, CAST(({seconds}) % 86400 AS DECIMAL(18, 6))))"
+
+
 def bucket(ts: str, seconds: int) -> str:
-    return f"timestampadd(SECOND, CAST((timestampdiff(SECOND, {ZERO}, {ts}) div {seconds}) * {seconds} AS INT), {ZERO})"
+    return at_second(f"(timestampdiff(SECOND, {ZERO}, {ts}) div {seconds}) * {seconds}")
 
 
-def complete(bars: DataFrame, seconds: int) -> DataFrame:
-    """One row for each interval between the first and the last label: two scalars reach
-    the driver, the grid itself is a distributed range."""
-    low, high = bars.select(F.expr(f"timestampdiff(SECOND, {ZERO}, ts)").alias("s")).agg(F.min("s"), F.max("s")).first()
+def complete(bars: DataFrame, seconds: int, low: int | None, high: int | None) -> DataFrame:
+    """One row for each interval from label ``low`` to ``high`` (seconds after ZERO): the grid is a
+    distributed range."""
     spark = bars.sparkSession
     if low is None:
         return bars
     steps = (high - low) // seconds + 1
-    grid = spark.range(0, steps).selectExpr(f"timestampadd(SECOND, CAST({low} + id * {seconds} AS INT), {ZERO}) AS ts")
+    grid = spark.range(0, steps).selectExpr(f"{at_second(f'{low} + id * {seconds}')} AS ts")
     return grid.join(bars, "ts", "left")
 
 

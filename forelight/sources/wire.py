@@ -49,23 +49,26 @@ def format_time(at: dt.datetime) -> str:
     return at.strftime("%Y-%m-%dT%H:%M:%S.%fZ")
 
 
-def parse_events(lines: Iterable[str]) -> Iterator[tuple[str, str]]:
-    """(event, data): a blank line ends an event, ':' starts a comment, data lines join; an
-    event that no blank line ends is dropped."""
-    event, data = "message", []
-    for line in lines:
-        line = line.rstrip("\r\n")
-        if not line:
-            if data:
-                yield event, "\n".join(data)
-            event, data = "message", []
-        elif not line.startswith(":"):
+def parse_frames(lines: Iterable[str]) -> Iterator[tuple[str, str, str | None, int | None]]:
+    """(event, data, id, retry): a blank line ends an event, ':' starts a comment, data lines join, the
+    last of other fields counts; an event needs a name or data, and one that no blank line ends is
+    dropped."""
+    seen: dict[str, list[str]] = {}
+    for line in map(lambda x: x.rstrip("\r\n"), lines):
+        if line and not line.startswith(":"):
             name, _, value = line.partition(":")
-            value = value.removeprefix(" ")
-            if name == "data":
-                data.append(value)
-            elif name == "event":
-                event = value
+            seen.setdefault(name, []).append(value.removeprefix(" "))
+        elif not line:
+            last = {k: v[-1] for k, v in seen.items()}
+            if "event" in seen or "data" in seen:
+                wait = last.get("retry", "")
+                yield last.get("event") or "message", "\n".join(seen.get("data", ())), last.get("id"), int(wait) if wait.isdigit() else None
+            seen = {}
+
+
+def parse_events(lines: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """(event, data) of each frame."""
+    return (frame[:2] for frame in parse_frames(lines))
 
 
 def typed_row(raw: dict, spec: TableSpec) -> tuple:
@@ -149,16 +152,21 @@ def rows_of_json(df: DataFrame, column: str, spec: TableSpec) -> DataFrame:
 
 
 def event_frames(lines: DataFrame) -> DataFrame:
-    """Recorded stream lines (file, no, line) to frames (file, no, event, data) in SQL: a blank line
-    closes a frame; a frame number is the count of blank lines before a line."""
+    """Recorded stream lines (file, no, line) to frames (file, no, event, data, id, retry) in SQL, by the
+    rules of ``parse_frames``; a frame number is the count of blank lines before a line. A file, which
+    is a day's stream, is ordered in one task."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("file").orderBy("no")
-    t = lines.withColumn("frame", F.coalesce(F.sum((F.col("line") == "").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    data, kind = F.col("line").startswith("data:"), F.col("line").startswith("event:")
-    body = lambda n: F.regexp_replace(F.substring("line", n, 1_000_000), "^ ", "")
+    t = lines.withColumn("line", F.regexp_replace("line", "[\r\n]+$", "")).withColumn("frame", F.coalesce(F.sum((F.col("line") == "").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("colon", F.instr("line", ":")).withColumn("name", F.expr("CASE WHEN colon = 0 THEN line ELSE substring(line, 1, colon - 1) END"))
+    t = t.withColumn("value", F.expr("CASE WHEN colon = 0 THEN '' WHEN substring(line, colon + 1, 1) = ' ' THEN substring(line, colon + 2) ELSE substring(line, colon + 1) END"))
+    is_ = lambda name: F.col("name") == name
+    last = lambda name: F.max_by(F.when(is_(name), F.col("value")), F.when(is_(name), F.col("no")))
     g = t.groupBy("file", "frame").agg(
-        F.max("no").alias("no"), F.max((F.col("line") == "").cast("int")).alias("closed"), F.coalesce(F.max_by(F.when(kind, body(7)), F.when(kind, F.col("no"))), F.lit("message")).alias("event"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(data, F.struct("no", body(6).alias("d"))))), lambda x: x["d"]), "\n").alias("data"), F.count_if(data).alias("parts"),
+        F.max("no").alias("no"), F.count_if(F.col("line") == "").alias("closed"), F.coalesce(F.nullif(last("event"), F.lit("")), F.lit("message")).alias("event"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(is_("data"), F.struct("no", F.col("value").alias("d"))))), lambda x: x["d"]), "\n").alias("data"),
+        last("id").alias("id"), last("retry").alias("retry"), F.count_if(is_("data") | is_("event")).alias("parts"),
     )
-    return g.where("closed = 1 AND parts > 0").select("file", "no", "event", "data")
+    retry = F.when(F.col("retry").rlike("^[0-9]+$"), F.col("retry").cast("bigint"))
+    return g.where("closed > 0 AND parts > 0").select("file", "no", "event", "data", "id", retry.alias("retry"))

@@ -84,3 +84,9 @@ def test_store_checks_version_and_grid(spark, tmp_path):
 def test_gap_runs_join_over_midnight(spark):
     b = B.to_bars(ticks(spark, [(0, 1), (60, 1), (86400 + 600, 1)]), "1m")
     assert [(r["start"], r["length"]) for r in audit.gap_runs(b).collect()] == [(T0 + dt.timedelta(minutes=2), 1440 + 10 - 2)]
+
+
+def test_ticks_of_one_time_and_far_years(spark):
+    at = lambda rows: spark.createDataFrame([(dt.datetime(2045, 1, 1) + dt.timedelta(seconds=s), float(v)) for s, v in rows], "ts timestamp_ntz, value double")
+    one, two = (rows(B.to_bars(at(x), "1m")) for x in ([(0, 3), (0, 1), (5, 2), (5, 9)], [(5, 9), (0, 1), (5, 2), (0, 3)]))
+    assert one == two and (one[0]["open"], one[0]["close"], one[0]["ts"]) == (1, 9, dt.datetime(2045, 1, 1))

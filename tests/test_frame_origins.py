@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,28 @@ def test_splits_are_disjoint_with_embargo():
         splits.split_bounds(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 5))
     assert splits.spread_rows(10, 4) == [0, 3, 6, 9] and splits.spread_rows(3, 5) == [0, 1, 2]
     assert splits.lr_at(0, 100, 10, 1.0) == pytest.approx(0.1) and splits.lr_at(100, 100, 10, 1.0) == pytest.approx(0)
+
+
+def test_learning_rate_counts_from_zero():
+    """Step s here is step s + 1 of a schedule that counts from 1."""
+    from_one = lambda n: n / 10 if n <= 10 else 0.5 * (1 + np.cos(np.pi * (n - 10) / 100))
+    assert all(splits.lr_at(s, 110, 10, 1.0) == pytest.approx(from_one(s + 1)) for s in range(110))
+
+
+def test_given_split_dates_and_no_common_rows(spark, origins, frame):
+    first = frame.agg(F.min("ts")).first()[0]
+    day = dt.datetime(2024, 1, 1)
+    b = splits.split_bounds(first, day + dt.timedelta(hours=2, minutes=10), embargo_minutes=5, val_start=day + dt.timedelta(hours=1), test_start=day + dt.timedelta(hours=1, minutes=40))
+    s = splits.assign_splits(origins.where("ok"), first, b).where("split IS NOT NULL")
+    reach = s.selectExpr("split", "explode(sequence(i + 1, i + n_steps)) AS target")
+    parts = [reach.where(f"split = '{n}'").select("target") for n in splits.SPLITS]
+    assert all(not p.isEmpty() for p in parts)
+    assert all(parts[i].intersect(parts[j]).isEmpty() for i in range(3) for j in range(i))
+
+
+def test_interpolation_by_rows_matches_numpy():
+    r = np.random.default_rng(4)
+    x = np.where(r.random((40, 30)) < 0.6, np.nan, r.normal(size=(40, 30)))
+    for row, got in zip(x, covariates.interpolate_rows(x), strict=True):
+        have = np.flatnonzero(~np.isnan(row))
+        assert np.allclose(got, np.interp(np.arange(30), have, row[have]) if len(have) else 0.0)

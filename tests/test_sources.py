@@ -13,6 +13,16 @@ def test_event_frames_by_both_parsers(spark):
     assert [(r["event"], r["data"]) for r in W.event_frames(df).orderBy("no").collect()] == [("meta", '{"a":\n1}'), ("message", "x")]
 
 
+def test_frames_keep_id_retry_and_events_without_data(spark):
+    long = "x" * 1_200_000
+    text = [":", "event: meta", 'data: {"a": 1}', "retry: 10000", "", "event: row", "data: {}", "id: 7", "", "event: ping", "", f"data: {long}", "data", "retry: soon", "", "", "id: 9", "", "event: done", "data: {}"]
+    want = [("meta", '{"a": 1}', None, 10_000), ("row", "{}", "7", None), ("ping", "", None, None), ("message", long + "\n", None, None)]
+    assert list(W.parse_frames(f"{x}\r\n" for x in text)) == want
+    # line numbers beyond 32 bits order lines as well
+    df = spark.createDataFrame([("f", (1 << 33) + i, s) for i, s in enumerate(text)], "file string, no long, line string")
+    assert [(r["event"], r["data"], r["id"], r["retry"]) for r in W.event_frames(df).orderBy("no").collect()] == want
+
+
 def test_times():
     assert W.parse_time("2024-01-01T02:00:00.1234567+02:00") == dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
     assert W.parse_time(W.format_time(dt.datetime(2024, 5, 6, 7, 8, 9, 10))) == dt.datetime(2024, 5, 6, 7, 8, 9, 10)
