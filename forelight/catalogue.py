@@ -243,6 +243,12 @@ _signal = lambda spark, sf: cut(signals.signal_frame(minute_frame(spark, sf), _V
 add("vol_forecast_quality", {"split": None, "sigma": None, "corr_log": 5, "qlike_rv": 5, "qlike_r2": 5, "n": None}, [*S.signals(_V, _T), f"vq AS ({S.vol_quality()})"], "vq")(lambda spark, sf: signals.vol_quality(_signal(spark, sf)))
 add("ols_gap", {"h": None, "gap": None, "split": None, "slope": 6, "skill": 6, "n": None}, [*S.signals(_V, _T), f"og AS ({S.ols()})"], "og")(lambda spark, sf: signals.ols_gap(_signal(spark, sf)))
 add("trade_sim", {"h": None, "threshold": 2, "split": None, "trades": None, "gross_c": 6, "net_c": 6, "pnl_c": 6, "hit": 6}, [*S.signals(_V, _T), f"ts_ AS ({S.trades()})"], "ts_")(lambda spark, sf: signals.trade_sim(_signal(spark, sf)))
+add("ols_days", {"h": None, "gap": None, "split": None, "date": None, "n": None, "se": 7, "se_0": 7}, [*S.signals(_V, _T), f"od AS ({S.ols_days()})"], "od")(lambda spark, sf: signals.ols_days(_signal(spark, sf)))
+add("trade_days", {"h": None, "threshold": 2, "split": None, "date": None, "trades": None, "pnl": 6}, [*S.signals(_V, _T), f"td AS ({S.trade_days()})"], "td")(lambda spark, sf: signals.trade_days(_signal(spark, sf)))
+_CI = {"stat": None, "lo": 6, "hi": 6, "n_days": None}
+add("ols_intervals", {"h": None, "gap": None, "split": None, **_CI})(lambda spark, sf: signals.ols_intervals(_signal(spark, sf)))
+add("trade_intervals", {"h": None, "threshold": 2, "split": None, **_CI})(lambda spark, sf: signals.trade_intervals(_signal(spark, sf)))
+add("gbt_importances", {"place": None, "feature": None, "share": 4})(lambda spark, sf: signals.gbt_importances(_signal(spark, sf)))
 add("gbt_signal", {"split": None, "n": None, "skill": 4})(lambda spark, sf: signals.gbt_signal(_signal(spark, sf)))
 add("logit_recal", {"features": None, "split": None, "n": None, "bss": 4})(lambda spark, sf: signals.logit_recalibration(_signal(spark, sf)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.mathx import h_eff, norm_cdf, z_score
+from .bootstrap import Ratio, intervals
 from .grid import block_window, blocked, unblocked
 
 HORIZONS, FEE = (1, 2, 3, 5, 8), 0.07
@@ -49,64 +50,101 @@ def signal_frame(frame: DataFrame, val_start: str, test_start: str, horizons=HOR
     return f.withColumn("split", F.expr(split_label(val_start, test_start)))
 
 
+def _stacked(f: DataFrame, keep: list[str], cases: list[dict[str, object]]) -> DataFrame:
+    """One row of ``f`` for each case, a set of columns by SQL expression (or a plain value): the frame
+    is read once, however many cases there are."""
+    names = list(cases[0])
+    value = lambda x: x if isinstance(x, str) else repr(x)
+    structs = [f"struct({', '.join(f'{value(c[n])} AS {n}' for n in names)})" for c in cases]
+    return f.selectExpr(*keep, f"inline(array({', '.join(structs)}))")
+
+
 def vol_quality(f: DataFrame) -> DataFrame:
-    """By sigma and split: correlation of logs and QLIKE on the forecast's own level. Two passes:
-    the means join back as one row a group."""
-    out = None
-    for s in SIGMAS:
-        d = f.where(f"{s} > 0 AND fut_rv > 0 AND fut_r2 > 0").selectExpr("split", f"power({s}, 2) AS s2", "fut_rv AS a", "fut_r2 AS b")
-        m = d.groupBy("split").agg(F.avg("s2").alias("ms"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-        d = d.join(m, "split").selectExpr("split", "ln(s2) AS ls", "ln(a) AS la", "a / (s2 * ma / ms) AS ra", "b / (s2 * mb / ms) AS rb")
-        t = d.groupBy("split").agg(F.corr("ls", "la").alias("corr_log"), F.expr("avg(ra - ln(ra) - 1e0)").alias("qlike_rv"), F.expr("avg(rb - ln(rb) - 1e0)").alias("qlike_r2"), F.count("*").alias("n")).withColumn("sigma", F.lit(s))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """By sigma and split: correlation of logs and QLIKE on the forecast's own level. The means, one
+    row a group, join back."""
+    d = _stacked(f.where("fut_rv > 0 AND fut_r2 > 0"), ["split", "fut_rv AS a", "fut_r2 AS b"], [{"sigma": f"'{s}'", "s2": f"CASE WHEN {s} > 0 THEN power({s}, 2) END"} for s in SIGMAS]).where("s2 IS NOT NULL")
+    m = d.groupBy("split", "sigma").agg(F.avg("s2").alias("ms"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    d = d.join(F.broadcast(m), ["split", "sigma"]).selectExpr("split", "sigma", "ln(s2) AS ls", "ln(a) AS la", "a / (s2 * ma / ms) AS ra", "b / (s2 * mb / ms) AS rb")
+    return d.groupBy("split", "sigma").agg(F.corr("ls", "la").alias("corr_log"), F.expr("avg(ra - ln(ra) - 1e0)").alias("qlike_rv"), F.expr("avg(rb - ln(rb) - 1e0)").alias("qlike_r2"), F.count("*").alias("n"))
+
+
+def ols_days(f: DataFrame, horizons=HORIZONS, gaps=("gap_old", "gap_rv60", "gap_rv15")) -> DataFrame:
+    """By horizon, gap, split and day: rows, squared errors of the line fitted on train (d_h on the gap
+    by least squares) and of no change. Blocks of an interval, and all that the skill needs."""
+    o = f.where("quote_ok AND k <= 12 AND gap_old IS NOT NULL AND gap_rv60 IS NOT NULL")
+    d = _stacked(o, ["split", "date"], [{"h": h, "gap": f"'{g}'", "y": f"d{h}", "x": g} for h in horizons for g in gaps]).where("y IS NOT NULL AND x IS NOT NULL")
+    line = d.where("split = 'train'").groupBy("h", "gap").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("base"))
+    t = d.where("split <> 'train'").join(F.broadcast(line), ["h", "gap"])  # a row for each horizon and gap
+    return t.groupBy("h", "gap", "split", "date").agg(F.first("slope").alias("slope"), F.count("*").alias("n"), F.expr("sum(power(y - (base + slope * x), 2))").alias("se"), F.expr("sum(power(y, 2))").alias("se_0"))
 
 
 def ols_gap(f: DataFrame, horizons=HORIZONS, gaps=("gap_old", "gap_rv60", "gap_rv15")) -> DataFrame:
     """d_h on the gap by least squares over train; out-of-sample skill against no change."""
-    o = f.where("quote_ok AND k <= 12 AND gap_old IS NOT NULL AND gap_rv60 IS NOT NULL")
-    out = None
-    for h in horizons:
-        for g in gaps:
-            d = o.where(f"d{h} IS NOT NULL AND {g} IS NOT NULL").selectExpr("split", f"d{h} AS y", f"{g} AS x")
-            line = d.where("split = 'train'").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("base"))
-            t = d.where("split <> 'train'").join(F.broadcast(line), F.lit(True))  # one row
-            t = t.groupBy("split").agg(F.first("slope").alias("slope"), F.expr("1e0 - sum(power(y - (base + slope * x), 2)) / sum(power(y, 2))").alias("skill"), F.count("*").alias("n"))
-            t = t.select(F.lit(h).alias("h"), F.lit(g).alias("gap"), "split", "slope", "skill", "n")
-            out = t if out is None else out.unionByName(t)
-    return out
+    return ols_days(f, horizons, gaps).groupBy("h", "gap", "split").agg(F.first("slope").alias("slope"), F.expr("1e0 - sum(se) / sum(se_0)").alias("skill"), F.sum("n").alias("n"))
+
+
+def ols_intervals(f: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """Day-block intervals of the skills of ``ols_gap``."""
+    return intervals(ols_days(f), ["h", "gap", "split"], [Ratio("skill", "se", "se_0", skill=True)], n_boot, seed)
+
+
+def trades(f: DataFrame, horizons=HORIZONS, thresholds=(0.01, 0.02)) -> DataFrame:
+    """Every trade: enter at the quote when the fair value is off by more than a threshold, leave h
+    minutes later at the quote. Dollars a contract before and after spread and fee."""
+    cases = [{"h": h, "threshold": f"{thr!r}e0", "d": f"CASE WHEN abs(gap_rv60) > {thr!r}e0 THEN d{h} END", "bid_h": f"bid{h}", "ask_h": f"ask{h}"} for h in horizons for thr in thresholds]
+    d = _stacked(f.where("quote_ok AND k <= 12"), ["split", "date", "signum(gap_rv60) AS s", "yes_bid_close AS bid", "yes_ask_close AS ask"], cases).where("d IS NOT NULL")
+    d = d.selectExpr("h", "threshold", "split", "date", "s * d AS gross", "CASE WHEN s > 0 THEN bid_h - ask ELSE bid - ask_h END AS net", "CASE WHEN s > 0 THEN ask ELSE bid END AS p_in", "CASE WHEN s > 0 THEN bid_h ELSE ask_h END AS p_out")
+    return d.withColumn("pnl", F.expr(f"net - {FEE!r}e0 * (p_in * (1e0 - p_in) + p_out * (1e0 - p_out))"))
+
+
+def trade_days(f: DataFrame) -> DataFrame:
+    """By horizon, threshold, split and day: trades and the sum of what they made."""
+    return trades(f).groupBy("h", "threshold", "split", "date").agg(F.count("*").cast("double").alias("trades"), F.sum("pnl").alias("pnl"))
 
 
 def trade_sim(f: DataFrame, horizons=HORIZONS, thresholds=(0.01, 0.02)) -> DataFrame:
-    """Enter at the quote when the fair value is off by more than a threshold, leave h minutes
-    later at the quote: cents a contract before and after spread and fee."""
-    out = None
-    for h in horizons:
-        for thr in thresholds:
-            d = f.where(f"quote_ok AND k <= 12 AND d{h} IS NOT NULL AND abs(gap_rv60) > {thr!r}e0")
-            d = d.selectExpr("split", f"signum(gap_rv60) AS s", f"d{h} AS d", "yes_bid_close AS bid", "yes_ask_close AS ask", f"bid{h} AS bid_h", f"ask{h} AS ask_h")
-            d = d.selectExpr("split", "s * d AS gross", "CASE WHEN s > 0 THEN bid_h - ask ELSE bid - ask_h END AS net", "CASE WHEN s > 0 THEN ask ELSE bid END AS p_in", "CASE WHEN s > 0 THEN bid_h ELSE ask_h END AS p_out")
-            t = d.groupBy("split").agg(F.count("*").alias("trades"), F.expr("100e0 * avg(gross)").alias("gross_c"), F.expr("100e0 * avg(net)").alias("net_c"), F.expr(f"100e0 * avg(net - {FEE!r}e0 * (p_in * (1e0 - p_in) + p_out * (1e0 - p_out)))").alias("pnl_c"), F.expr("avg(CASE WHEN gross > 0 THEN 1e0 ELSE 0e0 END)").alias("hit"))
-            t = t.select(F.lit(h).alias("h"), F.lit(thr).alias("threshold"), "split", "trades", "gross_c", "net_c", "pnl_c", "hit")
-            out = t if out is None else out.unionByName(t)
-    return out
+    """Cents a contract of ``trades`` by horizon, threshold and split."""
+    t = trades(f, horizons, thresholds).groupBy("h", "threshold", "split")
+    return t.agg(F.count("*").alias("trades"), F.expr("100e0 * avg(gross)").alias("gross_c"), F.expr("100e0 * avg(net)").alias("net_c"), F.expr("100e0 * avg(pnl)").alias("pnl_c"), F.expr("avg(CASE WHEN gross > 0 THEN 1e0 ELSE 0e0 END)").alias("hit"))
+
+
+def trade_intervals(f: DataFrame, least: int = 30, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """Day-block intervals of cents a trade, where there are ``least`` trades."""
+    days = trade_days(f)
+    enough = days.groupBy("h", "threshold", "split").agg(F.sum("trades").alias("all")).where(F.col("all") >= least).drop("all")
+    return intervals(days.join(F.broadcast(enough), ["h", "threshold", "split"]), ["h", "threshold", "split"], [Ratio("pnl_c", "pnl", "trades", cents=True)], n_boot, seed)
 
 
 FEATURES = ("mid_close", "kf", "spread", "gap_old", "z_old", "log_volume", "log_oi", "gap_rv15", "gap_rv60", "gap_rv240", "z_rv60")
 
 
-def gbt_signal(f: DataFrame, h: int = 3, trees: int = 20) -> DataFrame:
-    """Boosted trees on the one-second features, stopped on validation; skill by split."""
+def _boosted(f: DataFrame, h: int, trees: int):
+    """The rows with their prediction, and the fitted trees; None where train or val is empty."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     d = f.withColumn("kf", F.col("k").cast("double")).where(f"quote_ok AND k <= 12 AND d{h} IS NOT NULL").dropna(subset=list(FEATURES))
     d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d.withColumn("val_", F.col("split") == "val"))
     if d.where("split = 'train'").isEmpty() or d.where("val_").isEmpty():
-        return d.sparkSession.createDataFrame([], "split string, n long, skill double")
+        return None
     model = GBTRegressor(labelCol=f"d{h}", maxIter=trees, maxDepth=4, stepSize=0.05, validationIndicatorCol="val_", validationTol=0.001, seed=0).fit(d.where("split IN ('train', 'val')"))
-    p = model.transform(d)
-    return p.groupBy("split").agg(F.count("*").alias("n"), F.expr(f"1e0 - sum(power(d{h} - prediction, 2)) / sum(power(d{h}, 2))").alias("skill"))
+    return model.transform(d), model
+
+
+def gbt_signal(f: DataFrame, h: int = 3, trees: int = 20) -> DataFrame:
+    """Boosted trees on the one-second features, stopped on validation; skill by split."""
+    made = _boosted(f, h, trees)
+    if made is None:
+        return f.sparkSession.createDataFrame([], "split string, n long, skill double")
+    return made[0].groupBy("split").agg(F.count("*").alias("n"), F.expr(f"1e0 - sum(power(d{h} - prediction, 2)) / sum(power(d{h}, 2))").alias("skill"))
+
+
+def gbt_importances(f: DataFrame, h: int = 3, trees: int = 20, top: int = 8) -> DataFrame:
+    """place, feature, share of the features that the trees of ``gbt_signal`` gained most from."""
+    made = _boosted(f, h, trees)
+    gain = made[1].featureImportances.toArray().tolist() if made else []
+    best = sorted(zip(gain, FEATURES, strict=False), key=lambda x: (-x[0], x[1]))[:top]
+    return f.sparkSession.createDataFrame([(i, n, float(g)) for i, (g, n) in enumerate(best, 1)], "place int, feature string, share double")
 
 
 def logit_recalibration(f: DataFrame) -> DataFrame:

@@ -242,6 +242,23 @@ def ols() -> str:
     return " UNION ALL ".join(parts)
 
 
+def ols_days() -> str:
+    parts = []
+    for h in (1, 2, 3, 5, 8):
+        for g in ("gap_old", "gap_rv60", "gap_rv15"):
+            d = f"(SELECT split, date, d{h} AS y, {g} AS x FROM sig WHERE quote_ok AND k <= 12 AND gap_old IS NOT NULL AND gap_rv60 IS NOT NULL AND d{h} IS NOT NULL AND {g} IS NOT NULL)"
+            parts.append(f"SELECT {h} AS h, '{g}' AS gap, split, date, count(*) AS n, sum(power(y - (base + slope * x), 2)) AS se, sum(power(y, 2)) AS se_0 FROM {d}, (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM {d} WHERE split = 'train') WHERE split <> 'train' GROUP BY split, date")
+    return " UNION ALL ".join(parts)
+
+
+def trade_days() -> str:
+    out = trades().replace("(SELECT split, sign", "(SELECT split, date, sign").replace("GROUP BY split", "GROUP BY split, date")
+    mean = out[out.index("100e0 * avg(net - ") : out.index(" AS pnl_c")]
+    first = out.index("count(*) AS trades")
+    head, tail = out[first : out.index(" AS hit") + len(" AS hit")], f"date, CAST(count(*) AS DOUBLE) AS trades, {mean.replace('100e0 * avg(', 'sum(')} AS pnl"
+    return out.replace(head, tail)
+
+
 def trades() -> str:
     parts = []
     for h in (1, 2, 3, 5, 8):
