@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.mathx import FAN_Q_COLS, Q_COLS, rounded
-from .operators import audit, bars as B, baselines, bootstrap, covariates, forecast, frame as FR, metrics, origins as O, signals, splits
+from .operators import audit, bars as B, baselines, bootstrap, covariates, forecast, frame as FR, metrics, origins as O, runs, signals, splits
 from .plans import oracle as S
-from .session import cut
+from .session import cut, shared_dir
 from .sources import fixtures, manifest, wire
 from .streaming import bars as stream
 
@@ -153,6 +154,38 @@ add("rw_fair_now", {"i": None, "m": None, "fair": 7}, [*S.origins(), f"fn AS (SE
 _FILTERED = [*S.metrics("", "quote_ok")]
 add("rescore_quote_ok", METRICS, _FILTERED, "mm")(lambda spark, sf: metrics.metrics_by(assembled(spark, sf).where("quote_ok"), []))
 
+
+
+def _model_long(spark, sf):
+    """A forecaster from outside, run on Arrow batches of contexts: the drift of the closed form."""
+    import numpy as np
+
+    def predict(x, horizon):
+        mid = x[:, -1:] + forecast.STEP * np.arange(1, horizon + 1)
+        return mid, mid[:, :, None] + forecast.WIDTH * (np.arange(9) - 4)
+
+    frame = minute_frame(spark, sf)
+    o = cut(all_origins(frame))
+    return forecast.model_forecast(frame, o, o.where("ok").selectExpr("i", "array(last_mid) AS target"), predict, horizon=16)
+
+
+add("forecast_model_long", _LONG, S.forecasts(), "longf")(_model_long)
+
+
+def _stored(spark, sf, quote_ok=False):
+    """A run written to the shared folder, and its tables when scored anew from there."""
+    frame = minute_frame(spark, sf)
+    o, fan = cut(all_origins(frame)), cut(baselines.persistence_fan(frame))
+    here = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    runs.store_run(forecast.assemble(forecast.drift_forecast(frame, o), frame, o, fan), fan, {"context": CONTEXT, "max_gap_frac": GAP}, f"{here}/first", n_boot=50)
+    return here, runs.rescore(spark, f"{here}/first", f"{here}/again", require_quote_ok=quote_ok)
+
+
+add("run_rescored", METRICS, _FILTERED, "mm")(lambda spark, sf: _stored(spark, sf, True)[1]["metrics_overall"])
+add("run_rescored_by_h", {"h": None, **METRICS}, S.metrics("h"), "mm")(lambda spark, sf: _stored(spark, sf)[1]["metrics_by_h"])
+add("run_summary", {"line": None})(lambda spark, sf: spark.read.text(f"{_stored(spark, sf)[0]}/again/summary").withColumnRenamed("value", "line"))
+add("error_by_h", {"h": None, "rmse_c": 7, "rmse_c_persist": 7, "mae_c": 7, "mae_c_persist": 7, "lo": 7, "hi": 7})(lambda spark, sf: runs.error_by_h(assembled(spark, sf), 200))
+
 # ---- scores -----------------------------------------------------------------------------------
 for _name, _by in {"overall": "", "by_h": "h", "by_m": "m", "by_mh": "m, h", "by_mgroup": "m_group", "by_hour": "hour", "by_vol": "vol_bucket"}.items():
     _keys = [x for x in _by.split(", ") if x]
@@ -253,7 +286,12 @@ add("gbt_signal", {"split": None, "n": None, "skill": 4})(lambda spark, sf: sign
 add("logit_recal", {"features": None, "split": None, "n": None, "bss": 4})(lambda spark, sf: signals.logit_recalibration(_signal(spark, sf)))
 
 # ---- streaming and ingestion ------------------------------------------------------------------
-add("stream_bars_15m", {"ts": None, "open": 6, "high": 6, "low": 6, "close": 6, "mean": 6, "n_ticks": None})(lambda spark, sf: stream.bars_of_available(spark, sf))
+_STREAM = [
+    "sb AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS b, ts, value FROM events)",
+    "sw AS (SELECT b AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, avg(value) AS mean, count(*) AS n_ticks FROM sb GROUP BY b)",
+    "sc AS (SELECT * FROM sw WHERE ts + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)",
+]
+add("stream_bars_15m", {"ts": None, "open": 6, "high": 6, "low": 6, "close": 6, "mean": 6, "n_ticks": None}, _STREAM, "sc")(lambda spark, sf: stream.bars_of_available(spark, sf))
 
 
 def _sse(spark, sf):

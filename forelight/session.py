@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -30,14 +31,19 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: spark.checkpoint.dir where the cluster names one,
-    a temporary folder only where it is unset (tests, single machine)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a single machine may do without it."""
     have = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(have or os.path.join(tempfile.gettempdir(), "forelight-checkpoints"))
-    return have
+    if not have and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return have or os.path.join(tempfile.gettempdir(), "forelight-checkpoints")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Let checkpoints go to the shared folder, unless they have one already."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:

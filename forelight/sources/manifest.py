@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut, ship
+from .store import write_days
+from .wire import TICKS, TableSpec, parse_events, typed_row
+
 FIELDS = "day date, rows bigint, complete boolean, file_exists boolean"
 VERSION = 2
 
@@ -48,8 +54,33 @@ def merge(manifest: DataFrame, news: DataFrame) -> DataFrame:
     return old.unionByName(news.withColumn("age", F.lit(0))).groupBy("day").agg(*[F.min_by(c, "age").alias(c) for c in ("rows", "complete", "file_exists")])
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def save(manifest: DataFrame, path: str) -> None:
-    manifest.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").json(path)
+    """Written beside the old one, which is then replaced by renaming: a reader sees either whole, and
+    what breaks off in between is taken up by ``load``."""
+    spark = manifest.sparkSession
+    new, old = f"{path}.new", f"{path}.old"
+    manifest.withColumn("version", F.lit(VERSION)).coalesce(1).write.mode("overwrite").json(new)
+    (at, fs), (to_new, _), (to_old, _) = _fs(spark, path), _fs(spark, new), _fs(spark, old)
+    fs.delete(to_old, True)
+    if fs.exists(at):
+        fs.rename(at, to_old)
+    if not fs.rename(to_new, at):
+        raise OSError(f"{new} can't be renamed to {path}")
+    fs.delete(to_old, True)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The stored records as the present version; none where nothing is stored."""
+    for place in (path, f"{path}.old"):
+        at, fs = _fs(spark, place)
+        if fs.exists(at):
+            return migrate(spark.read.json(place).withColumn("day", F.col("day").cast("date")))
+    return spark.createDataFrame([], FIELDS)
 
 
 @dataclass
@@ -95,3 +126,65 @@ class RateLimited(Exception):
 
 class BrokenStream(Exception):
     """The stream ended before its closing event."""
+
+
+FETCHED = "day date, ts timestamp_ntz, value double, told bigint, whole boolean"
+
+
+def fetch(plan: DataFrame, open_stream: Callable[[str], Iterator[str]], retry: Retry | None = None) -> DataFrame:
+    """The streams of the planned days: one row a tick, and one that closes each day, with the count that
+    the stream told (null if it broke off). ``open_stream`` takes a day and yields the lines of its
+    event stream; each day is one task's, with retries."""
+    retry = retry or Retry()
+
+    def run(batches):
+        for pdf in batches:
+            for day in pdf["day"]:
+                got, whole = retry.fetch(lambda day=day: day_rows(open_stream(str(day)), str(day)))
+                ticks = [x for x in got if x[0] is not None]
+                told = next((x[1] for x in got if x[0] is None), None)
+                out = pd.DataFrame({"day": [day] * (len(ticks) + 1), "ts": [x[0] for x in ticks] + [None], "value": [x[1] for x in ticks] + [None]})
+                out["told"] = pd.array([None] * len(ticks) + [told], "Int64")
+                out["whole"] = [None] * len(ticks) + [whole]
+                yield out
+
+    ship(plan.sparkSession)
+    return plan.select("day").repartition("day").mapInPandas(run, FETCHED)
+
+
+def day_rows(lines: Iterator[str], day: str, spec: TableSpec = TICKS, key: str | None = None) -> Iterator[tuple]:
+    """(ts, value) of a day's stream, then (None, told count). The stream must be of the right table (and
+    key, if one is given) with all its columns, and hold only this day; one that does not close is broken."""
+    for event, data in parse_events(lines):
+        if event == "meta":
+            meta = json.loads(data)
+            wrong = {k: meta[k] for k, want in (("table", spec.name), ("key", key)) if want is not None and k in meta and meta[k] != want}
+            missing = set(spec.columns) - set(meta["columns"])
+            if wrong or missing:
+                raise ValueError(f"{day}: another stream than asked for: {wrong or ''} lacks {sorted(missing)}")
+        elif event == "done":
+            yield None, int(json.loads(data)["rows"])
+            return
+        elif event == "message":
+            row = typed_row(json.loads(data), spec)
+            if row[0] is None or row[0].strftime("%Y-%m-%d") != day:
+                raise ValueError(f"{day}: a row of {row[0]}")
+            yield row
+    raise BrokenStream(day)
+
+
+def ingest(spark: SparkSession, open_stream: Callable[[str], Iterator[str]], days: DataFrame, last_ts: str, store: str, record: str, retry: Retry | None = None, force: bool = False) -> DataFrame:
+    """Fetch the days that are due, store those that came whole, and keep the record. Returns the report:
+    day, rows, told, ok. A day whose rows differ from what its stream told, or that broke off, is not
+    stored and stays due."""
+    manifest = cut(load(spark, record))
+    got = cut(fetch(plan_days(days, manifest, last_ts, force), open_stream, retry))
+    counts = got.groupBy("day").agg(F.count("ts").alias("rows"), F.max("told").alias("told"), F.bool_and("whole").alias("whole"))
+    report = cut(counts.selectExpr("day", "rows", "told", "coalesce(whole AND rows = told, false) AS ok"))
+    good = report.where("ok")
+    rows = got.where("ts IS NOT NULL").join(good.select("day"), "day", "left_semi").select("ts", "value")
+    if not rows.isEmpty():
+        write_days(rows, store)
+    news = report.selectExpr("day", "rows", "ok AS complete", "ok AND rows > 0 AS file_exists")
+    save(cut(merge(manifest, news)), record)
+    return report

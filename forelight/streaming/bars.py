@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import shared_dir
+
 FIELDS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -30,10 +30,10 @@ def run_to_table(bars: DataFrame, table_path: str, checkpoint: str):
 
 def bars_of_available(spark: SparkSession, sf_dir: str, every: str = "15 minutes") -> DataFrame:
     """All bars that the watermark closes over the files that are there now."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    here = f"{top}/stream-{uuid.uuid4().hex}"
+    here = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parquet"
-    single = os.path.isfile(source)
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
     stream = spark.readStream.schema(FIELDS).option("pathGlobFilter", "events.parquet" if single else "*.parquet").parquet(sf_dir if single else source)
     run_to_table(stream_bars(stream, every), f"{here}/bars", f"{here}/state").awaitTermination()
     return spark.read.parquet(f"{here}/bars")
