@@ -182,7 +182,6 @@ def _stored(spark, sf, quote_ok=False):
 
 
 add("run_rescored", METRICS, _FILTERED, "mm")(lambda spark, sf: _stored(spark, sf, True)[1]["metrics_overall"])
-add("run_rescored_by_h", {"h": None, **METRICS}, S.metrics("h"), "mm")(lambda spark, sf: _stored(spark, sf)[1]["metrics_by_h"])
 add("run_summary", {"line": None})(lambda spark, sf: spark.read.text(f"{_stored(spark, sf)[0]}/again/summary").withColumnRenamed("value", "line"))
 add("error_by_h", {"h": None, "rmse_c": 7, "rmse_c_persist": 7, "mae_c": 7, "mae_c_persist": 7, "lo": 7, "hi": 7})(lambda spark, sf: runs.error_by_h(assembled(spark, sf), 200))
 

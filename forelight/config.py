@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tomllib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import SparkSession
 
@@ -36,7 +36,7 @@ class Config:
     def fill(self, section: str, spec: type, **explicit):
         """A dataclass whose fields are picked one by one."""
         defaults = spec()
-        return spec(**{f: self.pick(explicit.get(f), section, f, getattr(defaults, f)) for f in defaults.__dataclass_fields__})
+        return spec(**{f: self.pick(explicit.get(f), section, f, getattr(defaults, f)) for f in (x.name for x in fields(spec))})
 
 
 def _like(text: str, default):
