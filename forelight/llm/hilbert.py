@@ -2,7 +2,7 @@
 
 Four metadata dimensions are quantised to three bits each, in their own order: language and
 source (by the bytes after what all values begin with), size (by powers of two) and doc_id.
-Values fall into 65,536 buckets a dimension at most; a bucket's code is the eighth of all
+Values fall into 65,536 buckets a dimension at most (doc_ids into 4,096); a bucket's code is the eighth of all
 rows that come before it, from counts of buckets, so codes are ranks and the range of values
 of a run of rows is narrow. Rows are ordered by the index of their cell on the
 four-dimensional Hilbert curve and cut into runs of equal row counts (law ``rows``), so each
@@ -32,6 +32,8 @@ BITS, DIMS = 3, 4
 BUCKETS, LEAST, MOST = 1024, 1000, 1_000_000
 #: hexadecimal digits of a text value that make its bucket
 DIGITS = 4
+#: buckets of doc_id
+PLACES = 4096
 
 
 def size_column(text: Column) -> Column:
@@ -48,7 +50,7 @@ def quantised(df: DataFrame) -> DataFrame:
     r = df.agg(F.min("doc_id"), F.max("doc_id"), F.min("lang"), F.max("lang"), F.min("source"), F.max("source")).first()
     low, span = (0, 1) if r[0] is None else (r[0], r[1] - r[0] + 1)
     text = lambda c, at: F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("binary")), at + 1, DIGITS), DIGITS, "0"), 16, 10)
-    place = F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) * {1 << 4 * DIGITS} / {span} as int)")
+    place = F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) * {PLACES} / {span} as int)")
     buckets = [text("lang", _prefix(r[2], r[3])), text("source", _prefix(r[4], r[5])), F.floor(F.log2(F.col("size").cast("double"))), place]
     names = [f"x{i}" for i in range(DIMS)]
     df = cut(df.withColumns({c: F.coalesce(b.cast("int"), F.lit(-1)) for c, b in zip(names, buckets, strict=True)}))

@@ -95,7 +95,7 @@ def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
     bucketed = f"""
   SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS text_crc32,
          {digits("lang")} AS b0, {digits("source")} AS b1, CAST(floor(log2(octet_length(encode(coalesce(text, ''))) + 1)) AS INTEGER) AS b2,
-         coalesce(CAST(((doc_id - (SELECT min(doc_id) FROM documents))::HUGEINT * 65536) // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents) AS INTEGER), -1) AS b3
+         coalesce(CAST(((doc_id - (SELECT min(doc_id) FROM documents))::HUGEINT * 4096) // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents) AS INTEGER), -1) AS b3
   FROM documents, crc_table"""
     code = " UNION ALL ".join(
         f"SELECT {i} AS d, b{i} AS b, CAST((sum(count(*)) OVER (ORDER BY b{i}) - count(*)) * {1 << bits} // sum(count(*)) OVER () AS INTEGER) AS code FROM bucketed GROUP BY b{i}" for i in range(dims)
