@@ -9,7 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from forelight.session import cut, ensure_checkpoint_dir, ship
+from forelight.session import cut, ensure_checkpoint_dir
+from forelight.session import ship as _ship
 
 __all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_words", "ASCII_LOWER", "sha256_hex", "scratch_dir", "delete", "Tables", "trim", "keep_memory", "lookup", "join_uneven"]
 
@@ -17,6 +18,17 @@ __all__ = ["cut", "ensure_checkpoint_dir", "ship", "documents", "table", "split_
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and let batches of texts for Python workers hold 16 MB at
+    most, unless the session asks for another size itself."""
+    _ship(spark)
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(1 << 24))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -107,7 +107,8 @@ def signed(text: Column) -> Column:
         for texts in batches:
             parts = [_signed(texts.iloc[k : k + AT_ONCE]) for k in range(0, len(texts), AT_ONCE)]
             yield pd.concat(parts, ignore_index=True) if parts else _signed(texts)
-        trim()
+            del texts, parts
+            trim()
 
     return run(text)
 
@@ -176,7 +177,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
                     known = {one: shingles(one)}
                 out.append(linked(known[one], shingles(two)))
             yield pd.Series(out, dtype=bool)
-        trim()
+            del x, y, known
+            trim()
 
     return asked.join(b, "b").join(a, "a").where(alike("ta", "tb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 

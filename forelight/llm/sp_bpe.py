@@ -33,9 +33,9 @@ from .common import sha256_hex, ship, trim
 
 SPACE = "▁"
 #: runs in either half of a worker's cache, pairs in its compatibility table
-CACHE, PAIRS = 150_000, 400_000
+CACHE, PAIRS = 80_000, 400_000
 #: characters of text encoded together; runs longer than LONG go through the automaton alone
-GROUP_CHARS, LONG = 1_500_000, 128
+GROUP_CHARS, LONG = 1_000_000, 128
 ROOT = 1 << 20
 #: runs that a worker keeps between tasks
 KEPT = 40_000
@@ -67,8 +67,13 @@ class IntTable:
         return out
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Add distinct keys that are not there yet."""
+        """Add distinct keys that are not there yet; the table grows with its content."""
         self.used += len(keys)
+        if 2 * self.used > 1 << self.bits:
+            there = self.keys >= 0
+            keys, values = np.concatenate([self.keys[there], keys]), np.concatenate([self.values[there], values])
+            self.bits = max(self.bits + 1, (2 * self.used).bit_length())
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         at = self._slots(keys)
         on = np.arange(len(keys))
         while on.size:
@@ -110,7 +115,7 @@ class Automaton:
                 fail[s] = edges.get(f << 21 | label[s], 0)
             down[s] = fail[s] if piece[fail[s]] >= 0 else down[fail[s]]
         self.edges, self.fail_of, self.piece_of, self.down_of = edges, fail, piece, down
-        self.table = IntTable(max(10, len(edges).bit_length() + 2))
+        self.table = IntTable(max(10, len(edges).bit_length() + 1))
         self.table.put(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges)))
         self.fail, self.piece, self.down = (np.asarray(x, np.int32) for x in (fail, piece, down))
 
@@ -154,7 +159,7 @@ class PieceModel:
         # a piece that merges cannot reach never appears in an encoding
         self.automaton = Automaton({p: i for p, i in ids.items() if self.merge(p) == [p]})
         self.size = np.array([len(p) for p in self.pieces], np.int32)
-        self.fits = IntTable(21)
+        self.fits = IntTable(16)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -195,7 +200,7 @@ class PieceModel:
             else:
                 on = np.flatnonzero(found < 0)
                 found[on] = told[np.searchsorted(new, keys[on])]
-                self.fits = IntTable(21)
+                self.fits = IntTable(16)
         return found > 0
 
     def _side_by_side(self, runs: list[str]) -> list[bytes]:
@@ -391,6 +396,8 @@ def encoded(path: str, text: Column, keep_ids: bool = False) -> Column:
                     rows.append((*row, ids, decoded) if keep_ids else row)
                 del texts
                 yield pd.DataFrame(rows, columns=names)
+                del rows
+                trim()
         finally:
             m.rest()
 
