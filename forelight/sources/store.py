@@ -12,15 +12,15 @@ from ..operators.frame import build_frame
 BARS_VERSION, FRAME_VERSION = 4, 2
 
 
-def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, columns=("ts", "value")) -> DataFrame:
-    """Day folders ``date=YYYY-MM-DD`` within [start, end]: only those partitions are read. A range
-    without any day is an error, decided on the folders' names alone."""
+def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, columns=("ts", "value"), strict: bool = False) -> DataFrame:
+    """Day folders ``date=YYYY-MM-DD`` within [start, end]: only those partitions are read. With
+    ``strict`` a range without any day is an error, decided on the folders' names alone."""
     df = spark.read.parquet(path)
     if start:
         df = df.where(F.col("date") >= F.lit(start))
     if end:
         df = df.where(F.col("date") <= F.lit(end))
-    if df.select("date").limit(1).isEmpty():
+    if strict and df.select("date").limit(1).isEmpty():
         raise ValueError(f"no day from {start or 'the first'} to {end or 'the last'} in {path}")
     return df.select(*columns)
 
@@ -71,7 +71,7 @@ def build_bars(spark: SparkSession, ticks_path: str, path: str, freq: str = "1m"
     """Bars of a tick store, built where they are absent, of another version, or older than any tick file."""
     source = newest(spark, ticks_path)
     if force or not _fresh(spark, path, BARS_VERSION, freq, source):
-        write_bars(to_bars(read_days(spark, ticks_path), freq), path, freq, source)
+        write_bars(to_bars(read_days(spark, ticks_path, strict=True), freq), path, freq, source)
     return load_bars(spark, path, freq)
 
 
