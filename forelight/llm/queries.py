@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, decontam, fertility, hilbert, html_text, line_dedup, lm_score, minhash, sp_bpe, toxicity
+from . import bpe_count, decontam, fertility, hilbert, html_text, line_dedup, lm_score, minhash, mixing, prefix_trie, sp_bpe, toxicity, whitening
 from .common import documents, table
 
 
@@ -59,6 +59,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.regrafted_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -70,23 +82,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fertility": op8_fertility,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_mix_sources": op12_mix_sources,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 
-def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
-    """The sharding in SQL: CRC-32 bit by bit tables, then the curve one step a query."""
-    crc = lambda c: (
+def _crc32(c: str) -> str:
+    """CRC-32 of a string by a table of 256 steps, crc_t."""
+    return (
         f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({c})) + 1), "
         f"lambda i: ('0x' || substr(hex(encode({c})), CAST(2 * i - 1 AS INTEGER), 2))::BIGINT)), "
         "lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])))"
     )
-    step = "(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
-    table_steps = "range(0, 256)"
-    for _ in range(8):
-        table_steps = f"list_transform({table_steps}, lambda c: {step})"
+
+
+_CRC_STEPS = "range(0, 256)"
+for _ in range(8):
+    _CRC_STEPS = f"list_transform({_CRC_STEPS}, lambda c: (CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
+    """The sharding in SQL: CRC-32 bit by bit tables, then the curve one step a query."""
+    crc, table_steps = _crc32, _CRC_STEPS
     prefix = lambda c: (
         f"(SELECT 2 * len(list_filter(range(2, least(length(l), length(h)) + 1, 2), lambda i: substr(l, 1, CAST(i AS INTEGER)) = substr(h, 1, CAST(i AS INTEGER)))) "
         f"FROM (SELECT coalesce(hex(encode(min({c}))), '') AS l, coalesce(hex(encode(max({c}))), '') AS h FROM documents))"
@@ -187,5 +208,31 @@ edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 reach AS (WITH RECURSIVE r AS (SELECT x AS a, x AS b FROM edge UNION SELECT r.a, e.y FROM r JOIN edge e ON r.b = e.x) SELECT a, min(b) AS component FROM r GROUP BY a)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id
+""",
+    "op11_prefix_trie": f"""
+WITH crc_table AS (SELECT {_CRC_STEPS} AS crc_t),
+turn AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || t)) AS turns
+  FROM turn GROUP BY conv_id),
+told AS (SELECT conv_id, turns, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc_table),
+built AS (
+  SELECT c.conv_id, CASE WHEN p.conv_id IS NULL THEN c.turns[h + 1 :] ELSE list_concat(p.turns[1 : h], c.turns[h + 1 :]) END AS turns
+  FROM told c LEFT JOIN own p ON p.conv_id = c.conv_id - c.conv_id % 5),
+prefix AS (
+  SELECT conv_id, turns[1 : d] AS k, d, d = len(turns) AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (
+  SELECT k, min(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ends
+  FROM prefix GROUP BY k),
+child AS (SELECT k[1 : d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+valued AS (
+  SELECT node.*, coalesce(child.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(k[d].t)) END AS saved
+  FROM node LEFT JOIN child USING (k)),
+up AS (
+  SELECT k[1 : a] AS k, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT k, saved, n_children, unnest(range(0, d + 1)) AS a FROM valued) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN up USING (k) LEFT JOIN node p ON v.d > 0 AND p.k = v.k[1 : v.d - 1]
 """,
 }
