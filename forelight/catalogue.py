@@ -261,13 +261,46 @@ _INTERP = [
 add("interp_context", {"i": None, "pos": None, "value": 6}, _INTERP, "cz")(lambda spark, sf: covariates.interp_context(minute_frame(spark, sf), "mid_close", CONTEXT))
 
 
+_VARIATES = ["target", *covariates.PRESETS["full"][0], *covariates.PRESETS["full"][1]]
+_SUM = "aggregate({}, 0e0, (a, x) -> a + CASE WHEN isnan(x) THEN 0e0 ELSE CAST(x AS DOUBLE) END)"
+
+
 def _tensors(spark, sf):
     frame = minute_frame(spark, sf)
-    t = covariates.tensors(frame, all_origins(frame), CONTEXT)
-    return t.selectExpr("i", "size(target) AS context", "size(past) AS n_past", "size(future) AS n_future", "size(future[0]) AS width", "n_flat", "CAST(aggregate(target, 0e0, (a, x) -> a + CASE WHEN isnan(x) THEN 0e0 ELSE x END) AS DOUBLE) AS target_sum")
+    return covariates.tensors(frame, all_origins(frame), CONTEXT)
+
+
+_CELLS = [*S.origins(), *S.tensor_cells(CONTEXT)]
+_SHAPES = f"tz AS (SELECT i, {CONTEXT} AS context, {len(covariates.PRESETS['full'][0])} AS n_past, {len(covariates.CALENDAR) + 1} AS n_future, {CONTEXT + 64} AS width, CAST(sum(flats) AS INTEGER) AS n_flat, sum(CASE WHEN name = 'target' THEN total END) AS target_sum FROM cell_sums GROUP BY i)"
+add("tensors_c32", {"i": None, "context": None, "n_past": None, "n_future": None, "width": None, "n_flat": None, "target_sum": 3}, [*_CELLS, _SHAPES], "tz")(
+    lambda spark, sf: _tensors(spark, sf).selectExpr("i", "size(target) AS context", "size(past) AS n_past", "size(future) AS n_future", "size(future[0]) AS width", "n_flat", f"{_SUM.format('target')} AS target_sum")
+)
+add("tensor_sums", {"i": None, "name": None, "total": 3}, _CELLS, "cell_sums")(
+    lambda spark, sf: _tensors(spark, sf).selectExpr("i", f"explode(map_from_arrays(array({', '.join(repr(v) for v in _VARIATES)}), transform(concat(array(target), past, future), v -> {_SUM.format('v')}))) AS (name, total)")
+)
+
+
+def _blend(targets, steps, past, future):
+    """Half the last price, some of the fair value ahead and of the ask, spread by the last spread."""
+    import numpy as np
+
+    names = covariates.PRESETS["full"][0]
+    at = lambda c: past[:, names.index(c), -1:].astype(np.float64)
+    mid = 0.5 * targets[:, -1:].astype(np.float64) + 0.3 * future[:, -1, targets.shape[1] :].astype(np.float64) + 0.2 * at("yes_ask_close")
+    return mid, mid[:, :, None] + 0.25 * at("spread")[:, :, None] * (np.arange(9) - 4)
+
+
+def _covariate_long(spark, sf):
+    frame = minute_frame(spark, sf)
+    return forecast.covariate_forecast(frame, cut(all_origins(frame)), _blend, CONTEXT, horizon=15)
 
 
-add("tensors_c32", {"i": None, "context": None, "n_past": None, "n_future": None, "width": None, "n_flat": None, "target_sum": 3})(_tensors)
+_AT = lambda n, c, pos: f"JOIN cells {n} ON {n}.i = l.i AND {n}.name = '{c}' AND {n}.pos = {pos}"
+_MID = "(0.5e0 * CAST(t.x AS DOUBLE) + 0.3e0 * CAST(f.x AS DOUBLE) + 0.2e0 * CAST(a.x AS DOUBLE))"
+_UNIT = lambda e: f"greatest(0e0, least(1e0, {e}))"
+_BLEND = f"bl AS (SELECT l.i, l.h, l.k, l.actual, {_UNIT(_MID)} AS median, list_sort([{', '.join(_UNIT(f'{_MID} + 0.25e0 * CAST(s.x AS DOUBLE) * {j - 4}') for j in range(9))}]) AS q_ FROM longf l {_AT('t', 'target', CONTEXT - 1)} {_AT('a', 'yes_ask_close', CONTEXT - 1)} {_AT('s', 'spread', CONTEXT - 1)} {_AT('f', 'rw_fair_path', f'{CONTEXT - 1} + l.h')})"
+_BLENDED = [*S.forecasts(), *S.tensor_cells(CONTEXT), _BLEND, f"bq AS (SELECT i, h, k, actual, median, {', '.join(f'q_[{j + 1}] AS {c}' for j, c in enumerate(Q_COLS))} FROM bl)"]
+add("forecast_covariates_long", _LONG, _BLENDED, "bq")(_covariate_long)
 
 # ---- signals ----------------------------------------------------------------------------------
 _V, _T = "2024-01-01 10:00:00", "2024-01-01 16:00:00"

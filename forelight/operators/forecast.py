@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.mathx import Q_COLS, decile_mean, m_group
 from ..session import ship
 from .baselines import apply_fan, fair_now
+from .covariates import CELLS, batches_of, tensor_rows
 
 STEP, WIDTH = 0.001, 0.01
+#: steps a model with known-future covariates forecasts at a time
+PATCH = 64
 
 
 def valid_steps(frame: DataFrame, origins: DataFrame) -> DataFrame:
@@ -60,6 +64,49 @@ def model_forecast(frame: DataFrame, origins: DataFrame, contexts: DataFrame, pr
     return valid_steps(frame, origins).drop("last_mid").join(made, ["i", "h"]).select("i", "h", "k", "median", *Q_COLS, "actual")
 
 
+CovariatePredict = Callable[..., tuple[np.ndarray, np.ndarray]]
+
+
+def checked_predict(predict: CovariatePredict, targets: np.ndarray, horizon: int, past_only: np.ndarray | None = None, past_future: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``predict(targets (n, C), steps, past_only (n, K, C) or None, past_future (n, W, C + steps) or
+    None)``, with the widths of what goes in and comes out checked. A model that sees known-future
+    covariates is asked for whole patches of ``PATCH`` steps; what is over is cut."""
+    n, context = targets.shape
+    steps = horizon if past_future is None else -(-horizon // PATCH) * PATCH
+    if past_only is not None and (past_only.ndim != 3 or past_only.shape[0] != n or past_only.shape[2] != context):
+        raise ValueError(f"past_only must be ({n}, K, {context}), not {past_only.shape}")
+    if past_future is not None and (past_future.ndim != 3 or past_future.shape[0] != n or past_future.shape[2] != context + steps):
+        raise ValueError(f"past_future must be ({n}, W, {context} + {steps}), not {past_future.shape}")
+    if not n:
+        return np.zeros((0, horizon)), np.zeros((0, horizon, 9))
+    median, q = (np.asarray(x)[:, :horizon] for x in predict(targets, steps, past_only, past_future))
+    return check_prediction(median, q, n, horizon)
+
+
+def covariate_forecast(frame: DataFrame, origins: DataFrame, predict: CovariatePredict, context: int = 1024, name: str = "full", horizon: int = 64, cells: int = CELLS) -> DataFrame:
+    """Forecasts of any model that reads the target and the covariates of preset ``name``: i, h, k,
+    median, q10..q90, actual of every valid step, and n_flat of the origin.
+
+    A task gets its block of rows once; the windows are cut, sanitised, given to ``predict`` in batches
+    of ``cells`` numbers and dropped there, so C times the rows never travel."""
+    ship(frame.sparkSession)
+    rows, spec = tensor_rows(frame, origins, context, name, -(-horizon // PATCH) * PATCH)
+    schema = pa.schema([("i", pa.int64()), ("h", pa.int32()), ("k", pa.int32()), ("median", pa.float64()), *((c, pa.float64()) for c in Q_COLS), ("actual", pa.float64()), ("n_flat", pa.int32())])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for b in batches_of(table, spec, cells):
+            median, q = checked_predict(predict, b["targets"], horizon, b["past"], b["future"])
+            r, s = np.nonzero(b["valid"][:, :horizon])
+            out = {"i": b["i"][r], "h": (s + 1).astype(np.int32), "k": b["step_k"][r, s], "median": median[r, s]}
+            out |= {c: q[r, s, j] for j, c in enumerate(Q_COLS)} | {"actual": b["target"][r, s], "n_flat": b["n_flat"][r].astype(np.int32)}
+            parts.append(pa.table(out, schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    kind = f"i long, h int, k int, median double, {', '.join(f'{c} double' for c in Q_COLS)}, actual double, n_flat int"
+    return rows.groupBy("block").applyInArrow(run, kind)
+
+
 def windows(frame: DataFrame) -> DataFrame:
     first = lambda c: F.expr(f"min_by({c}, ts)").alias(c)
     return frame.groupBy("t0").agg(first("win_ticker").alias("ticker"), first("outcome_price"), first("outcome_brti"), first("strike_imputed"))

@@ -33,13 +33,15 @@ def complete(bars: DataFrame, seconds: int, low: int | None, high: int | None) -
     return grid.join(bars, "ts", "left")
 
 
-def blocked(df: DataFrame, back: int, index: str = "idx", size: int = BLOCK) -> DataFrame:
-    """Rows with their block, and copies (halo) for the next block of the last ``back`` rows."""
-    size = max(size, back)
+def blocked(df: DataFrame, back: int, index: str = "idx", size: int = BLOCK, ahead: int = 0) -> DataFrame:
+    """Rows with their block, and copies (halo): of the last ``back`` rows of a block for the next one,
+    of its first ``ahead`` rows for the one before."""
+    size = max(size, back, ahead)
     own = F.floor(F.col(index) / size).cast("long")
-    ahead = F.col(index) % size >= size - back
-    blocks = F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))
-    return df.withColumn("block", F.explode(blocks)).withColumn("halo", own < F.col("block"))
+    blocks = F.when(F.col(index) % size >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
+    if ahead:
+        blocks = F.when((F.col(index) % size < ahead) & (own > 0), F.array_append(blocks, own - 1)).otherwise(blocks)
+    return df.withColumn("block", F.explode(blocks)).withColumn("halo", own != F.col("block"))
 
 
 def block_window(index: str = "idx"):

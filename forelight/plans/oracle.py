@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.mathx import DECILES, FAN_Q_COLS, Q_COLS, clip, decile_mean, h_eff, ln_ratio, m_group, norm_cdf, nudge, persist_ref, pinball, pit, price_bucket, safe_div, safe_ln, skill, z_score
 from ..operators.baselines import DQ, fair_now
-from ..operators.covariates import PAST, PRESETS, calendar_exprs
+from ..operators.covariates import PAST, PRESETS, calendar_exprs, jitter
 from ..operators.metrics import _BASE, _FINAL, METRIC_COLUMNS, SOURCES, cal_bin, CAL_EDGES, EPS
 from ..operators.signals import FEE, SIGMAS
 
@@ -278,6 +278,31 @@ def calendar() -> str:
     return ", ".join(f"{e} AS {c}" for c, e in calendar_exprs().items())
 
 
+def tensor_cells(context: int = 32, name: str = "full", horizon: int = 64) -> list[str]:
+    """After origins(): ``cells`` (i, name, pos, x float, flat) of every origin's tensors."""
+    past, future = PRESETS[name]
+    patch, end = 32, context - 1
+    raws = {"target": "CASE WHEN target_valid THEN mid_close END", **{c: f"coalesce({e}, 0e0)" if fill == "zero" else e for c in past for e, fill in [PAST[c]]}, "rw_fair_path": "rw_p"}
+    z = f"(CASE WHEN sigma_1m > 0 AND brti_close > 0 AND strike > 0 THEN greatest(-8e0, least(8e0, ln(brti_close / strike) / (sigma_1m * sqrt({h_eff('kf')})))) ELSE 0e0 END)"
+    turns = calendar_exprs("kk", "mm")
+    noise = ", ".join(f"{float(x)!r}::FLOAT" for x in jitter(context + horizon))
+    return [
+        "tn AS (SELECT o.i, o.n_steps, o.k_ctx, o.brti_close, o.strike, o.sigma_1m, f.minute_of_day FROM origins o JOIN frame f ON f.idx = o.i WHERE o.ok)",
+        f"tc AS (SELECT o.i, f.idx - o.i + {end} AS pos, {', '.join(f'{e} AS c_{c}' for c, e in raws.items())} FROM (SELECT i FROM tn) o JOIN frame f ON f.idx BETWEEN o.i - {end} AND o.i)",
+        "tu AS (" + " UNION ALL ".join(f"SELECT i, '{c}' AS name, pos, CAST(c_{c} AS DOUBLE) AS raw FROM tc" for c in raws) + ")",
+        """tw AS (SELECT *, last_value(CASE WHEN raw IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS p0, last_value(raw IGNORE NULLS) OVER b AS v0, first_value(CASE WHEN raw IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS p1, first_value(raw IGNORE NULLS) OVER f AS v1
+  FROM tu WINDOW b AS (PARTITION BY i, name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY i, name ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+        "ti AS (SELECT i, name, pos, CASE WHEN raw IS NOT NULL THEN raw WHEN p0 IS NULL AND p1 IS NULL THEN 0e0 WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * ((pos - p0) / (p1 - p0)) END AS value FROM tw)",
+        f"ts0 AS (SELECT *, (k_ctx + pos - {end} + {15 * context}) % 15 AS kk, (minute_of_day + pos - {end} + {1440 * context}) % 1440 AS mm, (k_ctx + least(pos - {end}, n_steps)) % 15 AS kf FROM tn, range({context + horizon}) q(pos))",
+        f"tf AS (SELECT i, pos, {norm_cdf(z)} AS value FROM ts0 WHERE pos > {end})",
+        "ta AS (SELECT * FROM ti UNION ALL SELECT i, 'rw_fair_path' AS name, pos, value FROM tf UNION ALL " + " UNION ALL ".join(f"SELECT i, '{c}' AS name, pos, {e} AS value FROM ts0" for c, e in turns.items() if c in future) + ")",
+        f"tb AS (SELECT i, name, pos, CAST(value AS FLOAT) AS v, pos // {patch} AS block FROM ta)",
+        "tg AS (SELECT i, name, block, min(v) = max(v) AS flat FROM tb GROUP BY ALL)",
+        f"cells AS (SELECT i, name, pos, flat, block, CASE WHEN flat THEN CAST(v + [{noise}][pos + 1] AS FLOAT) ELSE v END AS x FROM tb JOIN tg USING (i, name, block))",
+        "cell_sums AS (SELECT i, name, sum(CAST(x AS DOUBLE)) AS total, count(DISTINCT CASE WHEN flat THEN block END) AS flats FROM cells GROUP BY i, name)",
+    ]
+
+
 def chain(steps: list[str], select: str) -> str:
     return "WITH " + ",\n".join(steps) + "\n" + select
 
