@@ -43,7 +43,7 @@ def all_origins(frame: DataFrame, **over) -> DataFrame:
 def assembled(spark: SparkSession, sf: str) -> DataFrame:
     frame = minute_frame(spark, sf)
     o = cut(all_origins(frame))
-    return cut(forecast.assemble(forecast.drift_forecast(frame, o), frame, o, baselines.persistence_fan(frame)))
+    return forecast.assemble(forecast.drift_forecast(frame, o), frame, o, cut(baselines.persistence_fan(frame)))
 
 
 def add(name: str, columns: dict[str, int | None], steps=None, source: str | None = None, tail: str = ""):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut
 from .grid import ZERO
+from .select import quantiles
 
 
 def gap_runs(bars: DataFrame, seconds: int = 60) -> DataFrame:
@@ -43,10 +45,11 @@ def describe_frame(frame: DataFrame) -> DataFrame:
     with_candle = frame.where("has_candle")
     first = lambda c: F.expr(f"min_by({c}, ts)").alias(c)
     wins = with_candle.groupBy("t0").agg(F.count("*").alias("n"), first("strike_imputed"), first("outcome_price"), first("outcome_brti"), F.expr("min_by(floor_strike, ts) FILTER (WHERE floor_strike IS NOT NULL)").alias("kalshi"), first("strike_from_brti"))
-    wins = wins.withColumn("e", F.expr("abs(kalshi - strike_from_brti)"))
+    wins = cut(wins.withColumn("e", F.expr("abs(kalshi - strike_from_brti)")))
+    half, most = (F.lit(x).cast("double") for x in quantiles(wins, "e", (0.5, 0.99), interpolate=False))
     a = wins.agg(
         F.count("*").alias("n_windows"), F.count_if(F.col("n") == 15).alias("n_complete_windows"), F.count_if("strike_imputed").alias("n_windows_strike_imputed"),
-        F.expr("percentile_disc(0.5e0) WITHIN GROUP (ORDER BY e)").alias("strike_err_p50"), F.expr("percentile_disc(0.99e0) WITHIN GROUP (ORDER BY e)").alias("strike_err_p99"),
+        F.max(half).alias("strike_err_p50"), F.max(most).alias("strike_err_p99"),
         F.expr("avg(CASE WHEN outcome_price IS NOT NULL AND outcome_brti IS NOT NULL THEN CASE WHEN outcome_price <> outcome_brti THEN 1e0 ELSE 0e0 END END)").alias("outcome_disagreement"),
     )
     b = frame.agg(F.count("*").alias("n_rows"), F.count_if("has_candle").alias("n_rows_with_candle"), F.count_if(F.col("sigma_rv").isNull()).alias("n_rows_no_sigma_rv"), F.count_if(F.expr("has_candle AND target_valid AND NOT quote_ok")).alias("n_rows_quote_degenerate"))

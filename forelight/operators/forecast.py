@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.mathx import Q_COLS, decile_mean, m_group
-from ..session import ship
+from ..session import cut, ship
 from .baselines import apply_fan, fair_now
 from .covariates import CELLS, batches_of, tensor_rows
+from .select import quantiles
 
 STEP, WIDTH = 0.001, 0.01
 #: steps a model with known-future covariates forecasts at a time
@@ -114,15 +115,14 @@ def windows(frame: DataFrame) -> DataFrame:
 
 def assemble(long: DataFrame, frame: DataFrame, origins: DataFrame, fan: DataFrame | None, run_id: str = "run") -> DataFrame:
     """Forecast rows with their origin, window and baselines. Volatility terciles are cut over all
-    rows at exact thirds (right-closed)."""
+    rows at exact thirds (right-closed), which are selected digit by digit."""
     o = origins.where("ok").select("i", "t0", "date", "hour", "m", "k_ctx", "origin_ts", "strike", "last_mid", "last_bid", "last_ask", "last_spread", "brti_close", "sigma_1m", "quote_ok", "n_ctx_gaps")
-    df = long.join(o, "i").join(windows(frame), "t0", "left")
-    cuts = df.agg(F.expr("percentile(sigma_1m, array(1e0 / 3e0, 2e0 / 3e0))").alias("c")).selectExpr("c[0] AS c1", "c[1] AS c2")
-    df = df.join(F.broadcast(cuts), F.lit(True), "left")  # one row
+    df = cut(long.join(o, "i").join(windows(frame), "t0", "left"))
+    low, high = ("NULL" if c is None else f"{c!r}D" for c in quantiles(df, "sigma_1m", (1 / 3, 2 / 3)))
     df = df.selectExpr(
         "*", f"'{run_id}' AS run_id", "k = 14 AS is_settlement", "timestampadd(MINUTE, k, t0) AS bar_ts", "timestampadd(MINUTE, k + 1, t0) AS candle_ts", f"{m_group('m')} AS m_group",
-        "CASE WHEN sigma_1m <= c1 THEN 0 WHEN sigma_1m <= c2 THEN 1 ELSE 2 END AS vol_bucket",
-    ).drop("c1", "c2")
+        f"CASE WHEN sigma_1m <= {low} THEN 0 WHEN sigma_1m <= {high} THEN 1 ELSE 2 END AS vol_bucket",
+    )
     return add_baselines(df, fan)
 
 

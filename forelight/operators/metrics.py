@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.mathx import FAN_Q_COLS, Q_COLS, clip, pinball, pit, skill
+from ..session import cut
+from .grid import ZERO
 
 # The edges of the calibration bins.
 CAL_EDGES = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0 + 1e-9)
@@ -43,19 +45,42 @@ METRIC_COLUMNS = (
 )
 
 
-def pit_ks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Kolmogorov-Smirnov distance of ``u`` from uniform per group. Ranks come from a bin's
-    offset plus the rank inside the bin, so no group is sorted in one task."""
-    r = rows.select(*by, "u").where("u IS NOT NULL").withColumn("bin", F.least(F.floor(F.col("u") * PIT_BINS), F.lit(PIT_BINS - 1)))
-    bins = r.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+def _ks_bin(u: str = "u") -> str:
+    return f"CAST(least(floor({u} * {PIT_BINS}), {PIT_BINS - 1}) AS BIGINT)"
+
+
+def _ks_candidates(bins: DataFrame, by: list[str]) -> DataFrame:
+    """by..., bin, before, total of the bins in which the largest gap can lie. ``bins``: by..., bin, c.
+    Inside a bin ranks and values are known up to the bin's own count and width, which bounds its gaps
+    from above, and its first and last value from below. At most ``PIT_BINS`` rows a group."""
     w = Window.partitionBy(*by)
-    before = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumns({"before": F.coalesce(F.sum("c").over(before), F.lit(0)), "total": F.sum("c").over(w)}).drop("c")
-    ranked = r.join(bins, [*by, "bin"])
+    t = bins.withColumns({"before": F.coalesce(F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("c").over(w)})
+    low, high = f"(bin / {PIT_BINS}e0)", f"((bin + 1) / {PIT_BINS}e0)"
+    first, last = "(before / total)", "((before + c) / total)"
+    t = t.withColumns({"most": F.expr(f"greatest({last} - {low}, {high} - {first})"), "least": F.expr(f"greatest({last} - {high}, {low} - {first})")})
+    return t.withColumn("sure", F.max("least").over(w)).where("most >= sure - 1e-9").select(*by, "bin", "before", "total")
+
+
+def _ks_gaps(rows: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
+    """by..., pit_ks from the rows (by..., u) of candidate bins: a rank is what comes before the bin plus
+    the rank inside it. Null keys are keys."""
+    r = rows.where("u IS NOT NULL").withColumn("bin", F.expr(_ks_bin()))
+    c = candidates.select("before", "total", *[F.col(k).alias(f"c_{k}") for k in (*by, "bin")])
+    on = F.lit(True)
+    for k in (*by, "bin"):
+        on = on & F.col(k).eqNullSafe(F.col(f"c_{k}"))
+    r = r.join(F.broadcast(c), on).select(*by, "u", "bin", "before", "total")  # at most PIT_BINS rows a group
     rank = F.col("before") + F.row_number().over(Window.partitionBy(*by, "bin").orderBy("u"))
-    ranked = ranked.withColumn("rank", rank)
     gap = F.greatest(F.col("rank") / F.col("total") - F.col("u"), F.col("u") - (F.col("rank") - 1) / F.col("total"))
-    return ranked.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("pit_ks"))
+    return r.withColumn("rank", rank).withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("pit_ks"))
+
+
+def pit_ks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Kolmogorov-Smirnov distance of ``u`` from uniform per group, exact: only the few bins of u that
+    can hold the largest gap are ranked."""
+    r = rows.select(*by, "u").where("u IS NOT NULL")
+    bins = cut(r.groupBy(*by, F.expr(_ks_bin()).alias("bin")).agg(F.count("*").alias("c")))
+    return _ks_gaps(r, _ks_candidates(bins, by), by)
 
 
 def cal_bin(p: str) -> str:
@@ -65,9 +90,15 @@ def cal_bin(p: str) -> str:
 def calibration(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     """bin_lo, bin_hi, n, p_mean, freq_up, gap, se of each non-empty bin. ``rows`` needs o."""
     by = by or []
+    t = rows.where("o IS NOT NULL").withColumn("bin", F.expr(cal_bin(p))).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"), F.expr(f"sum({p})").alias("p_sum"), F.sum("o").alias("o_sum"))
+    return _calibrated(t, by)
+
+
+def _calibrated(t: DataFrame, by: list[str]) -> DataFrame:
+    """The table of ``calibration`` from by..., bin, n, p_sum, o_sum."""
     low = F.array(*[F.lit(float(x)) for x in CAL_EDGES[:-1]])
     high = F.array(*[F.lit(min(float(x), 1.0)) for x in CAL_EDGES[1:]])
-    t = rows.where("o IS NOT NULL").withColumn("bin", F.expr(cal_bin(p))).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"), F.expr(f"avg({p})").alias("p_mean"), F.avg("o").alias("freq_up"))
+    t = t.withColumns({"p_mean": F.col("p_sum") / F.col("n"), "freq_up": F.col("o_sum") / F.col("n"), "bin": F.col("bin").cast("int")})
     t = t.withColumns({"bin_lo": low[F.col("bin")], "bin_hi": high[F.col("bin")], "gap": F.col("freq_up") - F.col("p_mean"), "se": F.expr("sqrt(greatest(freq_up * (1e0 - freq_up), 1e-12) / n)")})
     return t.select(*by, "bin_lo", "bin_hi", "n", "p_mean", "freq_up", "gap", "se")
 
@@ -77,6 +108,88 @@ def ece(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     return calibration(rows, p, by).groupBy(*by).agg(F.expr("sum(n * abs(gap)) / sum(n)").alias("ece"))
 
 
+DAY_SUMS = {"se": "mse", "se_p": "mse_p", "ae": "mae", "ae_p": "mae_p", "pb": "pb_", "pb_f": "pbf_"}
+_DAY_ZERO = "DATE'1970-01-01'"
+
+
+class ScoreSets:
+    """Every score of several groupings from two readings of the forecasts.
+
+    ``sets`` names groupings, lists of keys (an empty one: all rows), ``where`` conditions of some. The
+    first reading gives each row to all groupings at once, and in each to its day, its bin of u and its
+    calibration bin: sums by grouping, keys and such a part merge on each task, and are as few as there
+    are groups, days and bins. The second reads u in the bins that can hold the largest gap. Windows
+    start on quarters of an hour, so those of a day are 96 bits."""
+
+    def __init__(self, forecasts: DataFrame, sets: dict[str, list[str]], where: dict[str, str] | None = None):
+        self.sets, self.keys = sets, sorted({k for ks in sets.values() for k in ks})
+        rows, p = scored(forecasts), clip("mean_fc", EPS, 1 - EPS)
+        parts = {"day": f"datediff(date, {_DAY_ZERO})", "pit": f"CASE WHEN u IS NOT NULL THEN {_ks_bin()} END", "ece": f"CASE WHEN o IS NOT NULL THEN {cal_bin(p)} END"}
+        calibrated = {f"cal_{s}": f"CASE WHEN o IS NOT NULL THEN {cal_bin(c)} END" for s, c in SOURCES.items()}
+        within = lambda name, e: f"CASE WHEN {where[name]} THEN {e} END" if where and name in where else e
+        kinds = dict(forecasts.dtypes)
+        key = lambda name, k: f"CAST({k if k in sets[name] else 'NULL'} AS {kinds[k]}) AS key_{k}"
+        every = []
+        for name in sets:
+            for part, sub in (parts | (calibrated if not sets[name] and not (where and name in where) else {})).items():
+                every.append(f"struct('{name}' AS in_, '{part}' AS part, CAST({within(name, sub)} AS BIGINT) AS sub, {', '.join([key(name, k) for k in self.keys] + ['0 AS none_'])})")
+        told = rows.withColumn("g", F.expr(f"explode(array({', '.join(every)}))")).where("g.sub IS NOT NULL").select("*", "g.*").drop("g")
+        day = lambda e: f"CASE WHEN part = 'day' THEN {e} END"
+        window = f"(timestampdiff(MINUTE, {ZERO}, t0) div 15) % 96"
+        sums = {"c": "count(*)", "w1": f"bit_or({day(f'CASE WHEN {window} < 64 THEN shiftleft(1L, CAST({window} AS INT)) ELSE 0L END')})", "w2": f"bit_or({day(f'CASE WHEN {window} >= 64 THEN shiftleft(1L, CAST({window} AS INT) - 64) ELSE 0L END')})", "t_first": "min(t0)", "t_last": "max(t0)"}
+        for c, e in _BASE.items():
+            if e.startswith("avg("):
+                sums |= {f"s_{c}": f"sum({day(e[4:-1])})", f"n_{c}": f"count({day(e[4:-1])})"}
+        sums["n_dir"] = f"count({day('CASE WHEN moves THEN 1 END')})"
+        ps = " ".join(f"WHEN part = '{k}' THEN {v}" for k, v in {"ece": p, **{f"cal_{s}": c for s, c in SOURCES.items()}}.items())
+        sums |= {"n_o": f"count({day('o')})", "p_sum": f"sum(CASE {ps} END)", "o_sum": "sum(CASE WHEN part NOT IN ('day', 'pit') THEN o END)"}
+        self.group = ["in_", *[f"key_{k}" for k in self.keys]]
+        self.parts = cut(told.groupBy(*self.group, "part", "sub").agg(*[F.expr(e).alias(c) for c, e in sums.items()]))
+        bins = self.parts.where("part = 'pit'").select(*self.group, F.col("sub").alias("bin"), "c")
+        some = [f"CASE WHEN {where[n] if where and n in where else 'true'} THEN struct('{n}' AS in_, {', '.join([key(n, k) for k in self.keys] + ['0 AS none_'])}) END" for n in sets]
+        spread = rows.select(F.expr(f"explode(array({', '.join(some)}))").alias("g"), "u").where("g IS NOT NULL").select("g.*", "u")
+        self.ks = cut(_ks_gaps(spread, _ks_candidates(bins, self.group), self.group))
+
+    def _of(self, table: DataFrame, name: str) -> DataFrame:
+        mine = self.sets[name]
+        return table.where(F.col("in_") == name).select(*[F.col(f"key_{k}").alias(k) for k in mine], *[c for c in table.columns if c not in self.group])
+
+    def metrics(self, name: str) -> DataFrame:
+        """The 32 scores of one grouping."""
+        by = self.sets[name]
+        days = self._of(self.parts.where("part = 'day'"), name)
+        sums = [c for c in days.columns if c[:2] in ("s_", "n_")]
+        t = days.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.bit_count("w1") + F.bit_count("w2")).cast("long").alias("n_windows"), F.count("*").alias("n_days"), *[F.sum(c).alias(c) for c in sums])
+        t = t.where("n IS NOT NULL")
+        means = {c: F.expr(f"CASE WHEN n_{c} > 0 THEN s_{c} / n_{c} END") for c, e in _BASE.items() if e.startswith("avg(")}
+        t = t.withColumns(means | {"dir_n": F.col("n_dir"), "settle_n": F.col("n_o")})
+        t = t.withColumns({c: F.expr(e) for c, e in _FINAL.items()})
+        bins = self._of(self.parts.where("part = 'ece'"), name).withColumn("gap", F.expr("abs(o_sum - p_sum)"))
+        e = bins.groupBy(*by).agg((F.sum("gap") / F.sum("c")).alias("settle_ece"))
+        ks = self._of(self.ks, name)
+        if not by:
+            return t.join(F.broadcast(ks), F.lit(True), "left").join(F.broadcast(e), F.lit(True), "left").select(*METRIC_COLUMNS)  # one row each
+        same = lambda a: [F.col(f"t.{k}").eqNullSafe(F.col(f"{a}.{k}")) for k in by]
+        out = t.alias("t").join(ks.alias("ks"), same("ks"), "left").join(e.alias("e"), same("e"), "left")
+        return out.select(*[F.col(f"t.{k}").alias(k) for k in by], *METRIC_COLUMNS)
+
+    def day_sums(self, name: str) -> DataFrame:
+        """by..., date and the seven sums that the block bootstrap needs."""
+        days = self._of(self.parts.where("part = 'day'"), name)
+        return days.select(*self.sets[name], F.expr(f"date_add({_DAY_ZERO}, CAST(sub AS INT))").alias("date"), *[F.col(f"s_{c}").alias(n) for n, c in DAY_SUMS.items()], F.col("c").cast("double").alias("one"))
+
+    def calibrations(self, name: str) -> DataFrame:
+        """The calibration tables of all sources, for a grouping of all rows."""
+        t = self._of(self.parts.where("part LIKE 'cal_%'"), name)
+        return _calibrated(t.select(F.substring("part", 5, 20).alias("source"), F.col("sub").alias("bin"), F.col("c").alias("n"), "p_sum", "o_sum"), ["source"])
+
+    def span(self, name: str) -> dict:
+        """Rows, windows, days, first and last window of a grouping of all rows."""
+        m, t = self.metrics(name).first(), self._of(self.parts.where("part = 'day'"), name).agg(F.min("t_first"), F.max("t_last")).first()
+        counts = (m["n"], m["n_windows"], m["n_days"]) if m else (0, 0, 0)
+        return dict(zip(("scored_steps", "windows", "days", "first", "last"), (*counts, *t), strict=True))
+
+
 def settlement_calibration(forecasts: DataFrame) -> DataFrame:
     rows, out = scored(forecasts), None
     for name, c in SOURCES.items():
@@ -86,16 +199,8 @@ def settlement_calibration(forecasts: DataFrame) -> DataFrame:
 
 
 def metrics_by(forecasts: DataFrame, by: list[str]) -> DataFrame:
-    """All 32 scores by group. Means are partial aggregates; the two rank- and bin-based ones join in."""
-    rows = scored(forecasts)
-    keys = by or ["all_"]
-    if not by:
-        rows = rows.withColumn("all_", F.lit(0))
-    t = rows.groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in _BASE.items()])
-    t = t.withColumns({c: F.expr(e) for c, e in _FINAL.items()})
-    e = ece(rows, clip("mean_fc", EPS, 1 - EPS), keys).withColumnRenamed("ece", "settle_ece")
-    t = t.join(pit_ks(rows, keys), keys, "left").join(e, keys, "left")
-    return t.select(*by, *METRIC_COLUMNS)
+    """All 32 scores by group."""
+    return ScoreSets(forecasts, {"by": by}).metrics("by")
 
 
 def day_statistics(forecasts: DataFrame, key: str) -> DataFrame:

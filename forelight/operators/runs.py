@@ -22,18 +22,20 @@ HEADLINES = ("n", "n_windows", "rmse_c", "rmse_c_persist", "skill_mse", "mae_c",
 SETTLED = ("settle_n", "settle_brier", "settle_brier_persist", "settle_brier_rw", "settle_bss_persist", "settle_logloss", "settle_ece")
 
 
-def score_tables(forecasts: DataFrame, n_boot: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
-    out = {f"metrics_{name}": metrics.metrics_by(forecasts, by) for name, by in GROUPINGS.items()}
-    out["metrics_not_settlement"] = metrics.metrics_by(forecasts.where("NOT is_settlement"), [])
-    out["bootstrap"] = bootstrap.bootstrap_by(forecasts, "h", n_boot, seed).unionByName(bootstrap.bootstrap_by(forecasts, "m_group", n_boot, seed))
-    out["settlement_calibration"] = metrics.settlement_calibration(forecasts)
-    return out
+def score_tables(forecasts: DataFrame, n_boot: int = 1000, seed: int = 0) -> tuple[dict[str, DataFrame], dict]:
+    """Every table of a run, and its span, from two readings of the forecasts."""
+    sets = metrics.ScoreSets(forecasts, {**GROUPINGS, "not_settlement": []}, {"not_settlement": "NOT is_settlement"})
+    out = {f"metrics_{name}": sets.metrics(name) for name in sets.sets}
+    out["bootstrap"] = bootstrap.bootstrap_sums(sets.day_sums("by_h"), "h", n_boot, seed).unionByName(bootstrap.bootstrap_sums(sets.day_sums("by_mgroup"), "m_group", n_boot, seed))
+    out["settlement_calibration"] = sets.calibrations("overall")
+    return out, sets.span("overall")
 
 
 def error_by_h(forecasts: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """Error against steps ahead, with the day-block interval of the mean absolute error."""
-    ends = bootstrap.bootstrap_by(forecasts, "h", n_boot, seed).where("stat = 'mae_c'").selectExpr("CAST(key AS INT) AS h", "lo", "hi")
-    return metrics.metrics_by(forecasts, ["h"]).select("h", "rmse_c", "rmse_c_persist", "mae_c", "mae_c_persist").join(ends, "h", "left")
+    sets = metrics.ScoreSets(forecasts, {"by_h": ["h"]})
+    ends = bootstrap.bootstrap_sums(sets.day_sums("by_h"), "h", n_boot, seed).where("stat = 'mae_c'").selectExpr("CAST(key AS INT) AS h", "lo", "hi")
+    return sets.metrics("by_h").select("h", "rmse_c", "rmse_c_persist", "mae_c", "mae_c_persist").join(ends, "h", "left")
 
 
 def _text(spark: SparkSession, lines: Iterable[str], path: str) -> None:
@@ -83,14 +85,14 @@ def store_run(forecasts: DataFrame, fan: DataFrame | None, config: dict, path: s
         fan.write.mode("overwrite").parquet(f"{path}/baselines")
     forecasts = spark.read.parquet(f"{path}/forecasts")
     tables = {}
-    for name, table in score_tables(forecasts, n_boot, seed).items():
+    scores, span = score_tables(forecasts, n_boot, seed)
+    for name, table in scores.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
         tables[name] = spark.read.parquet(f"{path}/{name}")
     info = {"config": config, "has_fan": fan is not None, "n_boot": n_boot, "seed": seed}
     _text(spark, [json.dumps(info, default=str)], f"{path}/meta")
     for name in ("overall", "by_h", "by_m"):
         tables[f"metrics_{name}"].coalesce(1).write.mode("overwrite").json(f"{path}/metrics/{name}")
-    span = forecasts.agg(F.count("*").alias("scored_steps"), F.count_distinct("t0").alias("windows"), F.count_distinct("date").alias("days"), F.min("t0").alias("first"), F.max("t0").alias("last")).first().asDict()
     _text(spark, summary(tables, config | span), f"{path}/summary")
     return tables
 
