@@ -65,7 +65,9 @@ def _met(rows: DataFrame, by: str, table: DataFrame, keys: list[str], values: li
     are broadcast; the rows that found theirs are spread by the hash of column ``by`` in the second join."""
     value = F.struct(*values)
     few = F.broadcast(table.where(F.col(weight) > hot).select(*keys, value.alias("hot__")))
-    rest = table.where(F.col(weight) <= hot).select(*keys, F.lit(0).cast("long").alias("spread__"), value.alias("cold__"))
+    # 0, but not as a constant: the planner would leave a constant out of the keys that rows are dealt by
+    zero = F.least(F.col(weight), F.lit(0)).cast("long")
+    rest = table.where(F.col(weight) <= hot).select(*keys, zero.alias("spread__"), value.alias("cold__"))
     told = rows.join(few, keys, "left").withColumn("spread__", F.when(F.col("hot__").isNotNull(), F.xxhash64(by)).otherwise(F.lit(0)))
     found = F.coalesce("hot__", "cold__")
     return told.join(rest, [*keys, "spread__"], "left").select(*rows.columns, *[found[v].alias(v) for v in values])
