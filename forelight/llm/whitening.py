@@ -5,7 +5,7 @@ their number n, their exact sums S and the rows diag(s) Vt of the singular value
 the centred vectors, all of them, so that rows.T @ rows is the scatter matrix. Two summaries merge
 losslessly: the decomposition of both sets of rows and one more row,
 sqrt(n1 * n2 / (n1 + n2)) * (mean1 - mean2), which corrects for the two means. Each task merges its
-batches, then groups of ``FAN`` summaries merge, until one is left: at most dims rows of dims numbers,
+batches, then groups of up to ``FAN`` summaries merge, until one is left: at most dims rows of dims numbers,
 whatever the number of vectors. Singular values are taken of centred data, never of products, which
 keeps double precision.
 
@@ -34,8 +34,8 @@ from .common import Tables, ship
 
 #: fixed by the contract
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
-#: summaries merged by one task
-FAN = 8
+#: summaries merged by one task, and the bytes of those at most
+FAN, MERGED = 64, 1 << 25
 #: vectors decomposed at once
 BATCH = 4096
 #: variances below this share of the largest, a dimension, are rounding
@@ -124,24 +124,23 @@ def _summaries(column: str, dims: int, whole: bool):
     return task
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(table: pa.Table) -> pa.Table:
     total = None
-    for batch in batches:
-        for row in batch.to_pylist():
-            part = Summary.unpack(row["n"], row["sums"], row["rows"])
-            total = part if total is None else total.merge(part)
-    if total is not None:
-        yield pa.RecordBatch.from_pylist([dict(zip(("n", "sums", "rows"), total.pack(), strict=True))], pa.schema([("n", pa.int64()), ("sums", pa.string()), ("rows", pa.binary())]))
+    for row in table.to_pylist():
+        part = Summary.unpack(row["n"], row["sums"], row["rows"])
+        total = part if total is None else total.merge(part)
+    return pa.Table.from_pylist([{"slot": table["slot"][0].as_py(), **dict(zip(("n", "sums", "rows"), total.pack(), strict=True))}], pa.schema([("n", pa.int64()), ("sums", pa.string()), ("rows", pa.binary()), ("slot", pa.int64())]))
 
 
 def summary(vectors: DataFrame, column: str, dims: int, whole: bool, tables: Tables) -> Summary | None:
-    """The summary of all vectors: one a task, then ``FAN`` at a time. What reaches the driver is one
-    summary: dims rows of dims numbers at most."""
-    level = tables.put(vectors.select(column).mapInArrow(_summaries(column, dims, whole), _SUMMARY).withColumn("slot", F.spark_partition_id()))
-    while (count := level.count()) > 1:
-        groups = -(-count // FAN)
-        dealt = level.repartitionByRange(groups, "slot").drop("slot")
-        level = tables.put(dealt.mapInArrow(_merge, _SUMMARY).withColumn("slot", F.spark_partition_id()))
+    """The summary of all vectors: one a task, then up to ``FAN`` at a time, as many as ``MERGED`` bytes
+    hold, by their number: whatever the partitions, each level has that many times fewer. What reaches
+    the driver is one summary: dims rows of dims numbers at most."""
+    fan = max(2, min(FAN, MERGED // (8 * dims * dims)))
+    level = tables.put(vectors.select(column).mapInArrow(_summaries(column, dims, whole), _SUMMARY).withColumn("slot", F.spark_partition_id().cast("long")))
+    while level.count() > 1:
+        above = level.withColumn("slot", F.expr(f"slot div {fan}"))
+        level = tables.put(above.groupBy("slot").applyInArrow(_merge, f"{_SUMMARY}, slot long"))
     row = level.first()
     return row and Summary.unpack(row["n"], row["sums"], bytes(row["rows"]))
 
