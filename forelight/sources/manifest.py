@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut, ship
-from .store import write_days
-from .wire import TICKS, TableSpec, parse_events, typed_row
+from .store import drop_days, partial_of, write_days
+from .wire import TICKS, TableSpec, check_meta, parse_events, typed_row
 
 FIELDS = "day date, rows bigint, complete boolean, file_exists boolean"
 VERSION = 2
@@ -28,7 +28,7 @@ def candidate_days(spark: SparkSession, first: str, last_ts: str, start: str | N
 
 def plan_days(days: DataFrame, manifest: DataFrame, last_ts: str, force: bool = False) -> DataFrame:
     """Days to fetch: those without a complete record and file, and the still growing last one."""
-    done = manifest.where("complete AND file_exists").select("day")
+    done = manifest.where("complete AND (file_exists OR rows = 0)").select("day")
     tail = F.col("day") == F.expr(f"to_date(TIMESTAMP_NTZ'{last_ts}')")
     if force:
         return days
@@ -86,36 +86,49 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 @dataclass
 class Retry:
     """Waits for rate limits (a server's own wait, or a ladder with a fifth of spread) and doubles on
-    passing failures. A stream that breaks keeps what it had after the last attempt; every other
-    failure is raised."""
+    passing failures; the two are counted apart. A rejected token is renewed once. A stream that breaks,
+    or that is not ``whole``, keeps what it had after the last attempt; every other failure is raised."""
 
     attempts: int = 5
     ladder: tuple[float, ...] = (5, 15, 30, 60, 120)
     first_wait: float = 1.0
     sleep: Callable[[float], None] = time.sleep
-
-    def fetch(self, stream: Callable[[], Iterator]) -> tuple[list, bool]:
-        kept: list = []
-        for k in range(self.attempts):
-            kept = []
-            last = k == self.attempts - 1
+    throttled: int = 5
+    renew: Callable[[], None] | None = None
+
+    def fetch(self, stream: Callable[[], Iterator], whole: Callable[[list], bool] = lambda rows: True) -> tuple[list, bool]:
+        failed = limited = 0
+        renewed = False
+        while True:
+            kept: list = []
             try:
                 for row in stream():
                     kept.append(row)
-                return kept, True
+                if whole(kept):
+                    return kept, True
+                error: Exception | None = None
             except RateLimited as e:
-                if last:
+                limited += 1
+                if limited >= self.throttled:
                     raise
-                self.sleep(e.after if e.after is not None else self.ladder[min(k, len(self.ladder) - 1)] * random.uniform(0.8, 1.2))
-            except BrokenStream:
-                if last:
-                    return kept, False
-                self.sleep(self.first_wait * 2**k)
-            except ConnectionError:
-                if last:
+                self.sleep(e.after if e.after is not None else self.ladder[min(limited, len(self.ladder)) - 1] * random.uniform(0.8, 1.2))
+                continue
+            except Rejected:
+                if renewed or self.renew is None:
                     raise
-                self.sleep(self.first_wait * 2**k)
-        return kept, False
+                renewed = True
+                self.renew()
+                continue
+            except BrokenStream:
+                error = None
+            except ConnectionError as e:
+                error = e
+            failed += 1
+            if failed >= self.attempts:
+                if error:
+                    raise error
+                return kept, False
+            self.sleep(self.first_wait * 2 ** (failed - 1))
 
 
 class RateLimited(Exception):
@@ -124,48 +137,68 @@ class RateLimited(Exception):
         self.after = after
 
 
+class Rejected(Exception):
+    """The server does not take the token."""
+
+
 class BrokenStream(Exception):
     """The stream ended before its closing event."""
 
 
-FETCHED = "day date, ts timestamp_ntz, value double, told bigint, whole boolean"
+#: rows of a stream that a task passes on at a time
+AT_ONCE = 50_000
 
 
-def fetch(plan: DataFrame, open_stream: Callable[[str], Iterator[str]], retry: Retry | None = None) -> DataFrame:
-    """The streams of the planned days: one row a tick, and one that closes each day, with the count that
-    the stream told (null if it broke off). ``open_stream`` takes a day and yields the lines of its
-    event stream; each day is one task's, with retries."""
+def fetched(spec: TableSpec = TICKS) -> str:
+    return f"day date, {spec.schema}, told bigint, whole boolean, failure string"
+
+
+def fetch(plan: DataFrame, open_stream: Callable[[str], Iterator[str]], retry: Retry | None = None, spec: TableSpec = TICKS, key: str | None = None, contain: bool = False) -> DataFrame:
+    """The streams of the planned days: one row each row of the table, and one that closes each day, with
+    the count that the stream told (null if it broke off) and whether it came whole. ``open_stream``
+    takes a day and yields the lines of its event stream; each day is one task's, with retries. With
+    ``contain`` a day that fails is a closing row with the failure instead of the end of the job."""
     retry = retry or Retry()
+    columns = list(spec.columns)
+
+    def whole(rows: list) -> bool:
+        return bool(rows) and rows[-1][0] is None and rows[-1][1] == len(rows) - 1
 
     def run(batches):
         for pdf in batches:
             for day in pdf["day"]:
-                got, whole = retry.fetch(lambda day=day: day_rows(open_stream(str(day)), str(day)))
-                ticks = [x for x in got if x[0] is not None]
-                told = next((x[1] for x in got if x[0] is None), None)
-                out = pd.DataFrame({"day": [day] * (len(ticks) + 1), "ts": [x[0] for x in ticks] + [None], "value": [x[1] for x in ticks] + [None]})
-                out["told"] = pd.array([None] * len(ticks) + [told], "Int64")
-                out["whole"] = [None] * len(ticks) + [whole]
-                yield out
+                rows, told, good, failure = [], None, False, None
+                try:
+                    rows, good = retry.fetch(lambda day=day: day_rows(open_stream(str(day)), str(day), spec, key), whole)
+                except Exception as e:  # the day's failure is its result
+                    if not contain:
+                        raise
+                    failure = f"{type(e).__name__}: {e}"
+                if rows and rows[-1][0] is None:
+                    told = rows.pop()[1]
+                for at in range(0, len(rows), AT_ONCE):
+                    out = pd.DataFrame(rows[at : at + AT_ONCE], columns=columns)
+                    out.insert(0, "day", day)
+                    yield out.assign(told=pd.array([None] * len(out), "Int64"), whole=pd.array([None] * len(out), "boolean"), failure=None)
+                last = {"day": [day], **{c: [None] for c in columns}, "told": pd.array([told], "Int64"), "whole": pd.array([good], "boolean"), "failure": [failure]}
+                yield pd.DataFrame(last)
 
     ship(plan.sparkSession)
-    return plan.select("day").repartition("day").mapInPandas(run, FETCHED)
+    return plan.select("day").repartition("day").mapInPandas(run, fetched(spec))
 
 
 def day_rows(lines: Iterator[str], day: str, spec: TableSpec = TICKS, key: str | None = None) -> Iterator[tuple]:
-    """(ts, value) of a day's stream, then (None, told count). The stream must be of the right table (and
+    """The typed rows of a day's stream, then (None, told count). The stream must be of the right table (and
     key, if one is given) with all its columns, and hold only this day; one that does not close is broken."""
     for event, data in parse_events(lines):
         if event == "meta":
-            meta = json.loads(data)
-            wrong = {k: meta[k] for k, want in (("table", spec.name), ("key", key)) if want is not None and k in meta and meta[k] != want}
-            missing = set(spec.columns) - set(meta["columns"])
-            if wrong or missing:
-                raise ValueError(f"{day}: another stream than asked for: {wrong or ''} lacks {sorted(missing)}")
+            check_meta(json.loads(data), day, spec, key)
         elif event == "done":
             yield None, int(json.loads(data)["rows"])
             return
-        elif event == "message":
+        elif event == "error":
+            raise BrokenStream(f"{day}: {data}")
+        elif event in ("message", "row"):
             row = typed_row(json.loads(data), spec)
             if row[0] is None or row[0].strftime("%Y-%m-%d") != day:
                 raise ValueError(f"{day}: a row of {row[0]}")
@@ -173,18 +206,29 @@ def day_rows(lines: Iterator[str], day: str, spec: TableSpec = TICKS, key: str |
     raise BrokenStream(day)
 
 
-def ingest(spark: SparkSession, open_stream: Callable[[str], Iterator[str]], days: DataFrame, last_ts: str, store: str, record: str, retry: Retry | None = None, force: bool = False) -> DataFrame:
-    """Fetch the days that are due, store those that came whole, and keep the record. Returns the report:
-    day, rows, told, ok. A day whose rows differ from what its stream told, or that broke off, is not
-    stored and stays due."""
+def ingest(spark: SparkSession, open_stream: Callable[[str], Iterator[str]], days: DataFrame, last_ts: str, store: str, record: str, retry: Retry | None = None, force: bool = False, spec: TableSpec = TICKS, key: str | None = None) -> DataFrame:
+    """Fetch the days that are due, store them, and keep the record. Returns the report: day, rows, told,
+    ok, failure, state.
+
+    A day is ``whole`` (its rows are as many as its stream told), ``empty``, ``broken`` (it broke off, or
+    closed with another count) or ``failed``. Whole days go to the store; what a broken day had goes to
+    ``partial_of(store)``, where readers find it only if they ask, until the day comes whole. A failed day
+    changes neither store nor record. All but whole and empty days stay due, and so does a day that the
+    snapshot ``last_ts`` does not close. A stored day is never deleted because its stream is empty."""
     manifest = cut(load(spark, record))
-    got = cut(fetch(plan_days(days, manifest, last_ts, force), open_stream, retry))
-    counts = got.groupBy("day").agg(F.count("ts").alias("rows"), F.max("told").alias("told"), F.bool_and("whole").alias("whole"))
-    report = cut(counts.selectExpr("day", "rows", "told", "coalesce(whole AND rows = told, false) AS ok"))
-    good = report.where("ok")
-    rows = got.where("ts IS NOT NULL").join(good.select("day"), "day", "left_semi").select("ts", "value")
-    if not rows.isEmpty():
-        write_days(rows, store)
-    news = report.selectExpr("day", "rows", "ok AS complete", "ok AND rows > 0 AS file_exists")
+    got = cut(fetch(plan_days(days, manifest, last_ts, force), open_stream, retry, spec, key, contain=True))
+    closing = F.col("whole").isNotNull()
+    counts = got.groupBy("day").agg(F.count_if(~closing).alias("rows"), F.max("told").alias("told"), F.bool_and("whole").alias("whole"), F.max("failure").alias("failure"))
+    state = F.expr("CASE WHEN failure IS NOT NULL THEN 'failed' WHEN NOT coalesce(whole AND rows = told, false) THEN 'broken' WHEN rows = 0 THEN 'empty' ELSE 'whole' END")
+    report = cut(counts.withColumn("state", state).selectExpr("day", "rows", "told", "state IN ('whole', 'empty') AS ok", "failure", "state"))
+    rows = got.where(~closing).drop("told", "whole", "failure")
+    for wanted, place in (("whole", store), ("broken", partial_of(store))):
+        some = rows.join(F.broadcast(report.where(F.col("state") == wanted).select("day")), "day", "left_semi").drop("day")  # days
+        if not some.isEmpty():
+            write_days(some, place)
+    drop_days(spark, partial_of(store), [str(r[0]) for r in report.where("state = 'whole'").select("day").collect()])
+    sealed = F.expr(f"timestampadd(DAY, 1, CAST(day AS TIMESTAMP_NTZ)) <= TIMESTAMP_NTZ'{last_ts}'")
+    before = manifest.select("day", F.col("file_exists").alias("had"))
+    news = report.where("state <> 'failed'").join(before, "day", "left").select("day", "rows", (F.col("ok") & sealed).alias("complete"), F.expr("state = 'whole' OR coalesce(had, false)").alias("file_exists"))
     save(cut(merge(manifest, news)), record)
     return report

@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.bars import BAR_COLUMNS, FREQ_SECONDS, to_bars
 from ..operators.frame import build_frame
+from .wire import CANDLES
 
 BARS_VERSION, FRAME_VERSION = 4, 2
 
 
-def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, columns=("ts", "value"), strict: bool = False) -> DataFrame:
+def partial_of(path: str) -> str:
+    """The folder of days that broke off, beside a store."""
+    return f"{path.rstrip('/')}.partial"
+
+
+def read_days(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, columns=("ts", "value"), strict: bool = False, partial: bool = False) -> DataFrame:
     """Day folders ``date=YYYY-MM-DD`` within [start, end]: only those partitions are read. With
-    ``strict`` a range without any day is an error, decided on the folders' names alone."""
+    ``strict`` a range without any day is an error, decided on the folders' names alone. ``partial``
+    also reads what days had that broke off."""
     df = spark.read.parquet(path)
+    if partial and newest(spark, partial_of(path)):
+        df = df.unionByName(spark.read.parquet(partial_of(path)))
     if start:
         df = df.where(F.col("date") >= F.lit(start))
     if end:
@@ -30,6 +39,18 @@ def write_days(df: DataFrame, path: str, time: str = "ts") -> None:
     df.withColumn("date", F.to_date(time)).repartition("date").sortWithinPartitions(time).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(path)
 
 
+def drop_days(spark: SparkSession, path: str, days: list[str]) -> None:
+    """Delete the folders of these days, where they are there."""
+    for day in days:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_candles(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """The candles of a day store."""
+    return read_days(spark, path, start, end, columns=tuple(CANDLES.columns))
+
+
 def newest(spark: SparkSession, path: str) -> int:
     """The latest change of any file below ``path``, in milliseconds; 0 if there is none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,7 +101,8 @@ def build_frame_store(spark: SparkSession, bars_path: str, candles_path: str, pa
     other look-backs, or older than its sources."""
     key, source = f"{vol_lookback},{rv_lookback}", max(newest(spark, bars_path), newest(spark, candles_path))
     if force or not _fresh(spark, path, FRAME_VERSION, key, source):
-        _store(build_frame(load_bars(spark, bars_path, "1m"), spark.read.parquet(candles_path), vol_lookback, rv_lookback), path, "frame", FRAME_VERSION, key, source)
+        candles = spark.read.parquet(candles_path)
+        _store(build_frame(load_bars(spark, bars_path, "1m"), candles.select(*[c for c in CANDLES.columns if c in candles.columns]), vol_lookback, rv_lookback), path, "frame", FRAME_VERSION, key, source)
     return load_frame(spark, path, vol_lookback, rv_lookback)
 
 

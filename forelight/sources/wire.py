@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+from ..session import ship
 
 QUOTE_NUMBERS = tuple(f"{side}_{x}" for side in ("yes_bid", "yes_ask") for x in ("open", "high", "low", "close")) + tuple(f"price_{x}" for x in ("open", "high", "low", "close", "mean"))
 
@@ -85,6 +90,35 @@ def typed_row(raw: dict, spec: TableSpec) -> tuple:
     return tuple(out)
 
 
+def check_meta(meta: dict, place: str, spec: TableSpec, key: str | None = None) -> None:
+    """The contract that opens a stream: its table, its key (if one is asked for) and all columns."""
+    wrong = {k: meta[k] for k, want in (("table", spec.name), ("key", key)) if want is not None and k in meta and meta[k] != want}
+    missing = set(spec.columns) - set(meta["columns"])
+    if wrong or missing:
+        raise ValueError(f"{place}: another stream than asked for: {wrong or ''} lacks {sorted(missing)}")
+
+
+def stream_rows(lines: Iterable[str], day: str, spec: TableSpec, strict: bool = True, key: str | None = None) -> Iterator[tuple]:
+    """The typed rows of a recorded stream. ``strict`` rejects rows outside ``day`` and a stream that does
+    not close, or closes with another count."""
+    rows, closed = 0, False
+    for event, data in parse_events(lines):
+        if event == "meta":
+            check_meta(json.loads(data), day, spec, key)
+        elif event == "done":
+            closed = True
+            if strict and json.loads(data)["rows"] != rows:
+                raise ValueError(f"{day} closes with {data}, {rows} rows were read")
+        elif event in ("message", "row"):
+            row = typed_row(json.loads(data), spec)
+            if strict and (row[0] is None or row[0].strftime("%Y-%m-%d") != day):
+                raise ValueError(f"{day} holds {row[0]}")
+            rows += 1
+            yield row
+    if strict and not closed:
+        raise ValueError(f"{day} breaks off after {rows} rows")
+
+
 @dataclass
 class DayFile(InputPartition):
     path: str
@@ -93,11 +127,22 @@ class DayFile(InputPartition):
         self.path = path
 
 
+_DAY = re.compile(r"(?:^|/|date=)(\d{4}-\d\d-\d\d)(?=[./]|$)")
+
+
+def day_of(path: str) -> str | None:
+    """The day that a recorded file is named after: ``2024-01-01.sse`` or a folder ``date=2024-01-01``."""
+    found = _DAY.findall(path)
+    return found[-1] if found else None
+
+
 class EventStreamSource(DataSource):
-    """``spark.read.format("recorded_events").option("path", folder).option("table", "ticks")``: a
-    folder of recorded streams, one file a day, one partition each. ``from`` and ``to`` (dates in
-    file names) prune files; ``strict`` rejects rows outside their file's day and streams whose
-    closing count differs."""
+    """``spark.read.format("recorded_events").option("path", folder).option("table", "ticks")``: recorded
+    streams, a file a day (see ``day_of``), one partition each, in any file system that Arrow opens
+    (local, S3, GCS, HDFS). ``from`` and ``to`` (dates) leave files out; ``strict`` rejects rows outside their
+    file's day and streams whose closing count differs. With ``prune`` predicates that compare ts with a time
+    are pushed down: only files of days that can hold such rows become partitions. Spark asks for a setting
+    then, which ``recorded_source`` makes."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,37 +155,92 @@ class EventStreamSource(DataSource):
         return self.spec().schema
 
     def reader(self, schema):
-        return EventStreamReader(self.options, self.spec())
+        prunes = self.options.get("prune", "false").lower() == "true"
+        return (PruningReader if prunes else EventStreamReader)(self.options, self.spec())
 
 
 class EventStreamReader(DataSourceReader):
     def __init__(self, options, spec: TableSpec):
         self.options, self.spec = dict(options), spec
+        self.low, self.high = self.options.get("from", "0000"), self.options.get("to", "9999")
+
+    def _files(self):
+        from pyarrow import fs
+
+        top = self.options["path"]
+        return fs.FileSystem.from_uri(top) if "://" in top or top.startswith("file:") else (fs.LocalFileSystem(), top)
 
     def partitions(self):
-        top, low, high = self.options["path"], self.options.get("from", ""), self.options.get("to", "9999")
-        days = sorted(n for n in os.listdir(top) if n.endswith(".sse") and low <= n[:10] <= high)
-        return [DayFile(os.path.join(top, n)) for n in days]
+        from pyarrow import fs
+
+        files, top = self._files()
+        found = files.get_file_info(fs.FileSelector(top, recursive=True))
+        named = sorted((day_of(f.path), f.path) for f in found if f.type == fs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")) and day_of(f.path))
+        return [DayFile(path) for day, path in named if self.low <= day <= self.high]
 
     def read(self, partition: DayFile):
         strict = self.options.get("strict", "true").lower() == "true"
-        day = os.path.basename(partition.path)[:10]
-        rows = 0
-        with open(partition.path, encoding="utf-8") as f:
-            for event, data in parse_events(f):
-                if event == "meta":
-                    missing = set(self.spec.columns) - set(json.loads(data)["columns"])
-                    if missing:
-                        raise ValueError(f"{partition.path} lacks {sorted(missing)}")
-                elif event == "done":
-                    if strict and json.loads(data)["rows"] != rows:
-                        raise ValueError(f"{partition.path} closes with {data}, {rows} rows were read")
-                elif event == "message":
-                    row = typed_row(json.loads(data), self.spec)
-                    if strict and row[0].strftime("%Y-%m-%d") != day:
-                        raise ValueError(f"{partition.path} holds {row[0]}")
-                    rows += 1
-                    yield row
+        files, _ = self._files()
+        with files.open_input_stream(partition.path) as f:
+            yield from stream_rows(io.TextIOWrapper(f, "utf-8"), day_of(partition.path), self.spec, strict, self.options.get("key"))
+
+
+class PruningReader(EventStreamReader):
+    def pushFilters(self, filters):
+        """Take note of the days that predicates on ts leave; Spark still applies every one to the rows."""
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("ts",) and isinstance(f.value, dt.datetime):
+                day = f.value.strftime("%Y-%m-%d")
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, day)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    midnight = f.value == f.value.replace(hour=0, minute=0, second=0, microsecond=0)
+                    last = f.value - dt.timedelta(days=1) if isinstance(f, LessThan) and midnight else f.value
+                    self.high = min(self.high, last.strftime("%Y-%m-%d"))
+            yield f
+
+
+def recorded_source(spark, path: str, table: str = "ticks") -> DataFrame:
+    """Recorded streams whose predicates on ts prune files. Lets this session push filters to Python sources."""
+    ship(spark)
+    spark.dataSource.register(EventStreamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("recorded_events").option("path", path).option("table", table).option("prune", "true").load()
+
+
+def recorded(spark, path: str, spec: TableSpec = TICKS, start: dt.date | None = None, end: dt.date | None = None, strict: bool = True) -> DataFrame:
+    """The rows of recorded streams in folders ``date=YYYY-MM-DD`` of any file system that Spark reads, days
+    from ``start`` to ``end``: Spark lists the folders, leaves those of other days out and reads the files;
+    a task parses a day's stream, which it holds as bytes."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("basePath", path).load(path).select("date", "path", "content")
+    if start:
+        files = files.where(F.col("date") >= F.lit(start))
+    if end:
+        files = files.where(F.col("date") <= F.lit(end))
+
+    def parse(batches):
+        for batch in batches:
+            for day, content in zip(batch.column("date").to_pylist(), batch.column("content"), strict=True):
+                lines = io.TextIOWrapper(pa.BufferReader(content.as_buffer()), "utf-8")
+                rows = stream_rows(lines, str(day), spec, strict)
+                while some := list(islice(rows, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*some, strict=True), spec.columns.values(), strict=True)], list(spec.columns))
+
+    return files.repartition("date", "path").mapInArrow(parse, spec.schema)
+
+
+_ARROW = {"timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "string": pa.string()}
+
+
+def record(rows: DataFrame, path: str, spec: TableSpec = TICKS) -> None:
+    """Write rows as recorded streams, a file a day, in the layout that ``recorded`` and the data source read."""
+    fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in spec.columns.items()]
+    columns = json.dumps({"table": spec.name, "columns": list(spec.columns)})
+    day = rows.select(F.to_date("ts").alias("date"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("data"), "ts")
+    body = day.select("date", F.lit(1).alias("part"), "ts", F.concat(F.lit("data: "), F.col("data"), F.lit("\n")).alias("value"))
+    ends = day.groupBy("date").agg(F.count("*").alias("n")).select("date", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(f"event: meta\ndata: {columns}\n").alias("value")), F.struct(F.lit(2).alias("part"), F.concat(F.lit('event: done\ndata: {"rows": '), F.col("n").cast("string"), F.lit("}\n")).alias("value")))).alias("x")).select("date", "x.part", F.lit(None).cast("timestamp_ntz").alias("ts"), "x.value")
+    body.unionByName(ends).repartition("date").sortWithinPartitions("date", "part", "ts").select("date", "value").write.mode("overwrite").partitionBy("date").text(path)
 
 
 def rows_of_json(df: DataFrame, column: str, spec: TableSpec) -> DataFrame:
