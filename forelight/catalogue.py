@@ -12,7 +12,7 @@ from .functions.mathx import FAN_Q_COLS, Q_COLS, rounded
 from .operators import audit, bars as B, baselines, bootstrap, covariates, forecast, frame as FR, metrics, origins as O, runs, signals, splits
 from .plans import oracle as S
 from .session import cut, shared_dir
-from .sources import fixtures, manifest, wire
+from .sources import fixtures, manifest, store, wire
 from .streaming import bars as stream
 
 VOL, RV, CONTEXT, GAP = 60, 30, 32, 0.1
@@ -326,6 +326,58 @@ _STREAM = [
 add("stream_bars_15m", {"ts": None, "open": 6, "high": 6, "low": 6, "close": 6, "mean": 6, "n_ticks": None}, _STREAM, "sc")(lambda spark, sf: stream.bars_of_available(spark, sf))
 
 
+_CLOSED = [*S.bars(60), "sf_ AS (SELECT * FROM bars WHERE g + 60 <= (SELECT max(s) FROM ticks) - 600)"]
+add("stream_bars_full_1m", BAR_COLS, _CLOSED, "sf_")(lambda spark, sf: stream.full_bars_of_available(spark, fixtures.ticks(spark, sf)))
+
+
+def _streams(spark, sf):
+    """The events as recorded streams, a file a day, in the shared folder."""
+    path = f"{shared_dir(spark)}/streams-{uuid.uuid4().hex}"
+    wire.record(spark.read.parquet(f"{sf}/events.parquet").select("ts", "value"), path)
+    return path
+
+
+_DAYS = ["rd AS (SELECT ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-06')"]
+add("recorded_days", {"ts": None, "value": 6}, _DAYS, "rd")(lambda spark, sf: wire.recorded(spark, _streams(spark, sf), start=dt.date(2024, 1, 3), end=dt.date(2024, 1, 5)))
+add("recorded_predicate", {"ts": None, "value": 6}, ["rp AS (SELECT ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-03 06:00:00' AND ts < TIMESTAMP '2024-01-05')"], "rp")(
+    lambda spark, sf: wire.recorded_source(spark, _streams(spark, sf)).where("ts >= TIMESTAMP_NTZ'2024-01-03 06:00:00' AND ts < TIMESTAMP_NTZ'2024-01-05 00:00:00'")
+)
+
+
+def _ingested(spark, sf):
+    """The days of the events fetched from their streams; every fifth fails, every third breaks off."""
+    import os
+
+    events = spark.read.parquet(f"{sf}/events.parquet").select("ts", "value")
+    path, here = _streams(spark, sf), f"{shared_dir(spark)}/ingested-{uuid.uuid4().hex}"
+
+    def open_stream(day: str):
+        from pyarrow import fs
+
+        if int(day[-2:]) % 5 == 0:
+            raise ConnectionError("no route")
+        files, top = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        for f in files.get_file_info(fs.FileSelector(f"{top}/date={day}")):
+            if not os.path.basename(f.path).startswith(("_", ".")):
+                with files.open_input_stream(f.path) as lines:
+                    text = lines.read().decode().splitlines()
+                yield from text[: len(text) // 2] if int(day[-2:]) % 3 == 0 else text
+
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    report = manifest.ingest(spark, open_stream, manifest.candidate_days(spark, str(low.date()), str(high)), str(high), f"{here}/ticks", f"{here}/manifest", manifest.Retry(attempts=1))
+    stored = store.read_days(spark, f"{here}/ticks").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("stored"))
+    return report.select("day", "ok", "state").join(stored, "day", "left").join(manifest.load(spark, f"{here}/manifest").select("day", "complete"), "day", "left")
+
+
+_INGESTED = [
+    "dy AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)",
+    """dz AS (SELECT CAST(g AS DATE) AS day, coalesce(n, 0) AS n, CASE WHEN day(g) % 5 = 0 THEN 'failed' WHEN day(g) % 3 = 0 OR n IS NULL THEN 'broken' ELSE 'whole' END AS state
+  FROM (SELECT unnest(generate_series((SELECT min(day) FROM dy), (SELECT max(day) FROM dy), INTERVAL 1 DAY)) AS g) LEFT JOIN dy ON dy.day = CAST(g AS DATE))""",
+    "di AS (SELECT day, state = 'whole' AS ok, state, CASE WHEN state = 'whole' THEN n END AS stored, CASE WHEN state = 'failed' THEN NULL ELSE state = 'whole' AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) END AS complete FROM dz)",
+]
+add("ingested_days", {"day": None, "ok": None, "state": None, "stored": None, "complete": None}, _INGESTED, "di")(_ingested)
+
+
 def _sse(spark, sf):
     """Events written as stream lines and read back through the frame parser and typed rows."""
     e = spark.read.parquet(f"{sf}/events.parquet")

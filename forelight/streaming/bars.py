@@ -1,12 +1,18 @@
-"""Bars from a stream of ticks: the batch aggregate in append mode, closed by a watermark."""
+"""Bars from a stream of ticks, closed by a watermark: as a windowed aggregate (prices and counts), or
+in full by a processor with keyed state (returns, tails, gaps)."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import shared_dir
+from ..operators.bars import BAR_COLUMNS, MAX_RETURN_GAP_S, TAIL_TOLERANCE_S
+from ..session import shared_dir, ship
 
 FIELDS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -37,3 +43,131 @@ def bars_of_available(spark: SparkSession, sf_dir: str, every: str = "15 minutes
     stream = spark.readStream.schema(FIELDS).option("pathGlobFilter", "events.parquet" if single else "*.parquet").parquet(sf_dir if single else source)
     run_to_table(stream_bars(stream, every), f"{here}/bars", f"{here}/state").awaitTermination()
     return spark.read.parquet(f"{here}/bars")
+
+
+BAR_FIELDS = "series string, ts timestamp_ntz, open double, high double, low double, close double, mean double, std double, rv_1s double, ret_l10 double, ret_l30 double, n_ticks long, n_raw_ticks long, is_gap boolean, is_full boolean"
+_DAY_US = 86_400_000_000
+#: bars that a timer hands on at a time
+AT_ONCE = 10_000
+
+
+def bar_of(us: np.ndarray, value: np.ndarray, seconds: int, before: tuple[int, float] | None) -> tuple[tuple, tuple[int, float] | None]:
+    """The bar of one interval from its ticks (microseconds, values; any order), and its last tick on a
+    whole second. ``before``: that of an earlier interval. A return belongs to its later tick, spans a
+    minute at most and never crosses a UTC day; ticks of one time are taken by value."""
+    order = np.lexsort((value, us))
+    us, value = us[order], value[order]
+    on = us % 1_000_000 == 0
+    at, v, raw = us[on] // 1_000_000, value[on], len(us)
+    if not len(v):
+        return (*[None] * 9, 0, raw, True, False), before
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.where(v > 0, np.log(np.where(v > 0, v, 1.0)), np.nan)
+        t, x = (at, logs) if before is None else (np.r_[before[0], at], np.r_[np.log(before[1]) if before[1] > 0 else np.nan, logs])
+        gap = np.diff(t)
+        same_day = t[1:] // 86_400 == t[:-1] // 86_400
+        r = np.diff(x)[(gap <= MAX_RETURN_GAP_S) & same_day]
+    r = r[~np.isnan(r)]
+    off = at % seconds
+
+    def tail(n: int) -> float | None:
+        mark = seconds - 1 - n
+        early = logs[(off <= mark) & (off > mark - TAIL_TOLERANCE_S)]
+        if off.max() < seconds - TAIL_TOLERANCE_S or not len(early):
+            return None
+        moved = logs[-1] - early[-1]
+        return None if np.isnan(moved) else float(moved)
+
+    rv = float((r * r).sum() * seconds / len(r)) if len(r) >= max(seconds // 2, 1) else None
+    out = (float(v[0]), float(v.max()), float(v.min()), float(v[-1]), float(v.mean()), float(v.std()), rv, tail(10), tail(30), len(v), raw, False, len(v) == seconds)
+    return out, (int(at[-1]), float(v[-1]))
+
+
+class BarProcessor(StatefulProcessor):
+    """State of a series: the ticks of its open intervals, one entry an interval; the next interval to hand
+    on; the last tick on a whole second. Intervals leave when the watermark has passed their end, empty
+    ones too: a timer stands at the end of the next one."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "label long", "ticks binary")
+        self.next = handle.getValueState("next", "label long")
+        self.last = handle.getValueState("last", "sec long, value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size, first = self.seconds * 1_000_000, None
+        for pdf in rows:
+            us = pdf["us"].to_numpy(np.int64)
+            value, labels = pdf["value"].to_numpy(np.float64), us // size
+            order = np.argsort(labels, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(labels[order]) > 0])
+            for part in np.split(order, edges[1:]) if len(order) else ():
+                label = int(labels[part[0]])
+                both = np.empty((len(part), 2), np.int64)
+                both[:, 0], both[:, 1] = us[part], value[part].view(np.int64)
+                have = self.open.getValue((label,))
+                self.open.updateValue((label,), ((have[0] if have else b"") + both.tobytes(),))
+                first = label if first is None else min(first, label)
+        due = self.next.get()
+        if first is not None and (due is None or first < due[0]):
+            self.next.update((first,))
+            self.handle.registerTimer((first + 1) * self.seconds * 1000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() // 1000 // self.seconds  # labels under this have ended
+        label, last, out = self.next.get()[0], self.last.get(), []
+        if label >= closed:
+            yield pd.DataFrame()
+            return
+        while label < closed:
+            got = self.open.getValue((label,))
+            both = np.frombuffer(got[0], np.int64).reshape(-1, 2) if got else np.empty((0, 2), np.int64)
+            bar, last = bar_of(both[:, 0], np.ascontiguousarray(both[:, 1]).view(np.float64), self.seconds, last)
+            out.append((key[0], pd.Timestamp(label * self.seconds, unit="s"), *bar))
+            if got:
+                self.open.removeKey((label,))
+            label += 1
+            if len(out) == AT_ONCE:
+                yield self._frame(out)
+                out = []
+        self.next.update((label,))
+        if last is not None:
+            self.last.update(last)
+        self.handle.registerTimer((label + 1) * self.seconds * 1000)
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["series", *BAR_COLUMNS])
+
+    def close(self) -> None:
+        pass
+
+
+def full_stream_bars(ticks: DataFrame, seconds: int = 60, late: str = "10 minutes", series: str | None = None) -> DataFrame:
+    """Every column of the batch bars, from a stream of ticks (ts, value, and a column that names the
+    series where there are several), gaps between a series' first and last interval included. A series
+    is one key: as many run at once as there are. Needs the RocksDB state store (see ``stateful``)."""
+    ship(ticks.sparkSession)
+    t = ticks.where("ts IS NOT NULL AND value IS NOT NULL").select((F.col(series) if series else F.lit("")).cast("string").alias("series"), F.col("ts").cast("timestamp").alias("at"), F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"), "value")
+    return t.withWatermark("at", late).groupBy("series").transformWithStateInPandas(BarProcessor(seconds), BAR_FIELDS, "Append", "EventTime")
+
+
+def stateful(spark: SparkSession) -> None:
+    """Let this session's stateful processors keep their state in RocksDB, which they need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def full_bars_of_available(spark: SparkSession, ticks: DataFrame, seconds: int = 60, late: str = "10 minutes", files: int = 1) -> DataFrame:
+    """All bars that the watermark closes over ``ticks`` (ts, value), streamed from the shared folder."""
+    here = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ticks.select("ts", "value").repartitionByRange(files, "ts").write.parquet(f"{here}/ticks")
+    stateful(spark)
+    stream = spark.readStream.schema("ts timestamp_ntz, value double").parquet(f"{here}/ticks")
+    run_to_table(full_stream_bars(stream, seconds, late), f"{here}/bars", f"{here}/state").awaitTermination()
+    return spark.read.parquet(f"{here}/bars").select(*BAR_COLUMNS)
