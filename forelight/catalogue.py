@@ -245,6 +245,17 @@ add("subsample", {"i": None, "m": None}, [*S.origins(), "sr AS (SELECT i, m, row
     lambda spark, sf: splits.subsample(all_origins(minute_frame(spark, sf)).where("ok"), "i", 7, "m")
 )
 
+_TRAIN = [*S.origins(), f"tr AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS number, count(*) OVER () AS n FROM (SELECT i, CASE {_CASES} END AS split FROM origins WHERE ok) WHERE split = 'train')"]
+
+
+def _epochs(spark, sf):
+    s = splits.assign_splits(all_origins(minute_frame(spark, sf)).where("ok"), _T0, BOUNDS).where("split = 'train'").select("i")
+    return splits.epochs(s, "i", 0, 2, 64, seed=11, start=100)
+
+
+_PLACE = splits.shuffled_place("number", "n", 11, "epoch", lambda start, rounds, step: f"list_reduce(list_prepend(CAST({start} AS BIGINT), range(1, {rounds + 1})), lambda a, r: {step})", "//")
+add("epoch_batches", {"i": None, "epoch": None, "place": None, "batch": None}, [*_TRAIN, f"ep AS (SELECT i, epoch, epoch * n + {_PLACE} AS place FROM tr, range(3) q(epoch))", "eb AS (SELECT *, place // 64 AS batch FROM ep WHERE place >= 100)"], "eb")(_epochs)
+
 # ---- covariates -------------------------------------------------------------------------------
 add("calendar_features", {"idx": None, **dict.fromkeys(covariates.CALENDAR, 8)}, [*S.frame(), f"cf AS (SELECT idx, {S.calendar()} FROM frame)"], "cf")(lambda spark, sf: minute_frame(spark, sf).selectExpr("idx", *[f"{e} AS {c}" for c, e in covariates.calendar_exprs().items()]))
 for _p in ("full", "full_rv"):
@@ -315,7 +326,11 @@ add("ols_intervals", {"h": None, "gap": None, "split": None, **_CI})(lambda spar
 add("trade_intervals", {"h": None, "threshold": 2, "split": None, **_CI})(lambda spark, sf: signals.trade_intervals(_signal(spark, sf)))
 add("gbt_importances", {"place": None, "feature": None, "share": 4})(lambda spark, sf: signals.gbt_importances(_signal(spark, sf)))
 add("gbt_signal", {"split": None, "n": None, "skill": 4})(lambda spark, sf: signals.gbt_signal(_signal(spark, sf)))
-add("logit_recal", {"features": None, "split": None, "n": None, "bss": 4})(lambda spark, sf: signals.logit_recalibration(_signal(spark, sf)))
+add("gbt_comparison", {"h": None, "features": None, "split": None, "n": None, "skill": 4, "lo": 4, "hi": 4, "n_days": None})(lambda spark, sf: signals.gbt_comparison(_signal(spark, sf)))
+_RECAL = [*S.signals(_V, _T), *S.recalibration()]
+add("recal_days", {"features": None, "split": None, "date": None, "n": None, "se": 6, "se_0": 6}, [*_RECAL, "rdy AS (SELECT features, split, date, count(*) AS n, sum(power(p - y, 2)) AS se, sum(power(mid_close - y, 2)) AS se_0 FROM rcd GROUP BY ALL)"], "rdy")(lambda spark, sf: signals.recalibration_days(_signal(spark, sf)))
+add("recal_intervals", {"features": None, "split": None, **_CI})(lambda spark, sf: signals.recalibration_intervals(_signal(spark, sf)))
+add("logit_recal", {"features": None, "split": None, "n": None, "bss": 4}, [*_RECAL, "rcb AS (SELECT features, split, count(*) AS n, 1e0 - sum(power(p - y, 2)) / sum(power(mid_close - y, 2)) AS bss FROM rcd GROUP BY ALL)"], "rcb")(lambda spark, sf: signals.logit_recalibration(_signal(spark, sf)))
 
 # ---- streaming and ingestion ------------------------------------------------------------------
 _STREAM = [

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.mathx import h_eff, norm_cdf, z_score
+from ..functions.mathx import h_eff, lit, ln_ratio, norm_cdf, safe_div, z_score
 from .bootstrap import Ratio, intervals
+from ..session import cut
 from .grid import block_window, blocked, unblocked
 
 HORIZONS, FEE = (1, 2, 3, 5, 8), 0.07
@@ -18,7 +20,7 @@ def split_label(val_start: str, test_start: str) -> str:
 
 def signal_frame(frame: DataFrame, val_start: str, test_start: str, horizons=HORIZONS) -> DataFrame:
     """Volatility measures, future variances, future moves inside the window, gaps to fair value."""
-    f = frame.select("idx", "ts", "t0", "k", "date", "mid_close", "yes_bid_close", "yes_ask_close", "quote_ok", "moneyness", "sigma_1m", "brti_rv_1s", "ret_1m", "spread", "log_volume", "log_oi", "hour", "outcome_brti", F.expr("power(ret_1m, 2)").alias("r2_1m"))
+    f = frame.select("idx", "ts", "t0", "k", "date", "mid_close", "yes_bid_close", "yes_ask_close", "quote_ok", "moneyness", "sigma_1m", "brti_rv_1s", "ret_1m", "spread", "log_volume", "log_oi", "hour", "outcome_brti", "brti_ret_l10", "brti_ret_l30", "mid_ret_1m", F.expr("power(ret_1m, 2)").alias("r2_1m"))
     # The future looks ten rows on: rows are numbered backwards so that a halo looks back.
     b = blocked(f, 250)
     w = block_window()
@@ -27,7 +29,12 @@ def signal_frame(frame: DataFrame, val_start: str, test_start: str, horizons=HOR
         over = w.rowsBetween(-(size - 1), 0)
         return F.when(F.count("brti_rv_1s").over(over) >= size // 2, F.sqrt(F.avg("brti_rv_1s").over(over)))
 
-    f = unblocked(b.withColumns({f"sig_rv{n}": past(n) for n in (15, 30, 60, 240)}))
+    b = b.withColumns({f"sig_rv{n}": past(n) for n in (15, 30, 60, 240)})
+    names = {"old": "sigma_1m", "rv15": "sig_rv15", "rv30": "sig_rv30", "rv60": "sig_rv60", "rv240": "sig_rv240"}
+    b = b.withColumns({f"z_{n}": F.expr(z_score("moneyness", s, h_eff("k"))) for n, s in names.items()})
+    b = b.withColumns({f"p_{n}": F.expr(norm_cdf(f"z_{n}")) for n in names})
+    b = b.withColumns({f"dp_{n}": F.col(f"p_{n}") - F.lag(f"p_{n}").over(w) for n in ("old", "rv60")})
+    f = unblocked(b)
     top = f.agg(F.max("idx")).first()[0] or 0
     b = blocked(f.withColumn("rev", F.lit(top) - F.col("idx")), 16, index="rev")
     v = block_window("rev")
@@ -43,10 +50,13 @@ def signal_frame(frame: DataFrame, val_start: str, test_start: str, horizons=HOR
         ok = F.lead("quote_ok", h).over(t) & (F.col("k") + h <= 13)
         cols |= {f"d{h}": F.when(ok, F.lead("mid_close", h).over(t) - F.col("mid_close")), f"bid{h}": F.when(ok, F.lead("yes_bid_close", h).over(t)), f"ask{h}": F.when(ok, F.lead("yes_ask_close", h).over(t))}
     f = f.withColumns(cols)
-    names = {"old": "sigma_1m", "rv15": "sig_rv15", "rv60": "sig_rv60", "rv240": "sig_rv240"}
-    f = f.withColumns({f"z_{n}": F.expr(z_score("moneyness", s, h_eff("k"))) for n, s in names.items()})
-    f = f.withColumns({f"p_{n}": F.expr(norm_cdf(f"z_{n}")) for n in names})
     f = f.withColumns({f"gap_{n}": F.col(f"p_{n}") - F.col("mid_close") for n in names})
+    f = f.selectExpr(
+        "*", "CAST(k AS DOUBLE) AS kf", "CAST(hour AS DOUBLE) AS hour_f", "coalesce(mid_ret_1m, 0e0) AS mid_ret", f"{safe_div('ret_1m', 'sigma_1m')} AS ret_std", f"{safe_div('brti_ret_l10', 'sig_rv60')} AS l10_std", f"{safe_div('brti_ret_l30', 'sig_rv60')} AS l30_std",
+        # the index's last move as a move of the fair value
+        *[f"exp(-0.5e0 * z_rv60 * z_rv60) / sqrt(2e0 * pi()) * {safe_div(f'brti_ret_l{n}', f'(sig_rv60 * sqrt({h_eff(chr(107))}))')} AS l{n}_fair" for n in (10, 30)],
+        f"{ln_ratio('sig_rv15', 'sig_rv240')} AS vol_ratio", f"{ln_ratio('sig_rv60', 'sigma_1m')} AS vol_new_old",
+    )
     return f.withColumn("split", F.expr(split_label(val_start, test_start)))
 
 
@@ -115,54 +125,132 @@ def trade_intervals(f: DataFrame, least: int = 30, n_boot: int = 2000, seed: int
     return intervals(days.join(F.broadcast(enough), ["h", "threshold", "split"]), ["h", "threshold", "split"], [Ratio("pnl_c", "pnl", "trades", cents=True)], n_boot, seed)
 
 
-FEATURES = ("mid_close", "kf", "spread", "gap_old", "z_old", "log_volume", "log_oi", "gap_rv15", "gap_rv60", "gap_rv240", "z_rv60")
+MINUTE_FEATURES = ("mid_close", "kf", "spread", "gap_old", "z_old", "dp_old", "mid_ret", "ret_std", "log_volume", "log_oi", "hour_f")
+TICK_FEATURES = ("gap_rv15", "gap_rv30", "gap_rv60", "gap_rv240", "z_rv60", "dp_rv60", "l10_std", "l30_std", "l10_fair", "l30_fair", "vol_ratio", "vol_new_old")
+FEATURES = (*MINUTE_FEATURES, *TICK_FEATURES)
+#: trees at most: the error on validation stops before
+TREES = 2000
 
 
-def _boosted(f: DataFrame, h: int, trees: int):
-    """The rows with their prediction, and the fitted trees; None where train or val is empty."""
+def _boosted(f: DataFrame, h: int, trees: int, features: tuple[str, ...] = FEATURES):
+    """The rows with their prediction, the fitted trees and their features (those that ``f`` has); None
+    where train or val is empty. Moves are in cents, so that the share of the error that another tree must
+    gain is one of about 1. A feature that is undefined in a row is the mean of train there (0 where it
+    always is)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    d = f.withColumn("kf", F.col("k").cast("double")).where(f"quote_ok AND k <= 12 AND d{h} IS NOT NULL").dropna(subset=list(FEATURES))
-    d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d.withColumn("val_", F.col("split") == "val"))
-    if d.where("split = 'train'").isEmpty() or d.where("val_").isEmpty():
+    f = f if "kf" in f.columns else f.withColumn("kf", F.col("k").cast("double"))
+    features = tuple(c for c in features if c in f.columns)
+    d = f.where(f"quote_ok AND k <= 12 AND d{h} IS NOT NULL AND gap_old IS NOT NULL AND gap_rv60 IS NOT NULL").withColumns({"val_": F.col("split") == "val", "y_": F.col(f"d{h}") * 100})
+    means = d.where("split = 'train'").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in features]).first()
+    if not means["n"] or d.where("val_").isEmpty():
         return None
-    model = GBTRegressor(labelCol=f"d{h}", maxIter=trees, maxDepth=4, stepSize=0.05, validationIndicatorCol="val_", validationTol=0.001, seed=0).fit(d.where("split IN ('train', 'val')"))
-    return model.transform(d), model
+    d = d.fillna({c: means[c] or 0.0 for c in features})
+    d = cut(VectorAssembler(inputCols=list(features), outputCol="features").transform(d))
+    model = GBTRegressor(labelCol="y_", maxIter=trees, maxDepth=4, minInstancesPerNode=20, stepSize=0.05, validationIndicatorCol="val_", validationTol=0.001, seed=0).fit(d.where("split IN ('train', 'val')"))
+    return model.transform(d).withColumn("prediction", F.col("prediction") / 100), model, features
 
 
-def gbt_signal(f: DataFrame, h: int = 3, trees: int = 20) -> DataFrame:
-    """Boosted trees on the one-second features, stopped on validation; skill by split."""
+def gbt_signal(f: DataFrame, h: int = 3, trees: int = TREES) -> DataFrame:
+    """Boosted trees on minute and one-second features, stopped on validation; skill by split."""
     made = _boosted(f, h, trees)
     if made is None:
         return f.sparkSession.createDataFrame([], "split string, n long, skill double")
     return made[0].groupBy("split").agg(F.count("*").alias("n"), F.expr(f"1e0 - sum(power(d{h} - prediction, 2)) / sum(power(d{h}, 2))").alias("skill"))
 
 
-def gbt_importances(f: DataFrame, h: int = 3, trees: int = 20, top: int = 8) -> DataFrame:
+def gbt_days(f: DataFrame, horizons=(3,), trees: int = TREES) -> DataFrame:
+    """By horizon, features (1m, or 1m+ticks), split and day: trees, rows, squared errors of the trees and
+    of no change. Every horizon and feature set is a fit of its own."""
+    out = None
+    for h in horizons:
+        for name, features in (("1m", MINUTE_FEATURES), ("1m+ticks", FEATURES)):
+            made = _boosted(f, h, trees, features)
+            if made is not None:
+                t = made[0].where("split <> 'train'").groupBy("split", "date").agg(F.count("*").alias("n"), F.expr(f"sum(power(d{h} - prediction, 2))").alias("se"), F.expr(f"sum(power(d{h}, 2))").alias("se_0"))
+                t = cut(t.select(F.lit(h).alias("h"), F.lit(name).alias("features"), F.lit(made[1].getNumTrees).alias("trees"), "*"))
+                out = t if out is None else out.unionByName(t)
+    return f.sparkSession.createDataFrame([], "h int, features string, trees int, split string, date date, n long, se double, se_0 double") if out is None else out
+
+
+def gbt_comparison(f: DataFrame, horizons=(3,), trees: int = TREES, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """h, features, split, n, skill and its day-block interval: what ticks add to minutes."""
+    days = gbt_days(f, horizons, trees)
+    keys = ["h", "features", "split"]
+    skill = days.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("1e0 - sum(se) / sum(se_0)").alias("skill"))
+    return skill.join(intervals(days.select(*keys, "date", "se", "se_0"), keys, [Ratio("skill", "se", "se_0", skill=True)], n_boot, seed).drop("stat"), keys)
+
+
+def gbt_importances(f: DataFrame, h: int = 3, trees: int = TREES, top: int = 8) -> DataFrame:
     """place, feature, share of the features that the trees of ``gbt_signal`` gained most from."""
     made = _boosted(f, h, trees)
     gain = made[1].featureImportances.toArray().tolist() if made else []
-    best = sorted(zip(gain, FEATURES, strict=False), key=lambda x: (-x[0], x[1]))[:top]
+    best = sorted(zip(gain, made[2] if made else (), strict=True), key=lambda x: (-x[0], x[1]))[:top]
     return f.sparkSession.createDataFrame([(i, n, float(g)) for i, (g, n) in enumerate(best, 1)], "place int, feature string, share double")
 
 
-def logit_recalibration(f: DataFrame) -> DataFrame:
-    """Logistic recalibration of the quote with the index's z; Brier skill against the quote."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+#: raw fair values, and the features of each recalibration (a constant comes first)
+RAW_FAIR = {"fair_old": "p_old", "fair_rv60": "p_rv60", "fair_rv15": "p_rv15"}
+RECALIBRATIONS = {"quote": ("lg",), "quote_z_old": ("lg", "z_old"), "quote_z_rv60": ("lg", "z_rv60"), "quote_z_rv": ("lg", "z_rv15", "z_rv60", "z_rv240")}
+#: the penalty on squared weights (half of it), but for the constant's
+RIDGE = 0.1
+
 
+def logit_line(weights, columns) -> str:
+    """The logistic function of a weighted sum, the constant first."""
+    return "(1e0 / (1e0 + exp(-(" + " + ".join([str(weights[0]), *(f"{w} * {c}" for w, c in zip(weights[1:], columns, strict=True))]) + "))))"
+
+
+def settled_rows(f: DataFrame) -> DataFrame:
+    """The origins of settlement checks: usable quote, all four z, a known outcome y; lg is the quote's logit."""
     p = "greatest(1e-4, least(1e0 - 1e-4, mid_close))"
-    d = f.where("quote_ok AND k <= 13 AND outcome_brti IS NOT NULL").dropna(subset=["z_old", "z_rv15", "z_rv60", "z_rv240"])
-    d = d.selectExpr("*", f"ln({p} / (1e0 - {p})) AS lg", "CAST(outcome_brti AS DOUBLE) AS y")
-    if d.where("split = 'train'").select("y").distinct().count() < 2:
-        return d.sparkSession.createDataFrame([], "features string, split string, n long, bss double")
-    out = None
-    for name, cols in (("quote", ["lg"]), ("quote_z_old", ["lg", "z_old"]), ("quote_z_rv", ["lg", "z_rv15", "z_rv60", "z_rv240"])):
-        x = VectorAssembler(inputCols=cols, outputCol="features").transform(d)
-        m = LogisticRegression(labelCol="y", regParam=0.0001, maxIter=100).fit(x.where("split = 'train'"))
-        t = m.transform(x).withColumn("p1", vector_to_array("probability")[1])
-        t = t.groupBy("split").agg(F.count("*").alias("n"), F.expr("1e0 - sum(power(p1 - y, 2)) / sum(power(mid_close - y, 2))").alias("bss")).withColumn("features", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+    d = f.where("quote_ok AND k <= 13 AND outcome_brti IS NOT NULL AND z_old IS NOT NULL AND z_rv15 IS NOT NULL AND z_rv60 IS NOT NULL AND z_rv240 IS NOT NULL")
+    return d.selectExpr("split", "date", "mid_close", f"ln({p} / (1e0 - {p})) AS lg", "CAST(outcome_brti AS DOUBLE) AS y", "z_old", "z_rv15", "z_rv60", "z_rv240", *(c for c in RAW_FAIR.values() if c in f.columns))
+
+
+def newton_logit(rows: DataFrame, sets: dict[str, tuple[str, ...]], ridge: float = RIDGE, steps: int = 50) -> dict[str, list[float]]:
+    """Penalised logistic regressions of y on several feature sets at once: a Newton step is one aggregate
+    of all sets' gradients and Hessians, a few dozen sums, from which the driver solves for the weights."""
+    weights = {s: np.zeros(1 + len(c)) for s, c in sets.items()}
+    for _ in range(steps):
+        told = rows.selectExpr("*", *[f"{logit_line([lit(float(w)) for w in weights[s]], c)} AS p_{s}" for s, c in sets.items()])
+        sums = {}
+        for s, c in sets.items():
+            x = ("1e0", *c)
+            sums |= {f"{s}_g{i}": f"sum((p_{s} - y) * {a})" for i, a in enumerate(x)}
+            sums |= {f"{s}_h{i}_{j}": f"sum(p_{s} * (1e0 - p_{s}) * {a} * {x[j]})" for i, a in enumerate(x) for j in range(i + 1)}
+        got = told.agg(*[F.expr(e).alias(k) for k, e in sums.items()]).first()
+        moved = 0.0
+        for s, c in sets.items():
+            n = 1 + len(c)
+            free = np.array([0.0, *[ridge] * len(c)])
+            hessian = np.array([[got[f"{s}_h{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) + np.diag(free)
+            step = np.linalg.lstsq(hessian, np.array([got[f"{s}_g{i}"] or 0.0 for i in range(n)]) + free * weights[s], rcond=None)[0]
+            weights[s] = weights[s] - step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-11:
+            break
+    return {s: w.tolist() for s, w in weights.items()}
+
+
+def recalibration_days(f: DataFrame) -> DataFrame:
+    """By forecast (raw fair values, and the quote recalibrated on train with several features), split and
+    day: rows, squared errors of the forecast and of the quote. Nothing where train knows one outcome only."""
+    rows = cut(settled_rows(f))
+    if rows.where("split = 'train'").select("y").distinct().count() < 2:
+        return rows.sparkSession.createDataFrame([], "features string, split string, date date, n long, se double, se_0 double")
+    weights = newton_logit(rows.where("split = 'train'"), RECALIBRATIONS)
+    forecasts = {s: c for s, c in RAW_FAIR.items() if c in rows.columns} | {s: logit_line([lit(w) for w in weights[s]], c) for s, c in RECALIBRATIONS.items()}
+    d = _stacked(rows, ["split", "date", "y", "mid_close"], [{"features": f"'{s}'", "p": e} for s, e in forecasts.items()])
+    return d.groupBy("features", "split", "date").agg(F.count("*").alias("n"), F.expr("sum(power(p - y, 2))").alias("se"), F.expr("sum(power(mid_close - y, 2))").alias("se_0"))
+
+
+def logit_recalibration(f: DataFrame) -> DataFrame:
+    """Brier skill against the quote of ``recalibration_days``, by forecast and split."""
+    return recalibration_days(f).groupBy("features", "split").agg(F.sum("n").alias("n"), F.expr("1e0 - sum(se) / sum(se_0)").alias("bss"))
+
+
+def recalibration_intervals(f: DataFrame, n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """Day-block intervals of the skills of ``logit_recalibration``."""
+    return intervals(cut(recalibration_days(f)).drop("n"), ["features", "split"], [Ratio("bss", "se", "se_0", skill=True)], n_boot, seed)

@@ -10,7 +10,7 @@ from ..functions.mathx import DECILES, FAN_Q_COLS, Q_COLS, clip, decile_mean, h_
 from ..operators.baselines import DQ, fair_now
 from ..operators.covariates import PAST, PRESETS, calendar_exprs, jitter
 from ..operators.metrics import _BASE, _FINAL, METRIC_COLUMNS, SOURCES, cal_bin, CAL_EDGES, EPS
-from ..operators.signals import FEE, SIGMAS
+from ..operators.signals import FEE, RAW_FAIR, RECALIBRATIONS, RIDGE, SIGMAS, logit_line
 
 INTS = set("k hour minute_of_day m n_steps k_ctx h bucket vol_bucket bin pos step".split())
 ZERO = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -269,6 +269,32 @@ def trades() -> str:
     return " UNION ALL ".join(parts)
 
 
+def recalibration(steps: int = 9) -> list[str]:
+    """After signals(): ``rcd`` (features, split, p, y, mid_close). Newton steps as queries: sums, then the
+    linear system solved column by column, from weights of 0 on."""
+    p = "greatest(1e-4, least(1e0 - 1e-4, mid_close))"
+    out = [
+        f"""rc AS MATERIALIZED (SELECT split, date, mid_close, ln({p} / (1e0 - {p})) AS lg, CASE WHEN outcome_brti THEN 1e0 ELSE 0e0 END AS y, z_old, z_rv15, z_rv60, z_rv240, p_old, p_rv60, p_rv15 FROM sig
+  WHERE quote_ok AND k <= 13 AND outcome_brti IS NOT NULL AND z_old IS NOT NULL AND z_rv15 IS NOT NULL AND z_rv60 IS NOT NULL AND z_rv240 IS NOT NULL)""",
+    ]
+    for s, c in RECALIBRATIONS.items():
+        x, n = ("1e0", *c), 1 + len(c)
+        w = ", ".join(f"w{i}" for i in range(n))
+        out.append(f"{s}_0 AS (SELECT {', '.join(f'0e0 AS w{i}' for i in range(n))})")
+        for t in range(1, steps + 1):
+            cells = [f"sum(p * (1e0 - p) * {x[i]} * {x[j]}) + {RIDGE if i == j and i else 0.0!r}e0 AS a{i}_{j}" for i in range(n) for j in range(n)]
+            cells += [f"sum((p - y) * {x[i]}) + {RIDGE if i else 0.0!r}e0 * any_value(w{i}) AS b{i}" for i in range(n)]
+            sql = f"SELECT {', '.join(f'any_value(w{i}) AS w{i}' for i in range(n))}, {', '.join(cells)} FROM (SELECT *, {logit_line([f'w{i}' for i in range(n)], c)} AS p FROM rc, {s}_{t - 1} WHERE split = 'train')"
+            for k in range(n):  # the k-th unknown leaves all other equations
+                new = [f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" if i != k else f"a{i}_{j}" for i in range(n) for j in range(n)]
+                new += [f"b{i} - a{i}_{k} / a{k}_{k} * b{k} AS b{i}" if i != k else f"b{i}" for i in range(n)]
+                sql = f"SELECT {w}, {', '.join(new)} FROM ({sql})"
+            out.append(f"{s}_{t} AS MATERIALIZED (SELECT {', '.join(f'w{i} - b{i} / a{i}_{i} AS w{i}' for i in range(n))} FROM ({sql}))")
+    parts = [f"SELECT '{s}' AS features, split, date, {c} AS p, y, mid_close FROM rc" for s, c in RAW_FAIR.items()]
+    parts += [f"SELECT '{s}' AS features, split, date, {logit_line([f'w{i}' for i in range(1 + len(c))], c)} AS p, y, mid_close FROM rc, {s}_{steps}" for s, c in RECALIBRATIONS.items()]
+    return [*out, "rcd AS (" + " UNION ALL ".join(parts) + ")"]
+
+
 def past_covariates(name: str) -> str:
     past, _ = PRESETS[name]
     return ", ".join(f"coalesce({e}, 0e0) AS {c}" if fill == "zero" else f"{e} AS {c}" for c in past for e, fill in [PAST[c]])

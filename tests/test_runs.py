@@ -89,6 +89,52 @@ def test_signals(spark):
     assert signals.gbt_signal(none).count() == signals.gbt_importances(none).count() == signals.logit_recalibration(none).count() == signals.ols_gap(none, (3,)).count() == 0
 
 
+def test_recalibration_and_trees_by_day(spark):
+    """Newton's weights are the optimum; the days add up; all feature sets and intervals are there."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        z = r.normal(size=4)
+        mid = float(r.uniform(0.05, 0.95))
+        p = 1 / (1 + np.exp(-(np.log(mid / (1 - mid)) + 0.8 * z[0] - 0.3 * z[3])))
+        rows.append((["train", "val", "test"][i % 3], DAY + dt.timedelta(days=i % 10), i % 14, mid, True, bool(r.random() < p), *map(float, z), mid, mid, mid))
+    f = spark.createDataFrame(rows, "split string, date date, k int, mid_close double, quote_ok boolean, outcome_brti boolean, z_old double, z_rv15 double, z_rv60 double, z_rv240 double, p_old double, p_rv60 double, p_rv15 double")
+    train = signals.settled_rows(f).where("split = 'train'")
+    weights = signals.newton_logit(train, signals.RECALIBRATIONS)
+    pdf = train.toPandas()
+    for s, c in signals.RECALIBRATIONS.items():
+        x, w = np.c_[np.ones(len(pdf)), pdf[list(c)]], np.array(weights[s])
+        gradient = x.T @ (1 / (1 + np.exp(-x @ w)) - pdf["y"]) + signals.RIDGE * np.r_[0, w[1:]]
+        assert np.abs(gradient).max() < 1e-8
+    days = signals.recalibration_days(f)
+    assert {x["features"] for x in days.select("features").distinct().collect()} == {*signals.RAW_FAIR, *signals.RECALIBRATIONS}
+    bss = {(x["features"], x["split"]): x["bss"] for x in signals.logit_recalibration(f).collect()}
+    assert bss["fair_old", "test"] == pytest.approx(0) and bss["quote_z_rv", "train"] > bss["quote", "train"]
+    ends = {(x["features"], x["split"]): (x["lo"], x["hi"], x["n_days"]) for x in signals.recalibration_intervals(f, 200).collect()}
+    assert set(ends) == set(bss) and all(lo <= bss[k] <= hi and n == 10 for k, (lo, hi, n) in ends.items())
+
+
+def test_epochs_are_permutations_that_resume(spark):
+    from forelight.operators import splits
+
+    n = 500
+    df = spark.range(n).selectExpr("id * 37 + 5 AS i", "id AS at")
+    got = {(r["epoch"], r["place"]): r for r in splits.epochs(df, "i", 0, 3, 32, seed=4).collect()}
+    assert len(got) == 4 * n and {p for _, p in got} == set(range(4 * n))
+    for e in range(4):
+        order = [got[e, e * n + k]["at"] for k in range(n)]
+        assert sorted(order) == list(range(n)) and order != sorted(order)
+        # neither near its old place nor near its old neighbours
+        assert np.mean(np.abs(np.diff(order)) < 20) < 0.15 and abs(np.corrcoef(order, range(n))[0, 1]) < 0.15
+        assert e == 0 or order != [got[e - 1, (e - 1) * n + k]["at"] for k in range(n)]
+    assert all(r["batch"] == p // 32 for (_, p), r in got.items())
+    again = splits.epochs(df.orderBy(F.rand(1)), "i", 1, 2, 32, seed=4, start=700).collect()
+    assert {(r["epoch"], r["place"], r["at"]) for r in again} == {(e, p, r["at"]) for (e, p), r in got.items() if e in (1, 2) and p >= 700}
+    assert splits.epochs(df.limit(0), "i", 0, 1, 8).count() == 0
+    one = splits.epochs(df.limit(1), "i", 0, 2, 2).collect()
+    assert sorted((r["epoch"], r["place"], r["batch"]) for r in one) == [(0, 0, 0), (1, 1, 0), (2, 2, 1)]
+
+
 def test_stores_are_built_where_stale(spark, sf, tmp_path):
     ticks, bars, candles, frame = (str(tmp_path / x) for x in ("ticks", "bars", "candles", "frame"))
     store.write_days(fixtures.ticks(spark, sf), ticks)
