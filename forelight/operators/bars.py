@@ -45,7 +45,10 @@ def to_bars(ticks: DataFrame, freq: str = "1m", every_tick: bool = False) -> Dat
     low, high, n, whole = ticks.agg(F.expr(f"min({label})"), F.expr(f"max({label})"), F.count("*"), F.count_if(F.expr("true" if every_tick else ON_SECOND))).first()
     if n and not whole:
         raise ValueError("there are ticks, but none on a whole second: once-per-second bars can't be built")
-    out = complete(aggregate(ticks, freq, every_tick), size, low, high)
-    n = F.coalesce("n_ticks", F.lit(0))
-    out = out.withColumns({"n_ticks": n, "n_raw_ticks": F.coalesce("n_raw_ticks", F.lit(0))})
-    return out.withColumns({"is_gap": F.col("n_ticks") == 0, "is_full": F.col("n_ticks") == FREQ_SECONDS[freq]}).select(*BAR_COLUMNS)
+    return flagged(complete(aggregate(ticks, freq, every_tick), size, low, high), freq).select(*BAR_COLUMNS)
+
+
+def flagged(bars: DataFrame, freq: str) -> DataFrame:
+    """Bars joined to a grid, with counts of 0 where there is none, is_gap and is_full."""
+    out = bars.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_ticks", "n_raw_ticks")})
+    return out.withColumns({"is_gap": F.col("n_ticks") == 0, "is_full": F.col("n_ticks") == FREQ_SECONDS[freq]})
