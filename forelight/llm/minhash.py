@@ -8,12 +8,14 @@ bitmap of 512 bits, whose XOR population count grows with the samples that diffe
 candidate pair goes on if that count is under the value that a pair of similarity 0.8
 exceeds with probability below 1e-6; then its two full sets are compared exactly.
 
-Candidates come in two rounds, so that no group emits all its pairs. First the members
-of a bucket meet the least and the greatest member only. Then, where buckets still hold
+Candidates come in three rounds, so that no group emits all its pairs. First every member
+meets one other, the least of the first members of its buckets. Then those that are still apart
+meet the least and the greatest member of all their buckets. Where buckets still hold
 several components, the rows outside the largest component of their cluster ask the
 others of like size, block by block: the stored sketches first, then the full sets of the
 rows that had a plausible partner, emitting confirmed links only. Pairs already in one
-component need no confirmation.
+component need no confirmation. No pair carries a text: texts travel to the member that many are
+compared with, once a pair, and that member's own once to every ``BLOCK`` of them.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing, each its own component; a null doc_id can't name a component unless all its
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -163,24 +166,33 @@ def _texts(nodes: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough, as u, v."""
+    """The pairs a (a hub, which may have very many partners), b whose full sets are similar enough, as
+    u, v. A member's text goes to its hub, with the names only of the pair; a hub's text goes once to
+    each part of ``BLOCK`` members, whose rows then pass by it one after the other."""
     asked = cut(pairs)
-    texts = _texts(asked.select(F.col("a").alias("sid")).union(asked.select("b")).distinct(), sets, docs)
-    a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            out, known = [], {}
-            for one, two in zip(x, y, strict=True):
-                if one not in known:
-                    known = {one: shingles(one)}
-                out.append(linked(known[one], shingles(two)))
-            yield pd.Series(out, dtype=bool)
-            del x, y, known
-            trim()
-
-    return asked.join(b, "b").join(a, "a").where(alike("ta", "tb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hubs = cut(asked.groupBy("a").agg(F.count("*").alias("c"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    dealt = join_uneven(asked, hubs, "a", "c", HOT, BROADCAST_ROWS)
+    members = dealt.select(F.col("b").alias("sid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"))
+    own = hubs.select(F.col("a").alias("sid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    roles = cut(members.unionByName(own))
+    rows = roles.join(_texts(roles.select("sid").distinct(), sets, docs), "sid")
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "kind").select("hub", "kind", "sid", "text").mapInArrow(_alike, "u binary, v binary")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows hub, kind, sid, text in which each hub's own (kind 0) comes before its members: the linked."""
+    known = np.empty(0, np.uint64)
+    for batch in batches:
+        u, v = [], []
+        for hub, kind, sid, text in zip(*(batch.column(c) for c in ("hub", "kind", "sid", "text")), strict=True):
+            if not kind.as_py():
+                known = shingles(text.as_py())
+            elif linked(known, shingles(text.as_py())):
+                u.append(hub.as_py())
+                v.append(sid.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+        del batch
+        trim()
 
 
 def _plausible_rows(odd: np.ndarray, size: np.ndarray, label: np.ndarray, ask: np.ndarray):
@@ -250,6 +262,37 @@ def _stray_links(crowded: DataFrame, found: DataFrame, sets: DataFrame, docs: Da
     return near.join(texts, "sid").groupBy(*block).applyInPandas(lambda b: block_links(b), "u binary, v binary")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """node, label of the trees in which every v has one u, which is less: labels are roots. Each round
+    takes a node twice as far up."""
+    state = links.select(F.col("v").alias("node"), F.col("u").alias("label"))
+    while True:
+        up = state.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        moved = cut(state.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"), F.col("top").isNotNull().alias("moved")))
+        state = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return state.unionByName(state.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs a, b that are not in one component."""
+    label = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    told = pairs.join(label("b"), "b", "left").join(label("a"), "a", "left")
+    return told.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, label) when further links u, v are known: only labels are joined."""
+    if links.isEmpty():
+        return found
+    label = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    edges = links.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
+    over = components(edges)
+    fresh = over.join(found, "node", "left_anti")
+    moved = found.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return cut(moved.unionByName(fresh))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, and its r1, r2."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -260,15 +303,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = cut(dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("members > 1"))
     crowded = cut(join_uneven(dealt, buckets, "bucket", "members", HOT, BROADCAST_ROWS))
 
-    to_low = crowded.select(F.col("low").alias("a"), F.col("sid").alias("b"))
-    to_high = crowded.select(F.col("high").alias("a"), F.col("sid").alias("b"))
-    stars = to_low.unionByName(to_high).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(_confirm(_plausible(stars, sets), sets, docs))
-    found = components(links)
-
-    more = cut(_stray_links(crowded, found, sets, docs))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    # Round one, one pair a member: with the least of all first members of its buckets.
+    first = crowded.where("sid <> low").groupBy("sid").agg(F.min("low").alias("a")).select("a", F.col("sid").alias("b"))
+    found = _roots(cut(_confirm(_plausible(first, sets), sets, docs)))
+    # Round two, the first and last members of all its buckets, where they are still apart.
+    to_low = crowded.where("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b"))
+    to_high = crowded.where("sid <> high AND sid <> low").select(F.col("high").alias("a"), F.col("sid").alias("b"))
+    stars = to_low.unionByName(to_high).distinct().join(first, ["a", "b"], "left_anti")
+    found = _joined(found, cut(_confirm(_plausible(_apart(stars, found), sets), sets, docs)))
+    # Round three, whoever in a bucket has not met.
+    found = _joined(found, cut(_stray_links(crowded, found, sets, docs)))
 
     firsts = sets.select("sid", "first_doc")
     grouped = found.join(firsts, found["node"] == firsts["sid"]).select("sid", "label", "first_doc")
