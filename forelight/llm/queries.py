@@ -108,23 +108,15 @@ for _ in range(8):
 def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
     """The sharding in SQL: CRC-32 bit by bit tables, then the curve one step a query."""
     crc, table_steps = _crc32, _CRC_STEPS
-    prefix = lambda c: (
-        f"(SELECT 2 * len(list_filter(range(2, least(length(l), length(h)) + 1, 2), lambda i: substr(l, 1, CAST(i AS INTEGER)) = substr(h, 1, CAST(i AS INTEGER)))) "
-        f"FROM (SELECT coalesce(hex(encode(min({c}))), '') AS l, coalesce(hex(encode(max({c}))), '') AS h FROM documents))"
-    )
-    digits = lambda c: f"coalesce(('0x' || rpad(substr(hex(encode({c})), {prefix(c)} + 1, 4), 4, '0'))::INTEGER, -1)"
     bucketed = f"""
-  SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS text_crc32,
-         {digits("lang")} AS b0, {digits("source")} AS b1, CAST(floor(log2(octet_length(encode(coalesce(text, ''))) + 1)) AS INTEGER) AS b2,
-         coalesce(CAST(((doc_id - (SELECT min(doc_id) FROM documents))::HUGEINT * 4096) // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents) AS INTEGER), -1) AS b3
-  FROM documents, crc_table"""
-    code = " UNION ALL ".join(
-        f"SELECT {i} AS d, b{i} AS b, CAST((sum(count(*)) OVER (ORDER BY b{i}) - count(*)) * {1 << bits} // sum(count(*)) OVER () AS INTEGER) AS code FROM bucketed GROUP BY b{i}" for i in range(dims)
+  SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32, lang, source) - 1 AS copy, lang AS b0, source AS b1, size AS b2, doc_id AS b3
+  FROM (SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table)"""
+    codes = ", ".join(
+        f"code{i} AS (SELECT b{i}, CAST((sum(count(*)) OVER (ORDER BY b{i} NULLS FIRST) - count(*)) * {1 << bits} // sum(count(*)) OVER () AS INTEGER) AS x{i} FROM bucketed GROUP BY b{i})" for i in range(dims)
     )
     sql = f"""
-  SELECT doc_id, lang, source, size, text_crc32, {", ".join(f"x{i}" for i in range(dims))}
-  FROM bucketed {" ".join(f"JOIN code c{i} ON c{i}.d = {i} AND c{i}.b = b{i}" for i in range(dims))}"""
-    sql = sql.replace("x0, x1, x2, x3", ", ".join(f"c{i}.code AS x{i}" for i in range(dims)))
+  SELECT doc_id, lang, source, size, text_crc32, copy, {", ".join(f"x{i}" for i in range(dims))}
+  FROM bucketed b {" ".join(f"JOIN code{i} ON code{i}.b{i} IS NOT DISTINCT FROM b.b{i}" for i in range(dims))}"""
     x = [f"x{i}" for i in range(dims)]
     for level in range(bits - 1, 0, -1):
         q, p = 1 << level, (1 << level) - 1
@@ -147,10 +139,10 @@ def _hilbert_sql(bits: int = 3, dims: int = 4) -> str:
     return f"""
 WITH crc_table AS (SELECT {table_steps} AS crc_t),
 bucketed AS ({bucketed}),
-code AS ({code}),
+{codes},
 ranked AS (
-  SELECT *, row_number() OVER (ORDER BY h, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 8), doc_id, text_crc32, size) - 1 AS rank, count(*) OVER () AS n
-  FROM (SELECT doc_id, lang, source, size, text_crc32, {index} AS h FROM ({sql})))
+  SELECT *, row_number() OVER (ORDER BY h, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR) || CASE WHEN copy > 0 THEN ':' || CAST(copy AS VARCHAR) ELSE '' END), 1, 8), doc_id, text_crc32, size, copy) - 1 AS rank, count(*) OVER () AS n
+  FROM (SELECT doc_id, lang, source, size, text_crc32, copy, {index} AS h FROM ({sql})))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(rank * 8 // n AS INTEGER) AS shard,
        CAST(rank - ((rank * 8 // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, lang, source
 FROM ranked
