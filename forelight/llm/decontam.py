@@ -9,8 +9,11 @@ normalised the same way and scanned once; around each piece that occurs, up to 6
 either side are compared, and 13 or more alike are a hit. Hits are word numbers, mapped
 back to offsets in the original text.
 
-A benchmark over ``BLOCK_CHARS`` is taken in parts by a hash of its rows, one pass over
-the documents for each part; what a pass found is written down before the next one.
+Of a benchmark over ``BLOCK_CHARS`` only the pieces that occur in the documents enter the
+automaton: hashes of the documents' runs of words are looked up in a bit table of all pieces, and
+the pieces of which one was found are read from the benchmark. So any benchmark takes one scan by
+one automaton, unless that much of it does occur: then what occurs is scanned for in parts, of
+which only texts' names and what was found in them are written down.
 
 Defined results: null and empty texts have no words (0 hits, not contaminated);
 null benchmark texts have no windows; a benchmark row without ``item_id`` marks
@@ -23,16 +26,25 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_LOWER, cut, sha256_hex, ship, trim
+from .common import ASCII_LOWER, Tables, cut, lookup, sha256_hex, ship, trim
+from .minhash import _mix
 
 WINDOW, PIECE = 13, 7
 #: characters of benchmark text in one automaton (32 bytes of memory each, about)
 BLOCK_CHARS = 4_000_000
+#: the bit table of all pieces has 2**MOST_BITS bits at most (32 MB)
+MOST_BITS = 28
+#: texts with hits that are broadcast
+BROADCAST_ROWS = 20_000
 #: contexts of one piece that are compared one by one; more are looked up by the words next to it
 FEW = 16
 
@@ -53,17 +65,23 @@ def normalise(text: str | None) -> list[bytes]:
 
 
 class Pieces:
-    """The automaton of a part of the benchmark, given as (item, text)."""
+    """The automaton of a part of the benchmark, given as (item, text) or (item, text, the probes of
+    those pieces that are wanted)."""
 
-    def __init__(self, rows: list[tuple[str | None, str | None]]):
+    def __init__(self, rows: list[tuple]):
         short: dict[str, set] = {}
         long: dict[str, dict] = {}
-        for item, text in rows:
+        for item, text, *found in rows:
             words, ids = normalise(text), () if item is None else (item,)
+            occurs = None if not found else set(found[0])
+            hashes = _word_hashes(words) if found else None
             if 0 < len(words) < WINDOW:
-                short.setdefault(_key(words), set()).update(ids)
+                if occurs is None or _probe(hashes[:PIECE]) in occurs:
+                    short.setdefault(_key(words), set()).update(ids)
                 continue
             for at in range(0, len(words) - PIECE + 1, PIECE):
+                if occurs is not None and _probe(hashes[at : at + PIECE]) not in occurs:
+                    continue
                 context = tuple(words[max(0, at - WINDOW + PIECE) : at][::-1]), tuple(words[at + PIECE : at + WINDOW])
                 long.setdefault(_key(words[at : at + PIECE]), {}).setdefault(context, set()).update(ids)
         self.automaton = ahocorasick.Automaton()
@@ -118,6 +136,33 @@ class Pieces:
         return spans, items
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _grams(hashes: np.ndarray, longest: int = PIECE) -> Iterator[np.ndarray]:
+    """For n = 1, 2 ... up to ``longest``: a hash of every n words in a row."""
+    run = _mix(hashes)
+    for n in range(1, min(longest, len(hashes)) + 1):
+        yield (_mix(run ^ np.uint64(n))).view(np.int64)
+        run = _mix(run[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[n:])
+
+
+def _probe(hashes: np.ndarray) -> int:
+    """The hash of one run of words."""
+    *_, last = _grams(hashes)
+    return int(last[0])
+
+
+def _probes(text: str | None) -> list[tuple[int, int, int]]:
+    """(hash, words, characters) of the beginnings of a benchmark text's pieces: of their first ``PIECE`` words."""
+    words = normalise(text)
+    hashes = _word_hashes(words)
+    if 0 < len(words) < WINDOW:
+        return [(_probe(hashes[:PIECE]), min(PIECE, len(words)), len(text))]
+    return [(_probe(hashes[at : at + PIECE]), PIECE, sum(map(len, words[at : at + PIECE])) + PIECE) for at in range(0, len(words) - PIECE + 1, PIECE)]
+
+
 def _key(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
@@ -176,7 +221,9 @@ def _pieces(shared) -> Pieces:
 
 
 def _told(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
+    """Item and text of every benchmark row with a word; equal rows once."""
+    told = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
+    return told.where(F.col("t").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).distinct()
 
 
 def _share(spark, rows):
@@ -223,50 +270,105 @@ def contamination(benchmark: DataFrame, text: Column, block_chars: int = BLOCK_C
     return _judged(text, [_share(spark, p) for p in parts])
 
 
-STATE = "struct<spans: array<struct<a: int, b: int>>, items: array<string>>"
+def _occurring(texts: DataFrame, told: DataFrame, tables: Tables) -> DataFrame:
+    """i, t, found (probes), chars of the benchmark rows of which a piece may occur in ``texts`` (text)."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, t, *x) for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True) for x in _probes(t)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("i", "t", "h", "n", "chars"), r, strict=True)) for r in rows], pa.schema([("i", pa.string()), ("t", pa.string()), ("h", pa.int64()), ("n", pa.int32()), ("chars", pa.int64())]))
+
+    probes = tables.put(told.mapInArrow(pieces, "i string, t string, h long, n int, chars long"))
+    count, shortest, longest = probes.agg(F.count_distinct("h"), F.min("n"), F.max("n")).first()
+    bits = min(MOST_BITS, max(16, (16 * count - 1).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - bits)
+    # At most 2**(MOST_BITS - 6) rows reach the driver, and 2**(MOST_BITS - 3) bytes are broadcast.
+    words = probes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS INT))")).alias("mask")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words["at"].to_numpy()] = words["mask"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            hits = []
+            for text in batch.column("text"):
+                hashes = _word_hashes(normalise(text.as_py()))
+                for n, h in enumerate(_grams(hashes, longest), 1):
+                    if n >= shortest:
+                        at = h.view(np.uint64) >> np.uint64(64 - bits)
+                        hits.append(h[(known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64))], ["h"])
+        trim()
+
+    seen = texts.select("text").mapInArrow(runs, "h long").distinct()
+    return tables.put(probes.join(seen, "h", "left_semi").groupBy("i", "t").agg(F.collect_set("h").alias("found"), F.sum("chars").alias("chars")))
+
 
+STATE = "u1 long, u2 long, spans array<struct<a: int, b: int>>, items array<string>"
+_STATE = pa.schema([("u1", pa.int64()), ("u2", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
-def _adder(shared):
-    @F.pandas_udf(STATE)
-    def add(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for texts, state in batches:
-            p, out = [_pieces(shared)], []
-            for t, spans, items in zip(texts, state["spans"], state["items"], strict=True):
-                more, ids = scanned(t if isinstance(t, str) else None, p)
-                have = [] if spans is None else [(x["a"], x["b"]) for x in spans]
-                out.append(([{"a": a, "b": b} for a, b in merged([*have, *more])], sorted(ids.union([] if items is None else items))))
-            yield pd.DataFrame(out, columns=["spans", "items"])
+
+def _finder(shared):
+    """Of texts (u1, u2, text) those in which a part of the benchmark occurs, without the text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = [_pieces(shared)]
+        for batch in batches:
+            out = []
+            for u1, u2, text in zip(*(batch.column(c) for c in ("u1", "u2", "text")), strict=True):
+                spans, items = scanned(text.as_py(), p)
+                if spans:
+                    out.append({"u1": u1.as_py(), "u2": u2.as_py(), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+            yield pa.RecordBatch.from_pylist(out, _STATE)
         trim()
 
-    return add
+    return find
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a column ``judged__`` (see RESULT). One automaton at a time, whatever the
-    benchmark's size: a part that is too large for one is a pass of its own, whose word intervals
-    and items are checkpointed beside the rows."""
+def _name(k: int) -> Column:
+    """Half of a text's 128-bit name: equal texts have equal results."""
+    return F.xxhash64(F.lit(k), F.col("text"))
+
+
+def _judge_all(rows: DataFrame, benchmark: DataFrame, block_chars: int) -> DataFrame:
+    """``rows`` (text, and whatever else but u1, u2 and judged) with a column ``judged`` (see RESULT)."""
     spark = benchmark.sparkSession
     told = _told(benchmark)
-    size = told.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if size <= block_chars:
-        return docs.withColumn("judged__", contamination(benchmark, F.col("text"), block_chars))
+    if told.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] <= block_chars:
+        return rows.withColumn("judged", contamination(benchmark, F.col("text"), block_chars))
     ship(spark)
+    tables = Tables(spark)
+    occurs = _occurring(rows, told, tables)
+    size = occurs.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+    if size <= block_chars:
+        return rows.withColumn("judged", _judged(F.col("text"), [_share(spark, occurs.select("i", "t", "found").collect())]))
     parts = 2 * -(-size // block_chars)  # twice as many: a hash deals unevenly
-    rows = docs.withColumn("state__", F.lit(None).cast(STATE))
-    told = cut(told.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))))
+    occurs = tables.put(occurs.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts))))
+    texts, states = rows.select(_name(1).alias("u1"), _name(2).alias("u2"), "text"), []
     for k in range(parts):
-        shared = _share(spark, told.where(F.col("part") == k).select("i", "t").collect())
-
-        rows = cut(rows.withColumn("state__", _adder(shared)("text", "state__")))
+        shared = _share(spark, occurs.where(F.col("part") == k).select("i", "t", "found").collect())
+        states.append(tables.put(texts.mapInArrow(_finder(shared), STATE).dropDuplicates(["u1", "u2"])))
+    state = cut(reduce(DataFrame.unionByName, states).groupBy("u1", "u2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    tables.drop(*states)
 
     @F.pandas_udf(RESULT)
-    def told_of(texts: pd.Series, state: pd.DataFrame) -> pd.DataFrame:
-        out = [judge(t if isinstance(t, str) else None, [(x["a"], x["b"]) for x in spans], items) for t, spans, items in zip(texts, state["spans"], state["items"], strict=True)]
-        return pd.DataFrame(out, columns=COLUMNS)
+    def told_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans, items in batches:
+            out = [judge(t if isinstance(t, str) else None, merged([] if x is None else [(y["a"], y["b"]) for y in x]), set() if i is None else set(i)) for t, x, i in zip(texts, spans, items, strict=True)]
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    found = lookup(rows.withColumns({"u1": _name(1), "u2": _name(2)}), state, ["u1", "u2"], "left", BROADCAST_ROWS)
+    return found.withColumn("judged", told_of("text", "spans", "items")).select(*rows.columns, "judged")
 
-    return rows.withColumn("judged__", told_of("text", "state__")).drop("state__")
+
+def judged(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` with a column ``judged__`` (see RESULT), whatever the benchmark's size."""
+    out = _judge_all(docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text")), benchmark, block_chars)
+    return out.select("doc.*", F.col("judged").alias("judged__"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the contaminated ones; columns and order of columns unchanged."""
-    return judged(docs, benchmark, block_chars).where(~F.col("judged__.contaminated")).drop("judged__")
+    """``docs`` without the contaminated ones; columns and order of columns unchanged, whatever their names."""
+    out = _judge_all(docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text")), benchmark, block_chars)
+    return out.where(~F.col("judged.contaminated")).select("doc.*")
