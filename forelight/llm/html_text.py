@@ -21,9 +21,11 @@ is a block; repeated pages each get their own row.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +41,14 @@ INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins k
 INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts semantics annotation".split())
 RAW = "script|style|iframe|textarea"  # as in browsers, without an end tag they reach to the end of the page
 SKIPPED = "title|template|svg|canvas|select"  # without an end tag only the tag itself is skipped
+RAW_NAMES = set(RAW.split("|"))
 IGNORED = set(f"{RAW}|{SKIPPED}|head".split("|"))
 CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(svg)(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|$)|<({SKIPPED})(?=[\s/>])[^>]*>.*?</\3\s*>|<!?[/a-zA-Z?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I
-)
+# A quote opens a value only after "="; anywhere else it is a letter like others. Possessive groups:
+# whatever a page holds, no part of a tag is read twice.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!?[/a-zA-Z?](?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>])*+>", re.S)
+_END = re.compile(rf"</({RAW}|{SKIPPED})(?=[\s/>])[^>]*>", re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 _LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -55,29 +59,56 @@ TRAIN_PAGES, PAGES_AT_ONCE, RATE = 1200, 40, 0.015
 CELLS, CHARS = 40_000, 8_000_000
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """Of each block: the labels of its path, its text, the share of it inside links."""
+class Path:
+    """An open tag with its labels, below the one that encloses it. Blocks share the paths above them."""
+
+    __slots__ = ("above", "labels")
+
+    def __init__(self, above: Path | None, labels: tuple[str, ...]):
+        self.above, self.labels = above, labels
+
+
+class _Ends:
+    """Places after the end tags of a page's raw and skipped elements, found in one pass when first asked for."""
+
+    def __init__(self, page: str):
+        self.page, self.of = page, None
+
+    def after(self, name: str, at: int) -> int | None:
+        if self.of is None:
+            self.of = {}
+            for m in _END.finditer(self.page):
+                starts, ends = self.of.setdefault(m[1].lower(), ([], []))
+                starts.append(m.start())
+                ends.append(m.end())
+        starts, ends = self.of.get(name, ((), ()))
+        k = bisect.bisect_left(starts, at)
+        return ends[k] if k < len(ends) else None
+
+
+def blocks(page: str | None) -> list[tuple[Path | None, str, float]]:
+    """Of each block: its path, its text, the share of it inside links."""
     if not page:
         return []
     out, stack, parts, linked = [], [], [], 0
-    inside_link = 0
+    inside_link, ends = 0, _Ends(page)
+    open_of: Counter = Counter()  # open tags by name, so that an end tag without one costs nothing
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            labels = tuple(x for _, xs in stack for x in xs)
-            out.append((labels, text, min(1.0, linked / max(1, len(text)))))
+            out.append((stack[-1][1] if stack else None, text, min(1.0, linked / max(1, len(text)))))
         parts, linked = [], 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * bool(inside_link)
         at = m.end()
         tag = m.group()
-        if tag.startswith("<!") or tag.startswith("<?") or m.lastindex:
+        if tag.startswith(("<!", "<?")):
             continue
         name = _NAME.match(tag)
         if not name:
@@ -86,6 +117,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name in IGNORED:
             if name == "head":
                 close()
+            elif tag[1] != "/" and not (name == "svg" and tag.endswith("/>")):
+                after = ends.after(name, at)
+                at = after if after is not None else len(page) if name in RAW_NAMES else at
             continue
         if name in INLINE:
             if name == "br":
@@ -96,18 +130,21 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         close()
         inside_link = 0
         if tag[1] == "/":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_of.get(name):
+                while stack:
+                    last = stack.pop()[0]
+                    open_of[last] -= 1
+                    if last == name:
+                        break
         elif name not in VOID and not tag.endswith("/>"):
-            ends = CLOSES_ITSELF.get(name, ())
-            while stack and stack[-1][0] in ends:
-                stack.pop()
+            closes = CLOSES_ITSELF.get(name, ())
+            while stack and stack[-1][0] in closes:
+                open_of[stack.pop()[0]] -= 1
             if stack and stack[-1][0] == "p" and name != "p":
-                stack.pop()
+                open_of[stack.pop()[0]] -= 1
             named = [w for g in _LABEL.findall(tag) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w]
-            stack.append((name, (name, *("." + w for w in named))))
+            stack.append((name, Path(stack[-1][1] if stack else None, (name, *("." + w for w in named)))))
+            open_of[name] += 1
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -124,17 +161,47 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for some in lists for i in some), np.int16, int(sizes.sum())), sizes
 
 
+def _paths(found: list) -> tuple[np.ndarray, ...]:
+    """The paths of a page as a tree, each tag once, those above first: the buckets of each tag's own labels
+    and how many, the tag above (-1: none), its depth, and the tag of each block."""
+    number: dict[int, int] = {}
+    own, above, depth, blocks_at = [], [], [], np.zeros(len(found), np.int32)
+    for i, (path, _, _) in enumerate(found):
+        new, p = [], path
+        while p is not None and id(p) not in number:
+            new.append(p)
+            p = p.above
+        up = -1 if p is None else number[id(p)]
+        for p in reversed(new):
+            number[id(p)] = len(own)
+            own.append([_hash(x, PATHS) for x in p.labels])
+            above.append(up)
+            depth.append(0 if up < 0 else depth[up] + 1)
+            up = number[id(p)]
+        if path is None and None not in number:  # text outside any tag
+            number[None] = len(own)
+            own.append([0])
+            above.append(-1)
+            depth.append(0)
+        blocks_at[i] = number[None] if path is None else number[id(path)]
+    return (*_flat(own), np.array(above, np.int32), np.array(depth, np.int32), blocks_at)
+
+
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The tags of each depth but the first."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:] if len(depth) else []
+
+
 def features(found: list) -> tuple[tuple, tuple, np.ndarray]:
-    """Path buckets, word buckets and numbers of a page's blocks; a page is kept in flat arrays."""
+    """Paths, word buckets and numbers of a page's blocks; a page is kept in flat arrays."""
     n = len(found)
-    parts = {"p": [], "w": []}
+    parts = []
     for k in range(0, n, 4096):
-        some = found[k : k + 4096]
-        parts["p"].append(_flat([[_hash(x, PATHS) for x in labels] or [0] for labels, _, _ in some]))
-        parts["w"].append(_flat([[_hash(w, WORDS) for w in set(text.lower().split())] for _, text, _ in some]))
-    paths, words = (tuple(np.concatenate(x) if x else np.zeros(0, np.int16) for x in zip(*parts[c], strict=True)) or _flat([]) for c in "pw")
+        parts.append(_flat([[_hash(w, WORDS) for w in set(text.lower().split())] for _, text, _ in found[k : k + 4096]]))
+    words = tuple(np.concatenate(x) if x else np.zeros(0, np.int16) for x in zip(*parts, strict=True)) or _flat([])
     numbers = np.array([[np.log1p(len(text)) / 8, link, i / max(1, n - 1), text.count(".") / max(1, text.count(" ") + 1), float(text[-1] in ".!?")] for i, (_, text, link) in enumerate(found)], np.float32).reshape(-1, NUMBERS)
-    return paths, words, numbers
+    return _paths(found), words, numbers
 
 
 class Labeller:
@@ -155,12 +222,13 @@ class Labeller:
             n = len(numbers)
             if not n:
                 continue
-            for col, (flat, sizes), table in ((0, paths, "P"), (SIZE, words, "W")):
-                part = self._sums(self.p[table], flat, sizes)
-                if col:
-                    part /= np.maximum(1, sizes)[:, None]
-                x[:n, b, col : col + SIZE] = part
-                trace.append((b, col, table, flat, sizes))
+            flat, sizes, above, depth, at = paths
+            sums, levels = self._sums(self.p["P"], flat, sizes), _levels(depth)
+            for tags in levels:  # a path's sum is its own tag's and that of the path above
+                sums[tags] += sums[above[tags]]
+            x[:n, b, :SIZE] = sums[at]
+            x[:n, b, SIZE : 2 * SIZE] = self._sums(self.p["W"], *words) / np.maximum(1, words[1])[:, None]
+            trace.append((b, n, paths, levels, words))
             x[:n, b, SIZE * 2 :] = numbers
             real[:n, b] = True
         return x, real, trace
@@ -232,11 +300,13 @@ class Labeller:
                 dx[t] += da @ self.p[f"X{d}"].T
                 dh = np.where(on, 0, dh) + da @ self.p[f"H{d}"].T
                 dc = np.where(on, dn * f, dc)
-        for b, col, table, flat, sizes in trace:
-            part = dx[: len(sizes), b, col : col + SIZE]
-            if col:
-                part = part / np.maximum(1, sizes)[:, None]
-            np.add.at(g[table], flat, np.repeat(part, sizes, axis=0))
+        for b, n, (flat, sizes, above, _, at), levels, (words, counts) in trace:
+            sums = np.zeros((len(sizes), SIZE), dx.dtype)
+            np.add.at(sums, at, dx[:n, b, :SIZE])
+            for tags in reversed(levels):
+                np.add.at(sums, above[tags], sums[tags])
+            np.add.at(g["P"], flat, np.repeat(sums, sizes, axis=0))
+            np.add.at(g["W"], words, np.repeat(dx[:n, b, SIZE : 2 * SIZE] / np.maximum(1, counts)[:, None], counts, axis=0))
         return loss, g
 
     def fit(self, pages: list, labels: list[np.ndarray], rate: float = RATE) -> float:
