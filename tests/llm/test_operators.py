@@ -95,6 +95,35 @@ def test_decontamination(spark, block):
     assert sorted(((r["doc_id"] or -1, r["judged__"]) for r in passes), key=str) == want
 
 
+def test_large_benchmarks_take_one_scan(spark, monkeypatch):
+    """Only pieces that occur enter the automaton; clashing columns survive; parts change nothing."""
+    rng = random.Random(14)
+    many = [a + b for a in WORDS for b in ("", "x", "y")]
+    text = lambda n: " ".join(rng.choice(many) for _ in range(n))
+    items = [(k, text(rng.choice((3, 8, 13, 60)))) for k in range(400)] + [(k, "twice the same row of words") for k in (7, 7, 8)] + [(9, ""), (10, " ;; ")] * 50
+    texts = []
+    for k in range(80):
+        v = rng.choice(items[:400])[1].split()
+        texts.append((k, f"{text(20)} {' '.join(v[: rng.choice((5, 13, 20, 60))])} {text(4)}"))
+    texts += [(90, "TWICE the same row, of words"), (91, None), (92, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for c in ("judged__", "state__", "judged", "u1", "spans", "doc"):
+        df = df.withColumn(c, F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {k: brute_contamination(t, [x for x in items if x[1].strip(" ;")]) for k, t in texts}
+    scans = []
+    share = decontam._share
+    monkeypatch.setattr(decontam, "_share", lambda spark, rows: scans.append(len(rows)) or share(spark, rows))
+    for block, parts in ((decontam.BLOCK_CHARS, 1), (8_000, 1), (400, 2)):
+        scans.clear()
+        got = {r["doc_id"]: tuple(r["judged__"])[:5] for r in decontam.judged(df.drop("judged__"), bench, block).collect()}
+        assert got == want and (len(scans) == 1) == (parts == 1) and (block != 8_000 or scans[0] < 150)
+        kept = decontam.decontaminate(df, bench, block)
+        assert kept.columns == df.columns
+        rows = kept.collect()
+        assert {r["doc_id"] for r in rows} == {k for k, x in want.items() if not x[4]} and all(r["judged__"] == r["state__"] == r["doc"] == "clash" for r in rows)
+
+
 def test_benchmarks_of_one_session_are_kept_apart(spark):
     """Automata that workers keep belong to one benchmark, also where another has as many windows."""
     df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "doc_id long, text string").coalesce(1)
@@ -117,7 +146,9 @@ def test_templated_items(spark):
 
 
 # ---- 2 ----------------------------------------------------------------------------------------
-def test_line_dedup(spark):
+@pytest.mark.parametrize("most", [line_dedup.BROADCAST_LINES, 0])
+def test_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
     rng = random.Random(2)
     boiler, rare = "All rights reserved by somebody.", "seen on three sites only"
     rows = []
@@ -160,6 +191,14 @@ def test_line_dedup(spark):
     assert line_dedup.remove_boilerplate(empty(spark)).count() == 0
 
 
+def test_texts_stay_where_they_are(spark):
+    """No exchange in the plan that removes the lines."""
+    rows = [(k, f"All rights reserved.\nown text {k}\n\nAll rights reserved.", "en", f"site{k % 12}", None) for k in range(60)]
+    out = line_dedup.remove_boilerplate(spark.createDataFrame(rows, DOCS), report=True)
+    assert {(r["text"], r["n_lines"], r["n_boilerplate"], r["n_removed"]) for r in out.collect()} == {(f"own text {k}\n", 3, 2, 2) for k in range(60)}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- 3 ----------------------------------------------------------------------------------------
 def test_hilbert_curve_steps_to_neighbours(spark):
     for dims, bits in ((2, 3), (3, 2), (4, 3)):
@@ -215,6 +254,36 @@ def test_files_prune(spark, tmp_path):
     assert max(curve) < 0.5 and min(rand) > 0.5 and sum(curve) < 0.4 * sum(rand), (curve, rand)
 
 
+def test_codes_are_ranks(spark):
+    """One row far from all others takes nothing from the rest; doc_ids may be strings."""
+    rows = [(k, "x" * (k % 97), f"l{k % 20:02}", f"https://site{k % 200:03}.example", None) for k in range(4000)]
+    far = [*rows, (1 << 62, "x" * 5000, "zz", "ftp://else", None), (None, None, None, None, None)]
+    size = hilbert.size_column(F.col("text")).alias("size")
+    for some, kind in ((rows, "long"), (far, "long"), (far, "string")):
+        df = spark.createDataFrame(some, DOCS).select(F.col("doc_id").cast(kind), "text", "lang", "source", size)
+        got = hilbert.quantised(df).collect()
+        for i, c in enumerate(("lang", "source", "size", "doc_id")):
+            order = sorted(((r[c] is not None, r[c] if r[c] is not None else 0 if c in ("size", "doc_id") and kind == "long" else "") for r in got))
+            below = {}
+            for k, v in enumerate(order):
+                below.setdefault(v, k)
+            assert len({r[f"x{i}"] for r in got}) == 8
+            for r in got:
+                v = (r[c] is not None, r[c] if r[c] is not None else 0 if c in ("size", "doc_id") and kind == "long" else "")
+                assert r[f"x{i}"] == below[v] * 8 // len(got), (c, r)
+    out = hilbert.hilbert_shards(spark.createDataFrame(far, DOCS).withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert out.count() == len(far) and dict(out.dtypes)["doc_id"] == "string"
+
+
+def test_repeated_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "COPIES", 100)
+    monkeypatch.setattr(hilbert, "LEAST", 50)
+    df = spark.createDataFrame([(5, "the same", "en", "a", None)] * 3000 + [(k, f"text {k}", "en", "a", None) for k in range(1000)], DOCS)
+    out = hilbert.hilbert_shards(df)
+    assert sorted((r["shard"], r["slot"]) for r in out.collect()) == [(s, k) for s in range(8) for k in range(500)]
+    assert out.where("doc_id = 5").count() == 3001
+
+
 def test_hot_and_missing_ids_are_split(spark):
     """Rows without doc_id, and copies of one, do not make one bucket."""
     df = spark.createDataFrame([(None if k % 2 else 5, f"text {k}", "en", "a", None) for k in range(6000)], DOCS)
@@ -271,6 +340,46 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_confirmation_brings_a_hub_once_to_each_part(spark, monkeypatch):
+    """A hub of many members in parts of a few: exactly the links that the full sets have."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "HOT", 5)
+    rng = random.Random(41)
+    base = words(rng, 60, 160).split()
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < 0.025 else w for w in base) for _ in range(70)] + ["alone", "alone too"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.cut(minhash.signatures(docs))
+    sets = rows.select("sid", F.struct("r1", "r2").alias("owner"))
+    sid = {r["doc_id"]: bytes(r["sid"]) for r in rows.collect()}
+    asked = [(0, k) for k in range(1, 72)] + [(5, k) for k in range(6, 20)] + [(70, 71)]
+    got = minhash._confirm(spark.createDataFrame([(sid[a], sid[b]) for a, b in asked], "a binary, b binary"), sets, docs)
+    full = [minhash.shingles(t) for t in texts]
+    want = {(sid[a], sid[b]) for a, b in asked if minhash.linked(full[a], full[b])}
+    assert {(bytes(r["u"]), bytes(r["v"])) for r in got.collect()} == want and 10 < len(want) < len(asked)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text") and "PythonUDF" not in plan  # one text a row, streamed past its hub
+
+
+def test_roots_of_trees(spark):
+    rng = random.Random(9)
+    up = {v: rng.randrange(max(0, v - 9), v) for v in range(1, 300) if v % 40}
+
+    def root(v):
+        return root(up[v]) if v in up else v
+
+    got = {r["node"]: r["label"] for r in minhash._roots(spark.createDataFrame([(u, v) for v, u in up.items()], "u long, v long")).collect()}
+    assert got == {v: root(v) for v in {*up, *up.values()}}
+    assert minhash._roots(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_grow_with_further_links(spark):
+    make = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    found = components(make([(1, 2), (2, 3), (10, 11), (20, 21)]))
+    got = {r["node"]: r["label"] for r in minhash._joined(found, make([(3, 11), (21, 30), (40, 41)])).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 40: 40, 41: 40}
+    assert minhash._joined(found, make([])) is found
+
+
 def test_block_links_find_what_stars_missed():
     import pandas as pd
 
@@ -381,6 +490,60 @@ def test_skipped_elements_take_nothing_else(page):
     assert [text for _, text, _ in html_text.blocks(page)] == ["One.", "Two."]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<!-->visible</p><p>b</p>", ["avisible", "b"]),
+        ("<p>a<!--->visible</p><!-- x --!><p>b<!-- > --></p><!-- no end <p>c", ["avisible", "b"]),
+        ("<p data=it's>Hello. Don't stop</p><p title='a > b'>One</p><p x=\"1 > 0\">Two</p>", ["Hello. Don't stop", "One", "Two"]),
+        ("<p a='>x</p>", ["x"]),
+        ("<select><p>One.</p><select><option>no</option></select><p>Two.</p>", ["Two."]),
+        ("</div></p><p>One.</div></section>Two.</p>", ["One.", "Two."]),
+    ],
+)
+def test_hostile_markup(page, want):
+    assert [text for _, text, _ in html_text.blocks(page)] == want
+
+
+def test_path_sums_are_those_of_all_labels():
+    page = "loose<div class='a b'><p>one</p><section id=c><p>two<ul><li>three<li>four</ul></section>five</div>"
+    found = html_text.blocks(page)
+    m = html_text.Labeller()
+    x, _, _ = m.inputs([html_text.features(found)])
+    for i, (path, _, _) in enumerate(found):
+        labels = []
+        while path is not None:
+            labels += path.labels
+            path = path.above
+        want = sum(m.p["P"][html_text._hash(label, html_text.PATHS)] for label in labels) if labels else m.p["P"][0]
+        assert np.allclose(x[i, 0, : html_text.SIZE], want, atol=1e-6)
+
+
+@pytest.mark.parametrize("unit", ["<div class=x>a", "<select>a", "<svg><title>", "<p a='", "<a href=\"", "<!-- ", "</div>a", "<b x=\"y\"", "<textarea", "<div>"])
+def test_pages_of_one_megabyte_of_anything(page_weights, unit):
+    """Time and memory in proportion to the page, whatever it repeats."""
+    import pickle
+    import subprocess
+    import sys
+    import tempfile
+
+    code = """
+import pickle, resource, sys, time
+from forelight.llm import html_text
+weights = pickle.load(open(sys.argv[1], "rb"))
+page = (sys.argv[2] * (1_000_000 // len(sys.argv[2])))
+html_text.extract(["<p>warm</p>"], weights)
+before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+html_text.extract([page], weights)
+print(time.process_time() - t, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    with tempfile.NamedTemporaryFile(suffix=".pickle") as f:
+        pickle.dump(page_weights, f)
+        f.flush()
+        out = subprocess.run([sys.executable, "-c", code, f.name, unit], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1"}).stdout.split()
+    assert float(out[0]) < 20 and int(out[1]) < 400, out
+
+
 def test_long_page(page_weights):
     """A page of 100,000 blocks stays under 200 MB beside its own text, and keeps its article."""
     import subprocess
@@ -572,6 +735,16 @@ def test_pairs_among_many_group_terms_count():
 
 
 
+def test_the_factored_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(7)
+    w0, w, v = 0.3, rng.normal(size=50), rng.normal(size=(50, toxicity.FACTORS))
+    rows = [rng.choice(50, n, replace=False) for n in (0, 1, 2, 7, 30)]
+    score, _ = toxicity.forward(np.concatenate(rows), np.array([len(r) for r in rows]), w0, w, v)
+    for r, got in zip(rows, score, strict=True):
+        want = w0 + sum(w[i] for i in r) + sum(float(v[i] @ v[j]) for a, i in enumerate(r) for j in r[:a])
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 # ---- 8 ----------------------------------------------------------------------------------------
 def brute_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
