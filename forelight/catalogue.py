@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .config import Config
 from .functions.mathx import FAN_Q_COLS, Q_COLS, rounded
 from .operators import audit, bars as B, baselines, bootstrap, covariates, forecast, frame as FR, metrics, origins as O, runs, signals, splits
 from .plans import oracle as S
@@ -177,13 +178,49 @@ def _stored(spark, sf, quote_ok=False):
     frame = minute_frame(spark, sf)
     o, fan = cut(all_origins(frame)), cut(baselines.persistence_fan(frame))
     here = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    runs.store_run(forecast.assemble(forecast.drift_forecast(frame, o), frame, o, fan), fan, {"context": CONTEXT, "max_gap_frac": GAP}, f"{here}/first", n_boot=50)
+    runs.store_run(forecast.assemble(forecast.drift_forecast(frame, o), frame, o, fan), fan, {"context": CONTEXT, "max_gap_frac": GAP}, f"{here}/first")
     return here, runs.rescore(spark, f"{here}/first", f"{here}/again", require_quote_ok=quote_ok)
 
 
 add("run_rescored", METRICS, _FILTERED, "mm")(lambda spark, sf: _stored(spark, sf, True)[1]["metrics_overall"])
 add("run_summary", {"line": None})(lambda spark, sf: spark.read.text(f"{_stored(spark, sf)[0]}/again/summary").withColumnRenamed("value", "line"))
-add("error_by_h", {"h": None, "rmse_c": 7, "rmse_c_persist": 7, "mae_c": 7, "mae_c_persist": 7, "lo": 7, "hi": 7})(lambda spark, sf: runs.error_by_h(assembled(spark, sf), 200))
+add("error_by_h", {"h": None, "rmse_c": 7, "rmse_c_persist": 7, "mae_c": 7, "mae_c_persist": 7, "lo": 7, "hi": 7})(lambda spark, sf: runs.error_by_h(assembled(spark, sf)))
+
+_EVAL = dt.date(2024, 1, 1)
+
+
+def _backtest(spark, sf):
+    """A whole run by its settings, written to the shared folder."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    config = Config({"origins": {"context": CONTEXT, "max_gap_frac": GAP, "minutes": "0-9"}, "run": {"start": str(_EVAL), "end": str(_EVAL), "stride_windows": 2, "bootstrap_days": 100}}, {})
+    return path, runs.backtest_of(config, minute_frame(spark, sf), forecast.drift_forecast, path)
+
+
+_RUN = [*S.origins(), f"ro AS (SELECT * FROM origins WHERE m <= 9 AND t0 >= TIMESTAMP '{_EVAL}' AND t0 < TIMESTAMP '{_EVAL}' + INTERVAL 1 DAY AND (epoch_us(t0) // 900000000) % 2 = 0)"]
+add("run_drops", {"drop_reason": None, "n": None}, [*_RUN, "rdr AS (SELECT drop_reason, count(*) AS n FROM ro WHERE NOT ok GROUP BY 1)"], "rdr")(lambda spark, sf: _backtest(spark, sf)[1]["drops"])
+
+
+def _fan_policy(spark, sf):
+    """Where the fan comes from for evaluations that start at three times, and its pooled cells."""
+    frame, out = minute_frame(spark, sf), None
+    for at in (_T0, _T1, dt.datetime(2023, 6, 1)):
+        fan, info = baselines.fit_fan(frame, at)
+        cells = spark.range(1).selectExpr("0L AS cells") if fan is None else baselines.fan_cells(fan)
+        t = cells.selectExpr(f"TIMESTAMP_NTZ'{at}' AS eval_start", f"'{info['fan_mode']}' AS mode", "cells")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _fan_policy_sql() -> list[str]:
+    steps, parts = [*S.frame()], []
+    pooled = lambda name, low, high: f"{name} AS (SELECT count(*) AS cells FROM (SELECT a.k, b.idx - a.idx AS h FROM frame a JOIN frame b ON b.idx - a.idx BETWEEN 1 AND 15 WHERE b.idx - a.idx <= 15 - (a.k + 1) % 15 AND b.mid_close IS NOT NULL AND (a.k = 14 OR a.mid_close IS NOT NULL) AND a.ts >= {low} AND a.ts < {high} GROUP BY ALL HAVING count(*) >= {baselines.MIN_FAN_N}))"
+    for n, at in enumerate((_T0, _T1, dt.datetime(2023, 6, 1))):
+        t = f"TIMESTAMP '{at}'"
+        steps += [pooled(f"pre{n}", f"{t} - INTERVAL 30 DAY", t), pooled(f"own{n}", t, f"{t} + INTERVAL 30 DAY")]
+        good = [f"(SELECT cells FROM {x}{n}) >= {baselines.MIN_FAN_CELLS}" for x in ("pre", "own")]
+        parts.append(f"SELECT {t} AS eval_start, CASE WHEN {good[0]} THEN 'pre_period' WHEN {good[1]} THEN 'in_sample_head' ELSE 'point' END AS mode, CASE WHEN {good[0]} THEN (SELECT cells FROM pre{n}) WHEN {good[1]} THEN (SELECT cells FROM own{n}) ELSE 0 END AS cells")
+    return [*steps, "fpo AS (" + " UNION ALL ".join(parts) + ")"]
+
 
 # ---- scores -----------------------------------------------------------------------------------
 for _name, _by in {"overall": "", "by_h": "h", "by_m": "m", "by_mh": "m, h", "by_mgroup": "m_group", "by_hour": "hour", "by_vol": "vol_bucket"}.items():
@@ -208,7 +245,7 @@ add("trajectories", {"t0": None, "m": None, "h": None, "q10": 6, "median": 6, "q
 
 def _bootstrap(spark, sf):
     f = assembled(spark, sf)
-    return bootstrap.bootstrap_by(f, "h", 200).unionByName(bootstrap.bootstrap_by(f, "m_group", 200))
+    return bootstrap.bootstrap_by(f, "h").unionByName(bootstrap.bootstrap_by(f, "m_group"))
 
 
 add("bootstrap", {"by": None, "key": None, "stat": None, "lo": 7, "hi": 7, "n_days": None})(_bootstrap)
@@ -332,6 +369,8 @@ add("recal_days", {"features": None, "split": None, "date": None, "n": None, "se
 add("recal_intervals", {"features": None, "split": None, **_CI})(lambda spark, sf: signals.recalibration_intervals(_signal(spark, sf)))
 add("logit_recal", {"features": None, "split": None, "n": None, "bss": 4}, [*_RECAL, "rcb AS (SELECT features, split, count(*) AS n, 1e0 - sum(power(p - y, 2)) / sum(power(mid_close - y, 2)) AS bss FROM rcd GROUP BY ALL)"], "rcb")(lambda spark, sf: signals.logit_recalibration(_signal(spark, sf)))
 
+add("fan_policy", {"eval_start": None, "mode": None, "cells": None}, _fan_policy_sql(), "fpo")(_fan_policy)
+
 # ---- streaming and ingestion ------------------------------------------------------------------
 _STREAM = [
     "sb AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS b, ts, value FROM events)",

@@ -40,6 +40,33 @@ def test_a_run_is_stored_and_scored_anew(spark, rows, tmp_path):
         runs.rescore(spark, str(tmp_path / "run"), str(tmp_path / "old"))
 
 
+def test_a_backtest_by_its_settings(spark, sf, tmp_path):
+    """Settings choose origins, fan and draws; the run keeps what was dropped and where its fan is from; a
+    run that breaks off leaves the one before in place."""
+    frame = C.minute_frame(spark, sf)
+    path = str(tmp_path / "run")
+    config = Config({"origins": {"context": 32, "max_gap_frac": 0.1}, "run": {"max_windows": 3, "bootstrap_days": 20}}, {"FORELIGHT_RUN_STRIDE_WINDOWS": "1"})
+    tables = runs.backtest_of(config, frame, forecast.drift_forecast, path)
+    f, fan, info = runs.load_run(spark, path)
+    assert f.select("t0").distinct().count() == 3 and info["n_boot"] == 20 and fan is None and info["provenance"] == {"fan_mode": "point"}
+    dropped = {r["drop_reason"]: r["n"] for r in tables["drops"].collect()}
+    assert dropped and set(dropped) <= set(O.REASONS)
+    given = runs.backtest_of(config, frame, forecast.drift_forecast, path, cut(baselines.persistence_fan(frame)))
+    assert runs.load_run(spark, path)[2]["provenance"] == {"fan_mode": "file"} and given["metrics_overall"].count() == 1
+
+    def broken(frame, origins):
+        return forecast.drift_forecast(frame, origins).withColumn("q10", F.raise_error(F.lit("no model")).cast("double"))
+
+    with pytest.raises(Exception, match="no model"):
+        runs.backtest_of(config, frame, broken, path)
+    assert runs.load_run(spark, path)[2]["provenance"] == {"fan_mode": "file"}
+    before = runs.load_run(spark, path)[0].count()
+    runs.rescore(spark, path, path)  # onto its own place
+    assert runs.load_run(spark, path)[0].count() == before and spark.read.parquet(f"{path}/drops").count() == len(dropped)
+    with pytest.raises(ValueError, match="no origin"):
+        runs.run_backtest(frame, forecast.drift_forecast, O.OriginSpec(context=32), path, start=dt.date(2030, 1, 1))
+
+
 def test_intervals_weigh_whole_days(rows):
     """Against drawing days one by one with the same counts."""
     forecasts, _ = rows
