@@ -12,7 +12,8 @@ Defined results: null, empty and blank texts are scored like any other by the fi
 stage, have no lines, no duplicates and no benchmark passages, and end with the begin
 and end ids only; a null doc_id names no group unless all its rows lack one; rows alike in
 doc_id and text share one fate; an empty table gives an empty result; without labels nothing is toxic; further
-columns of the documents, whatever their names, are carried to the last stage.
+columns of the documents, whatever their names, are carried up to the last stage, which returns doc_id and
+its own results only.
 """
 
 from __future__ import annotations
@@ -26,23 +27,38 @@ from forelight.llm.common import delete, documents, scratch_dir, table
 from forelight.llm.queries import vocabulary
 
 
+BATCH, USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
+
+
+def _lean(spark: SparkSession) -> None:
+    """Let batches for Python workers hold 8 MB at most, unless the session asks for another size than the
+    operators' own: workers and heaps of one stage are still there in the next."""
+    if spark.conf.getAll.get(BATCH, str(USUAL)) == str(USUAL):
+        spark.conf.set(BATCH, str(USUAL // 2))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return line_dedup.remove_boilerplate(docs, whole_copies=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return sp_bpe.encode_documents(docs, vocabulary("piece_bpe_32k.model"))
 
 
