@@ -66,3 +66,22 @@ def test_full_bars_of_ticks_that_are_there(spark, sf):
     batch = {r["ts"]: r for r in to_bars(ticks, "1m").collect()}
     assert len(batch) - 12 <= len(got) < len(batch)
     assert all(same(got[ts][c], batch[ts][c]) for ts in got for c in BAR_COLUMNS)
+
+
+def test_full_bars_are_dealt_by_day(spark, sf, tmp_path):
+    """Days are keys of their own, and days without a tick are still whole; state is written by many tasks."""
+    import json
+
+    rng = random.Random(3)
+    days = [dt.datetime(2024, 1, 1, 22) + dt.timedelta(days=d) for d in (0, 1, 2, 5, 6)]
+    ticks = [(t + dt.timedelta(seconds=s * 7), rng.gauss(100, 1)) for t in days for s in range(1500)]
+    rows = spark.createDataFrame(ticks, "ts timestamp_ntz, value double").repartition(3)
+    got = {r["ts"]: r for r in S.full_bars_of_available(spark, rows).collect()}
+    batch = {r["ts"]: r for r in to_bars(rows, "1m").collect() if r["ts"] + dt.timedelta(minutes=11) <= max(ticks)[0]}
+    assert set(got) == set(batch) and len(got) > 7000
+    assert all(same(got[ts][c], batch[ts][c]) for ts in got for c in BAR_COLUMNS)
+    rows.write.parquet(str(tmp_path / "ticks"))
+    stream = spark.readStream.schema("ts timestamp_ntz, value double").parquet(str(tmp_path / "ticks"))
+    q = S.run_to_table(S.full_stream_bars(stream, days=True), str(tmp_path / "bars"), str(tmp_path / "state"))
+    q.awaitTermination()
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in json.loads(p.json)["stateOperators"]) > 2 * len(days)
