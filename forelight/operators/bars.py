@@ -22,16 +22,19 @@ def aggregate(ticks: DataFrame, freq: str, every_tick: bool = False) -> DataFram
     sec = f"timestampdiff(SECOND, {ZERO}, ts)"
     t = ticks.select("ts", "value").selectExpr("ts", "value", f"{on} AS on_sec", f"{sec} AS sec", f"{sec} % {s} AS off", "CASE WHEN value > 0 THEN ln(value) END AS lv", "to_date(ts) AS day")
     w = Window.partitionBy("day", "on_sec").orderBy("ts", "value")
-    t = t.withColumns({"dt": F.expr("sec") - F.lag("sec").over(w), "dl": F.col("lv") - F.lag("lv").over(w)})
-    t = t.withColumn("r", F.when(F.col("on_sec") & (F.col("dt") <= MAX_RETURN_GAP_S), F.col("dl")))
-    here, at = "FILTER (WHERE on_sec)", "struct(ts, value)"
+    t = t.withColumns({"dt": F.expr("sec") - F.lag("sec").over(w), "dl": F.col("lv") - F.lag("lv").over(w), "after": F.lead("sec").over(w)})
+    t = t.withColumns({"r": F.when(F.col("on_sec") & (F.col("dt") <= MAX_RETURN_GAP_S), F.col("dl")), "ends": F.expr(f"after IS NULL OR after div {s} <> sec div {s}"), "starts": F.expr(f"dt IS NULL OR (sec - dt) div {s} <> sec div {s}")})
+    here = "FILTER (WHERE on_sec)"
+    # a tick is known as its bar's first or last from its neighbours, so every aggregate keeps one number
+    one = lambda x, where: f"max(CASE WHEN on_sec AND {where} THEN {x} END)"
 
     def tail(n: int) -> str:
         mark = s - 1 - n
-        return f"CASE WHEN max(off) {here} >= {s - TAIL_TOLERANCE_S} THEN max_by(lv, {at}) {here} - max_by(lv, {at}) FILTER (WHERE on_sec AND off <= {mark} AND off > {mark - TAIL_TOLERANCE_S}) END"
+        early = f"off <= {mark} AND off > {mark - TAIL_TOLERANCE_S} AND (ends OR after % {s} > {mark})"
+        return f"CASE WHEN max(off) {here} >= {s - TAIL_TOLERANCE_S} THEN {one('lv', 'ends')} - {one('lv', early)} END"
 
     exprs = {
-        "open": f"min_by(value, {at}) {here}", "high": f"max(value) {here}", "low": f"min(value) {here}", "close": f"max_by(value, {at}) {here}", "mean": f"avg(value) {here}", "std": f"stddev_pop(value) {here}",
+        "open": one("value", "starts"), "high": f"max(value) {here}", "low": f"min(value) {here}", "close": one("value", "ends"), "mean": f"avg(value) {here}", "std": f"stddev_pop(value) {here}",
         "rv_1s": f"CASE WHEN count(r) >= {max(s // 2, 1)} THEN sum(r * r) * {s} / count(r) END", "ret_l10": tail(10), "ret_l30": tail(30), "n_ticks": "count_if(on_sec)", "n_raw_ticks": "count(*)",
     }
     return t.groupBy(F.expr(bucket("ts", s)).alias("ts")).agg(*[F.expr(e).alias(c) for c, e in exprs.items()])
