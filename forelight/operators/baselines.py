@@ -27,10 +27,11 @@ def persistence_fan(frame: DataFrame, lo: dt.datetime | None = None, hi: dt.date
     if strict and hi is not None:
         d = d.where(F.expr(f"target_ts < TIMESTAMP_NTZ'{hi}'"))
     d = d.selectExpr("k_ctx", "h", "bucket", "then_mid - ref AS d")
-    qs = F.expr(f"percentile(d, array({', '.join(f'{q!r}e0' for q in DECILES)}))")
-    # One row per observation and grouping; the percentile keeps counts by distinct value.
+    qs = F.expr(f"percentile(d, array({', '.join(f'{q!r}e0' for q in DECILES)}), c)")
+    # Equal moves are counted first: prices have a grid, so the percentiles read few rows, whatever there is.
+    d = d.groupBy("k_ctx", "h", "bucket", "d").agg(F.count("*").alias("c"))
     both = d.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.lit(POOLED))))
-    fan = both.groupBy("k_ctx", "h", "bucket").agg(F.count("*").alias("n"), qs.alias("q"))
+    fan = both.groupBy("k_ctx", "h", "bucket").agg(F.sum("c").alias("n"), qs.alias("q"))
     return fan.select("k_ctx", "h", "bucket", "n", *[F.col("q")[j].alias(c) for j, c in enumerate(DQ)])
 
 
@@ -63,7 +64,7 @@ def apply_fan(rows: DataFrame, fan: DataFrame | None) -> DataFrame:
     pool = use.where(f"bucket = {POOLED}").selectExpr("k_ctx", "h", *[f"{c} AS p_{c}" for c in DQ])
     rows = rows.withColumn("level_", F.expr(price_bucket("persist")))
     rows = rows.join(F.broadcast(level), ["k_ctx", "h", "level_"], "left").join(F.broadcast(pool), ["k_ctx", "h"], "left")
-    fan_q = F.array_sort(F.array(*[F.expr(f"greatest(0e0, least(1e0, persist + coalesce(l_{c}, p_{c}, 0e0)))") for c in DQ]))
+    fan_q = F.sort_array(F.array(*[F.expr(f"greatest(0e0, least(1e0, persist + coalesce(l_{c}, p_{c}, 0e0)))") for c in DQ]))
     rows = rows.withColumn("fan_", fan_q)
     return rows.withColumns({c: F.col("fan_")[j] for j, c in enumerate(FAN_Q_COLS)}).drop("fan_", "level_", *[f"{a}_{c}" for a in "lp" for c in DQ])
 

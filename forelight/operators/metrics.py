@@ -113,41 +113,44 @@ _DAY_ZERO = "DATE'1970-01-01'"
 
 
 class ScoreSets:
-    """Every score of several groupings from two readings of the forecasts.
+    """Every score of several groupings from three readings of the forecasts.
 
-    ``sets`` names groupings, lists of keys (an empty one: all rows), ``where`` conditions of some. The
-    first reading gives each row to all groupings at once, and in each to its day, its bin of u and its
-    calibration bin: sums by grouping, keys and such a part merge on each task, and are as few as there
-    are groups, days and bins. The second reads u in the bins that can hold the largest gap. Windows
-    start on quarters of an hour, so those of a day are 96 bits."""
+    ``sets`` names groupings, lists of keys (an empty one: all rows), ``where`` conditions of some. Each
+    reading gives a row to all groupings at once. The first sums by grouping, keys and day, the second counts
+    by bin of u and calibration bin: both merge on each task, and are as few as there are groups, days and
+    bins. The third reads u in the bins that can hold the largest gap. Windows start on quarters of an hour,
+    so those of a day are 96 bits."""
 
     def __init__(self, forecasts: DataFrame, sets: dict[str, list[str]], where: dict[str, str] | None = None):
         self.sets, self.keys = sets, sorted({k for ks in sets.values() for k in ks})
         rows, p = scored(forecasts), clip("mean_fc", EPS, 1 - EPS)
-        parts = {"day": f"datediff(date, {_DAY_ZERO})", "pit": f"CASE WHEN u IS NOT NULL THEN {_ks_bin()} END", "ece": f"CASE WHEN o IS NOT NULL THEN {cal_bin(p)} END"}
-        calibrated = {f"cal_{s}": f"CASE WHEN o IS NOT NULL THEN {cal_bin(c)} END" for s, c in SOURCES.items()}
-        within = lambda name, e: f"CASE WHEN {where[name]} THEN {e} END" if where and name in where else e
         kinds = dict(forecasts.dtypes)
         key = lambda name, k: f"CAST({k if k in sets[name] else 'NULL'} AS {kinds[k]}) AS key_{k}"
-        every = []
-        for name in sets:
-            for part, sub in (parts | (calibrated if not sets[name] and not (where and name in where) else {})).items():
-                every.append(f"struct('{name}' AS in_, '{part}' AS part, CAST({within(name, sub)} AS BIGINT) AS sub, {', '.join([key(name, k) for k in self.keys] + ['0 AS none_'])})")
-        told = rows.withColumn("g", F.expr(f"explode(array({', '.join(every)}))")).where("g.sub IS NOT NULL").select("*", "g.*").drop("g")
-        day = lambda e: f"CASE WHEN part = 'day' THEN {e} END"
+        within = lambda name, e: f"CASE WHEN {where[name] if where and name in where else 'true'} THEN {e} END"
+        member = lambda name, *more: f"struct('{name}' AS in_, {', '.join([key(name, k) for k in self.keys] + ['0 AS none_', *more])})"
+        # the array is a column first: what explode itself evaluates is interpreted row by row
+        every = lambda df, *structs: df.withColumn("g_", F.expr(f"array({', '.join(structs)})")).withColumn("g", F.explode("g_")).drop("g_").where("g IS NOT NULL")
+        self.group = ["in_", *[f"key_{k}" for k in self.keys]]
+        told = every(rows.withColumn("day", F.expr(f"datediff(date, {_DAY_ZERO})")).where("day IS NOT NULL"), *[within(n, member(n)) for n in sets]).select("*", "g.*")
         window = f"(timestampdiff(MINUTE, {ZERO}, t0) div 15) % 96"
-        sums = {"c": "count(*)", "w1": f"bit_or({day(f'CASE WHEN {window} < 64 THEN shiftleft(1L, CAST({window} AS INT)) ELSE 0L END')})", "w2": f"bit_or({day(f'CASE WHEN {window} >= 64 THEN shiftleft(1L, CAST({window} AS INT) - 64) ELSE 0L END')})", "t_first": "min(t0)", "t_last": "max(t0)"}
+        sums = {"c": "count(*)", "w1": f"bit_or(CASE WHEN {window} < 64 THEN shiftleft(1L, CAST({window} AS INT)) ELSE 0L END)", "w2": f"bit_or(CASE WHEN {window} >= 64 THEN shiftleft(1L, CAST({window} AS INT) - 64) ELSE 0L END)", "t_first": "min(t0)", "t_last": "max(t0)"}
         for c, e in _BASE.items():
             if e.startswith("avg("):
-                sums |= {f"s_{c}": f"sum({day(e[4:-1])})", f"n_{c}": f"count({day(e[4:-1])})"}
-        sums["n_dir"] = f"count({day('CASE WHEN moves THEN 1 END')})"
-        ps = " ".join(f"WHEN part = '{k}' THEN {v}" for k, v in {"ece": p, **{f"cal_{s}": c for s, c in SOURCES.items()}}.items())
-        sums |= {"n_o": f"count({day('o')})", "p_sum": f"sum(CASE {ps} END)", "o_sum": "sum(CASE WHEN part NOT IN ('day', 'pit') THEN o END)"}
-        self.group = ["in_", *[f"key_{k}" for k in self.keys]]
-        self.parts = cut(told.groupBy(*self.group, "part", "sub").agg(*[F.expr(e).alias(c) for c, e in sums.items()]))
+                sums |= {f"s_{c}": f"sum({e[4:-1]})", f"n_{c}": f"count({e[4:-1]})"}
+        sums |= {"n_dir": "count(CASE WHEN moves THEN 1 END)", "n_o": "count(o)"}
+        self.days = cut(told.groupBy(*self.group, F.col("day").cast("long").alias("sub")).agg(*[F.expr(e).alias(c) for c, e in sums.items()]))
+        cell = lambda part, sub, x: (f"'{part}' AS part", f"CAST({sub} AS BIGINT) AS sub", f"{x} AS p")
+        parts = []
+        for name in sets:
+            told = [cell("pit", f"CASE WHEN u IS NOT NULL THEN {_ks_bin()} END", "CAST(NULL AS DOUBLE)")]
+            plain = not sets[name] and not (where and name in where)
+            for part, x in {"ece": p, **({f"cal_{s}": c for s, c in SOURCES.items()} if plain else {})}.items():
+                told.append(cell(part, f"CASE WHEN o IS NOT NULL THEN {cal_bin(x)} END", x))
+            parts += [within(name, member(name, *c)) for c in told]
+        binned = every(rows, *parts).where("g.sub IS NOT NULL").select("o", "g.*")
+        self.parts = cut(binned.groupBy(*self.group, "part", "sub").agg(F.count("*").alias("c"), F.sum("p").alias("p_sum"), F.expr("sum(CASE WHEN part <> 'pit' THEN o END)").alias("o_sum")))
         bins = self.parts.where("part = 'pit'").select(*self.group, F.col("sub").alias("bin"), "c")
-        some = [f"CASE WHEN {where[n] if where and n in where else 'true'} THEN struct('{n}' AS in_, {', '.join([key(n, k) for k in self.keys] + ['0 AS none_'])}) END" for n in sets]
-        spread = rows.select(F.expr(f"explode(array({', '.join(some)}))").alias("g"), "u").where("g IS NOT NULL").select("g.*", "u")
+        spread = every(rows, *[within(n, member(n)) for n in sets]).select("g.*", "u")
         self.ks = cut(_ks_gaps(spread, _ks_candidates(bins, self.group), self.group))
 
     def _of(self, table: DataFrame, name: str) -> DataFrame:
@@ -157,7 +160,7 @@ class ScoreSets:
     def metrics(self, name: str) -> DataFrame:
         """The 32 scores of one grouping."""
         by = self.sets[name]
-        days = self._of(self.parts.where("part = 'day'"), name)
+        days = self._of(self.days, name)
         sums = [c for c in days.columns if c[:2] in ("s_", "n_")]
         t = days.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.bit_count("w1") + F.bit_count("w2")).cast("long").alias("n_windows"), F.count("*").alias("n_days"), *[F.sum(c).alias(c) for c in sums])
         t = t.where("n IS NOT NULL")
@@ -175,7 +178,7 @@ class ScoreSets:
 
     def day_sums(self, name: str) -> DataFrame:
         """by..., date and the seven sums that the block bootstrap needs."""
-        days = self._of(self.parts.where("part = 'day'"), name)
+        days = self._of(self.days, name)
         return days.select(*self.sets[name], F.expr(f"date_add({_DAY_ZERO}, CAST(sub AS INT))").alias("date"), *[F.col(f"s_{c}").alias(n) for n, c in DAY_SUMS.items()], F.col("c").cast("double").alias("one"))
 
     def calibrations(self, name: str) -> DataFrame:
@@ -185,7 +188,7 @@ class ScoreSets:
 
     def span(self, name: str) -> dict:
         """Rows, windows, days, first and last window of a grouping of all rows."""
-        m, t = self.metrics(name).first(), self._of(self.parts.where("part = 'day'"), name).agg(F.min("t_first"), F.max("t_last")).first()
+        m, t = self.metrics(name).first(), self._of(self.days, name).agg(F.min("t_first"), F.max("t_last")).first()
         counts = (m["n"], m["n_windows"], m["n_days"]) if m else (0, 0, 0)
         return dict(zip(("scored_steps", "windows", "days", "first", "last"), (*counts, *t), strict=True))
 

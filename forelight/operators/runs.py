@@ -27,7 +27,7 @@ SETTLED = ("settle_n", "settle_brier", "settle_brier_persist", "settle_brier_rw"
 
 
 def score_tables(forecasts: DataFrame, n_boot: int = 1000, seed: int = 0) -> tuple[dict[str, DataFrame], dict]:
-    """Every table of a run, and its span, from two readings of the forecasts."""
+    """Every table of a run, and its span, from three readings of the forecasts."""
     sets = metrics.ScoreSets(forecasts, {**GROUPINGS, "not_settlement": []}, {"not_settlement": "NOT is_settlement"})
     out = {f"metrics_{name}": sets.metrics(name) for name in sets.sets}
     out["bootstrap"] = bootstrap.bootstrap_sums(sets.day_sums("by_h"), "h", n_boot, seed).unionByName(bootstrap.bootstrap_sums(sets.day_sums("by_mgroup"), "m_group", n_boot, seed))
