@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -58,3 +59,24 @@ def test_subsample_matches_linspace(spark):
     for n, k in ((23, 7), (100, 9), (5, 9), (8, 8)):
         df = spark.range(n).withColumn("g", F.lit(1))
         assert sorted(r["id"] for r in splits.subsample(df, "id", k, "g").collect()) == splits.spread_rows(n, k)
+
+
+def test_ticks_moves_and_scores_are_summed_by_hash(spark, sf, monkeypatch):
+    """Neither ticks nor moves are sorted by group, and explode evaluates nothing but a column."""
+    from forelight.operators import baselines
+    from forelight.operators.bars import aggregate
+    from forelight.sources import fixtures
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan(aggregate(fixtures.ticks(spark, sf), "1m"))
+    frame = spark.range(900).selectExpr("id AS idx", "TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, CAST(id AS INT)) AS ts", "CAST(id % 15 AS INT) AS k", "CAST(id % 7 AS DOUBLE) / 10 AS mid_close")
+    fan = baselines.persistence_fan(frame)
+    assert re.search(r"HashAggregate\(keys=\[k_ctx#\d+, h#\d+, bucket#\d+, [^\]]*\bd#", plan(fan))
+    rows = spark.createDataFrame([(0.2, 0.5)], "last_mid double, x double").selectExpr("last_mid", "0 AS k_ctx", "1 AS h")
+    applied = baselines.apply_fan(rows, fan)
+    assert "lambda" not in plan(applied) and 0 <= applied.first()["fan_q10"] <= applied.first()["fan_q90"] <= 1
+    plans = []
+    monkeypatch.setattr(metrics, "cut", lambda df: plans.append(plan(df)) or df)
+    f = spark.range(1).selectExpr("CAST(id AS DOUBLE) AS mean_fc", "CAST(id AS DOUBLE) AS actual", "CAST(id AS DOUBLE) AS persist", "CAST(id AS DOUBLE) AS rw_p", "CAST(id AS DOUBLE) AS median", "id = 0 AS is_settlement", "id = 0 AS outcome_price", "DATE'2024-01-01' AS date", "TIMESTAMP_NTZ'2024-01-01' AS t0", *[f"CAST(id AS DOUBLE) AS {c}" for c in (*metrics.Q_COLS, *metrics.FAN_Q_COLS)])
+    metrics.ScoreSets(f, {"all": []})
+    assert any("explode(g_" in p for p in plans) and not any("explode(array" in p for p in plans)
