@@ -30,11 +30,12 @@ from forelight.llm.queries import vocabulary
 BATCH, USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 24
 
 
-def _lean(spark: SparkSession) -> None:
-    """Let batches for Python workers hold 8 MB at most, unless the session asks for another size than the
-    operators' own: workers and heaps of one stage are still there in the next."""
-    if spark.conf.getAll.get(BATCH, str(USUAL)) == str(USUAL):
-        spark.conf.set(BATCH, str(USUAL // 2))
+def _lean(spark: SparkSession, share: int = 2) -> None:
+    """Let batches for Python workers hold 8 MB at most (4 MB in the last stage, which meets all that the
+    others left), unless the session asks for another size than the operators' own: workers and heaps of
+    one stage are still there in the next."""
+    if spark.conf.getAll.get(BATCH, str(USUAL)) in (str(USUAL), str(USUAL // 2), str(USUAL // 4)):
+        spark.conf.set(BATCH, str(USUAL // share))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _lean(spark)
+    _lean(spark, 4)
     return sp_bpe.encode_documents(docs, vocabulary("piece_bpe_32k.model"))
 
 

@@ -33,9 +33,9 @@ from .common import sha256_hex, ship, trim
 
 SPACE = "▁"
 #: runs in either half of a worker's cache, pairs in its compatibility table
-CACHE, PAIRS = 80_000, 400_000
+CACHE, PAIRS = 60_000, 400_000
 #: characters of text encoded together; runs longer than LONG go through the automaton alone
-GROUP_CHARS, LONG = 1_000_000, 128
+GROUP_CHARS, LONG = 300_000, 128
 ROOT = 1 << 20
 #: runs that a worker keeps between tasks
 KEPT = 40_000

@@ -64,3 +64,17 @@ def test_awkward_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
         out = corpus_pipeline.run(spark, sf)
         assert out.count() == (42 if name == "full" else 0) and {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
+
+
+def test_batches_of_the_last_stage_are_small(spark, sf):
+    """The last stage meets what the others left in workers and heaps; a session's own size stays."""
+    before = spark.conf.getAll.get(corpus_pipeline.BATCH)
+    try:
+        for own, want in ((str(1 << 24), str(1 << 22)), ("777777", "777777")):
+            spark.conf.set(corpus_pipeline.BATCH, own)
+            docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+            corpus_pipeline.reject_toxic(spark, docs.selectExpr("doc_id", "text"), sf)
+            corpus_pipeline.tokenise(spark, docs, sf)
+            assert spark.conf.get(corpus_pipeline.BATCH) == want
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH) if before is None else spark.conf.set(corpus_pipeline.BATCH, before)
