@@ -20,10 +20,10 @@ def ticks(spark: SparkSession, sf_dir: str, loud: bool = False) -> DataFrame:
     s = f"event_id + copy * {n}L"
     out = events.select("event_id", "value", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
     out = out.selectExpr(f"{s} AS s", "100000e0 + value AS value").where(f"s % {HOLE_EVERY} < {HOLE_FROM} OR s % {HOLE_EVERY} > {HOLE_TO}")
-    one = out.selectExpr(f"timestampadd(SECOND, CAST(s AS INT), {EPOCH}) AS ts", "value")
+    one = out.selectExpr(f"{EPOCH} + s * INTERVAL '1' SECOND AS ts", "value")
     if not loud:
         return one
-    return one.unionByName(out.selectExpr(f"timestampadd(MILLISECOND, 500, timestampadd(SECOND, CAST(s AS INT), {EPOCH})) AS ts", "value + 5000e0 AS value"))
+    return one.unionByName(out.selectExpr(f"{EPOCH} + s * INTERVAL '1' SECOND + INTERVAL '0.5' SECOND AS ts", "value + 5000e0 AS value"))
 
 
 def candles(bars: DataFrame, shift_minutes: int = 0) -> DataFrame:
