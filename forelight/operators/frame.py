@@ -8,6 +8,8 @@ from ..functions.mathx import h_eff, ln_ratio, norm_cdf, safe_div, safe_ln, z_sc
 from .grid import block_window, blocked, bucket, carry_last, unblocked
 
 MAX_QUOTE_SPREAD, RV_FAST, RV_SLOW = 0.10, 15, 240
+#: rows of the frames that the slow one is put together from
+PART = 60
 
 
 def relabel(candles: DataFrame) -> DataFrame:
@@ -60,7 +62,13 @@ def with_features(frame: DataFrame, vol_lookback: int = 240, rv_lookback: int =
         return F.when(F.count(c).over(over) >= least, agg(c).over(over))
 
     rv = lambda size: F.sqrt(rolling(F.avg, "brti_rv_1s", size, max(size // 2, 1)))
-    b = b.withColumns({"sigma_1m": rolling(F.stddev_samp, "ret_1m", vol_lookback, max(10, vol_lookback // 4)), "sigma_rv": rv(rv_lookback), "rv_fast": rv(RV_FAST), "rv_slow": rv(RV_SLOW)})
+    # the slow frame is put together from frames of PART rows: a row costs PART values, not all of them
+    part = w.rowsBetween(-(PART - 1), 0)
+    b = b.withColumns({"sigma_1m": rolling(F.stddev_samp, "ret_1m", vol_lookback, max(10, vol_lookback // 4)), "sigma_rv": rv(rv_lookback), "rv_fast": rv(RV_FAST), "n_": F.count("brti_rv_1s").over(part), "s_": F.sum("brti_rv_1s").over(part)})
+    at = range(0, RV_SLOW, PART)
+    b = b.withColumns({f"{c}{k}": F.coalesce(F.lag(c, k).over(w) if k else F.col(c), F.lit(0)) for c in ("n_", "s_") for k in at})
+    b = b.withColumns({c: F.expr(" + ".join(f"{c}{k}" for k in at)) for c in ("n_", "s_")})
+    b = b.withColumn("rv_slow", F.expr(f"CASE WHEN n_ >= {max(RV_SLOW // 2, 1)} THEN sqrt(s_ / n_) END")).drop("n_", "s_", *[f"{c}{k}" for c in ("n_", "s_") for k in at])
     frame = unblocked(b).withColumn("vol_ratio", F.expr(ln_ratio("rv_fast", "rv_slow"))).drop("rv_fast", "rv_slow")
     return frame.withColumns({
         "trade_close_imp": F.coalesce("trade_close", "mid_close"), "trade_mean_imp": F.coalesce("trade_mean", "mid_close"),
