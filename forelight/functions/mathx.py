@@ -29,15 +29,23 @@ def _poly(coefficients, x: str) -> str:
     return out
 
 
-def norm_cdf(z: str) -> str:
-    """Normal distribution function of SQL expression ``z`` (NULL stays NULL)."""
+def norm_tail(z: str) -> str:
+    """Probability beyond +-``z``."""
     a = f"abs({z})"
     near = f"exp(-{a} * {a} / 2e0) * {_poly(_NUM, a)} / {_poly(_DEN, a)}"
     far = f"exp(-{a} * {a} / 2e0) / (({a} + 1e0 / ({a} + 2e0 / ({a} + 3e0 / ({a} + 4e0 / ({a} + 0.65e0))))) * 2.506628274631e0)"
-    tail = f"(CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < 7.07106781186547e0 THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN {a} > 37e0 THEN 0e0 WHEN {a} < 7.07106781186547e0 THEN {near} ELSE {far} END)"
+
+
+def norm_of_tail(z: str, tail: str) -> str:
     return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 0e0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 
+def norm_cdf(z: str) -> str:
+    """Normal distribution function of SQL expression ``z`` (NULL stays NULL)."""
+    return norm_of_tail(z, norm_tail(z))
+
+
 def h_eff(k: str) -> str:
     """Bars of variance left until settlement, from the close of row k."""
     return f"(CASE WHEN {k} >= {SETTLE_K} THEN 1e-4 ELSE ({SETTLE_K - 1} - {k}) + 1e0 / 3e0 END)"

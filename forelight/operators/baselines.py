@@ -59,18 +59,21 @@ def apply_fan(rows: DataFrame, fan: DataFrame | None) -> DataFrame:
     rows = rows.withColumn("persist", F.expr(persist_ref("last_mid", "k_ctx")))
     if fan is None:
         return rows.withColumns({c: F.expr("greatest(0e0, least(1e0, persist))") for c in FAN_Q_COLS})
-    use = fan.where(f"n >= {MIN_FAN_N}")
+    # Deciles are put in order in the fan, a few cells, not in every row: adding a number and clipping keep it.
+    use = fan.where(f"n >= {MIN_FAN_N}").withColumn("q_", F.sort_array(F.array(*DQ))).select("k_ctx", "h", "bucket", *[F.col("q_")[j].alias(c) for j, c in enumerate(DQ)])
     level = use.where(f"bucket <> {POOLED}").selectExpr("k_ctx", "h", "bucket AS level_", *[f"{c} AS l_{c}" for c in DQ])
     pool = use.where(f"bucket = {POOLED}").selectExpr("k_ctx", "h", *[f"{c} AS p_{c}" for c in DQ])
     rows = rows.withColumn("level_", F.expr(price_bucket("persist")))
     rows = rows.join(F.broadcast(level), ["k_ctx", "h", "level_"], "left").join(F.broadcast(pool), ["k_ctx", "h"], "left")
-    fan_q = F.sort_array(F.array(*[F.expr(f"greatest(0e0, least(1e0, persist + coalesce(l_{c}, p_{c}, 0e0)))") for c in DQ]))
-    rows = rows.withColumn("fan_", fan_q)
-    return rows.withColumns({c: F.col("fan_")[j] for j, c in enumerate(FAN_Q_COLS)}).drop("fan_", "level_", *[f"{a}_{c}" for a in "lp" for c in DQ])
+    rows = rows.withColumns({c: F.expr(f"greatest(0e0, least(1e0, persist + coalesce(l_{d}, p_{d}, 0e0)))") for c, d in zip(FAN_Q_COLS, DQ, strict=True)})
+    return rows.drop("level_", *[f"{a}_{c}" for a in "lp" for c in DQ])
+
+
+def fair_z(brti_close: str = "brti_close", strike: str = "strike", sigma: str = "sigma_1m", m: str = "m") -> str:
+    h = f"((14 - {m}) + 1e0 / 3e0)"
+    return f"(CASE WHEN {sigma} > 0 AND {brti_close} > 0 AND {strike} > 0 THEN greatest(-8e0, least(8e0, ln({brti_close} / {strike}) / ({sigma} * sqrt({h})))) ELSE 0e0 END)"
 
 
 def fair_now(brti_close: str = "brti_close", strike: str = "strike", sigma: str = "sigma_1m", m: str = "m") -> str:
     """Index-only fair value at an origin; every undefined case is 0.5."""
-    h = f"((14 - {m}) + 1e0 / 3e0)"
-    z = f"(CASE WHEN {sigma} > 0 AND {brti_close} > 0 AND {strike} > 0 THEN greatest(-8e0, least(8e0, ln({brti_close} / {strike}) / ({sigma} * sqrt({h})))) ELSE 0e0 END)"
-    return norm_cdf(z)
+    return norm_cdf(fair_z(brti_close, strike, sigma, m))

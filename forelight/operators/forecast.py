@@ -9,9 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.mathx import Q_COLS, decile_mean, m_group
+from ..functions.mathx import Q_COLS, decile_mean, m_group, norm_of_tail, norm_tail
 from ..session import cut, ship
-from .baselines import apply_fan, fair_now
+from .baselines import apply_fan, fair_z
 from .covariates import CELLS, batches_of, tensor_rows
 from .select import quantiles
 
@@ -127,5 +127,7 @@ def assemble(long: DataFrame, frame: DataFrame, origins: DataFrame, fan: DataFra
 
 
 def add_baselines(df: DataFrame, fan: DataFrame | None) -> DataFrame:
-    df = df.drop("rw_p", "persist", "mean_fc")
-    return apply_fan(df.withColumns({"rw_p": F.expr(fair_now()), "mean_fc": F.expr(decile_mean(Q_COLS))}), fan)
+    """``df`` with rw_p, mean_fc and the fan. The score and its tail are columns first: written out in
+    place, the score is worked out some twenty times a row."""
+    df = df.drop("rw_p", "persist", "mean_fc").withColumn("z_", F.expr(fair_z())).withColumn("tail_", F.expr(norm_tail("z_")))
+    return apply_fan(df.withColumns({"rw_p": F.expr(norm_of_tail("z_", "tail_")), "mean_fc": F.expr(decile_mean(Q_COLS))}).drop("z_", "tail_"), fan)

@@ -194,11 +194,11 @@ class ScoreSets:
 
 
 def settlement_calibration(forecasts: DataFrame) -> DataFrame:
-    rows, out = scored(forecasts), None
-    for name, c in SOURCES.items():
-        t = calibration(rows, c).withColumn("source", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """The calibration tables of all sources from one reading of the forecasts."""
+    each = ", ".join(f"struct('{name}' AS source, {c} AS p)" for name, c in SOURCES.items())
+    rows = scored(forecasts).where("o IS NOT NULL").selectExpr("o", f"array({each}) AS g_").select("o", F.explode("g_").alias("g")).select("o", "g.*")
+    t = calibration(rows, "p", ["source"])
+    return t.select(*[c for c in t.columns if c != "source"], "source")
 
 
 def metrics_by(forecasts: DataFrame, by: list[str]) -> DataFrame:
@@ -217,12 +217,11 @@ def pit_histogram(forecasts: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def coverage_by(forecasts: DataFrame, by: str = "m_group") -> DataFrame:
-    """Empirical against nominal coverage of the four central intervals."""
-    out = None
-    for lo, hi, nominal in ((10, 90, 0.8), (20, 80, 0.6), (30, 70, 0.4), (40, 60, 0.2)):
-        t = forecasts.groupBy(by).agg(F.expr(_SHARE.format(f"actual >= q{lo} AND actual <= q{hi}")).alias("coverage"), F.count("*").alias("n")).withColumn("nominal", F.lit(nominal))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """Empirical against nominal coverage of the four central intervals, from one reading."""
+    levels = ((10, 90, 0.8), (20, 80, 0.6), (30, 70, 0.4), (40, 60, 0.2))
+    t = forecasts.groupBy(by).agg(F.count("*").alias("n"), *[F.expr(_SHARE.format(f"actual >= q{lo} AND actual <= q{hi}")).alias(f"c{lo}") for lo, hi, _ in levels])
+    each = ", ".join(f"struct(c{lo} AS coverage, n, {nominal}e0 AS nominal)" for lo, _, nominal in levels)
+    return t.select(by, F.explode(F.expr(f"array({each})")).alias("g")).select(by, "g.*")
 
 
 def skill_grid(forecasts: DataFrame) -> DataFrame:
