@@ -309,22 +309,21 @@ _INTERP = [
 add("interp_context", {"i": None, "pos": None, "value": 6}, _INTERP, "cz")(lambda spark, sf: covariates.interp_context(minute_frame(spark, sf), "mid_close", CONTEXT))
 
 
-_VARIATES = ["target", *covariates.PRESETS["full"][0], *covariates.PRESETS["full"][1]]
 _SUM = "aggregate({}, 0e0, (a, x) -> a + CASE WHEN isnan(x) THEN 0e0 ELSE CAST(x AS DOUBLE) END)"
 
 
-def _tensors(spark, sf):
+def _of_tensors(spark, sf, make=covariates.tensors):
     frame = minute_frame(spark, sf)
-    return covariates.tensors(frame, all_origins(frame), CONTEXT)
+    return make(frame, all_origins(frame), CONTEXT)
 
 
 _CELLS = [*S.origins(), *S.tensor_cells(CONTEXT)]
 _SHAPES = f"tz AS (SELECT i, {CONTEXT} AS context, {len(covariates.PRESETS['full'][0])} AS n_past, {len(covariates.CALENDAR) + 1} AS n_future, {CONTEXT + 64} AS width, CAST(sum(flats) AS INTEGER) AS n_flat, sum(CASE WHEN name = 'target' THEN total END) AS target_sum FROM cell_sums GROUP BY i)"
 add("tensors_c32", {"i": None, "context": None, "n_past": None, "n_future": None, "width": None, "n_flat": None, "target_sum": 3}, [*_CELLS, _SHAPES], "tz")(
-    lambda spark, sf: _tensors(spark, sf).selectExpr("i", "size(target) AS context", "size(past) AS n_past", "size(future) AS n_future", "size(future[0]) AS width", "n_flat", f"{_SUM.format('target')} AS target_sum")
+    lambda spark, sf: _of_tensors(spark, sf).selectExpr("i", "size(target) AS context", "size(past) AS n_past", "size(future) AS n_future", "size(future[0]) AS width", "n_flat", f"{_SUM.format('target')} AS target_sum")
 )
 add("tensor_sums", {"i": None, "name": None, "total": 3}, _CELLS, "cell_sums")(
-    lambda spark, sf: _tensors(spark, sf).selectExpr("i", f"explode(map_from_arrays(array({', '.join(repr(v) for v in _VARIATES)}), transform(concat(array(target), past, future), v -> {_SUM.format('v')}))) AS (name, total)")
+    lambda spark, sf: _of_tensors(spark, sf, covariates.tensor_sums)
 )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.mathx import Q_COLS, decile_mean, m_group, norm_of_tail, norm_tail
 from ..session import cut, ship
 from .baselines import apply_fan, fair_z
-from .covariates import CELLS, batches_of, tensor_rows
+from .covariates import CELLS, batches_of, tensor_rows, with_paths
 from .select import quantiles
 
 STEP, WIDTH = 0.001, 0.01
@@ -96,7 +96,7 @@ def covariate_forecast(frame: DataFrame, origins: DataFrame, predict: CovariateP
 
     def run(table: pa.Table) -> pa.Table:
         parts = []
-        for b in batches_of(table, spec, cells):
+        for b in batches_of(with_paths(table), spec, cells):
             median, q = checked_predict(predict, b["targets"], horizon, b["past"], b["future"])
             r, s = np.nonzero(b["valid"][:, :horizon])
             out = {"i": b["i"][r], "h": (s + 1).astype(np.int32), "k": b["step_k"][r, s], "median": median[r, s]}
