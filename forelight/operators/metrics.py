@@ -90,8 +90,9 @@ def cal_bin(p: str) -> str:
 def calibration(rows: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     """bin_lo, bin_hi, n, p_mean, freq_up, gap, se of each non-empty bin. ``rows`` needs o."""
     by = by or []
-    t = rows.where("o IS NOT NULL").withColumn("bin", F.expr(cal_bin(p))).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count("*").alias("n"), F.expr(f"sum({p})").alias("p_sum"), F.sum("o").alias("o_sum"))
-    return _calibrated(t, by)
+    t = rows.where("o IS NOT NULL").withColumn("bin", F.expr(cal_bin(p))).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.expr(f"sum({p})").alias("p_sum"), F.sum("o").alias("o_sum"), F.max("bin").alias("bin_"))
+    # a condition on bin itself is moved down to the rows, where p is written out once for each edge
+    return _calibrated(t.where("bin_ IS NOT NULL"), by)
 
 
 def _calibrated(t: DataFrame, by: list[str]) -> DataFrame:
