@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.mathx import safe_ln
+from ..session import cut
 from .grid import at_second, complete
 
 FREQ_SECONDS = {"1s": 1, "5s": 5, "15s": 15, "30s": 30, "1m": 60, "5m": 300, "15m": 900, "1h": 3600}
@@ -14,6 +15,8 @@ SEC = "unix_timestamp(ts)"
 MAX_RETURN_GAP_S, TAIL_TOLERANCE_S = 60, 5
 #: seconds whose ticks are put in order together (or one bar, if that is longer)
 BLOCK_S = 900
+#: seconds of bars that are few beside their ticks
+FEW_S = 60
 BAR_COLUMNS = ("ts", "open", "high", "low", "close", "mean", "std", "rv_1s", "ret_l10", "ret_l30", "n_ticks", "n_raw_ticks", "is_gap", "is_full")
 
 
@@ -56,13 +59,20 @@ def aggregate(ticks: DataFrame, freq: str, every_tick: bool = False) -> DataFram
 
 def to_bars(ticks: DataFrame, freq: str = "1m", every_tick: bool = False) -> DataFrame:
     """Bars on a complete grid. Ticks that all miss the whole second are an error."""
-    size = FREQ_SECONDS[freq]
-    label = lambda x: f"(unix_timestamp({x}) div {size}) * {size}"
-    # Three scalars from one scan without a shuffle; the aggregate itself runs once.
-    low, high, n = ticks.agg(F.expr(label("min(ts)")), F.expr(label("max(ts)")), F.count("*")).first()
-    if n and not every_tick and ticks.where(ON_SECOND).isEmpty():
+    size, made = FREQ_SECONDS[freq], aggregate(ticks, freq, every_tick)
+    if size >= FEW_S:
+        # such bars are few beside the ticks: kept, they tell the grid's ends, and ticks are read once
+        made = cut(made)
+        low, high, whole = made.agg(F.expr("unix_timestamp(min(ts))"), F.expr("unix_timestamp(max(ts))"), F.max("n_ticks")).first()
+        missed = not whole and not ticks.isEmpty()
+    else:
+        label = lambda x: f"(unix_timestamp({x}) div {size}) * {size}"
+        # Three scalars from one scan without a shuffle; the aggregate itself runs once.
+        low, high, n = ticks.agg(F.expr(label("min(ts)")), F.expr(label("max(ts)")), F.count("*")).first()
+        missed = n and not every_tick and ticks.where(ON_SECOND).isEmpty()
+    if missed and not every_tick:
         raise ValueError("there are ticks, but none on a whole second: once-per-second bars can't be built")
-    return flagged(complete(aggregate(ticks, freq, every_tick), size, low, high), freq).select(*BAR_COLUMNS)
+    return flagged(complete(made, size, low, high), freq).select(*BAR_COLUMNS)
 
 
 def flagged(bars: DataFrame, freq: str) -> DataFrame:

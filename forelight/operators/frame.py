@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.mathx import h_eff, ln_ratio, norm_cdf, safe_div, safe_ln, z_score
-from .grid import block_window, blocked, bucket, carry_last, unblocked
+from ..functions.mathx import WINDOW_MINUTES, h_eff, ln_ratio, norm_of_tail, norm_tail, safe_div, safe_ln, z_score
+from .grid import block_window, blocked, bucket, carry_last, rolling_sums, unblocked
 
 MAX_QUOTE_SPREAD, RV_FAST, RV_SLOW = 0.10, 15, 240
-#: rows of the frames that the slow one is put together from
-PART = 60
 
 
 def relabel(candles: DataFrame) -> DataFrame:
@@ -21,78 +19,86 @@ def relabel(candles: DataFrame) -> DataFrame:
     return c.drop("one", "place").withColumnsRenamed({f"price_{x}": f"trade_{x}" for x in ("open", "high", "low", "close", "mean")})
 
 
-def core(bars: DataFrame, candles: DataFrame) -> DataFrame:
-    """Bars LEFT JOIN candles with clock columns; idx is arithmetic on the complete grid."""
-    frame = bars.withColumnsRenamed({c: f"brti_{c}" for c in bars.columns if c not in ("ts", "n_ticks", "n_raw_ticks")})
+def numbered(bars: DataFrame) -> DataFrame:
+    """Bars with idx, which is arithmetic on the complete grid."""
     low = bars.agg(F.min("ts")).first()[0]
+    return bars.selectExpr("*", f"timestampdiff(MINUTE, TIMESTAMP_NTZ'{low}', ts) AS idx")
+
+
+def core(bars: DataFrame, candles: DataFrame) -> DataFrame:
+    """Numbered bars LEFT JOIN candles with clock columns."""
+    frame = bars.withColumnsRenamed({c: f"brti_{c}" for c in bars.columns if c not in ("ts", "idx", "n_ticks", "n_raw_ticks")})
     frame = frame.join(relabel(candles), F.col("ts") == F.col("bar_ts"), "left").drop("bar_ts")
     return frame.selectExpr(
-        "*", f"timestampdiff(MINUTE, TIMESTAMP_NTZ'{low}', ts) AS idx", f"{bucket('ts', 900)} AS t0", "minute(ts) % 15 AS k", "to_date(ts) AS date", "hour(ts) AS hour",
+        "*", f"{bucket('ts', 900)} AS t0", "minute(ts) % 15 AS k", "to_date(ts) AS date", "hour(ts) AS hour",
         "hour(ts) * 60 + minute(ts) AS minute_of_day", "ticker IS NOT NULL AS has_candle",
     )
 
 
-def with_strikes(frame: DataFrame) -> DataFrame:
-    """One strike a window: the quoted one, else the mean of the bar before the window."""
-    before = frame.selectExpr("timestampadd(MINUTE, 1, ts) AS ts", "brti_mean AS prev_mean")
-    frame = frame.join(before, "ts", "left").withColumn("prev_settle", F.expr("CASE WHEN k = 0 THEN prev_mean END"))
-    w = Window.partitionBy("t0").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = lambda c: F.first(c, ignorenulls=True).over(w)
-    frame = frame.withColumns({"kalshi": first("floor_strike"), "strike_from_brti": first("prev_settle"), "win_ticker": first("ticker")})
-    return frame.withColumns({"strike": F.coalesce("kalshi", "strike_from_brti"), "strike_imputed": F.col("kalshi").isNull() & F.col("strike_from_brti").isNotNull()}).drop("kalshi", "prev_settle", "prev_mean")
+def with_moves(b: DataFrame, vol_lookback: int = 240, rv_lookback: int = 30) -> DataFrame:
+    """What comes from the rows before: returns, volatilities, and at a window's start the mean of the bar
+    before it. ``b``: blocks with a halo, and ``carried``, the last price before the halo."""
+    w = block_window()
+    filled = F.coalesce(F.last("brti_close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "carried")
+    before = {"prev_settle": F.when(F.col("k") == 0, F.lag("brti_mean").over(w)), "mid_ret_1m": F.when(F.col("k") > 0, F.col("mid_close") - F.lag("mid_close").over(w))}
+    b = b.withColumns({"filled": filled, **before}).withColumn("lfill", F.expr(safe_ln("filled")))
+    b = b.withColumn("ret_1m", F.col("lfill") - F.lag("lfill").over(w)).drop("carried", "filled", "lfill")
+    b = rolling_sums(b, "brti_rv_1s", sorted({RV_FAST, rv_lookback, RV_SLOW}))
+    over = w.rowsBetween(-(vol_lookback - 1), 0)
+    b = b.withColumn("sigma_1m", F.when(F.count("ret_1m").over(over) >= max(10, vol_lookback // 4), F.stddev_samp("ret_1m").over(over)))
+    rv = lambda size: F.expr(f"CASE WHEN n_{size} >= {max(size // 2, 1)} THEN sqrt(s_{size} / n_{size}) END")
+    b = b.withColumns({"sigma_rv": rv(rv_lookback), "rv_fast": rv(RV_FAST), "rv_slow": rv(RV_SLOW)})
+    return b.withColumn("vol_ratio", F.expr(ln_ratio("rv_fast", "rv_slow"))).drop("rv_fast", "rv_slow", *[f"{c}_{s}" for c in "ns" for s in {RV_FAST, rv_lookback, RV_SLOW}])
 
 
-def with_features(frame: DataFrame, vol_lookback: int = 240, rv_lookback: int = 30) -> DataFrame:
-    mid = {f"mid_{x}": f"(yes_bid_{x} + yes_ask_{x}) / 2e0" for x in ("close", "open", "high", "low")}
-    frame = frame.withColumns({c: F.expr(e) for c, e in mid.items()} | {"spread": F.expr("yes_ask_close - yes_bid_close"), "moneyness": F.expr(ln_ratio("brti_close", "strike")), "log_volume": F.log1p("volume"), "log_oi": F.log1p("open_interest")})
-    back = max(vol_lookback, rv_lookback, RV_SLOW) + 1
-    # ret_1m first, in a pass of its own: the rolling frames run over it.
-    b = blocked(frame, 1)
-    b = b.join(carry_last(b, "brti_close"), "block", "left")
-    w = block_window()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("filled", F.coalesce(F.last("brti_close", ignorenulls=True).over(upto), "carried"))
-    b = b.withColumns({"lfill": F.expr(safe_ln("filled"))})
-    frame = unblocked(b.withColumns({"ret_1m": F.col("lfill") - F.lag("lfill").over(w), "mid_ret_1m": F.when(F.col("k") > 0, F.col("mid_close") - F.lag("mid_close").over(w))})).drop("carried", "filled", "lfill")
-    b = blocked(frame, back)
-    w = block_window()
+def _whole_window():
+    """All rows of a contract window; blocks have enough of their neighbours to hold those of their own rows."""
+    return Window.partitionBy("block", "t0").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
 
-    def rolling(agg, c, size, least):
-        over = w.rowsBetween(-(size - 1), 0)
-        return F.when(F.count(c).over(over) >= least, agg(c).over(over))
-
-    rv = lambda size: F.sqrt(rolling(F.avg, "brti_rv_1s", size, max(size // 2, 1)))
-    # the slow frame is put together from frames of PART rows: a row costs PART values, not all of them
-    part = w.rowsBetween(-(PART - 1), 0)
-    b = b.withColumns({"sigma_1m": rolling(F.stddev_samp, "ret_1m", vol_lookback, max(10, vol_lookback // 4)), "sigma_rv": rv(rv_lookback), "rv_fast": rv(RV_FAST), "n_": F.count("brti_rv_1s").over(part), "s_": F.sum("brti_rv_1s").over(part)})
-    at = range(0, RV_SLOW, PART)
-    b = b.withColumns({f"{c}{k}": F.coalesce(F.lag(c, k).over(w) if k else F.col(c), F.lit(0)) for c in ("n_", "s_") for k in at})
-    b = b.withColumns({c: F.expr(" + ".join(f"{c}{k}" for k in at)) for c in ("n_", "s_")})
-    b = b.withColumn("rv_slow", F.expr(f"CASE WHEN n_ >= {max(RV_SLOW // 2, 1)} THEN sqrt(s_ / n_) END")).drop("n_", "s_", *[f"{c}{k}" for c in ("n_", "s_") for k in at])
-    frame = unblocked(b).withColumn("vol_ratio", F.expr(ln_ratio("rv_fast", "rv_slow"))).drop("rv_fast", "rv_slow")
+def with_quotes(frame: DataFrame) -> DataFrame:
+    """What a row's own quotes tell."""
+    mid = {f"mid_{x}": f"(yes_bid_{x} + yes_ask_{x}) / 2e0" for x in ("close", "open", "high", "low")}
+    frame = frame.withColumns({c: F.expr(e) for c, e in mid.items()} | {"spread": F.expr("yes_ask_close - yes_bid_close"), "log_volume": F.log1p("volume"), "log_oi": F.log1p("open_interest")})
     return frame.withColumns({
         "trade_close_imp": F.coalesce("trade_close", "mid_close"), "trade_mean_imp": F.coalesce("trade_mean", "mid_close"),
         "target_valid": F.expr("has_candle AND yes_bid_close IS NOT NULL AND yes_ask_close IS NOT NULL"), "is_settlement": F.col("k") == 14,
     }).withColumn("quote_ok", F.expr(f"target_valid AND spread <= {MAX_QUOTE_SPREAD!r}e0"))
 
 
+def with_strikes(b: DataFrame) -> DataFrame:
+    """One strike a window: the quoted one, else the mean of the bar before the window."""
+    first = lambda c: F.first(c, ignorenulls=True).over(_whole_window())
+    b = b.withColumns({"kalshi": first("floor_strike"), "strike_from_brti": first("prev_settle"), "win_ticker": first("ticker")})
+    return b.withColumns({"strike": F.coalesce("kalshi", "strike_from_brti"), "strike_imputed": F.col("kalshi").isNull() & F.col("strike_from_brti").isNotNull()}).drop("kalshi", "prev_settle")
+
+
 def with_fair_values(frame: DataFrame) -> DataFrame:
     """Index-only fair values; a settled row is judged on the mean that settles it."""
+    frame = frame.withColumn("moneyness", F.expr(ln_ratio("brti_close", "strike")))
     frame = frame.withColumn("num", F.expr(f"CASE WHEN is_settlement THEN {ln_ratio('brti_mean', 'strike')} ELSE moneyness END"))
     h = h_eff("k")
     frame = frame.withColumns({"rw_z": F.expr(z_score("num", "sigma_1m", h)), "rw_z_rv": F.expr(z_score("num", "sigma_rv", h)), "ret_l10_std": F.expr(safe_div("brti_ret_l10", "sigma_rv")), "ret_l30_std": F.expr(safe_div("brti_ret_l30", "sigma_rv"))})
-    frame = frame.withColumns({"rw_p": F.expr(norm_cdf("rw_z")), "rw_p_rv": F.expr(norm_cdf("rw_z_rv"))})
-    return frame.withColumn("rw_gap_rv", F.col("rw_p_rv") - F.col("mid_close")).drop("num")
+    # tails are columns first: written out in place, they are worked out anew
+    frame = frame.withColumns({"tail_": F.expr(norm_tail("rw_z")), "tail_rv": F.expr(norm_tail("rw_z_rv"))})
+    frame = frame.withColumns({"rw_p": F.expr(norm_of_tail("rw_z", "tail_")), "rw_p_rv": F.expr(norm_of_tail("rw_z_rv", "tail_rv"))})
+    return frame.withColumn("rw_gap_rv", F.col("rw_p_rv") - F.col("mid_close")).drop("num", "tail_", "tail_rv")
 
 
-def with_outcomes(frame: DataFrame) -> DataFrame:
-    w = Window.partitionBy("t0").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def with_outcomes(b: DataFrame) -> DataFrame:
     price = F.expr("CASE WHEN is_settlement AND target_valid THEN mid_close > 0.5e0 END")
     index = F.expr("CASE WHEN is_settlement THEN brti_mean > strike END")
-    frame = frame.withColumns({"op_": price, "ob_": index})
-    return frame.withColumns({"outcome_price": F.first("op_", ignorenulls=True).over(w), "outcome_brti": F.first("ob_", ignorenulls=True).over(w)}).drop("op_", "ob_")
+    first = lambda c: F.first(c, ignorenulls=True).over(_whole_window())
+    b = b.withColumns({"op_": price, "ob_": index})
+    return b.withColumns({"outcome_price": first("op_"), "outcome_brti": first("ob_")}).drop("op_", "ob_")
 
 
 def build_frame(bars: DataFrame, candles: DataFrame, vol_lookback: int = 240, rv_lookback: int = 30) -> DataFrame:
-    return with_outcomes(with_fair_values(with_features(with_strikes(core(bars, candles)), vol_lookback, rv_lookback)))
-
+    """The frame of complete bars. Rows go to their blocks once, with as many neighbours as every rolling
+    frame and contract window needs; all windows run there."""
+    bars = numbered(bars)
+    back = max(vol_lookback, rv_lookback, RV_SLOW) + 1
+    b = blocked(with_quotes(core(bars, candles)), back, ahead=WINDOW_MINUTES)
+    b = b.join(carry_last(bars, "close", back), "block", "left")
+    b = with_outcomes(with_strikes(with_moves(b, vol_lookback, rv_lookback)))
+    return with_fair_values(unblocked(b))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.mathx import h_eff, lit, ln_ratio, norm_cdf, safe_div, z_score
+from ..functions.mathx import h_eff, lit, ln_ratio, norm_of_tail, norm_tail, safe_div, z_score
 from .bootstrap import Ratio, intervals
 from ..session import cut
-from .grid import block_window, blocked, unblocked
+from .grid import block_window, blocked, rolling_sums, unblocked
 
 HORIZONS, FEE = (1, 2, 3, 5, 8), 0.07
 SIGMAS = ("sigma_1m", "sig_rv240", "sig_rv60", "sig_rv30", "sig_rv15")
@@ -19,37 +19,29 @@ def split_label(val_start: str, test_start: str) -> str:
 
 
 def signal_frame(frame: DataFrame, val_start: str, test_start: str, horizons=HORIZONS) -> DataFrame:
-    """Volatility measures, future variances, future moves inside the window, gaps to fair value."""
+    """Volatility measures, future variances, future moves inside the window, gaps to fair value. Rows go to
+    their blocks once, with the 250 before and those ahead that moves and variances look at."""
     f = frame.select("idx", "ts", "t0", "k", "date", "mid_close", "yes_bid_close", "yes_ask_close", "quote_ok", "moneyness", "sigma_1m", "brti_rv_1s", "ret_1m", "spread", "log_volume", "log_oi", "hour", "outcome_brti", "brti_ret_l10", "brti_ret_l30", "mid_ret_1m", F.expr("power(ret_1m, 2)").alias("r2_1m"))
-    # The future looks ten rows on: rows are numbered backwards so that a halo looks back.
-    b = blocked(f, 250)
+    b = blocked(f, 250, ahead=max(10, *horizons))
     w = block_window()
-
-    def past(size):
-        over = w.rowsBetween(-(size - 1), 0)
-        return F.when(F.count("brti_rv_1s").over(over) >= size // 2, F.sqrt(F.avg("brti_rv_1s").over(over)))
-
-    b = b.withColumns({f"sig_rv{n}": past(n) for n in (15, 30, 60, 240)})
+    sizes = (15, 30, 60, 240)
+    b = rolling_sums(b, "brti_rv_1s", sizes).withColumns({f"sig_rv{n}": F.expr(f"CASE WHEN n_{n} >= {n // 2} THEN sqrt(s_{n} / n_{n}) END") for n in sizes}).drop(*[f"{c}_{n}" for c in "ns" for n in sizes])
     names = {"old": "sigma_1m", "rv15": "sig_rv15", "rv30": "sig_rv30", "rv60": "sig_rv60", "rv240": "sig_rv240"}
     b = b.withColumns({f"z_{n}": F.expr(z_score("moneyness", s, h_eff("k"))) for n, s in names.items()})
-    b = b.withColumns({f"p_{n}": F.expr(norm_cdf(f"z_{n}")) for n in names})
-    b = b.withColumns({f"dp_{n}": F.col(f"p_{n}") - F.lag(f"p_{n}").over(w) for n in ("old", "rv60")})
-    f = unblocked(b)
-    top = f.agg(F.max("idx")).first()[0] or 0
-    b = blocked(f.withColumn("rev", F.lit(top) - F.col("idx")), 16, index="rev")
-    v = block_window("rev")
+    # tails are columns first: written out in place, they are worked out anew
+    b = b.withColumns({f"tail_{n}": F.expr(norm_tail(f"z_{n}")) for n in names})
+    b = b.withColumns({f"p_{n}": F.expr(norm_of_tail(f"z_{n}", f"tail_{n}")) for n in names}).drop(*[f"tail_{n}" for n in names])
 
     def ahead(c):
-        over = v.rowsBetween(-10, -1)
+        over = w.rowsBetween(1, 10)
         return F.when(F.count(c).over(over) == 10, F.avg(c).over(over))
 
-    f = unblocked(b.withColumns({"fut_rv": ahead("brti_rv_1s"), "fut_r2": ahead("r2_1m")})).drop("rev")
-    t = Window.partitionBy("t0").orderBy("k")
-    cols = {}
+    cols = {f"dp_{n}": F.col(f"p_{n}") - F.lag(f"p_{n}").over(w) for n in ("old", "rv60")} | {"fut_rv": ahead("brti_rv_1s"), "fut_r2": ahead("r2_1m")}
     for h in horizons:
-        ok = F.lead("quote_ok", h).over(t) & (F.col("k") + h <= 13)
-        cols |= {f"d{h}": F.when(ok, F.lead("mid_close", h).over(t) - F.col("mid_close")), f"bid{h}": F.when(ok, F.lead("yes_bid_close", h).over(t)), f"ask{h}": F.when(ok, F.lead("yes_ask_close", h).over(t))}
-    f = f.withColumns(cols)
+        # h rows on is inside the window, as rows are a complete grid
+        ok = F.lead("quote_ok", h).over(w) & (F.col("k") + h <= 13)
+        cols |= {f"d{h}": F.when(ok, F.lead("mid_close", h).over(w) - F.col("mid_close")), f"bid{h}": F.when(ok, F.lead("yes_bid_close", h).over(w)), f"ask{h}": F.when(ok, F.lead("yes_ask_close", h).over(w))}
+    f = unblocked(b.withColumns(cols))
     f = f.withColumns({f"gap_{n}": F.col(f"p_{n}") - F.col("mid_close") for n in names})
     f = f.selectExpr(
         "*", "CAST(k AS DOUBLE) AS kf", "CAST(hour AS DOUBLE) AS hour_f", "coalesce(mid_ret_1m, 0e0) AS mid_ret", f"{safe_div('ret_1m', 'sigma_1m')} AS ret_std", f"{safe_div('brti_ret_l10', 'sig_rv60')} AS l10_std", f"{safe_div('brti_ret_l30', 'sig_rv60')} AS l30_std",
