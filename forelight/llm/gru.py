@@ -69,34 +69,35 @@ def input_tables(p: dict) -> tuple[np.ndarray, np.ndarray]:
 def run_window(p: dict, xg: np.ndarray, xn: np.ndarray, gates: tuple, fresh: np.ndarray | None, h: np.ndarray, keep: bool = False):
     """States after each of the T inputs (given as their parts of the gates, T x B x 2H, and of
     the new value, T x B x H), starting from h; fresh marks where the state is cleared before
-    the input. ``keep`` adds the states before each input, both gates, new values and their
-    state parts."""
+    the input. ``keep`` adds the states before each input, both gates side by side, new values and
+    their state parts. What is kept is worked out where it stays."""
     t_max, lanes = xg.shape[:2]
     out = np.empty((t_max, lanes, HIDDEN), xg.dtype)
-    trace = [np.empty_like(out) for _ in range(5)] if keep else None
-    wg, wn = gates[2:]
+    slots = t_max if keep else 1
+    before, parts, news = (np.empty((slots, lanes, HIDDEN), xg.dtype) for _ in range(3))
+    both = np.empty((slots, lanes, 2 * HIDDEN), xg.dtype)
+    less, wn = -gates[2], gates[3]
     clear = fresh.any(axis=1) if fresh is not None else None
     for t in range(t_max):
         if clear is not None and clear[t]:
             h = h * ~fresh[t][:, None]
-        zr = h @ wg
-        zr += xg[t]
-        np.negative(zr, out=zr)
+        at = t if keep else 0
+        if keep:
+            before[t] = h
+        zr = np.matmul(h, less, out=both[at])
+        zr -= xg[t]
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        part = h @ wn
-        n = part * zr[:, HIDDEN:]
+        part = np.matmul(h, wn, out=parts[at])
+        n = np.multiply(part, zr[:, HIDDEN:], out=news[at])
         n += xn[t]
         np.tanh(n, out=n)
-        if keep:
-            for into, x in zip(trace, (h, zr[:, :HIDDEN], zr[:, HIDDEN:], n, part), strict=True):
-                into[t] = x
         new = np.subtract(h, n, out=out[t])
         new *= zr[:, :HIDDEN]
         new += n
         h = new
-    return (out, h, trace) if keep else (out, h)
+    return (out, h, (before, both, news, parts)) if keep else (out, h)
 
 
 _ONES = np.ones(1 << 16, np.float32)
@@ -166,12 +167,17 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     ``into``: arrays that take the gradients."""
     t_max, lanes = ids.shape
     gates, tame = _gates(p), _tame(p, layout)
+    # each symbol of the window goes through the input weights once, as do the gradients it gets
     flat_ids = ids.ravel()
-    emb = p["E"][flat_ids]
-    xg, xn = emb @ gates[0], emb @ gates[1]
-    xg += p["b"][: 2 * HIDDEN]
-    xn += p["b"][2 * HIDDEN :]
-    states, last, (before, z, r, new, part) = run_window(p, xg.reshape(t_max, lanes, -1), xn.reshape(t_max, lanes, -1), gates, fresh, h0, keep=True)
+    order_in = _order(flat_ids)
+    sorted_ids = flat_ids[order_in]
+    firsts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+    used = sorted_ids[firsts]
+    row_of = np.empty(len(p["E"]), np.intp)
+    row_of[used] = np.arange(len(used))
+    flat_ids, emb = row_of[flat_ids], p["E"][used]
+    xg, xn = (emb @ gates[0] + p["b"][: 2 * HIDDEN])[flat_ids], (emb @ gates[1] + p["b"][2 * HIDDEN :])[flat_ids]
+    states, last, (before, both, new, part) = run_window(p, xg.reshape(t_max, lanes, -1), xn.reshape(t_max, lanes, -1), gates, fresh, h0, keep=True)
     y, w = target.ravel(), weight.ravel().astype(emb.dtype)
     total = max(1.0, float(w.sum()))
     g = {k: np.zeros_like(v) for k, v in p.items()} if into is None else into
@@ -205,7 +211,10 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     back = np.empty_like(dh)
     back[order] = dh
     dh = back.reshape(t_max, lanes, HIDDEN)
-    dg, dn, dnr = np.empty((t_max, lanes, 2 * HIDDEN), emb.dtype), np.empty_like(new), np.empty_like(new)
+    z, r = both[:, :, :HIDDEN], both[:, :, HIDDEN:]
+    # side by side: of the new value's input, of both gates, of the new value's state part; the first
+    # three go to the inputs and the last three to the states, each in one product
+    d = np.empty((t_max, lanes, 4 * HIDDEN), emb.dtype)
     carry = np.zeros((lanes, HIDDEN), emb.dtype)
     clear = fresh.any(axis=1) if fresh is not None else None
     # what does not depend on the carried gradient, for all steps at once
@@ -219,29 +228,24 @@ def gradients(p: dict, layout: Layout, ids, fresh, target, weight, h0, into: dic
     keep_r = np.subtract(1, r, out=rest)
     keep_r *= r
     keep_r *= part
-    wg, wn = np.ascontiguousarray(gates[2].T), np.ascontiguousarray(gates[3].T)
+    to_state, to_input = np.ascontiguousarray(p["Wh"].T), np.concatenate([gates[1].T, gates[0].T])
     for t in range(t_max - 1, -1, -1):
         now = carry
         now += dh[t]
-        np.multiply(now, keep_z[t], out=dg[t, :, :HIDDEN])
-        np.multiply(now, keep_n[t], out=dn[t])
-        np.multiply(dn[t], keep_r[t], out=dg[t, :, HIDDEN:])
-        np.multiply(dn[t], r[t], out=dnr[t])
+        dn = np.multiply(now, keep_n[t], out=d[t, :, :HIDDEN])
+        np.multiply(now, keep_z[t], out=d[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, keep_r[t], out=d[t, :, 2 * HIDDEN : 3 * HIDDEN])
+        np.multiply(dn, r[t], out=d[t, :, 3 * HIDDEN :])
         carry = now * z[t]
-        carry += dg[t] @ wg
-        carry += dnr[t] @ wn
+        carry += d[t, :, HIDDEN:] @ to_state
         if clear is not None and clear[t]:
             carry *= ~fresh[t][:, None]
-    dg, dn, dnr, before = dg.reshape(-1, 2 * HIDDEN), dn.reshape(-1, HIDDEN), dnr.reshape(-1, HIDDEN), before.reshape(-1, HIDDEN)
-    g["Wh"][:, : 2 * HIDDEN], g["Wh"][:, 2 * HIDDEN :] = before.T @ dg, before.T @ dnr
-    g["b"][: 2 * HIDDEN], g["b"][2 * HIDDEN :] = _columns(dg), _columns(dn)
-    g["Wx"][:, : 2 * HIDDEN], g["Wx"][:, 2 * HIDDEN :] = emb.T @ dg, emb.T @ dn
-    back = dg @ gates[0].T
-    back += dn @ gates[1].T
-    order = _order(flat_ids)
-    sorted_ids = flat_ids[order]
-    firsts = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-    g["E"][sorted_ids[firsts]] = np.add.reduceat(back[order], firsts, axis=0)
+    d, before = d.reshape(-1, 4 * HIDDEN), before.reshape(-1, HIDDEN)
+    g["Wh"][:] = before.T @ d[:, HIDDEN:]
+    inner = np.add.reduceat(d[order_in, : 3 * HIDDEN], firsts, axis=0)
+    for k, x in (("b", _columns(inner)), ("Wx", emb.T @ inner)):
+        g[k][..., : 2 * HIDDEN], g[k][..., 2 * HIDDEN :] = x[..., HIDDEN:], x[..., :HIDDEN]
+    g["E"][used] = inner @ to_input
     return loss / total, g, last
 
 

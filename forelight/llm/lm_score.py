@@ -25,20 +25,20 @@ all weights stay as initialised and every word is unseen.
 
 from __future__ import annotations
 
-import itertools
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import gru
-from .common import cut, keep_memory, ship, split_words, trim
+from .common import cut, keep_memory, ship, trim
 
 SYMBOLS, RARE, NEAR = 1024, 32, 1 << 18
 END = "\n"  # no word can hold it
@@ -63,24 +63,43 @@ def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % RARE
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """The class of each of many words (binary); few last three bytes differ."""
+    tails = pc.binary_slice(words, -3).dictionary_encode()
+    return np.fromiter(map(rare_class, tails.dictionary.to_pylist()), np.int32, len(tails.dictionary))[tails.indices.to_numpy()]
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts of a batch, one after another, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, at = lists.flatten(), lists.offsets.to_numpy()
+    held = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty piece
+    return words.filter(held), np.diff(np.r_[0, np.cumsum(held.to_numpy(zero_copy_only=False))][at - at[0]])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all texts (without end marks). Each task counts its batches first."""
 
     def counted(batches):
-        seen: Counter = Counter()
+        some, size = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(split_words(t))
-                if len(seen) > 300_000:
-                    yield _counted(seen)
-                    seen = Counter()
-        yield _counted(seen)
+            found = words_of(batch.column(0))[0].value_counts()
+            some.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            size += len(found)
+            if size > 300_000:
+                yield from _added_counts(some)
+                some, size = [], 0
+        if some:
+            yield from _added_counts(some)
+        trim()
 
     return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def _added_counts(some: list[pa.Table]) -> list[pa.RecordBatch]:
+    if len(some) > 1:
+        some = [pa.concat_tables(some).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+    return some[0].to_batches()
 
 
 class Vocabulary:
@@ -91,24 +110,21 @@ class Vocabulary:
         self.counts = spec["counts"]
         self.end, self.kind = spec["end"], spec["kind"]
         words.insert(self.end, END.encode())
-        self.rank = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.n_symbols = min(spec["symbols"], len(words))
-        symbol = np.arange(len(words), dtype=np.int32)
-        for w in words[self.n_symbols :]:
-            symbol[self.rank[w]] = self.n_symbols + rare_class(w)
-        self.symbol = symbol
+        self.symbol = np.arange(len(words), dtype=np.int32)
+        self.symbol[self.n_symbols :] = self.n_symbols + rare_classes(self.words[self.n_symbols :])
         self.class_log = np.log10(spec["class_n"] + 0.5 * (spec["class_v"] + 1))
         self.base_log = float(np.log10(spec["n"] + 0.5 * (spec["v"] + 1)))
         self.count_log = np.log10(self.counts + 0.5)
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int32, len(words))
-
-    def symbols(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
-        out = self.symbol[ranks]
-        for i in np.flatnonzero(ranks < 0).tolist():
-            out[i] = self.n_symbols + rare_class(words[i])
-        return np.append(out, np.int32(self.end))
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (-1: not near) and symbol of each word."""
+        words = words.cast(pa.binary())
+        ranks = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        symbols, far = self.symbol[ranks], ranks < 0
+        symbols[far] = self.n_symbols + rare_classes(words.filter(pa.array(far)))
+        return ranks, symbols
 
 
 _HELD: dict = {}
@@ -167,26 +183,46 @@ def encoded(docs: DataFrame, shared) -> DataFrame:
     give, the remaining words in one string, and the symbols as little-endian 32-bit numbers (16-bit
     where that is enough)."""
 
-    @F.pandas_udf("n_tokens long, known long, base double, inside double, far string, n_far long, symbols binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        voc = _vocabulary(shared)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                words = split_words(t if isinstance(t, str) else None)
-                ranks = voc.ranks(words)
-                s = voc.symbols(words, ranks)
-                near = np.append(ranks[ranks >= 0], np.int32(voc.end))
-                far = [words[i] for i in np.flatnonzero(ranks < 0).tolist()]
-                other = s[s >= voc.n_symbols] - voc.n_symbols
-                base = float(voc.count_log[near].sum()) - (len(words) + 1) * voc.base_log
-                # a word that is no symbol of the model has its share of its class
-                inside = float(voc.count_log[near[near >= voc.n_symbols]].sum()) - float(voc.class_log[other].sum())
-                rows.append((len(words) + 1, int((voc.counts[near] > 0).sum()), base, inside, b" ".join(far).decode("utf-8", "surrogatepass"), len(far), s.astype(voc.kind).tobytes()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "inside", "far", "n_far", "symbols"])
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_encoded(batch.column(2), _vocabulary(shared))], names=[*batch.schema.names[:2], *kinds])
         trim()
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), run(F.col("text")).alias("r")).select("doc_id", "held_out", "r.*")
+    kinds = {"n_tokens": "long", "known": "long", "base": "double", "inside": "double", "far": "string", "n_far": "long", "symbols": "binary"}
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    kind = StructType([*rows.schema.fields[:2], *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+    return rows.mapInArrow(run, kind)
+
+
+def _encoded(texts: pa.Array, voc: Vocabulary) -> list[pa.Array]:
+    """Every distinct word of the batch is looked up once; what it adds goes to its occurrences."""
+    words, n = words_of(texts)
+    distinct = words.dictionary_encode()
+    at = distinct.indices.to_numpy()
+    ranks, symbols = voc.look_up(distinct.dictionary)
+    near, other = ranks >= 0, symbols >= voc.n_symbols
+    log = np.where(near, voc.count_log[ranks], 0.0)
+    # a word that is no symbol of the model has its share of its class
+    inside = np.where(other, log - voc.class_log[np.where(other, symbols - voc.n_symbols, 0)], 0.0)
+    known = near & (voc.counts[ranks] > 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    added = lambda x: np.bincount(owner, x[at], len(n))
+    is_far = ~near[at]
+    n_far = np.bincount(owner[is_far], minlength=len(n))
+    ends = np.cumsum(n + 1) - 1
+    row = np.full(len(at) + len(n), voc.end, voc.kind)
+    row[np.arange(len(at)) + owner] = symbols[at]
+    far = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_far)], pa.int32()), words.filter(pa.array(is_far)))
+    offsets = (np.r_[0, ends + 1] * row.itemsize).astype(np.int32)
+    return [
+        pa.array(n + 1, pa.int64()),
+        pa.array(added(known).astype(np.int64) + int(voc.counts[voc.end] > 0)),
+        pa.array(added(log) + voc.count_log[voc.end] - (n + 1) * voc.base_log, pa.float64()),
+        pa.array(added(inside), pa.float64()),  # numpy counts without rows are integers
+        pc.binary_join(far, " "),
+        pa.array(n_far, pa.int64()),
+        pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(row)]),
+    ]
 
 
 def _learner(now, shared, rate: float):

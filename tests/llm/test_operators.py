@@ -635,6 +635,34 @@ def test_far_words_are_joined(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"]
 
 
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    """A batch's words are looked up once each, however often they occur, and each text gets its own sums."""
+    import pyarrow as pa
+
+    near = ["ab", "\u00e9", "cd", "ef"]
+    spec = {"key": "x", "kind": "<u2", "symbols": 3, "words": " ".join(near), "counts": np.array([9, 7, 5, 4, 2]), "end": 1,
+            "class_n": np.arange(32.0) + 2, "class_v": np.arange(32.0) + 1, "n": 400, "v": 60}
+    voc, asked = lm_score.Vocabulary(spec), []
+    look_up = voc.look_up
+    monkeypatch.setattr(voc, "look_up", lambda w: asked.append(len(w)) or look_up(w))
+    texts = [None, "", " \t", "AB ab\x0bzz\x0cCD\r\nzz ", "\u00c9 \u00e9 a\u3000b x\x00y x\x1cy", "EF " * 50_000 + "far " * 3]
+    got = list(zip(*[a.to_pylist() for a in lm_score._encoded(pa.array(texts, pa.string()), voc)], strict=True))
+    rank = {w: i for i, w in enumerate(["ab", "\n", "\u00e9", "cd", "ef"])}
+    klass = lambda w: zlib.crc32(w.encode()[-3:]) % 32
+    words_in = [re.findall("[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    for ws, (n, known, base, inside, far, n_far, symbols) in zip(words_in, got, strict=True):
+        log = lambda w: math.log10(spec["counts"][rank[w]] + 0.5) if w in rank else 0
+        unknown = [w for w in ws if w not in rank]
+        assert (n, known, far, n_far) == (len(ws) + 1, len(ws) + 1 - len(unknown), " ".join(unknown), len(unknown))
+        assert base == pytest.approx(sum(log(w) for w in [*ws, "\n"]) - n * math.log10(400 + 0.5 * 61))
+        assert inside == pytest.approx(sum(log(w) - math.log10(2 + klass(w) + 0.5 * (klass(w) + 2)) for w in ws if rank.get(w, 3) >= 3))
+        assert np.frombuffer(symbols, "<u2").tolist() == [rank[w] if rank.get(w, 3) < 3 else 3 + klass(w) for w in ws] + [1]
+    assert asked == [len({w for ws in words_in for w in ws})]
+    kinds = [x.type for x in lm_score._encoded(pa.array(texts, pa.string()), voc)]
+    for blank in ([None, " "], []):  # a batch without words has the same columns
+        assert [x.type for x in lm_score._encoded(pa.array(blank, pa.string()), voc)] == kinds
+
+
 def test_model_is_a_distribution():
     from forelight.llm import gru
 
